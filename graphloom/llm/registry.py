@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import simhash
+from graphloom.llm import decontaminate, simhash
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+}
