@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, simhash
+from graphloom.llm import decontaminate, sentencepiece_codec, simhash
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op9_sentencepiece_codec": sentencepiece_codec.op9_sentencepiece_codec,
 }
 
 SQL: dict[str, str] = {
