@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, lattice_lm, sentencepiece_codec, simhash
+from graphloom.llm import decontaminate, lattice_lm, quality, sentencepiece_codec, simhash
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op9_sentencepiece_codec": sentencepiece_codec.op9_sentencepiece_codec,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
