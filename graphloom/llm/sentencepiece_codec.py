@@ -4,11 +4,14 @@ The texts of a batch are cut at word marks, which no piece of the vocabulary cro
 to end. A suffix array over that text gives by binary search the range of suffixes that begin with each piece, which are
 all its occurrences. These are the edges of a lattice; sorted by position they are relaxed in one pass, for all chunks
 together, and the path with the largest sum of scores is read back. A character that no piece covers becomes byte pieces.
+A worker remembers the ids of chunks of earlier batches, up to a fixed number, and indexes the new ones only.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,8 +23,8 @@ from graphloom.llm import vocabulary
 from graphloom.llm.common import texts_as_bytes
 from graphloom.llm.vocabulary import Vocabulary
 
-#: Bytes of text that are encoded together.
-BATCH_BYTES = 8_000_000
+#: Bytes of text that are encoded together, of distinct chunks in one suffix array, and chunks that an encoder remembers.
+BATCH_BYTES, INDEX_BYTES, REMEMBERED = 4_000_000, 1_000_000, 800_000
 #: What an unknown character costs below the lowest score of a piece, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
 
@@ -44,7 +47,11 @@ class SuffixArray:
         self.data = np.concatenate((data, np.zeros(8, np.uint8)))
         head = _words64(data)
         tail = np.concatenate((head[8:], np.zeros(min(8, len(head)), np.uint64)))
-        self.order = np.lexsort((tail, head))
+        self.order = np.argsort(head, kind="stable")
+        same = np.flatnonzero(head[self.order[1:]] == head[self.order[:-1]])  # only equal heads need their tails compared
+        tied = np.union1d(same, same + 1)
+        places = self.order[tied]
+        self.order[tied] = places[np.lexsort((tail[places], head[places]))]
         self.head, self.tail = head[self.order], tail[self.order]
         self.size = len(data)
 
@@ -67,6 +74,7 @@ class Encoder:
             piece = vocab.surfaces[i][:16]
             padded[k, : len(piece)] = np.frombuffer(piece, np.uint8)
         self.heads, self.tails = padded[:, :8].copy().view(">u8").ravel().astype(np.uint64), padded[:, 8:].copy().view(">u8").ravel().astype(np.uint64)
+        self.forget()
         self.head_masks, self.tail_masks = self._masks(np.minimum(self.lens, 8)), self._masks(np.clip(self.lens - 8, 0, 8))
 
     @staticmethod
@@ -94,7 +102,7 @@ class Encoder:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(chunks), np.uint8)
-        chunk_of = np.repeat(np.arange(len(chunks)), sizes)
+        chunk_of = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
         place, piece = self.occurrences(data)
         size = self.lens[piece]
         inside = place + size <= (starts + sizes)[chunk_of[place]]
@@ -149,7 +157,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, ends of the texts' ids)."""
-        numbers: dict[bytes, int] = {}
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        numbers, before = self.numbers, len(self.numbers)
         put, flat, lens = numbers.setdefault, [], []
         for text in texts:
             found = self._chunks(text)
@@ -157,16 +167,37 @@ class Encoder:
             lens.append(len(found))
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        ids, counts = self.encode_chunks(list(numbers))
-        heads = np.cumsum(counts) - counts
+        ids, counts = [self.known_ids], [self.known_counts]
+        for group in _groups(itertools.islice(numbers, before, None), INDEX_BYTES):
+            if group:
+                found, n = self.encode_chunks(group)
+                ids.append(found.astype(np.int32))
+                counts.append(n)
+        self.known_ids, self.known_counts = np.concatenate(ids), np.concatenate(counts)
+        heads = np.cumsum(self.known_counts) - self.known_counts
         at = np.array(flat)
-        n = counts[at]
-        out = ids[np.repeat(heads[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(lens)]
-        return out.astype(np.int32), ends
+        n = self.known_counts[at]
+        out = self.known_ids[np.repeat(heads[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return out, np.concatenate(([0], np.cumsum(n)))[np.cumsum(lens)]
 
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.known_ids, self.known_counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-def _groups(texts: list[bytes], most: int) -> Iterable[list[bytes]]:
+
+#: Encoders of this worker by the vocabulary's fingerprint, so that later tasks find what earlier ones remembered.
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(vocab: Vocabulary) -> Encoder:
+    key = zlib.crc32(b"\0".join(vocab.surfaces) + vocab.scores.tobytes())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocab)
+    return _ENCODERS[key]
+
+
+def _groups(texts: Iterable[bytes], most: int) -> Iterable[list[bytes]]:
     held, size = [], 0
     for x in texts:
         held.append(x)
@@ -180,15 +211,13 @@ def _groups(texts: list[bytes], most: int) -> Iterable[list[bytes]]:
 def encode(text: Column, model: str = vocabulary.DEFAULT_MODEL) -> Column:
     """Token ids as array<int>; null and empty texts give an empty array."""
     vocab = vocabulary.load(model)
-    made: list[Encoder] = []
 
     @F.arrow_udf("array<int>")
     def encode_pieces(column: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Encoder(vocab))
+        own = _encoder(vocab)
         ids, ends, base = [], [np.zeros(1, np.int64)], 0
         for group in _groups(texts_as_bytes(column), BATCH_BYTES):
-            found, upto = made[0].encode(group)
+            found, upto = own.encode(group)
             ids.append(found)
             ends.append(upto + base)
             base += len(found)
