@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, html_text, lattice_lm, quality, sentencepiece_codec, simhash
+from graphloom.llm import chat, decontaminate, html_text, lattice_lm, quality, sentencepiece_codec, simhash
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_format": chat.OP1_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
 }
