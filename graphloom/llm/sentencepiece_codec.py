@@ -24,7 +24,9 @@ from graphloom.llm.common import texts_as_bytes
 from graphloom.llm.vocabulary import Vocabulary
 
 #: Bytes of text that are encoded together, of distinct chunks in one suffix array, and chunks that an encoder remembers.
-BATCH_BYTES, INDEX_BYTES, REMEMBERED = 4_000_000, 1_000_000, 800_000
+BATCH_BYTES, INDEX_BYTES, REMEMBERED = 2_000_000, 400_000, 400_000
+#: Ids that are decoded together.
+DECODED = 200_000
 #: What an unknown character costs below the lowest score of a piece, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
 
@@ -230,13 +232,27 @@ def decode(ids: Column, model: str = vocabulary.DEFAULT_MODEL) -> Column:
     """The text of token ids; null and empty arrays give "". Control ids have no text, and bytes that are no UTF-8 become U+FFFD."""
     vocab = vocabulary.load(model)
 
+    lens = np.fromiter(map(len, vocab.surfaces), np.int64, len(vocab.surfaces))
+    heads, pieces = np.cumsum(lens) - lens, b"".join(vocab.surfaces)
+
     @F.arrow_udf("string")
     def decode_pieces(column: pa.Array) -> pa.Array:
         column = column.fill_null([]) if column.null_count else column
-        values = list(map(vocab.surfaces.__getitem__, column.flatten().to_pylist()))
-        ends = np.cumsum(np.asarray(pa.compute.list_value_length(column))).tolist()
-        out = [b"".join(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        return pa.array([(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in out], pa.string())
+        data, out = np.frombuffer(pieces, np.uint8), []
+        bounds = column.offsets.to_numpy()
+        values = column.values.to_numpy(zero_copy_only=False)
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + DECODED, "right")) - 1)
+            found = values[bounds[a] : bounds[b]]
+            n = lens[found]
+            text = data[np.repeat(heads[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            ends = np.concatenate(([0], np.cumsum(n)))[bounds[a : b + 1] - bounds[a]].tolist()
+            for i, j in itertools.pairwise(ends):
+                x = text[i + 1 : j] if text[i : i + 1] == b" " and j > i else text[i:j]
+                out.append(x.decode("utf-8", "replace"))
+            a = b
+        return pa.array(out, pa.string())
 
     return decode_pieces(ids)
 
