@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
 
 def pieces_of(batch: pa.RecordBatch, most_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most_bytes` of text each, one row at least, so that memory follows bytes and not rows."""
-    sizes = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    ends = np.cumsum(np.array([len(x) for x in sizes.to_pylist()], np.int64))
+    lens = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0)
+    ends = np.cumsum(lens.to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(ends // max(1, most_bytes))) + 1).tolist(), batch.num_rows]
     for a, b in itertools.pairwise(cuts):
         if b > a:

@@ -28,11 +28,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphloom.llm import vocabulary
-from graphloom.llm.common import stored, texts_as_bytes
+from graphloom.llm.common import pieces_of, stored, texts_as_bytes
 from graphloom.llm.vocabulary import Vocabulary
 
 #: Words that are counted before a worker passes them on; frequent words that every worker holds, and their length.
-FLUSH_WORDS, HEAD_WORDS, HEAD_BYTES = 400_000, 100_000, 40
+FLUSH_WORDS, HEAD_WORDS, HEAD_BYTES = 200_000, 100_000, 40
 #: Taken from each whole word's count in favour of pieces.
 DISCOUNT = 0.75
 #: Bytes of words whose lattices are summed together.
@@ -153,10 +153,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(words, pa.binary()), pa.array(train, pa.int64()), pa.array(every, pa.int64())], ["word", "c", "n"])
 
     for batch in batches:
-        for held, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
-            seen[held].update(text.lower().split())
-            if len(seen[0]) + len(seen[1]) > FLUSH_WORDS:
-                yield flush()
+        for rows in pieces_of(batch, 4_000_000):
+            for held, text in zip(rows.column(0).to_pylist(), texts_as_bytes(rows.column(1)), strict=True):
+                seen[held].update(text.lower().split())
+                if len(seen[0]) + len(seen[1]) > FLUSH_WORDS:
+                    yield flush()
     yield flush()
 
 
@@ -199,39 +200,36 @@ def _documents(head: dict[bytes, int], logs: np.ndarray, batches: Iterator[pa.Re
     logs: for each frequent word its base term, its lattice term and whether it was seen in training.
     """
     part, n = TaskContext.get().partitionId(), 0
-    names = [f.name for f in schema]
+    out: dict[str, list] = {f.name: [] for f in schema}
+    get = head.get
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        for x in out.values():
+            x.clear()
+        return batch
+
     for batch in batches:
-        out: dict[str, list] = {x: [] for x in names}
-        ids = batch.column(0).to_pylist()
-        flat, lens, words_of = [], [], []
-        get = head.get
-        texts = texts_as_bytes(batch.column(2))
-        for text in texts:
-            words = text.lower().split()
-            found = [get(w, -1) for w in words]
-            flat.append(np.array(found, np.int64))
-            lens.append(len(found))
-            words_of.append(words)
-        held = batch.column(1).to_pylist()
-        for k, places in enumerate(flat):
-            key = (part << 40) + n
-            n += 1
-            sums = logs[places[places >= 0]].sum(axis=0)
-            tail = Counter(words_of[k][i] for i in np.flatnonzero(places < 0).tolist())
-            out["row"] += [key] * (1 + len(tail))
-            out["id"] += [ids[k]] + [None] * len(tail)
-            out["held_out"] += [held[k]] + [None] * len(tail)
-            out["n_tokens"] += [lens[k] + 1] + [0] * len(tail)
-            out["base"] += [float(sums[0])] + [0.0] * len(tail)
-            out["lattice"] += [float(sums[1])] + [0.0] * len(tail)
-            out["known"] += [int(sums[2])] + [0] * len(tail)
-            out["word"] += [b" %d" % key, *tail]
-            out["tf"] += [0, *tail.values()]
-            if len(out["row"]) > 100_000:
-                yield pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-                out = {x: [] for x in names}
-            words_of[k] = None
-        yield pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        for rows in pieces_of(batch, 4_000_000):
+            for doc, held, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts_as_bytes(rows.column(2)), strict=True):
+                key = (part << 40) + n
+                n += 1
+                words = text.lower().split()
+                places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                sums = logs[places[places >= 0]].sum(axis=0)
+                tail = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
+                out["row"] += [key] * (1 + len(tail))
+                out["id"] += [doc] + [None] * len(tail)
+                out["held_out"] += [held] + [None] * len(tail)
+                out["n_tokens"] += [len(words) + 1] + [0] * len(tail)
+                out["base"] += [float(sums[0])] + [0.0] * len(tail)
+                out["lattice"] += [float(sums[1])] + [0.0] * len(tail)
+                out["known"] += [int(sums[2])] + [0] * len(tail)
+                out["word"] += [b" %d" % key, *tail]
+                out["tf"] += [0, *tail.values()]
+                if len(out["row"]) > 50_000:
+                    yield flush()
+    yield flush()
 
 
 def is_held_out(id_col: Column, modulus: int, rest: int) -> Column:
