@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,9 +25,9 @@ from graphloom.llm.common import texts_as_bytes
 from graphloom.llm.vocabulary import Vocabulary
 
 #: Bytes of text that are encoded together, of distinct chunks in one suffix array, and chunks that an encoder remembers.
-BATCH_BYTES, INDEX_BYTES, REMEMBERED = 2_000_000, 400_000, 400_000
+BATCH_BYTES, INDEX_BYTES, REMEMBERED = 2_000_000, 128_000, 400_000
 #: Ids that are decoded together.
-DECODED = 200_000
+DECODED = 20_000
 #: What an unknown character costs below the lowest score of a piece, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
 
@@ -49,7 +50,7 @@ class SuffixArray:
         self.data = np.concatenate((data, np.zeros(8, np.uint8)))
         head = _words64(data)
         tail = np.concatenate((head[8:], np.zeros(min(8, len(head)), np.uint64)))
-        self.order = np.argsort(head, kind="stable")
+        self.order = np.argsort(head)
         same = np.flatnonzero(head[self.order[1:]] == head[self.order[:-1]])  # only equal heads need their tails compared
         tied = np.union1d(same, same + 1)
         places = self.order[tied]
@@ -67,6 +68,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         ids = vocab.normal
+        ids = ids[np.argsort(np.array([vocab.surfaces[i][:8].ljust(8, b"\0") for i in ids]), kind="stable")]  # in order, for quick searches
         self.ids = ids
         self.lens = np.array([len(vocab.surfaces[i]) for i in ids], np.int64)
         self.scores = vocab.scores[ids]
@@ -119,7 +121,7 @@ class Encoder:
         score = np.concatenate((self.scores[piece], np.full(len(extra), self.unknown_score)))
         token = np.concatenate((self.ids[piece], np.full(len(extra), -1)))
         step = place - starts[chunk_of[place]]
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(step)
         place, size, score, token, step = place[order], size[order], score[order], token[order], step[order]
         source = place + chunk_of[place]  # one node more than bytes in each chunk
         best = np.full(len(data) + len(chunks), -np.inf)
@@ -140,7 +142,7 @@ class Encoder:
             at[active] = source[edge]
             active = active[at[active] > goal[active]]
         edges, owner = np.concatenate(taken), np.concatenate(owners)
-        order = np.argsort(source[edges], kind="stable")
+        order = np.argsort(source[edges])
         edges, owner = edges[order], owner[order]
         width = np.where(token[edges] < 0, size[edges], 1)
         ids = np.repeat(token[edges], width)
@@ -149,42 +151,42 @@ class Encoder:
         return ids, np.bincount(owner, width, minlength=len(chunks)).astype(np.int64)
 
     def _chunks(self, text: bytes) -> list[bytes]:
+        """Chunks without the first blank that each has."""
         if not text:
             return []
         if not self.vocab.within_words:
-            return [b" " + text]
+            return [text]
         if b"  " in text or text[0] == 32 or text[-1] == 32:
-            return _CHUNK.findall(b" " + text)
-        return [b" " + x for x in text.split(b" ")]
+            return [x[1:] for x in _CHUNK.findall(b" " + text)]
+        return text.split(b" ")
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, ends of the texts' ids)."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        numbers, before = self.numbers, len(self.numbers)
-        put, flat, lens = numbers.setdefault, [], []
+        numbers, before, flat = self.numbers, len(self.numbers), []
         for text in texts:
             found = self._chunks(text)
-            flat += [put(x, len(numbers)) for x in found]
-            lens.append(len(found))
-        if not flat:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            flat.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
         ids, counts = [self.known_ids], [self.known_counts]
         for group in _groups(itertools.islice(numbers, before, None), INDEX_BYTES):
             if group:
-                found, n = self.encode_chunks(group)
+                found, n = self.encode_chunks([b" " + x for x in group])
                 ids.append(found.astype(np.int32))
-                counts.append(n)
+                counts.append(n.astype(np.int32))
         self.known_ids, self.known_counts = np.concatenate(ids), np.concatenate(counts)
-        heads = np.cumsum(self.known_counts) - self.known_counts
-        at = np.array(flat)
-        n = self.known_counts[at]
-        out = self.known_ids[np.repeat(heads[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return out, np.concatenate(([0], np.cumsum(n)))[np.cumsum(lens)]
+        heads = np.cumsum(self.known_counts, dtype=np.int64) - self.known_counts
+        out, sizes = [np.zeros(0, np.int32)], []
+        for at in flat:
+            n = self.known_counts[at]
+            ends = np.cumsum(n, dtype=np.int64)
+            sizes.append(int(ends[-1]) if len(ends) else 0)
+            out.append(self.known_ids[np.repeat(heads[at] - (ends - n), n) + np.arange(sizes[-1])])
+        return np.concatenate(out), np.cumsum(sizes)
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.known_ids, self.known_counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.known_ids, self.known_counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
 #: Encoders of this worker by the vocabulary's fingerprint, so that later tasks find what earlier ones remembered.
