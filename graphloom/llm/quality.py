@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         sums += np.frombuffer(row.sums, np.float32).reshape(-1, DIM)
     learned = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-6) * np.float32(np.sqrt(ONES))
     pooler = Pooler(known, learned)
-    rows = found.select("y", pooled(F.col("text"), spark.sparkContext.broadcast(pooler)).alias("x")).orderBy("y", "x").collect()
+    rows = found.select("y", pooled(F.col("text"), spark.sparkContext.broadcast(pooler)).alias("x")).collect()
+    rows.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in rows], float).reshape(-1, DIM)
     return pooler, Network(x, np.array([r.y for r in rows], float))
 
