@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,15 @@ def pieces_of(batch: pa.RecordBatch, most_bytes: int, column: str = "text") -> I
             yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession, records: int = 1000, most_bytes: int = 8 << 20) -> None:
+    """Lowers the session's limits of an Arrow batch, so that texts in flight between JVM and Python stay small; never raises them."""
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", most_bytes)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0) if not spark.conf.get(key, "0").startswith("-") else 0
+        if now == 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected `edges` (u, v); component is the smallest node.
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import vocabulary
-from graphloom.llm.common import texts_as_bytes
+from graphloom.llm.common import small_batches, texts_as_bytes
 from graphloom.llm.vocabulary import Vocabulary
 
 #: Bytes of text that are encoded together, of distinct chunks in one suffix array, and chunks that an encoder remembers.
@@ -260,7 +260,11 @@ def decode(ids: Column, model: str = vocabulary.DEFAULT_MODEL) -> Column:
 
 
 def with_token_ids(docs: DataFrame, text_col: str = "text", out_col: str = "token_ids", model: str = vocabulary.DEFAULT_MODEL) -> DataFrame:
-    """`docs` with the token ids of `text_col` in `out_col`, which replaces a column of that name. Rows are independent."""
+    """`docs` with the token ids of `text_col` in `out_col`, which replaces a column of that name. Rows are independent.
+
+    Lowers the session's limits of an Arrow batch.
+    """
+    small_batches(docs.sparkSession)
     return docs.withColumn(out_col, encode(F.col(text_col), model))
 
 
