@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash
+from graphloom.llm import chat, decontaminate, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
