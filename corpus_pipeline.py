@@ -1,20 +1,51 @@
-"""From raw documents to token ids: each stage calls one operator of graphloom.llm."""
+"""From raw documents to token ids: each stage calls one operator of graphloom.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. Each works
+on whatever its predecessor kept, and its decisions take effect in what it returns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import simhash
+from graphloom.llm import decontaminate, line_dedup, quality, sentencepiece_codec, simhash
 from graphloom.llm.common import stored
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated quality is below 0.7 go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go, and documents of which nothing is left."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one_of_each(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, text, token_ids) of all documents that are left."""
+    return sentencepiece_codec.with_token_ids(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", repeated_lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("SentencePiece encoding", token_ids),
+]
 
+#: The classifier, the fingerprints and the encoding are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
