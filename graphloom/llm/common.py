@@ -55,8 +55,8 @@ def small_batches(spark: SparkSession, records: int = 1000, most_bytes: int = 8
     """Lowers the session's limits of an Arrow batch, so that texts in flight between JVM and Python stay small; never raises them."""
     for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", most_bytes)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0) if not spark.conf.get(key, "0").startswith("-") else 0
-        if now == 0 or now > most:
+        now = int(re.search(r"-?\d+", spark.conf.get(key))[0])
+        if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
 
