@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from graphloom.plans import base, evaluation, functions, graph, lifecycle, retrieval, text, trajectories, vectors  # noqa: F401
+
 
 def flagship(spark, sf_dir):
-    return queries()["src1_graph_scan"](spark, sf_dir)
+    return base.QUERIES["bm25_topk"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
