@@ -1 +1,126 @@
+"""Queries of vector search and rank fusion. Query vectors are the rows whose id is divisible by 50."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions.records import norm
+from graphloom.operators import fusion as U
+from graphloom.operators import nearest as N
+from graphloom.operators import search as S
+from graphloom.plans.base import query, table
+from graphloom.plans.text import _bm25_sql
+
+
+def _tables(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return vectors, vectors.where("vec_id % 50 = 0")
+
+
+VEC_SQL = """e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+s as (select q.vec_id as query, q.label as query_label, e.vec_id as item, e.label, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) as score from e q, e where q.vec_id % 50 = 0)"""
+RANKED = "select query, item, score, row_number() over (partition by query order by score desc, item) as rank"
+
+
+@query("vector_norms", "select vec_id, round(sqrt(list_dot_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(embedding, lambda x: cast(x as double)))), 6) as norm from embeddings")
+def vector_norms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("vector_topk", f"with {VEC_SQL} select * from ({RANKED} from s) where rank <= 10")
+def vector_topk(spark, d):
+    return N.nearest(*_tables(spark, d), 10)
+
+
+@query("vector_topk_subset", f"with {VEC_SQL} select * from ({RANKED} from s where label in (1, 2)) where rank <= 10")
+def vector_topk_subset(spark, d):
+    vectors, queries = _tables(spark, d)
+    return N.nearest(vectors.where("label in (1, 2)"), queries, 10)
+
+
+@query("vector_acl_postfilter", f"with {VEC_SQL} select query, item, score, rank from ({RANKED}, label from s) where rank <= 10 and label % 2 = 0")
+def vector_acl_postfilter(spark, d):
+    return N.nearest_allowed(*_tables(spark, d), 10, F.col("label") % 2 == 0)
+
+
+@query("vector_acl_prefilter", f"with {VEC_SQL} select * from ({RANKED} from s where label % 2 = 0) where rank <= 10")
+def vector_acl_prefilter(spark, d):
+    return N.nearest_allowed(*_tables(spark, d), 10, F.col("label") % 2 == 0, prefilter=True)
+
+
+@query("vector_overfetch", f"with {VEC_SQL} select query, item, score, rank from ({RANKED} from s) where rank <= 5")
+def vector_overfetch(spark, d):
+    return N.nearest(*_tables(spark, d), max(3 * 5, 15)).where("rank <= 5")
+
+
+@query("vector_bucketed")
+def vector_bucketed(spark, d):
+    return N.bucketed(*_tables(spark, d), 10)
+
+
+def _lists(spark, d):
+    """Two ranked lists for each benchmark item: BM25 with k1 1.2 and the okapi form, ten documents each."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    sparse = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text", k1=1.5, okapi=True), 10)
+    dense = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text"), 10)
+    return sparse.select("query", F.col("doc").alias("item"), "rank"), dense.select("query", F.col("doc").alias("item"), "rank")
+
+
+def _lists_sql() -> str:
+    top = "select query, doc as item, rank from (select query, doc, row_number() over (partition by query order by s desc, doc) as rank from (select query, doc, round(score, 6) as s from sc) where s > 0) where rank <= 10"
+    return f"sparse as (with {_bm25_sql('documents', 'doc_id', 'text', 1.5, True)} {top}), dense as (with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)} {top})"
+
+
+def _fused_sql(a: float, b: float) -> str:
+    return f"""with {_lists_sql()}, f as (select query, item, round(sum(w / (60 + rank)), 6) as score from (select *, cast({a} as double) as w from sparse union all select *, cast({b} as double) from dense) group by query, item)
+select query, item, score, row_number() over (partition by query order by score desc, item) as rank from f"""
+
+
+@query("hybrid_rrf", _fused_sql(0.3, 0.7))
+def hybrid_rrf(spark, d):
+    sparse, dense = _lists(spark, d)
+    return U.weighted_ranks(sparse.withColumn("weight", F.lit(0.3)).union(dense.withColumn("weight", F.lit(0.7))))
+
+
+@query("ensemble_rrf", _fused_sql(0.5, 0.5))
+def ensemble_rrf(spark, d):
+    sparse, dense = _lists(spark, d)
+    return U.weighted_ranks(sparse.union(dense).withColumn("weight", F.lit(0.5)))
+
+
+@query("multi_query_union", f"with {_lists_sql()}, u as (select query, item, min(rank) as rank from (select * from sparse union all select * from dense) group by query, item) select query, item, rank from u")
+def multi_query_union(spark, d):
+    sparse, dense = _lists(spark, d)
+    return sparse.union(dense).groupBy("query", "item").agg(F.min("rank").alias("rank"))
+
+
+VOTES_SQL = """v as (select question, agent, node, row_number() over (partition by question, agent order by ts, event_id) as pos from (select *, strftime(ts, '%Y-%m-%d') as question, user_id % 3 as agent, cast(json_extract_string(props, '$.k') as bigint) as node from events)),
+f as (select *, row_number() over (partition by question order by agent, pos) as flat from v)"""
+
+
+def _votes(spark, d):
+    from pyspark.sql import Window
+
+    events = table(spark, d, "events").select("ts", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("question"), (F.col("user_id") % 3).alias("agent"), F.get_json_object("props", "$.k").cast("long").alias("node"))
+    return events.select("question", "agent", "node", F.row_number().over(Window.partitionBy("question", "agent").orderBy("ts", "event_id")).cast("long").alias("pos"))
+
+
+@query("votes_flat", f"with {VOTES_SQL} select question, node, count(*) as votes, min(flat) as place, row_number() over (partition by question order by count(*) desc, min(flat), node) as rank from f group by question, node")
+def votes_flat(spark, d):
+    return U.votes(_votes(spark, d), "flat")
+
+
+@query("votes_min_depth", f"with {VOTES_SQL} select question, node, count(*) as votes, min(pos) as place, row_number() over (partition by question order by count(*) desc, min(pos), node) as rank from f group by question, node")
+def votes_min_depth(spark, d):
+    return U.votes(_votes(spark, d), "min_depth")
+
+
+@query("votes_first_agent", f"""with {VOTES_SQL}, g as (select question, node, count(*) as votes, min(agent * 1000000 + pos) as ap from f group by question, node)
+select question, node, votes, cast(ap // 1000000 as bigint) as agent, cast(ap % 1000000 as bigint) as pos, row_number() over (partition by question order by votes desc, ap, node) as rank from g""")
+def votes_first_agent(spark, d):
+    return U.votes(_votes(spark, d), "first_agent").select("question", "node", "votes", "place.agent", "place.pos", "rank")
+
+
+@query("votes_reciprocal", f"with {VOTES_SQL}, g as (select question, node, count(distinct agent) as votes, round(sum(cast(1 as double) / (60 + pos)), 9) as place from f group by question, node) select *, row_number() over (partition by question order by place desc, node) as rank from g")
+def votes_reciprocal(spark, d):
+    return U.votes(_votes(spark, d), "reciprocal")
