@@ -34,7 +34,7 @@ def sub_queries(reply: Column, original: Column, most: int = 3) -> Column:
     """A JSON list in a reply, else what stands in its first brackets, else the original question; at most `most`."""
     inner = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
     found = F.coalesce(F.from_json(reply, "array<string>"), F.from_json(inner, "array<string>"))
-    found = F.filter(F.transform(found, F.trim), lambda x: x != "")
+    found = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.when(F.size(found) > 0, found).otherwise(F.array(original)), 1, most)
 
 

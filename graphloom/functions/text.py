@@ -84,7 +84,7 @@ def without_page_marks(text: Column) -> Column:
 def without_repeating_lines(text: Column, least: int = 3) -> Column:
     """A text without its lines of 6 to 79 trimmed characters that occur `least` times or more."""
     lines = F.split(text, "\n", -1)
-    short = F.array_sort(F.filter(F.transform(lines, F.trim), lambda x: (F.length(x) > 5) & (F.length(x) < 80)))
+    short = F.array_sort(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (F.length(x) > 5) & (F.length(x) < 80)))
     step = least - 1
     # each of these becomes a variable by a transform over one element; an expression would be worked out for every line
     bound = F.transform(F.array(F.struct(lines.alias("all"), short.alias("short"))), lambda b: F.struct(b["all"].alias("all"), F.array_distinct(F.filter(b["short"], lambda x, i: F.get(b["short"], i + step) == x)).alias("out")))
