@@ -179,3 +179,9 @@ def markdown_table(header: Column, rows: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ? or ! and white space, which goes."""
     return F.split(F.regexp_replace(text, r"([.?!])[ \n]+", "$1\u0001"), "\u0001")
+
+
+def lines(*fields: tuple[str, Column]) -> Column:
+    """A node's summary: a line `- label: value` for each value that is set; -1 stands for one that is unknown."""
+    shown = (F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"- {label}: "), F.when(value == "-1", "Unknown").otherwise(value))) for label, value in fields)
+    return F.concat_ws("\n", *shown)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import agents as A
 from graphloom.operators import components as C
+from graphloom.operators import fusion as U
 from graphloom.operators import traverse as G
 from graphloom.plans.base import query, table
 from graphloom.sources import star
@@ -261,3 +263,41 @@ def decoded_import(spark, d):
 def graph_schema(spark, d):
     count = lambda df, part: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "type", "n")
     return count(star.nodes(spark, d), "node").union(count(star.edges(spark, d), "edge"))
+
+
+ROLL_SQL = f"""{BOTH_SQL}, u as (select distinct a, b from both_ends), st(question, agent, index) as (values (1, 0, {SUPPLIER}), (1, 1, {SUPPLIER + 1})),
+n1 as (select distinct question, agent, b as index from st join u on a = index where (question, agent, b) not in (select question, agent, index from st)),
+k1 as (select question, agent, index from (select *, row_number() over (partition by question, agent order by index % 97 desc, index) as n from n1) where n <= 3),
+n2 as (select distinct question, agent, b as index from k1 join u on a = index where (question, agent, b) not in (select * from st union all select * from k1)),
+k2 as (select question, agent, index from (select *, row_number() over (partition by question, agent order by index % 97 desc, index) as n from n2) where n <= 3),
+seen as (select *, 0 as step from st union all select *, 1 from k1 union all select *, 2 from k2),
+roll as (select question, agent, index, row_number() over (partition by question, agent order by step, index) as pos from seen)"""
+
+
+def _rollout(spark, d):
+    start = spark.createDataFrame([(1, 0, SUPPLIER), (1, 1, SUPPLIER + 1)], "question int, agent int, index long")
+    return A.rollout(start, star.edges(spark, d), lambda df: df.withColumn("score", F.col("index") % 97))
+
+
+@query("agent_rollout", f"with {ROLL_SQL} select * from roll where pos <= 10")
+def agent_rollout(spark, d):
+    return _rollout(spark, d)
+
+
+@query("agent_fusion", f"with {ROLL_SQL}, g as (select question, index as node, count(*) as votes, min(agent * 1000 + pos) as p from roll where pos <= 10 group by question, index) select question, node, votes, row_number() over (partition by question order by votes desc, p, node) as rank from g")
+def agent_fusion(spark, d):
+    lists = _rollout(spark, d).withColumnRenamed("index", "node")
+    return U.votes(lists, "first_agent").select("question", "node", "votes", "rank")
+
+
+@query("node_summaries", """select p_partkey, '- product: ' || p_name || chr(10) || '- brand: ' || case when p_size % 7 = 0 then 'Unknown' else p_brand end || case when p_size > 25 then chr(10) || '- size: ' || p_size else '' end as summary from part""")
+def node_summaries(spark, d):
+    from graphloom.functions.text import lines
+
+    brand = F.when(F.col("p_size") % 7 == 0, "-1").otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", lines(("product", F.col("p_name")), ("brand", brand), ("size", F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))).alias("summary"))
+
+
+@query("column_pruned_scan", "select distinct l_partkey from lineitem where l_shipdate >= timestamp '1998-01-01 00:00:00'")
+def column_pruned_scan(spark, d):
+    return table(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01 00:00:00'").select("l_partkey").distinct()
