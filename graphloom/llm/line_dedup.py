@@ -69,15 +69,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Windows of under `least_words` words never count,
     so short stock phrases stay. An empty table gives an empty one.
     """
-    found = covered(docs, id_col, text_col, window, least_words)
+    found = covered(docs, id_col, text_col, window, least_words).toDF("_dedup_id", "_dedup_found", "_dedup_places")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_th", F.xxhash64(text))
-    joined = keyed.join(found.withColumnRenamed("id", "_id").withColumnRenamed("th", "_found"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_found")), "left")
-    numbered = joined.withColumn("_full", full_lines(text))
-    kept = F.filter("_full", lambda x, k: ~F.array_contains("places", k))
-    removed = F.size(F.array_intersect("places", F.sequence(F.lit(0), F.greatest(F.size("_full") - 1, F.lit(0)))))
-    changed = F.when(F.col("places").isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(kept, "")))
-    return numbered.withColumns({"n_lines": F.size("_full").cast("long"), "n_removed": F.coalesce(F.when(F.col("places").isNotNull(), removed), F.lit(0)).cast("long"), text_col: changed}).drop("_th", "_id", "_found", "places", "_full")
+    keyed = docs.withColumn("_dedup_th", F.xxhash64(text))
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found")), "left").withColumn("_dedup_lines", full_lines(text))
+    places, full = F.col("_dedup_places"), F.col("_dedup_lines")
+    kept = F.filter(full, lambda x, k: ~F.array_contains(places, k))
+    removed = F.size(F.array_intersect(places, F.sequence(F.lit(0), F.greatest(F.size(full) - 1, F.lit(0)))))
+    changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(kept, "")))
+    counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), removed).otherwise(0).cast("long")}
+    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_id", "_dedup_found", "_dedup_places", "_dedup_th", "_dedup_lines")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
