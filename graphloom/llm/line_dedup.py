@@ -74,8 +74,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn("_dedup_th", F.xxhash64(text))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found")), "left").withColumn("_dedup_lines", full_lines(text))
     places, full = F.col("_dedup_places"), F.col("_dedup_lines")
-    kept = F.filter(full, lambda x, k: ~F.array_contains(places, k))
-    removed = F.size(F.array_intersect(places, F.sequence(F.lit(0), F.greatest(F.size(full) - 1, F.lit(0)))))
+    numbers = F.when(F.size(full) > 0, F.sequence(F.lit(0), F.size(full) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    left = F.array_except(numbers, places)
+    kept, removed = F.transform(left, lambda k: F.get(full, k)), F.size(full) - F.size(left)
     changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(kept, "")))
     counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), removed).otherwise(0).cast("long")}
     return joined.withColumns(counts | {text_col: changed}).drop("_dedup_id", "_dedup_found", "_dedup_places", "_dedup_th", "_dedup_lines")
