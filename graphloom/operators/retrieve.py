@@ -55,10 +55,15 @@ def community_context(hits: DataFrame, members: DataFrame, communities: DataFram
 def global_search(queries: DataFrame, communities: DataFrame, most: int = 10, least: float = 0.0, grade: Grader = overlap) -> DataFrame:
     """(query, n, answer) of queries (query, text) over community texts (community, importance, summary).
 
-    Communities by importance are graded until `most` are relevant; each gives a scored partial answer; answers by score
-    are put together.
+    Communities that share a word with the query are graded by importance until `most` are relevant; each gives a scored
+    partial answer; answers by score are put together.
     """
-    rows = queries.join(F.broadcast(communities), how="cross").withColumn("score", F.round(100 * grade(F.col("text"), F.col("summary")), 6))
+    from graphloom.functions.text import tokens
+
+    asked = queries.select("query", "text", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    held = communities.select("community", F.explode_outer(F.array_distinct(tokens(F.col("summary")))).alias("word"))
+    pairs = asked.join(held, "word").select("query", "text", "community").distinct()
+    rows = pairs.join(communities, "community").withColumn("score", F.round(100 * grade(F.col("text"), F.col("summary")), 6))
     relevant = rows.where(F.col("score") > least)
     own = Window.partitionBy("query").orderBy(F.desc("importance"), "community")
     kept = relevant.withColumn("n", F.row_number().over(own)).where(F.col("n") <= most)

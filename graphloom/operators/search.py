@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
+from graphloom.operators.sizes import fits, sent_if
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf)."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-
-
-def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, dl) of every document, empty ones too."""
-    return docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).cast("double").alias("dl"))
+    """(doc, term, tf) of all terms."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode_outer(tokens(F.col(text_col))).alias("term")).where("term is not null")
+    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,22 +25,28 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_
 
     idf is ln(1 + (N - n + .5) / (n + .5)); with `okapi` it is ln((N - n + .5) / (n + .5)), and a negative one becomes a
     quarter of the mean over all terms. all_terms keeps documents that hold every term. Only postings of the queries' own
-    terms go through the join; document lengths are summed once.
+    terms are grouped and joined, with their document's length beside them.
     """
     terms = query_terms(queries, query_id, query_text)
-    dl = lengths(docs, doc_id, doc_text)
-    size = dl.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    posts = postings(docs, doc_id, doc_text)
-    df = posts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    small = fits(terms)  # the idf table has a row for each of their terms at most
+    own = sent_if(small, terms.select("term").distinct())
+    split = docs.select(F.col(doc_id).alias("doc"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("w"))
+    size = split.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
+    rows = split.select("doc", F.size("w").cast("double").alias("dl"), F.explode_outer("w").alias("term"))
+    posts = rows.join(own, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     if okapi:
+        df = rows.where("term is not null").groupBy("term").agg(F.count_distinct("doc").cast("double").alias("df"))
         raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         every = df.crossJoin(F.broadcast(size)).select("term", raw.alias("raw"))
         mean = every.agg(F.avg("raw").alias("mean"))
-        idf = every.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        idf = every.join(own, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     else:
-        idf = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(size)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        df = posts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        idf = df.crossJoin(F.broadcast(size)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(terms.join(idf, "term"), "term").join(dl, "doc").crossJoin(F.broadcast(size))
+    # a posting meets every query that has its term, so postings are spread by document before they grow; the sums need no other shuffle
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = posts.repartition(n, "doc").join(sent_if(small, terms), "term").join(sent_if(small, idf), "term").crossJoin(F.broadcast(size))
     out = hits.groupBy("query", "doc").agg(F.sum(weight).alias("score"), F.count("*").alias("matched"))
     if all_terms:
         wanted = terms.groupBy("query").agg(F.count("*").alias("wanted"))
