@@ -42,7 +42,8 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     last = F.greatest(F.size("h") - window, F.lit(0))
     hashes = F.transform(F.sequence(F.lit(1), last + 1), lambda k: F.xxhash64(*(F.get("h", k - 1 + j) for j in range(window))))
     words = F.transform(F.sequence(F.lit(1), last + 1), lambda k: sum((F.coalesce(F.get("w", k - 1 + j), F.lit(0)) for j in range(1, window)), F.coalesce(F.get("w", k - 1), F.lit(0))))
-    found = rows.select("id", "th", F.posexplode(F.arrays_zip(hashes.alias("hash"), words.alias("words"))).alias("place", "win"))
+    # outer: else Spark asks first, with all expressions worked out twice, whether there is anything to explode
+    found = rows.select("id", "th", F.posexplode_outer(F.arrays_zip(hashes.alias("hash"), words.alias("words"))).alias("place", "win"))
     return found.where(F.col("win.words") >= least_words).select("id", "th", "place", F.col("win.hash").alias("hash"))
 
 
