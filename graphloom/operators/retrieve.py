@@ -103,7 +103,7 @@ def adaptive(queries: DataFrame, search: Callable[[DataFrame], DataFrame], docs:
 def search_mode(query: Column) -> Column:
     """A stand-in for a classifier: words of themes ask for global search, several hops for the agent, else local."""
     text = F.lower(query)
-    return F.when(text.rlike(r"\b(overall|themes?|summar\w+|trends?|in general)\b"), "global").when(text.rlike(r"\b(connect\w*|path|through|relat\w+ between|via)\b"), "ark").otherwise("local")
+    return F.when(text.rlike(r"\b(overall|themes?|summar\w+|trends?|in general)\b"), "global").when(text.rlike(r"\b(connect\w*|path|through|relat\w+ between|via)\b"), "agent").otherwise("local")
 
 
 def category_of(text: Column, rules: dict[str, list[str]], fallback: str = "general") -> Column:

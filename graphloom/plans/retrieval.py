@@ -100,7 +100,7 @@ def adaptive_retrieval(spark, d):
     return R.adaptive(asked, search, docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("body")), shorter, relevant_from=0.9)
 
 
-@query("search_mode", r"select conv_id, turn, case when regexp_matches(lower(text), '\b(overall|themes?|summar\w+|trends?|in general)\b') then 'global' when regexp_matches(lower(text), '\b(connect\w*|path|through|relat\w+ between|via)\b') then 'ark' else 'local' end as mode from conversations")
+@query("search_mode", r"select conv_id, turn, case when regexp_matches(lower(text), '\b(overall|themes?|summar\w+|trends?|in general)\b') then 'global' when regexp_matches(lower(text), '\b(connect\w*|path|through|relat\w+ between|via)\b') then 'agent' else 'local' end as mode from conversations")
 def search_mode(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R.search_mode(F.col("text")).alias("mode"))
 
