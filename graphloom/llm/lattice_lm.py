@@ -8,7 +8,8 @@ training documents then fit them (the piece list itself never changes).
 
 A word that training holds has one more path in its lattice, the word as a whole, with its discounted relative frequency;
 what the discounts set free goes to the paths of pieces. So frequent words cost what they cost in the corpus, and any
-other word still has a probability.
+other word still has a probability. Texts repeat their own words: a fixed share of each word's probability is its share of
+the words before it in the same text.
 
 Word statistics are counted over all documents. A document's frequent words are looked up in a table of bounded size that
 every worker holds; its other words are joined with the table of all words.
@@ -16,7 +17,8 @@ every worker holds; its other words are joined with the table of all words.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from graphloom.llm.vocabulary import Vocabulary
 FLUSH_WORDS, HEAD_WORDS, HEAD_BYTES = 200_000, 100_000, 40
 #: Taken from each whole word's count in favour of pieces.
 DISCOUNT = 0.75
+#: Share of a word's probability that comes from the words before it in its text.
+REPEAT = 0.2
 #: Bytes of words whose lattices are summed together.
 LATTICE_BYTES = 400_000
 
@@ -197,7 +201,8 @@ def fit(words: DataFrame, n_docs: int, lattice: Lattice, vocab: Vocabulary, roun
 def _documents(head: dict[bytes, int], logs: np.ndarray, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """For (id, held_out, text): a row of sums over frequent words for each document, and a row for each other word of it.
 
-    logs: for each frequent word its base term, its lattice term and whether it was seen in training.
+    logs: for each frequent word its base term, its lattice term and whether it was seen in training. A row of another word
+    has its count, whether the text begins with it, and for all but its first place its share of the words before.
     """
     part, n = TaskContext.get().partitionId(), 0
     out: dict[str, list] = {f.name: [] for f in schema}
@@ -216,17 +221,26 @@ def _documents(head: dict[bytes, int], logs: np.ndarray, batches: Iterator[pa.Re
                 n += 1
                 words = text.lower().split()
                 places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                sums = logs[places[places >= 0]].sum(axis=0)
-                tail = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
+                earlier: defaultdict[bytes, itertools.count] = defaultdict(itertools.count)
+                share = np.fromiter((next(earlier[w]) for w in words), float, len(words)) / np.maximum(np.arange(len(words)), 1)
+                common = np.flatnonzero(places >= 0)
+                found = logs[places[common]]
+                repeat = np.where(common > 0, REPEAT, 0.0)
+                score = float(np.log10((1 - repeat) * 10.0 ** found[:, 1] + repeat * share[common]).sum())
+                tail: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(places < 0).tolist():
+                    tail.setdefault(words[i], []).append(i)
                 out["row"] += [key] * (1 + len(tail))
                 out["id"] += [doc] + [None] * len(tail)
                 out["held_out"] += [held] + [None] * len(tail)
                 out["n_tokens"] += [len(words) + 1] + [0] * len(tail)
-                out["base"] += [float(sums[0])] + [0.0] * len(tail)
-                out["lattice"] += [float(sums[1])] + [0.0] * len(tail)
-                out["known"] += [int(sums[2])] + [0] * len(tail)
+                out["base"] += [float(found[:, 0].sum())] + [0.0] * len(tail)
+                out["lattice"] += [score] + [0.0] * len(tail)
+                out["known"] += [int(found[:, 2].sum())] + [0] * len(tail)
                 out["word"] += [b" %d" % key, *tail]
-                out["tf"] += [0, *tail.values()]
+                out["tf"] += [0, *map(len, tail.values())]
+                out["begins"] += [False, *(at[0] == 0 for at in tail.values())]
+                out["shares"] += [None, *(share[at[1:]].tolist() if len(at) > 1 else None for at in tail.values())]
                 if len(out["row"]) > 50_000:
                     yield flush()
     yield flush()
@@ -265,19 +279,21 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     head = {bytes(r.word): k for k, r in enumerate(top)}
     logs = np.array([(np.log10(r.c + 1) - below, r.lp, r.c > 0) for r in top], float).reshape(-1, 3)
     held = spark.sparkContext.broadcast((head, logs))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lattice", T.DoubleType()), T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lattice", T.DoubleType()), T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType()), T.StructField("begins", T.BooleanType()), T.StructField("shares", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
     parts = rows.mapInArrow(lambda b: _documents(*held.value, b, arrow), schema)
     joined = parts.join(table.select("word", "c", "lp"), "word", "left")
     tf, seen = F.col("tf"), F.coalesce("c", F.lit(0))
+    once = F.col("lp") + F.when(F.col("begins"), 0.0).otherwise(float(np.log10(1 - REPEAT)))
+    again = F.aggregate(F.coalesce("shares", F.expr("cast(array() as array<double>)")), F.lit(0.0), lambda a, r: a + F.log10((1 - REPEAT) * F.pow(F.lit(10.0), F.col("lp")) + REPEAT * r))
     sums = joined.groupBy("row").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(seen > 0, tf).otherwise(0)).alias("known"),
         F.sum(F.col("base") + tf * (F.log10(seen + 1) - F.lit(float(below)))).alias("base"),
-        F.sum(F.col("lattice") + F.when(tf > 0, tf * F.col("lp")).otherwise(0.0)).alias("lattice"),
+        F.sum(F.col("lattice") + F.when(tf > 0, once + again).otherwise(0.0)).alias("lattice"),
     )
     end_base, end_score = float(np.log10(n_train + 1) - below), float(np.log10(n_train / total) if total else weights[-1] / np.log(10))
-    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + int(n_train > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("lattice") + end_score).alias("score"))
+    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + int(n_train > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("lattice") + end_score + F.when(F.col("n_tokens") > 1, float(np.log10(1 - REPEAT))).otherwise(0.0)).alias("score"))
 
 
 def op5_lattice_lm(spark, sf_dir: str) -> DataFrame:

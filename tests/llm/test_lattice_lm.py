@@ -50,11 +50,22 @@ def check_base(spark, docs):
     for i, t in rows:
         tokens = (t or "").encode().lower().split() + [None]
         want.append((str(i), held(i), len(tokens), sum(x in counts for x in tokens), round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), 6)))
-    for head in (100_000, 3):
+    scores = []
+    for head in (100_000, 3, 0):
         got = L.score(docs, L.is_held_out(F.col("doc_id"), 7, 2), rounds=1, head_words=head).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == sorted(want)
         assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in got)
-    return got
+        scores.append(sorted((str(r.doc_id), round(r.score, 6)) for r in got))
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_repeats_within_a_text(spark):
+    docs = spark.createDataFrame([(1, "new new new"), (2, "new"), (3, "a b c a b c")], "doc_id int, text string")
+    got = {r.doc_id: r.score for r in L.score(docs, F.col("doc_id") < 3, rounds=1).collect()}
+    ends = got[2] - got[1]
+    word = got[2] - math.log10(1 - L.REPEAT) - math.log10(1 / 7)  # one end among seven training tokens
+    again = math.log10((1 - L.REPEAT) * 10**word + L.REPEAT)
+    assert abs(-2 * again - ends) < 1e-6
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
