@@ -75,11 +75,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn("_dedup_th", F.xxhash64(text))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found")), "left").withColumn("_dedup_lines", full_lines(text))
     places, full = F.col("_dedup_places"), F.col("_dedup_lines")
-    numbers = F.when(F.size(full) > 0, F.sequence(F.lit(0), F.size(full) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    left = F.array_except(numbers, places)
-    kept, removed = F.transform(left, lambda k: F.get(full, k)), F.size(full) - F.size(left)
-    changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(kept, "")))
-    counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), removed).otherwise(0).cast("long")}
+
+    def kept(b: Column) -> Column:
+        numbers = F.when(F.size(b["lines"]) > 0, F.sequence(F.lit(0), F.size(b["lines"]) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(F.array_except(numbers, b["places"]), lambda k: F.get(b["lines"], k))
+
+    # b is a variable: a filter that Spark moves below would otherwise cut the text anew for each line
+    left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]
+    changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
+    counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), F.size(full) - F.size(left)).otherwise(0).cast("long")}
     return joined.withColumns(counts | {text_col: changed}).drop("_dedup_id", "_dedup_found", "_dedup_places", "_dedup_th", "_dedup_lines")
 
 
@@ -92,7 +96,8 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs` without repeated lines, `n_chars` renewed; a document all of whose lines were repeats goes; same columns."""
-    done = without_repeats(docs).where("n_removed = 0 or text <> ''")
+    done = without_repeats(docs).withColumn("_dedup_row", F.monotonically_increasing_id())  # keeps the filter above, so that texts are cut once
+    done = done.where("(n_removed = 0 or text <> '') and _dedup_row >= 0")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(docs.columns)
