@@ -88,9 +88,9 @@ def pipeline_metrics(spark, d):
     return M.pipeline_statistics(events, "value", "k")
 
 
-@query("last_errors", "select event_id, ts, round(value, 6) as value from events where event_type = 'error' order by ts desc, event_id desc limit 5")
+@query("last_errors", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 6) as value from (select * from events) e where event_type = 'error' order by e.ts desc, event_id desc limit 5")
 def last_errors(spark, d):
-    return table(spark, d, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", "ts", F.round("value", 6).alias("value"))
+    return table(spark, d, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("value", 6).alias("value"))
 
 
 @query("rerank_scores", f"with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)} select query, round(min(score), 4) as low, round(max(score), 4) as high, round(avg(score), 4) as mean from sc group by query")

@@ -168,14 +168,16 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("request_windows", "with w as (select user_id, ts, unnest([0, 1, 2]) as k from events), s as (select user_id, time_bucket(interval 1200 seconds, ts) - k * interval 1200 seconds as start from w) select user_id, start, count(*) as n from s group by user_id, start")
+@query("request_windows", "with w as (select user_id, ts, unnest([0, 1, 2]) as k from events), s as (select user_id, time_bucket(interval 1200 seconds, ts) - k * interval 1200 seconds as start from w) select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, s.start")
 def request_windows(spark, d):
-    return S.request_windows(table(spark, d, "events"), "user_id", "ts", "3600 seconds", "1200 seconds")
+    found = S.request_windows(table(spark, d, "events"), "user_id", "ts", "3600 seconds", "1200 seconds")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("session_windows", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as f from events), s as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, max(ts) + interval 30 minutes as \"end\", count(*) as n from s group by user_id, k")
+@query("session_windows", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as f from events), s as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as finish, count(*) as n from s group by user_id, k")
 def session_windows(spark, d):
-    return S.sessions(table(spark, d, "events"), "user_id", "ts")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return S.sessions(table(spark, d, "events"), "user_id", "ts").select("user_id", day("start").alias("start"), day("end").alias("finish"), "n")
 
 
 @query("cube_sales", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by cube (l_returnflag, l_linestatus)")

@@ -91,9 +91,9 @@ def status_latest(spark, d):
     return M.latest_status(table(spark, d, "events").select("user_id", F.col("event_type").alias("status"), "ts", "event_id", n.alias("entity_count")), "user_id", ["ts", "event_id"])
 
 
-@query("catalog_newest", "select event_id, ts from events order by ts desc, event_id desc limit 50")
+@query("catalog_newest", "select event_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as ts from events e order by e.ts desc, event_id desc limit 50")
 def catalog_newest(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "ts")
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @query("anti_join_pending", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")
