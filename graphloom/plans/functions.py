@@ -62,7 +62,7 @@ def sub_query_parser(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(J.sub_queries(reply, F.lit("whole")), "|").alias("parts"))
 
 
-@query("findings_round_trip", """select item_id, to_json([substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10), lower('B')]) as stored, substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10) || '|b' as back, 'not json' as lenient from benchmark""")
+@query("findings_round_trip", """select item_id, cast(to_json([substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10), lower('B')]) as varchar) as stored, substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10) || '|b' as back, 'not json' as lenient from benchmark""")
 def findings_round_trip(spark, d):
     short = F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 10)
     rows = table(spark, d, "benchmark").select("item_id", F.to_json(F.array(short, F.lit("b"))).alias("stored"))

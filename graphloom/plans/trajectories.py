@@ -77,7 +77,7 @@ def history_tail(spark, d):
 
 
 @query("oracle_trajectory", """with a as (select user_id, list(cast(json_extract_string(props, '$.k') as bigint) order by ts, event_id) as k from events group by user_id),
-x as (select user_id, list_filter(k, lambda v, i: list_position(k, v) = i and v % 10 <> 9) as k from a) select user_id, to_json(k[1:8]) as searches, len(k) as answers from x""")
+x as (select user_id, list_filter(k, lambda v, i: list_position(k, v) = i and v % 10 <> 9) as k from a) select user_id, cast(to_json(k[1:8]) as varchar) as searches, len(k) as answers from x""")
 def oracle_trajectory(spark, d):
     rows = table(spark, d, "events").select("user_id", F.struct("ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).alias("s"))
     lists = rows.groupBy("user_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["k"])).alias("k"))
