@@ -33,6 +33,8 @@ MAIN = frozenset(("article", "main"))
 NOISE = frozenset("ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer discussion disqus dropdown footer gdpr header hidden login masthead menu menubar menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+#: Class names that say something about their element, such as has-sidebar, and do not name what it is.
+_ABOUT = re.compile(r"(?i)(has|with|without|no|not|is)[-_]")
 #: An open p ends where these begin; an item ends where the next of its kind begins.
 _ENDS_P = BLOCKS - frozenset(("br", "body", "head", "html", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"))
 _ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -49,7 +51,7 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], depth_main: int) ->
             return True
         if value and key == "role" and value.lower() in ROLES:
             return True
-        if value and key in ("class", "id") and tag != "article" and any(w.lower() in NOISE for w in _WORDS.findall(value)):
+        if value and key in ("class", "id") and tag != "article" and any(w.lower() in NOISE for name in value.split() if not _ABOUT.match(name) for w in _WORDS.findall(name)):
             return True
         if value and key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True

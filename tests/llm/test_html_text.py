@@ -37,6 +37,7 @@ LONG = "This sentence of the main text is long enough to be told from what stand
         (f"<p>{LONG}</p><!-- never closed <p>x</p>", LONG),
         ("<ul>" + "<li>a<li>b" * 2 + "</ul>", "a b a b"),
         ("</p></div>stray", "stray"),
+        (f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='left sidebar'><p>{LONG}</p></div>", LONG),
     ],
 )
 def test_pages(page, text):
