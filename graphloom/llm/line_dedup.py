@@ -30,6 +30,12 @@ def full_lines(text: Column) -> Column:
     return F.filter(lines_of(text), lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) > 0)
 
 
+def text_hash(id_: Column, text: Column) -> Column:
+    """Tells texts of one id apart: 32 bits where there is an id, which shuffles smaller, and 64 among texts without one."""
+    full = F.xxhash64(text)
+    return F.when(id_.isNull(), full).otherwise(full.bitwiseAND(0xFFFFFFFF))
+
+
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, th, place, hash) of each window of non-blank lines with `least_words` words or more; th is the text's hash.
 
@@ -37,7 +43,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = F.filter(F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), plain.alias("x"))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(id_col), text).alias("th"), plain.alias("x"))
     rows = rows.select("id", "th", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))
     last = F.greatest(F.size("h") - window, F.lit(0))
     hashes = F.transform(F.sequence(F.lit(1), last + 1), lambda k: F.xxhash64(*(F.get("h", k - 1 + j) for j in range(window))))
@@ -72,7 +78,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = covered(docs, id_col, text_col, window, least_words).toDF("_dedup_id", "_dedup_found", "_dedup_places")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_dedup_th", F.xxhash64(text))
+    keyed = docs.withColumn("_dedup_th", text_hash(F.col(id_col), text))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found")), "left").withColumn("_dedup_lines", full_lines(text))
     places, full = F.col("_dedup_places"), F.col("_dedup_lines")
 
