@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
 
-WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 12
+WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
 
 
 def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
@@ -73,8 +73,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A window occurs first in the text with the smallest id; texts without an id come last, those in the order of their
     hashes. Rows that share an id do not count as repeats of each other, and rows that repeat id and text lose the same
-    lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Windows of under `least_words` words never count,
-    so short stock phrases stay. An empty table gives an empty one.
+    lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Every window counts, however
+    short its lines; a higher `least_words` leaves windows of fewer words alone. An empty table gives an empty one.
     """
     found = covered(docs, id_col, text_col, window, least_words).toDF("_dedup_id", "_dedup_found", "_dedup_places")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -77,3 +77,10 @@ def test_copies_and_repeats_within_a_text(spark, odd_docs, no_docs):
     assert done.count() == odd_docs.count() and set(odd_docs.columns) <= set(done.columns)
     assert L.without_repeats(no_docs).count() == 0
     assert L.drop_repeated_lines(odd_docs).columns == odd_docs.columns
+
+
+def test_short_lines_count(spark):
+    verse = "\n".join(f"line {i}" if i % 2 else f"v{i}" for i in range(20))
+    texts = {1: f"One begins.\n{verse}\nOne ends.", 2: f"Two begins.\n{verse}\nTwo ends."}
+    got = {r.doc_id: (r.text, r.n_removed) for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    assert got == {1: (texts[1], 0), 2: ("Two begins.\nTwo ends.", 20)}
