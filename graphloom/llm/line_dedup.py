@@ -1,7 +1,7 @@
 """Line dedup over overlapping windows of three lines, with built-in functions only.
 
-Texts are cut into lines at line ends, and long lines further at sentence ends and then every few words, so that a passage
-that was pasted into another line has lines of its own. Each window of three consecutive lines is hashed. A window's first
+Texts are cut into lines at line ends, and long lines further at sentence ends and after words picked by their hash, so that
+a passage that was pasted into another line has lines of its own wherever it begins. Each window of three consecutive lines is hashed. A window's first
 occurrence, by document and place, is found by a grouped minimum over all documents; all later ones are covered, covered
 places of a document are merged, and the covered lines go.
 """
@@ -13,17 +13,38 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
 
-WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
+WINDOW, LINE_WORDS, LEAST_WORDS, ONE_IN = 3, 10, 1, 8
+#: A word with its blanks, those before it at the start of a line too, and its line end; texts without blanks are parted after full-width marks.
+WORD = r"(?s)(?=.)[ \t\r]*+[^ \t\r\n。！？]*+[。！？]*+[」』）”’]*+[ \t\r]*+\n?"
+#: What ends a line by itself: a line end, or a mark that ends a sentence, with quotes and brackets that close there.
+LINE_END = r"""\n|[.!?。！？…]["')\]}»”’」』）]*+[ \t\r]*+$"""
 
 
-def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
+def lines_of(text: Column, line_words: int = LINE_WORDS, one_in: int = ONE_IN) -> Column:
     """The lines of a text as an array; joined, they are the text again.
 
-    A line goes up to a line end, to a word with a full stop, exclamation or question mark and its blanks, or over
-    `line_words` words, whatever comes first, and keeps what ends it.
+    A line ends at a line end, after a word that ends a sentence and after words that a hash picks, one in `one_in`: these
+    places depend on the word alone, so equal passages are cut alike wherever they begin. What lies between two such places
+    is cut every `line_words` words. A line keeps the blanks that follow it.
     """
-    within = rf"(?:[^ \n]*+(?<![.!?]) ++){{0,{line_words - 1}}}+"
-    return F.filter(F.regexp_extract_all(text, F.lit(within + r"[^ \n]*+(?: ++|\n|$)"), F.lit(0)), lambda x: x != "")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+    def cuts(w: Column) -> Column:
+        """Numbers of words before each end."""
+        ends = F.transform(w, lambda x, k: F.when((F.pmod(F.xxhash64(x), F.lit(one_in)) == 0) | x.rlike(LINE_END), k + 1))
+        return F.array_distinct(F.concat(F.array_compact(ends), F.array(F.size(w))))
+
+    def between(v: Column) -> Column:
+        def pieces(end: Column, j: Column) -> Column:
+            start = F.when(j == 0, 0).otherwise(F.get(v["cuts"], j - 1))
+            starts = F.sequence(start, F.greatest(end - 1, start), F.lit(line_words))
+            return F.transform(starts, lambda k: F.array_join(F.slice(v["words"], k + 1, F.least(F.lit(line_words), end - k)), ""))
+
+        lines = F.flatten(F.transform(v["cuts"], pieces))
+        return F.when(F.size(v["words"]) > 0, lines).otherwise(F.slice(lines, 1, 0))
+
+    # an array of one element binds what lambdas use more than once
+    return F.transform(F.transform(F.array(words), lambda w: F.struct(w.alias("words"), cuts(w).alias("cuts"))), between)[0]
 
 
 def full_lines(text: Column) -> Column:
@@ -56,7 +77,7 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, th, places): for each text with later occurrences the numbers of the non-blank lines that they cover, merged."""
     found = stored(windows(docs, id_col, text_col, window, least_words), "line-windows")
-    first = found.groupBy("hash").agg(F.min("id").alias("first_id"), F.min("th").alias("first_th"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = found.groupBy("hash").agg(F.min("id").alias("first_id"), F.min(F.when(F.col("id").isNull(), F.col("th"))).alias("first_th"), F.count("*").alias("n")).where("n > 1").drop("n")
     hits = found.join(first, "hash")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = Window.partitionBy("id", "th", "hash")

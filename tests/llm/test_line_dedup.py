@@ -80,7 +80,24 @@ def test_copies_and_repeats_within_a_text(spark, odd_docs, no_docs):
 
 
 def test_short_lines_count(spark):
-    verse = "\n".join(f"line {i}" if i % 2 else f"v{i}" for i in range(20))
+    verse = "\n".join(f"v{i}" for i in range(20))
     texts = {1: f"One begins.\n{verse}\nOne ends.", 2: f"Two begins.\n{verse}\nTwo ends."}
     got = {r.doc_id: (r.text, r.n_removed) for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
     assert got == {1: (texts[1], 0), 2: ("Two begins.\nTwo ends.", 20)}
+
+
+def test_pastes_at_every_word_offset(spark):
+    passage = " ".join(f"{a}{b}" for a in "ka lo mi nu re so ta vu".split() for b in "ban cod dif gul hem jor kip lat".split())
+    texts = {i: " ".join([*(f"own{i}x{j}" for j in range(i)), passage, f"rest{i} of text{i}"]) for i in range(13)}
+    texts |= {20: f'He said "so!" {passage}', 21: "a\tb\t" + passage.replace(" ", "\t"), 22: "c\t" + passage.replace(" ", "\t"), 23: f"終わり。{passage}"}
+    got = {r.doc_id: r.text for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    assert got[0] == texts[0] and got[21] == texts[21]
+    words = set(passage.split())
+    assert {i: n for i in got if i not in (0, 21) and (n := len(words & set(got[i].split()))) > 20} == {}
+
+
+def test_lines_keep_the_text(spark):
+    texts = ["一。二！三？」四 five", "x\r\ny \t\r\n z", ' q." (r?) s', "слово за словом и ещё много слов " * 9]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", L.lines_of(F.col("text")).alias("x")).collect()
+    assert all("".join(r.x) == r.text and "" not in r.x for r in rows)
+    assert rows[0].x[:3] == ["一。", "二！", "三？」"] and rows[2].x == [' q." ', "(r?) ", "s"]
