@@ -92,6 +92,16 @@ def test_bucketed_search_is_part_of_the_exact_one(spark):
     assert nearest.nearest(vectors, vectors.where("false"), 3).count() == 0
 
 
+def test_bucketed_search_finds_more_than_the_query_itself(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    near = vectors.where("vec_id < 12").select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.expr("transform(array_repeat(1f, 64), (x, k) -> cast(x + vec_id * (k % 2) / 1e4 as float))").alias("embedding"))
+    rows = vectors.select("vec_id", "embedding").union(near)
+    queries = rows.where("vec_id % 50 = 0")
+    exact = {(r.query, r.item) for r in nearest.nearest(rows, queries, 10).collect() if r.query != r.item}
+    found = [(r.query, r.item) for r in nearest.bucketed(rows, queries, 10).collect()]
+    assert len(exact & set(found)) >= 0.9 * len(exact) and len(found) == len(set(found)) == 10 * queries.count()
+
+
 def test_registry_binds_arguments(spark):
     chunkers = registry.chunkers()
     docs = spark.createDataFrame([(1, "a b c")], "id int, text string")
