@@ -1,9 +1,9 @@
 """Line dedup over overlapping windows of three lines, with built-in functions only.
 
-Texts are cut into lines at line ends, and long lines further at sentence ends and after words picked by their hash, so that
-a passage that was pasted into another line has lines of its own wherever it begins. Each window of three consecutive lines is hashed. A window's first
-occurrence, by document and place, is found by a grouped minimum over all documents; all later ones are covered, covered
-places of a document are merged, and the covered lines go.
+Texts are cut into lines at line ends, and long lines further at sentence ends, after words of a certain ending and after
+a number of words, so that a passage that was pasted into another line soon has lines of its own wherever it begins. Each
+window of three consecutive lines is hashed. A window's first occurrence, by document and place, is found by a grouped
+minimum over all documents; all later ones are covered, covered places of a document are merged, and the covered lines go.
 """
 
 from __future__ import annotations
@@ -13,72 +13,73 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import stored
 
-WINDOW, LINE_WORDS, LEAST_WORDS, ONE_IN = 3, 10, 1, 8
-#: A word with its blanks, those before it at the start of a line too, and its line end; texts without blanks are parted after full-width marks.
-WORD = r"(?s)(?=.)[ \t\r]*+[^ \t\r\n。！？]*+[。！？]*+[」』）”’]*+[ \t\r]*+\n?"
-#: What ends a line by itself: a line end, or a mark that ends a sentence, with quotes and brackets that close there.
-LINE_END = r"""\n|[.!?。！？…]["')\]}»”’」』）]*+[ \t\r]*+$"""
+WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
+#: Bits that tell texts without repeats from others before texts are shuffled, for each text with repeats, and their limits.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
+#: A word ends a line if the code points of its last two letters add up to `RESIDUE` modulo 8; `LETTERS` has Latin small
+#: letters by their code points modulo 8. Any rule would do that depends on the word alone and picks one word in eight or so.
+RESIDUE = 2
+LETTERS = ["".join(c for c in map(chr, range(0x61, 0x100)) if c.isalpha() and ord(c) % 8 == k) for k in range(8)]
+PICKED = "|".join(f"[{LETTERS[k]}][{LETTERS[(RESIDUE - k) % 8]}]" for k in range(8))
 
 
-def lines_of(text: Column, line_words: int = LINE_WORDS, one_in: int = ONE_IN) -> Column:
+def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
     """The lines of a text as an array; joined, they are the text again.
 
-    A line ends at a line end, after a word that ends a sentence and after words that a hash picks, one in `one_in`: these
-    places depend on the word alone, so equal passages are cut alike wherever they begin. What lies between two such places
-    is cut every `line_words` words. A line keeps the blanks that follow it.
+    A line ends at a line end. With `line_words` it also ends after a word that ends a sentence and after one whose last
+    two letters are `PICKED`: these places depend on the word alone, so equal passages are cut alike from the first of them
+    on. What lies between two such places is cut every `line_words` words. Runs without blanks end after full-width marks.
+    A line keeps the blanks that follow it. 0: real lines only.
     """
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    if not line_words:
+        pattern = r"(?s)[^\n]*+(?:\n|$)"
+    else:
+        goes_on = rf"""(?<![.!?…])(?<![.!?…]["')\]}}»”’])(?<!{PICKED})"""
+        word = r"[^ \t\r\n。！？]*+"
+        pattern = rf"(?:{word}{goes_on}[ \t\r]++){{0,{line_words - 1}}}+{word}[。！？]*+[」』）”’]*+(?:[ \t\r]++\n?|\n|$|(?<=[。！？」』）”’]))"
+    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: x != "")
 
-    def cuts(w: Column) -> Column:
-        """Numbers of words before each end."""
-        ends = F.transform(w, lambda x, k: F.when((F.pmod(F.xxhash64(x), F.lit(one_in)) == 0) | x.rlike(LINE_END), k + 1))
-        return F.array_distinct(F.concat(F.array_compact(ends), F.array(F.size(w))))
 
-    def between(v: Column) -> Column:
-        def pieces(end: Column, j: Column) -> Column:
-            start = F.when(j == 0, 0).otherwise(F.get(v["cuts"], j - 1))
-            starts = F.sequence(start, F.greatest(end - 1, start), F.lit(line_words))
-            return F.transform(starts, lambda k: F.array_join(F.slice(v["words"], k + 1, F.least(F.lit(line_words), end - k)), ""))
+def full_lines(text: Column, line_words: int = LINE_WORDS) -> Column:
+    return F.filter(lines_of(text, line_words), lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) > 0)
 
-        lines = F.flatten(F.transform(v["cuts"], pieces))
-        return F.when(F.size(v["words"]) > 0, lines).otherwise(F.slice(lines, 1, 0))
 
-    # an array of one element binds what lambdas use more than once
-    return F.transform(F.transform(F.array(words), lambda w: F.struct(w.alias("words"), cuts(w).alias("cuts"))), between)[0]
+def ids_are_unique(docs: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or repeated, so that it names a text by itself."""
+    return docs.groupBy(F.col(id_col).alias("id")).count().where("id is null or count > 1").isEmpty()
 
 
-def full_lines(text: Column) -> Column:
-    return F.filter(lines_of(text), lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) > 0)
-
-
-def text_hash(id_: Column, text: Column) -> Column:
-    """Tells texts of one id apart: 32 bits where there is an id, which shuffles smaller, and 64 among texts without one."""
+def text_hash(id_: Column, text: Column, unique: bool = False) -> Column:
+    """Tells texts of one id apart: 32 bits where there is an id, which shuffles smaller, and 64 among texts without one; 0 for unique ids."""
     full = F.xxhash64(text)
-    return F.when(id_.isNull(), full).otherwise(full.bitwiseAND(0xFFFFFFFF))
+    return F.lit(0).cast("long") if unique else F.when(id_.isNull(), full).otherwise(full.bitwiseAND(0xFFFFFFFF))
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, th, place, hash) of each window of non-blank lines with `least_words` words or more; th is the text's hash.
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS, unique: bool = False) -> DataFrame:
+    """(id, th, place, hash) of each window of non-blank lines with `least_words` words or more; th tells texts of one id apart.
 
     Lines are compared without surrounding blanks. A text of fewer lines is one window of all of them.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = F.filter(F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(id_col), text).alias("th"), plain.alias("x"))
-    rows = rows.select("id", "th", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), F.transform("x", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))
-    last = F.greatest(F.size("h") - window, F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(1), last + 1), lambda k: F.xxhash64(*(F.get("h", k - 1 + j) for j in range(window))))
-    words = F.transform(F.sequence(F.lit(1), last + 1), lambda k: sum((F.coalesce(F.get("w", k - 1 + j), F.lit(0)) for j in range(1, window)), F.coalesce(F.get("w", k - 1), F.lit(0))))
+    plain = F.filter(F.transform(lines_of(text, line_words), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(id_col), text, unique).alias("th"), plain.alias("x"))
+    rows = rows.select("id", "th", F.transform("x", lambda x: F.xxhash64(x)).alias("h"), *([F.transform("x", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("w")] if least_words > 1 else []))
+    places = F.sequence(F.lit(1), F.greatest(F.size("h") - window, F.lit(0)) + 1)
+    hashes = F.transform(places, lambda k: F.xxhash64(*(F.get("h", k - 1 + j) for j in range(window))))
+    if least_words > 1:
+        words = F.transform(places, lambda k: sum((F.coalesce(F.get("w", k - 1 + j), F.lit(0)) for j in range(1, window)), F.coalesce(F.get("w", k - 1), F.lit(0))))
+        hashes = F.transform(F.arrays_zip(hashes.alias("hash"), words.alias("words")), lambda x: F.when(x["words"] >= least_words, x["hash"]))
     # outer: else Spark asks first, with all expressions worked out twice, whether there is anything to explode
-    found = rows.select("id", "th", F.posexplode_outer(F.arrays_zip(hashes.alias("hash"), words.alias("words"))).alias("place", "win"))
-    return found.where(F.col("win.words") >= least_words).select("id", "th", "place", F.col("win.hash").alias("hash"))
+    return rows.select("id", "th", F.posexplode_outer(F.when(F.size("h") > 0, hashes)).alias("place", "hash")).where("hash is not null")
 
 
-def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS, unique: bool = False) -> DataFrame:
     """(id, th, places): for each text with later occurrences the numbers of the non-blank lines that they cover, merged."""
-    found = stored(windows(docs, id_col, text_col, window, least_words), "line-windows")
-    first = found.groupBy("hash").agg(F.min("id").alias("first_id"), F.min(F.when(F.col("id").isNull(), F.col("th"))).alias("first_th"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = found.join(first, "hash")
+    found = stored(windows(docs, id_col, text_col, window, least_words, line_words, unique), "line-windows")
+    first = found.groupBy("hash").agg(F.min("id").alias("first_id"), *([] if unique else [F.min(F.when(F.col("id").isNull(), F.col("th"))).alias("first_th")]), F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = (found.drop("th") if unique else found).join(first, "hash")
+    if unique:
+        hits = hits.withColumns({"th": F.lit(0).cast("long"), "first_th": F.lit(None).cast("long")})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = Window.partitionBy("id", "th", "hash")
     hits = hits.repartition(n, "id", "th").withColumn("own", F.min("place").over(own))
@@ -89,18 +90,40 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+def maybe_among(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """`docs` with a column `_dedup_maybe`: false only where `id_col` is none of `ids.id`, as a broadcast bitmap of their hashes tells.
+
+    The bitmap has `BITS_EACH` bits for each id and 16 MB at most; beyond that it only lets more rows pass.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH << max(0, ids.count() - 1).bit_length()))
+
+    def place(x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(bits))
+
+    marked = ids.select(place(F.col("id")).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_dedup_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_dedup_map"))
+    at = F.bitmap_bit_position(place(F.col(id_col)))
+    byte = F.conv(F.hex(F.substring(F.col("_dedup_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = docs.withColumn("_dedup_bucket", F.bitmap_bucket_number(place(F.col(id_col)))).join(F.broadcast(marked), "_dedup_bucket", "left")
+    return joined.withColumn("_dedup_maybe", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("_dedup_bucket", "_dedup_map")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """`docs` with `text_col` less the lines of later occurrences, and (n_lines, n_removed), which replace columns of these names.
 
     A window occurs first in the text with the smallest id; texts without an id come last, those in the order of their
     hashes. Rows that share an id do not count as repeats of each other, and rows that repeat id and text lose the same
     lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Every window counts, however
     short its lines; a higher `least_words` leaves windows of fewer words alone. An empty table gives an empty one.
+    Only texts that may have repeats are shuffled, once.
     """
-    found = covered(docs, id_col, text_col, window, least_words).toDF("_dedup_id", "_dedup_found", "_dedup_places")
+    unique = ids_are_unique(docs, id_col)
+    found = stored(covered(docs, id_col, text_col, window, least_words, line_words, unique), "line-places").toDF("_dedup_id", "_dedup_found", "_dedup_places")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_dedup_th", text_hash(F.col(id_col), text))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found")), "left").withColumn("_dedup_lines", full_lines(text))
+    keyed = maybe_among(docs, id_col, found.select(F.col("_dedup_id").alias("id"))).withColumn("_dedup_th", text_hash(F.col(id_col), text, unique))
+    same = F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found"))
+    some = keyed.where("_dedup_maybe").join(found, same, "left").drop("_dedup_id", "_dedup_found")
+    rest = keyed.where("not _dedup_maybe").withColumn("_dedup_places", F.lit(None).cast("array<int>"))
+    joined = some.unionByName(rest).withColumn("_dedup_lines", full_lines(text, line_words))
     places, full = F.col("_dedup_places"), F.col("_dedup_lines")
 
     def kept(b: Column) -> Column:
@@ -111,7 +134,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]
     changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
     counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), F.size(full) - F.size(left)).otherwise(0).cast("long")}
-    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_id", "_dedup_found", "_dedup_places", "_dedup_th", "_dedup_lines")
+    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_dedup_maybe")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

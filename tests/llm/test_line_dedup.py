@@ -9,24 +9,28 @@ from graphloom.llm import line_dedup as L
 SF = "/root/testdata/sf0.001"
 
 
+STEP = re.compile(r"([^ \t\r\n。！？]*)([。！？]*[」』）”’]*)([ \t\r]*)(\n?)")
+
+
 def lines(text, n=10):
-    """Up to n words, or to a word with a full stop and its blanks, or to a line end."""
-    out, line, words = [], "", 0
-    for word, blanks, end in re.findall(r"([^ \n]*)( *)(\n?)", text):
-        line += word + blanks
+    """Up to n words, or to one that ends a sentence or has a picked pair of letters at its end, or to a line end."""
+    out, line, words, at = [], "", 0, 0
+    while at < len(text):
+        word, marks, blanks, end = STEP.match(text, at).groups()
+        tail = word[-2:]
+        stop = bool(re.search(r"""[.!?…]["')\]}»”’]?$""", word)) and not re.search(r"""^["')\]}»”’]$""", word) or bool(re.fullmatch(L.PICKED, tail))
         words += 1
-        stop = bool(blanks) and (word[-1:] in (".", "!", "?") if word else False)
-        if not blanks or stop or words == n:
-            line, end = (line + end, "") if not blanks else (line, end)
-            out.append(line)
+        if marks or not blanks or stop or words == n:
+            out.append(line + word + marks + blanks + end)
+            at += len(word + marks + blanks + end)
             line, words = "", 0
-        if end:  # a line end after blanks is an empty word's
-            out.append(line + end)
-            line, words = "", 0
-    return [x for x in out if x]
+        else:
+            line += word + blanks
+            at += len(word + blanks)
+    return [x for x in [*out, line] if x]
 
 
-def slow(rows, window=3, least=12):
+def slow(rows, window=3, least=1):
     full = [[x for x in lines(t or "") if x.strip(" \t\r\n")] for _, t in rows]
     found = {}
     for d, ls in enumerate(full):
@@ -62,10 +66,10 @@ PASSAGE = " ".join(f"word{i}" for i in range(55))
 
 
 def test_passages_anywhere(spark):
-    texts = {1: f"first doc.\n{PASSAGE}\nend one.", 2: f"second doc.\n{PASSAGE}\nend two.", 3: f"Third. {PASSAGE} third ends differently here.", 4: "clean text with nothing repeated in it at all, but long enough to make several lines of words"}
+    texts = {1: f"first doc.\n{PASSAGE}\nover one.", 2: f"second doc.\n{PASSAGE}\nover two.", 3: f"Third. {PASSAGE} third ends differently here.", 4: "clean text with nothing repeated in it at all, but long enough to make several lines of words"}
     got = {r.doc_id: r.text for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
     assert got[1] == texts[1] and got[4] == texts[4]
-    assert got[2] == "second doc.\nend two." and "word3" not in got[3] and got[3].startswith("Third.")
+    assert got[2] == "second doc.\nover two." and "word3" not in got[3] and got[3].startswith("Third.")
 
 
 def test_copies_and_repeats_within_a_text(spark, odd_docs, no_docs):
@@ -101,3 +105,18 @@ def test_lines_keep_the_text(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", L.lines_of(F.col("text")).alias("x")).collect()
     assert all("".join(r.x) == r.text and "" not in r.x for r in rows)
     assert rows[0].x[:3] == ["一。", "二！", "三？」"] and rows[2].x == [' q." ', "(r?) ", "s"]
+
+
+def test_real_lines_and_least_words(spark):
+    texts = {1: "a b\nc d\ne f\ng. h i", 2: "x\na b\nc d\ne f\ny"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in L.without_repeats(rows, line_words=0).collect()}
+    assert got == {1: (texts[1], 4, 0), 2: ("x\ny", 5, 3)}
+    assert [r.n_removed for r in L.without_repeats(rows, line_words=0, least_words=7).collect()] == [0, 0]
+
+
+def test_bitmap_lets_no_id_through(spark):
+    ids = spark.range(0, 5000, 7)
+    rows = L.maybe_among(spark.range(6000).withColumnRenamed("id", "doc_id"), "doc_id", ids)
+    got = {r.doc_id: r._dedup_maybe for r in rows.collect()}
+    assert len(got) == 6000 and all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 1200
