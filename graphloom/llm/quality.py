@@ -1,9 +1,10 @@
 """Document quality from random-indexing word vectors and a two-layer network with calibrated probabilities.
 
-Every context (a neighbouring word, a word's form, its relation to the word before) owns a sparse ternary index vector that
-its hash picks from a fixed table. The vectors of frequent words are sums of the index vectors of the words around them,
-gathered over a bounded sample of labelled training documents; other words have their own index vector. A document is the
-mean over all its words. A small numpy network is fitted to the sample's vectors on the driver, and a temperature fitted on
+Tokens are words and runs of other signs, as they are written. Each owns a sparse ternary index vector that its hash picks
+from a fixed table, and the vector of a token is the sum of the index vectors beside its occurrences in all documents, at
+unit length. Tokens share the rows of a table of fixed size by their hash, so the sums of a task, of the shuffle and of the
+model are bounded however large the corpus is, and no token is left out. A document is the mean over all its tokens. A small
+numpy network is fitted on the driver to the vectors of a bounded sample of labelled documents, and a temperature fitted on
 rows that the network did not see turns its output into probabilities. Scoring reads every whole text.
 """
 
@@ -18,88 +19,125 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored, texts_as_bytes
+from graphloom.llm.common import pieces_of, stored, texts_as_bytes
 
 DIM, HIDDEN, TABLE, ONES = 64, 32, 1 << 16, 6
-#: Bounds of what the fit reads: labelled documents, words with learned vectors, places to each side that are contexts.
-SAMPLE_DOCS, VOCABULARY, AROUND = 20_000, 4096, 2
+#: Places to each side that are contexts; rows of the table that travel together.
+AROUND, ROWS = 1, 256
+#: Bound of what the fit reads: labelled documents.
+SAMPLE_DOCS = 20_000
 THRESHOLD = 0.7
+#: Bytes of text and tokens that are held at once, and tokens whose rows a worker remembers.
+HELD_BYTES, HELD_TOKENS, REMEMBERED = 1_000_000, 100_000, 300_000
 
-_CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+_TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
+_BLANK = re.compile(rb"[\x00-\x20]")
 
 
 def index_vectors() -> np.ndarray:
     """The fixed table: in each row a few entries are +1 or -1."""
     random = np.random.default_rng(10)
-    out = np.zeros((TABLE, DIM), np.float32)
+    out = np.zeros((TABLE, DIM), np.int8)
     where = random.random((TABLE, DIM)).argpartition(ONES, axis=1)[:, :ONES]
-    out[np.arange(TABLE)[:, None], where] = random.choice(np.float32([-1, 1]), (TABLE, ONES))
+    out[np.arange(TABLE)[:, None], where] = random.choice(np.int8([-1, 1]), (TABLE, ONES))
     return out
 
 
-def slot(context: bytes) -> int:
-    return zlib.crc32(context) & (TABLE - 1)
+class Slots(dict):
+    """Rows of the table by token, with those of past tokens remembered up to a number."""
 
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[token] = zlib.crc32(token) & (TABLE - 1)
+        return found
 
-def form(word: bytes) -> bytes:
-    """Letter case, digits and signs of a word, runs as one."""
-    return _RUNS.sub(rb"\1", word.translate(_CLASS))
+    def of(self, text: bytes) -> np.ndarray:
+        """Rows of all tokens of a text in order; a long text is cut at blanks to be read."""
+        parts, at = [], 0
+        while at < len(text):
+            end = _BLANK.search(text, at + HELD_BYTES) if len(text) - at > HELD_BYTES else None
+            upto = end.start() if end else len(text)
+            tokens = _TOKEN.findall(text[at:upto])
+            parts.append(np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens)))
+            at = upto
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
-class Pooler:
-    """Mean word vectors of documents."""
-
-    def __init__(self, known: dict[bytes, int], learned: np.ndarray) -> None:
-        self.known, self.learned = known, learned
-        self.vectors: np.ndarray | None = None
-
-    def pool(self, texts: list[bytes], most: int = 200_000) -> np.ndarray:
-        if self.vectors is None:
-            self.vectors = np.concatenate((index_vectors(), self.learned))
-        out = np.zeros((len(texts), DIM), np.float32)
-        same = self.vectors[slot(b"\x00same")]
-        forms: dict[bytes, int] = {}
-        first = 0
-        held: list[list[bytes]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            held.append(text.split())
-            size += len(held[-1])
-            if size < most and k < len(texts) - 1:
-                continue
-            numbers: dict[bytes, int] = {}
-            at = np.array([numbers.setdefault(w, len(numbers)) for words in held for w in words], np.int64)
-            lens = np.fromiter(map(len, held), np.int64, len(held))
-            some = np.flatnonzero(lens)
-            if len(some):
-                lowered = [w.lower() for w in numbers]
-                own = np.array([TABLE + self.known[w] if w in self.known else slot(w) for w in lowered])
-                shape = np.array([forms.setdefault(f, slot(b"\x00form" + f)) for f in map(form, numbers)])
-                vectors = self.vectors[own] + 2 * self.vectors[shape]
-                starts = (np.cumsum(lens) - lens)[some]
-                again = np.concatenate(([False], at[1:] == at[:-1]))
-                again[starts] = False
-                sums = np.add.reduceat(vectors[at], starts, axis=0)
-                sums += 2 * np.add.reduceat(again.astype(np.float32), starts)[:, None] * same
-                out[first + some] = sums / lens[some, None]
-            first, held, size = k + 1, [], 0
-        return out
+def _pieces(batch: pa.RecordBatch, slots: Slots) -> Iterator[list[np.ndarray]]:
+    for rows in pieces_of(batch, HELD_BYTES):
+        yield [slots.of(x) for x in texts_as_bytes(rows.column("text"))]
 
 
-def _contexts(known: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the index vectors around each known word, as one row."""
-    table, sums = index_vectors(), np.zeros((len(known), DIM), np.float32)
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the index vectors beside each row's tokens: (block of rows, int32 sums) for blocks with any."""
+    slots, sums = Slots(), np.zeros((TABLE, DIM), np.int32)
+    index = np.concatenate((index_vectors(), np.zeros((1, DIM), np.int8)))
+    gap = np.full(AROUND, TABLE, np.int32)  # nothing, between texts
+    for batch in batches:
+        for texts in _pieces(batch, slots):
+            places = np.concatenate([gap, *(x for text in texts for x in (text, gap))])
+            for a in range(AROUND, len(places) - AROUND, HELD_TOKENS):
+                b = min(len(places) - AROUND, a + HELD_TOKENS)
+                near = index[places[a - AROUND : b + AROUND]]
+                beside = np.zeros((b - a, DIM), np.int8)
+                for step in range(2 * AROUND + 1):
+                    if step != AROUND:
+                        beside += near[step : step + b - a]
+                order = np.argsort(places[a:b], kind="stable")
+                own = places[a:b][order]
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1))
+                added, own = np.add.reduceat(beside[order], starts, axis=0, dtype=np.int32), own[starts]
+                sums[own[own < TABLE]] += added[own < TABLE]
+    blocks = sums.reshape(-1, ROWS * DIM)
+    some = np.flatnonzero(blocks.any(axis=1))
+    for k in range(0, len(some), 16):
+        yield pa.record_batch([pa.array(some[k : k + 16].astype(np.int32)), pa.array([blocks[i].tobytes() for i in some[k : k + 16]], pa.binary())], ["block", "sums"])
+
+
+def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of a block, at unit length, from the sums of all tasks."""
+    total = np.zeros((ROWS, DIM), np.int64)
     for batch in batches:
-        for text in texts_as_bytes(batch.column(0)):
-            words = text.lower().split()
-            places = np.array([slot(w) for w in words], np.int64)
-            of = np.array([known.get(w, -1) for w in words], np.int64)
-            for step in range(1, AROUND + 1):
-                for a, b in ((of[step:], places[:-step]), (of[:-step], places[step:])):
-                    hit = a >= 0
-                    np.add.at(sums, a[hit], table[b[hit]])
-    yield pa.record_batch([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+        for x in batch.column(batch.schema.get_field_index("sums")):
+            total += np.frombuffer(x.as_buffer(), np.int32).reshape(ROWS, DIM)
+    unit = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([unit.tobytes()], pa.binary())], ["block", "vectors"])
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The table of vectors, learned over all of `docs`: `TABLE` rows, 16 MB, whatever the corpus's size."""
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, "block int, sums binary")
+    out = np.zeros((TABLE // ROWS, ROWS * DIM), np.float32)
+    for block, vectors in sums.groupBy("block").applyInArrow(_added, "block int, vectors binary").collect():  # 256 rows at most
+        out[block] = np.frombuffer(vectors, np.float32)
+    return out.reshape(TABLE, DIM)
+
+
+class Pooler:
+    """Mean token vectors of documents."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors
+        self.slots: Slots | None = None
+
+    def __getstate__(self) -> dict:
+        return {"vectors": self.vectors, "slots": None}
+
+    def pool(self, column: pa.Array) -> np.ndarray:
+        if self.slots is None:
+            self.slots = Slots()
+        out, first = np.zeros((len(column), DIM)), 0
+        for texts in _pieces(pa.record_batch([column], ["text"]), self.slots):
+            lens = np.fromiter(map(len, texts), np.int64, len(texts))
+            of, places = np.repeat(np.arange(len(texts)), lens), np.concatenate(texts)
+            for a in range(0, len(places), HELD_TOKENS):
+                part = of[a : a + HELD_TOKENS]
+                starts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
+                out[first + part[starts]] += np.add.reduceat(self.vectors[places[a : a + HELD_TOKENS]], starts, axis=0)
+            out[first : first + len(texts)] /= np.maximum(lens, 1)[:, None]
+            first += len(texts)
+        return out
 
 
 class Network:
@@ -141,24 +179,18 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> tuple[Pooler, Network]:
-    """The model of at most `sample` labelled documents for whose label rows `usable` holds, chosen by a hash of their ids.
+    """The model: vectors learned over all of `docs`, and a network fitted to at most `sample` labelled documents.
 
+    These are documents for whose label rows `usable` holds, chosen by a hash of their ids.
     Null labels and labels of no document are passed over; an id with several labels has the smallest. With under 20 labelled
     documents or one class only, every score is the smoothed share of label 1.
     """
     spark = docs.sparkSession
+    pooler = Pooler(word_vectors(docs, text_col))
     chosen = labels.where(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = stored(texts.join(F.broadcast(chosen), "id").select("text", "y").repartition(16), "labelled")
-    words = F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("w")
-    top = found.select(words).where("w <> '' and length(w) <= 40").groupBy("w").count().where("count > 4").orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
-    known = {r.w.encode(): k for k, r in enumerate(top)}
-    sums = np.zeros((len(known), DIM), np.float32)
-    for row in found.select("text").mapInArrow(lambda b: _contexts(known, b), "sums binary").collect():  # one row from each of 16 tasks
-        sums += np.frombuffer(row.sums, np.float32).reshape(-1, DIM)
-    learned = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-6) * np.float32(np.sqrt(ONES))
-    pooler = Pooler(known, learned)
     rows = found.select("y", pooled(F.col("text"), spark.sparkContext.broadcast(pooler)).alias("x")).collect()
     rows.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in rows], float).reshape(-1, DIM)
@@ -168,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 def pooled(text: Column, pooler) -> Column:
     @F.arrow_udf("array<float>")
     def pool(column: pa.Array) -> pa.Array:
-        x = pooler.value.pool(texts_as_bytes(column))
+        x = pooler.value.pool(column).astype(np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * DIM, pa.int32()), pa.array(x.ravel()))
 
     return pool(text)
@@ -180,7 +212,7 @@ def quality_score(text: Column, model) -> Column:
     @F.arrow_udf("double")
     def rate(column: pa.Array) -> pa.Array:
         pooler, network = model.value
-        return pa.array(network.probability(pooler.pool(texts_as_bytes(column)).astype(float)))
+        return pa.array(network.probability(pooler.pool(column)))
 
     return rate(text)
 

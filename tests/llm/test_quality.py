@@ -1,7 +1,11 @@
 """The quality classifier by held-out accuracy."""
 
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from graphloom.llm import quality
 
 SF = "/root/testdata/sf0.1"
@@ -21,7 +25,10 @@ def test_held_out_accuracy(spark):
 def test_odd_rows_and_few_labels(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (None, 1), (3, 1)], "doc_id long, quality int")
     got = quality.with_quality(odd_docs, labels)
-    assert got.count() == odd_docs.count() and {round(r.score, 6) for r in got.collect()} != set()
+    rows = got.collect()
+    # two labelled documents are too few for a network: all rows, null and empty texts too, get the smoothed share of label 1
+    assert len(rows) == odd_docs.count() and got.columns == odd_docs.columns and {round(r.score, 6) for r in rows} == {0.5}
+    assert all(np.isfinite(r.score) for r in rows)
     assert quality.with_quality(no_docs, labels).count() == 0
     assert quality.keep_good(odd_docs, labels.where("false"), 0.4).columns == odd_docs.columns
 
@@ -29,3 +36,30 @@ def test_odd_rows_and_few_labels(spark, odd_docs, no_docs):
 def test_same_result_each_time(spark):
     first, second = (sorted((r.doc_id, r.score) for r in quality.op10_quality_classifier(spark, "/root/testdata/sf0.001").collect()) for _ in range(2))
     assert first == second
+
+
+def test_vectors_like_a_plain_loop(spark, odd_docs):
+    texts = [r.text for r in odd_docs.select("text").collect()] + ["Ein Wort, ein WORT!! ***", "wort ÉTÉ été"]
+    index = quality.index_vectors().astype(int)
+    sums = np.zeros(index.shape, int)
+    found = []
+    for text in texts:
+        tokens = [zlib.crc32(t) % quality.TABLE for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+", (text or "").encode())]
+        found.append(tokens)
+        for k, t in enumerate(tokens):
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(tokens):
+                    sums[t] += index[tokens[j]]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6)
+    pooled = quality.Pooler(got).pool(pa.array(texts, pa.string()))
+    assert np.allclose(pooled, [want[t].mean(axis=0) if t else np.zeros(quality.DIM) for t in found], atol=1e-5)
+
+
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    whole = quality.Slots().of(text.encode())
+    monkeypatch.setattr(quality, "HELD_BYTES", 1000)
+    assert (quality.Slots().of(text.encode()) == whole).all()
