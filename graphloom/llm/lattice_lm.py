@@ -3,13 +3,8 @@
 The pieces of an existing vocabulary, with one log-probability each, weight every segmentation of a text, and a forward
 recursion in log space sums them all: the result is the text's marginal probability. Pieces lie within words, so the
 recursion runs once for each distinct word of the corpus, whatever its frequency, and a document adds up its words and
-one end. The vocabulary's own order gives the first log-probabilities; expected counts over the distinct words of all
-training documents then fit them (the piece list itself never changes).
-
-A word that training holds has one more path in its lattice, the word as a whole, with its discounted relative frequency;
-what the discounts set free goes to the paths of pieces. So frequent words cost what they cost in the corpus, and any
-other word still has a probability. Texts repeat their own words: a fixed share of each word's probability is its share of
-the words before it in the same text.
+one end. The vocabulary's own scores give the first log-probabilities; expected counts over the words of all training
+documents, each as often as it occurs, then fit them. The list of pieces never changes, and no other path is added.
 
 Word statistics are counted over all documents. A document's frequent words are looked up in a table of bounded size that
 every worker holds; its other words are joined with the table of all words.
@@ -17,8 +12,7 @@ every worker holds; its other words are joined with the table of all words.
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +29,12 @@ from graphloom.llm.vocabulary import Vocabulary
 
 #: Words that are counted before a worker passes them on; frequent words that every worker holds, and their length.
 FLUSH_WORDS, HEAD_WORDS, HEAD_BYTES = 200_000, 100_000, 40
-#: Taken from each whole word's count in favour of pieces.
-DISCOUNT = 0.75
-#: Share of a word's probability that comes from the words before it in its text.
-REPEAT = 0.2
-#: Bytes of words whose lattices are summed together.
-LATTICE_BYTES = 400_000
+#: Longer words that every worker holds as well, and their length.
+LONG_WORDS, LONG_BYTES = 2_000, 4_096
+#: Bytes of words whose lattices are summed together; a longer word's edges are found in parts of so many bytes.
+LATTICE_BYTES = 300_000
+#: Bytes of text or words that a worker holds as Python objects.
+HELD_BYTES = 4_000_000
 
 
 class Lattice:
@@ -57,7 +51,7 @@ class Lattice:
                 if node == len(ends):
                     ends.append(-1)
             ends[node] = i
-        self.piece = np.array(ends)
+        self.piece = np.array(ends, np.int32)
         self.keys = np.array(sorted(children))
         self.nodes = np.array([children[k] for k in self.keys.tolist()])
         self.two = np.full(65536, -1)  # the first two steps by one look-up
@@ -69,78 +63,115 @@ class Lattice:
         self.one = np.full(256, -1)
         for byte, node in first.items():
             self.one[byte] = node
-        self.byte_ids = vocab.byte_ids
+        self.byte_ids = vocab.byte_ids.astype(np.int32)
+        self.longest = max((len(vocab.surfaces[i]) for i in vocab.normal.tolist()), default=1)
 
     def first_weights(self, vocab: Vocabulary) -> np.ndarray:
-        """Log-probabilities from the order of the vocabulary's scores: in proportion to 1 / (rank + 10)."""
-        rank = np.full(self.size, float(self.size))
-        rank[vocab.normal[np.argsort(-vocab.scores[vocab.normal], kind="stable")]] = np.arange(len(vocab.normal))
-        rank[-1] = 0
-        weight = 1 / (rank + 10)
+        """Log-probabilities by the vocabulary's own scores.
+
+        Scores of a unigram vocabulary are log-probabilities and stay as they are, but for one sum that brings all symbols
+        to 1. Scores that are no log-probabilities (a merge model has ranks) count by their order, as 1 / (rank + 10). Byte
+        pieces and the end have no scores: bytes come last in that order, the end first.
+        """
         usable = np.zeros(self.size, bool)
         usable[vocab.normal] = usable[self.byte_ids] = usable[-1] = True
+        own = vocab.scores[vocab.normal]
+        if len(own) and 0.5 <= np.exp(np.minimum(own, 50)).sum() <= 2:
+            weight = np.full(self.size, np.exp(own.min()))
+            weight[vocab.normal] = np.exp(own)
+            weight[-1] = np.exp(own.max())
+        else:
+            rank = np.full(self.size, float(self.size))
+            rank[vocab.normal[np.argsort(-own, kind="stable")]] = np.arange(len(own))
+            rank[-1] = 0
+            weight = 1 / (rank + 10)
         return np.log(np.where(usable, weight / weight[usable].sum(), 1e-300))
 
-    def edges(self, data: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, rows, pieces) of all edges of equally padded words, by ascending start; two kinds of edge can share ends."""
-        longest = data.shape[1]
-        for i in range(longest):
-            rows = np.flatnonzero(lens > i)
-            if not len(rows):
-                return
-            yield i, i + 1, rows, self.byte_ids[data[rows, i]]
-            node = self.one[data[rows, i]]
-            for j in range(i + 1, longest + 1):
-                live = node >= 0
-                rows, node = rows[live], node[live]
-                if not len(rows):
-                    break
-                whole = self.piece[node] >= 0
-                if whole.any():
-                    yield i, j, rows[whole], self.piece[node[whole]]
-                more = lens[rows] > j
-                rows, node = rows[more], node[more]
-                if not len(rows):
-                    break
-                if j == i + 1:
-                    node = self.two[data[rows, i].astype(np.int64) * 256 + data[rows, j]]
-                else:
-                    want = node * 256 + data[rows, j]
-                    at = np.searchsorted(self.keys, want)
-                    at[at == len(self.keys)] = 0
-                    node = np.where(self.keys[at] == want, self.nodes[at], -1)
+    def _edges(self, data: np.ndarray, left: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, piece) of all edges that start at the bytes from `a` to `b`; `left` has the bytes to each word's end."""
+        starts = np.arange(a, b, dtype=np.int64)
+        found = [(starts, np.ones(len(starts), np.int64), self.byte_ids[data[a:b]])]
+        at, node = starts, self.one[data[a:b]]
+        for size in range(1, self.longest + 1):
+            live = node >= 0
+            at, node = at[live], node[live]
+            whole = self.piece[node] >= 0
+            found.append((at[whole], np.full(int(whole.sum()), size), self.piece[node[whole]]))
+            more = left[at] > size
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+            ahead = data[at + size].astype(np.int64)
+            if size == 1:
+                node = self.two[data[at].astype(np.int64) * 256 + ahead]
+            else:
+                want = node * 256 + ahead
+                place = np.searchsorted(self.keys, want)
+                place[place == len(self.keys)] = 0
+                node = np.where(self.keys[place] == want, self.nodes[place], -1)
+        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return start, size, piece
+
+    def _sum(self, words: list[bytes], weights: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+        """Log marginals of words of at most `LATTICE_BYTES` bytes together, or of one longer word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        data = np.frombuffer(b" " + b" ".join(words), np.uint8)
+        heads = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        step = np.arange(len(data)) - heads[word]
+        left = sizes[word] - step
+        longest, many = int(sizes.max()), len(words) > 1
+        alpha = np.full(len(data) + len(words), -np.inf)  # a word has one node more than bytes
+        alpha[heads + np.arange(len(words))] = 0
+        ends = heads + sizes + np.arange(len(words))
+        parts = [(0, longest)] if many else [(k, min(longest, k + LATTICE_BYTES)) for k in range(0, longest, LATTICE_BYTES)]
+
+        def edges(a: int, b: int, by_end: bool) -> tuple[np.ndarray, ...]:
+            """Edges that end (or start) at steps over `a` (from `a`) up to `b`, in groups of one end (start), by ascending steps."""
+            start, size, piece = self._edges(data, left, 0, len(data)) if many else self._edges(data, left, max(0, a - self.longest), b)
+            source = start + word[start]
+            of = step[start] + size * by_end
+            keep = (of > a) & (of <= b) if by_end else (of >= a) & (of < b)
+            if not keep.all():
+                source, size, piece, of = source[keep], size[keep], piece[keep], of[keep]
+            key = source + size if by_end else source
+            order = np.lexsort((key, of))
+            source, size, piece, of, key = source[order], size[order], piece[order], of[order], key[order]
+            heads_ = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+            return source, source + size, piece, heads_, key[heads_], np.flatnonzero(np.diff(of[heads_], prepend=-1) != 0)
+
+        for a, b in parts:
+            source, _, piece, group, node, cut = edges(a, b, True)
+            weight, group_end = weights[piece], np.append(group, len(source))
+            for g, h in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
+                e, f = group_end[g], group_end[h]
+                alpha[node[g:h]] = np.logaddexp.reduceat(alpha[source[e:f]] + weight[e:f], group[g:h] - e)
+        total = alpha[ends]
+        if expected is not None:
+            beta = np.full(len(alpha), -np.inf)
+            beta[ends] = 0
+            owner = np.repeat(np.arange(len(words)), sizes + 1)
+            for a, b in reversed(parts):
+                source, target, piece, group, node, cut = edges(a, b, False)
+                weight, group_end = weights[piece], np.append(group, len(source))
+                for g, h in reversed(list(zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True))):
+                    e, f = group_end[g], group_end[h]
+                    beta[node[g:h]] = np.logaddexp.reduceat(beta[target[e:f]] + weight[e:f], group[g:h] - e)
+                share = np.exp(alpha[source] + weight + beta[target] - total[owner[source]]) * counts[owner[source]]
+                expected += np.bincount(piece, share, minlength=len(expected))
+        return total
 
     def log_marginals(self, words: list[bytes], weights: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of each word over all its segmentations; adds expected counts of pieces to `expected` if given."""
+        """Log-probability of each word over all its segmentations; adds expected counts of pieces to `expected` if given.
+
+        Words of like sizes go together, up to `LATTICE_BYTES`; time and memory grow with the bytes of words alone.
+        """
         out = np.zeros(len(words))
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(sizes, kind="stable")
-        at = 0
-        while at < len(order):
-            upto = at + 1
-            while upto < len(order) and sizes[order[upto]] <= max(16, sizes[order[at]] * 5 // 4) and (upto - at + 1) * sizes[order[upto]] <= LATTICE_BYTES:
-                upto += 4096 if upto + 4096 < len(order) and sizes[order[upto + 4095]] == sizes[order[upto]] and (upto - at + 4096) * sizes[order[upto]] <= LATTICE_BYTES else 1
-            rows = order[at:upto]
-            at = upto
-            width = int(sizes[rows[-1]])
-            data = np.frombuffer(b"".join((b" " + words[k]).ljust(width) for k in rows.tolist()), np.uint8).reshape(len(rows), width)
-            lens = sizes[rows]
-            alpha = np.full((width + 1, len(rows)), -np.inf)
-            alpha[0] = 0
-            kept = []
-            for i, j, r, piece in self.edges(data, lens):
-                alpha[j, r] = np.logaddexp(alpha[j, r], alpha[i, r] + weights[piece])
-                if expected is not None:
-                    kept.append((i, j, r, piece))
-            total = alpha[lens, np.arange(len(rows))]
-            out[rows] = total
-            if expected is not None:
-                beta = np.full((width + 1, len(rows)), -np.inf)
-                beta[lens, np.arange(len(rows))] = 0
-                for i, j, r, piece in reversed(kept):
-                    ahead = weights[piece] + beta[j, r]
-                    beta[i, r] = np.logaddexp(beta[i, r], ahead)
-                    expected += np.bincount(piece, np.exp(alpha[i, r] + ahead - total[r]) * counts[rows[r]], minlength=len(expected))
+        for rows in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // LATTICE_BYTES)) + 1):
+            if len(rows):
+                out[rows] = self._sum([words[k] for k in rows.tolist()], weights, None if counts is None else counts[rows], expected)
         return out
 
 
@@ -157,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(words, pa.binary()), pa.array(train, pa.int64()), pa.array(every, pa.int64())], ["word", "c", "n"])
 
     for batch in batches:
-        for rows in pieces_of(batch, 4_000_000):
+        for rows in pieces_of(batch, HELD_BYTES):
             for held, text in zip(rows.column(0).to_pylist(), texts_as_bytes(rows.column(1)), strict=True):
                 seen[held].update(text.lower().split())
                 if len(seen[0]) + len(seen[1]) > FLUSH_WORDS:
@@ -168,30 +199,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expect(lattice: Lattice, weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expected = np.zeros(lattice.size)
     for batch in batches:
-        lattice.log_marginals(batch.column(0).to_pylist(), weights, np.ones(batch.num_rows), expected)
+        for rows in pieces_of(batch, HELD_BYTES, "word"):
+            lattice.log_marginals(rows.column(0).to_pylist(), weights, rows.column(1).to_numpy().astype(float), expected)
     some = np.flatnonzero(expected)
     yield pa.record_batch([pa.array(some), pa.array(expected[some])], ["piece", "n"])
 
 
-def _marginals(lattice: Lattice, weights: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marginals(lattice: Lattice, weights: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = lattice.log_marginals(batch.column(0).to_pylist(), weights)
-        yield pa.record_batch([*batch.columns, pa.array(found)], ["word", "c", "n", "lp"])
+        for rows in pieces_of(batch, HELD_BYTES, "word"):
+            words = rows.column(0).to_pylist()
+            found = [pa.array(lattice.log_marginals(words, w) / np.log(10)) for w in weights]
+            yield pa.record_batch([*rows.columns, *found], ["word", "c", "n", "lp", "own"])
 
 
 def fit(words: DataFrame, n_docs: int, lattice: Lattice, vocab: Vocabulary, rounds: int) -> np.ndarray:
-    """Log-probabilities of all symbols after `rounds` of expectation and maximisation over the distinct training words.
+    """Log-probabilities of all symbols after `rounds` of expectation and maximisation over all training words and ends.
 
-    A hundredth of a count for every symbol, spread like the first weights, keeps all pieces possible.
+    A hundredth of a count for every symbol, spread like the first weights, keeps all pieces possible. Without training
+    words the vocabulary's weights stay.
     """
     first = lattice.first_weights(vocab)
     weights = first
     sent = words.sparkSession.sparkContext.broadcast(lattice)
-    for _ in range(rounds):
+    for _ in range(rounds if n_docs else 0):
         now = weights
-        found = words.where("c > 0").select("word").mapInArrow(lambda b, now=now: _expect(sent.value, now, b), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        found = words.where("c > 0").select("word", "c").mapInArrow(lambda b, now=now: _expect(sent.value, now, b), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         counts = np.exp(first) * 0.01 * lattice.size
-        for piece, n in found.collect():  # at most one row for each piece of the vocabulary
+        for piece, n in found.orderBy("piece").collect():  # at most one row for each piece of the vocabulary
             counts[piece] += n
         counts[-1] += n_docs
         weights = np.log(counts / counts.sum())
@@ -201,8 +236,8 @@ def fit(words: DataFrame, n_docs: int, lattice: Lattice, vocab: Vocabulary, roun
 def _documents(head: dict[bytes, int], logs: np.ndarray, batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """For (id, held_out, text): a row of sums over frequent words for each document, and a row for each other word of it.
 
-    logs: for each frequent word its base term, its lattice term and whether it was seen in training. A row of another word
-    has its count, whether the text begins with it, and for all but its first place its share of the words before.
+    logs: for each frequent word its base term, its log-probability, that by the vocabulary's own scores, and whether
+    training has it.
     """
     part, n = TaskContext.get().partitionId(), 0
     out: dict[str, list] = {f.name: [] for f in schema}
@@ -215,32 +250,25 @@ def _documents(head: dict[bytes, int], logs: np.ndarray, batches: Iterator[pa.Re
         return batch
 
     for batch in batches:
-        for rows in pieces_of(batch, 4_000_000):
+        for rows in pieces_of(batch, HELD_BYTES):
             for doc, held, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), texts_as_bytes(rows.column(2)), strict=True):
                 key = (part << 40) + n
                 n += 1
-                words = text.lower().split()
-                places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                earlier: defaultdict[bytes, itertools.count] = defaultdict(itertools.count)
-                share = np.fromiter((next(earlier[w]) for w in words), float, len(words)) / np.maximum(np.arange(len(words)), 1)
-                common = np.flatnonzero(places >= 0)
-                found = logs[places[common]]
-                repeat = np.where(common > 0, REPEAT, 0.0)
-                score = float(np.log10((1 - repeat) * 10.0 ** found[:, 1] + repeat * share[common]).sum())
-                tail: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(places < 0).tolist():
-                    tail.setdefault(words[i], []).append(i)
+                times = Counter(text.lower().split())
+                words = list(times)
+                tf, places = np.fromiter(times.values(), np.int64, len(words)), np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                common = places >= 0
+                sums = tf[common] @ logs[places[common]]
+                tail = np.flatnonzero(~common).tolist()
                 out["row"] += [key] * (1 + len(tail))
                 out["id"] += [doc] + [None] * len(tail)
                 out["held_out"] += [held] + [None] * len(tail)
-                out["n_tokens"] += [len(words) + 1] + [0] * len(tail)
-                out["base"] += [float(found[:, 0].sum())] + [0.0] * len(tail)
-                out["lattice"] += [score] + [0.0] * len(tail)
-                out["known"] += [int(found[:, 2].sum())] + [0] * len(tail)
-                out["word"] += [b" %d" % key, *tail]
-                out["tf"] += [0, *map(len, tail.values())]
-                out["begins"] += [False, *(at[0] == 0 for at in tail.values())]
-                out["shares"] += [None, *(share[at[1:]].tolist() if len(at) > 1 else None for at in tail.values())]
+                out["n_tokens"] += [int(tf.sum()) + 1] + [0] * len(tail)
+                for name, x in zip(("base", "lp_sum", "own_sum"), sums.tolist(), strict=False):
+                    out[name] += [x] + [0.0] * len(tail)
+                out["known"] += [int(sums[3])] + [0] * len(tail)
+                out["word"] += [b" %d" % key, *(words[k] for k in tail)]
+                out["tf"] += [0, *tf[tail].tolist()]
                 if len(out["row"]) > 50_000:
                     yield flush()
     yield flush()
@@ -251,13 +279,14 @@ def is_held_out(id_col: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % modulus == rest, F.lit(False))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", model: str = vocabulary.DEFAULT_MODEL, rounds: int = 3, head_words: int = HEAD_WORDS) -> DataFrame:
-    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of `docs`.
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", model: str = vocabulary.DEFAULT_MODEL, rounds: int = 2, head_words: int = HEAD_WORDS) -> DataFrame:
+    """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score), a row for each row of `docs`.
 
     Words are runs without white space, A-Z in lower case; a document's tokens are its words and one end. base_score sums
-    log10((c+1)/(N+V+1)) over tokens; score is the model's log10 probability of the words and the end. Null and
-    empty texts have the end alone; repeated rows give repeated results, and count as often in training; without any
-    training text c, N and V are 0 and the vocabulary's order alone gives the weights; an empty table gives no rows.
+    log10((c+1)/(N+V+1)) over tokens. score is the marginal log10 probability of the words and the end over all
+    segmentations into pieces, with the pieces' fitted probabilities; vocabulary_score is the same by the vocabulary's own
+    scores alone. Null and empty texts have the end alone; repeated rows give repeated results, and count as often in
+    training; without any training text c, N and V are 0 and both scores are by the vocabulary's; an empty table gives no rows.
     """
     spark = docs.sparkSession
     vocab = vocabulary.load(model)
@@ -267,33 +296,31 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n_train = rows.where(~F.col("held_out")).count()
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = total + n_train, distinct + (n_train > 0)
-    weights = fit(words, n_train, lattice, vocab, rounds)
+    own, weights = lattice.first_weights(vocab), fit(words, n_train, lattice, vocab, rounds)
     sent = spark.sparkContext.broadcast(lattice)
-    table = stored(words.mapInArrow(lambda b: _marginals(sent.value, weights, b), "word binary, c long, n long, lp double"), "word-scores")
-    below = np.log10(total + distinct + 1)
-    # what whole words leave to pieces, and the denominator of their share; without training all goes to pieces
-    free, share = (np.log10(DISCOUNT * max(distinct - 1, 1) / total), float(total)) if total else (0.0, 1.0)
-    whole = F.when(F.col("c") > 0, F.log10((F.col("c") - DISCOUNT) / share + F.exp(F.col("lp")) * float(10**free))).otherwise(F.lit(float(free)) + F.col("lp") / float(np.log(10)))
-    table = table.withColumn("lp", whole)
-    top = table.where((F.length("word") <= HEAD_BYTES) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(head_words).collect()
+    table = stored(words.mapInArrow(lambda b: _marginals(sent.value, [weights, own], b), "word binary, c long, n long, lp double, own double"), "word-scores")
+    below = float(np.log10(total + distinct + 1))
+    often = table.where("n > 1").withColumn("size", F.length("word"))
+    top = often.where(F.col("size") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words).collect()
+    top += often.where((F.col("size") > HEAD_BYTES) & (F.col("size") <= LONG_BYTES)).orderBy(F.desc("n"), "word").limit(min(head_words, LONG_WORDS)).collect()
     head = {bytes(r.word): k for k, r in enumerate(top)}
-    logs = np.array([(np.log10(r.c + 1) - below, r.lp, r.c > 0) for r in top], float).reshape(-1, 3)
+    logs = np.array([(np.log10(r.c + 1) - below, r.lp, r.own, r.c > 0) for r in top], float).reshape(-1, 4)
     held = spark.sparkContext.broadcast((head, logs))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("lattice", T.DoubleType()), T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType()), T.StructField("begins", T.BooleanType()), T.StructField("shares", T.ArrayType(T.DoubleType()))])
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([T.StructField("row", long), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", long), T.StructField("known", long), *(T.StructField(x, double) for x in ("base", "lp_sum", "own_sum")), T.StructField("word", T.BinaryType()), T.StructField("tf", long)])
     arrow = to_arrow_schema(schema)
     parts = rows.mapInArrow(lambda b: _documents(*held.value, b, arrow), schema)
-    joined = parts.join(table.select("word", "c", "lp"), "word", "left")
+    joined = parts.join(table.select("word", "c", "lp", "own"), "word", "left")
     tf, seen = F.col("tf"), F.coalesce("c", F.lit(0))
-    once = F.col("lp") + F.when(F.col("begins"), 0.0).otherwise(float(np.log10(1 - REPEAT)))
-    again = F.aggregate(F.coalesce("shares", F.expr("cast(array() as array<double>)")), F.lit(0.0), lambda a, r: a + F.log10((1 - REPEAT) * F.pow(F.lit(10.0), F.col("lp")) + REPEAT * r))
     sums = joined.groupBy("row").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(seen > 0, tf).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + tf * (F.log10(seen + 1) - F.lit(float(below)))).alias("base"),
-        F.sum(F.col("lattice") + F.when(tf > 0, once + again).otherwise(0.0)).alias("lattice"),
+        F.sum(F.col("base") + tf * (F.log10(seen + 1) - below)).alias("base"),
+        F.sum(F.col("lp_sum") + F.coalesce(tf * F.col("lp"), F.lit(0.0))).alias("score"),
+        F.sum(F.col("own_sum") + F.coalesce(tf * F.col("own"), F.lit(0.0))).alias("own"),
     )
-    end_base, end_score = float(np.log10(n_train + 1) - below), float(np.log10(n_train / total) if total else weights[-1] / np.log(10))
-    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + int(n_train > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("lattice") + end_score + F.when(F.col("n_tokens") > 1, float(np.log10(1 - REPEAT))).otherwise(0.0)).alias("score"))
+    end_base, end, end_own = float(np.log10(n_train + 1) - below), float(weights[-1] / np.log(10)), float(own[-1] / np.log(10))
+    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + int(n_train > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("score") + end).alias("score"), (F.col("own") + end_own).alias("vocabulary_score"))
 
 
 def op5_lattice_lm(spark, sf_dir: str) -> DataFrame:

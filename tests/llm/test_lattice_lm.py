@@ -59,13 +59,61 @@ def check_base(spark, docs):
     assert scores[0] == scores[1] == scores[2]
 
 
-def test_repeats_within_a_text(spark):
-    docs = spark.createDataFrame([(1, "new new new"), (2, "new"), (3, "a b c a b c")], "doc_id int, text string")
-    got = {r.doc_id: r.score for r in L.score(docs, F.col("doc_id") < 3, rounds=1).collect()}
-    ends = got[2] - got[1]
-    word = got[2] - math.log10(1 - L.REPEAT) - math.log10(1 / 7)  # one end among seven training tokens
-    again = math.log10((1 - L.REPEAT) * 10**word + L.REPEAT)
-    assert abs(-2 * again - ends) < 1e-6
+def segmentations(word, pieces):
+    """All ways to cut a word, each as the list of its pieces."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        for p in pieces.get(word[:k], []):
+            for rest in segmentations(word[k:], pieces):
+                yield [p, *rest]
+
+
+def test_score_by_listing_all_segmentations(spark):
+    """Fitting and scoring as two rounds by hand over every segmentation of every word."""
+    texts = {1: "the cat the", 2: "a Cat", 3: None, 4: "dog cat zq"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    vocab = vocabulary.load()
+    lattice = L.Lattice(vocab)
+    pieces = {}
+    for i in vocab.normal.tolist():
+        pieces.setdefault(vocab.surfaces[i], []).append(i)
+    for byte in range(256):
+        pieces.setdefault(bytes([byte]), []).append(int(vocab.byte_ids[byte]))
+    words = {i: (t or "").lower().encode().split() for i, t in texts.items()}
+    ways = {w: list(segmentations(b" " + w, pieces)) for ws in words.values() for w in ws}
+    first = np.exp(lattice.first_weights(vocab))
+    chance = first
+    for _ in range(2):
+        counts = first * 0.01 * lattice.size
+        for i in (1, 2, 3):
+            counts[-1] += 1
+            for w in words[i]:
+                each = np.array([np.prod([chance[p] for p in way]) for way in ways[w]])
+                for way, share in zip(ways[w], each / each.sum(), strict=True):
+                    for p in way:
+                        counts[p] += share
+        chance = counts / counts.sum()
+
+    def logs(i, p):
+        return math.log10(p[-1]) + sum(math.log10(sum(np.prod([p[x] for x in way]) for way in ways[w])) for w in words[i])
+
+    got = {r.doc_id: r for r in L.score(docs, F.col("doc_id") == 4, rounds=2).collect()}
+    for i in texts:
+        assert abs(got[i].score - logs(i, chance)) < 1e-9 and abs(got[i].vocabulary_score - logs(i, first)) < 1e-9
+
+
+def test_long_words_in_parts(monkeypatch):
+    vocab = vocabulary.load()
+    lattice = L.Lattice(vocab)
+    weights = lattice.first_weights(vocab)
+    words = [bytes(97 + (k * k + k // 7) % 26 for k in range(5000)), b"short", b"y" * 900]
+    want, expected = lattice.log_marginals(words, weights), np.zeros(lattice.size)
+    lattice.log_marginals(words, weights, np.array([1.0, 3.0, 2.0]), expected)
+    monkeypatch.setattr(L, "LATTICE_BYTES", 700)
+    again = np.zeros(lattice.size)
+    assert np.abs(lattice.log_marginals(words, weights, np.array([1.0, 3.0, 2.0]), again) - want).max() < 1e-6
+    assert np.abs(again - expected).max() < 1e-6
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
