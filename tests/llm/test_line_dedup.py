@@ -18,7 +18,7 @@ def lines(text, n=10):
     while at < len(text):
         word, marks, blanks, end = STEP.match(text, at).groups()
         tail = word[-2:]
-        stop = bool(re.search(r"""[.!?…]["')\]}»”’]?$""", word)) and not re.search(r"""^["')\]}»”’]$""", word) or bool(re.fullmatch(L.PICKED, tail))
+        stop = bool(re.search(r"""[.!?…]["')\]}»”’」』）]?$""", word)) and not re.search(r"""^["')\]}»”’]$""", word) or bool(re.fullmatch(L.PICKED, tail))
         words += 1
         if marks or not blanks or stop or words == n:
             out.append(line + word + marks + blanks + end)
