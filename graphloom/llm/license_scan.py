@@ -3,26 +3,28 @@
 Texts and templates become hashes of five-word shingles. Templates are put into classes by their number of shingles; a
 class of size C is looked for in windows of 2C shingles that start every C, so whatever a template of the class covers
 lies whole inside one window. Every window and template has one minimum per hash function, each of which is a band of one
-row; a template is retrieved where any band agrees, and exact shingle containment verifies it. As many bands are used as
-bring the chance to retrieve a template, of which 0.8 lies in a window, to 0.999 at least. Texts that share no shingle
-with any template cannot contain 0.8 of one and have no windows made.
+row; a template is retrieved where any band agrees, and exact shingle containment verifies it, for each row of texts by
+itself. As many bands are used as bring the chance to retrieve a template, of which 0.8 lies in a window, to 0.999 at
+least. A shingle is hashed once for each band; the minima of a class are those of blocks of C shingles, two blocks to a
+window. Texts that share no shingle with any template cannot contain 0.8 of one and have no windows made.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import maybe_among, stored
 
 SHINGLE, CONTAINMENT, CERTAINTY = 5, 0.8, 0.999
-#: Templates travel in the plan, so their total size is limited.
-MOST_TEMPLATE_BYTES = 200_000
+#: Shingles of all templates up to which their tables are broadcast; beyond, they are joined like any others.
+BROADCAST_SHINGLES = 1_000_000
+#: Where a system keeps the full texts of common licences, if it does.
+FULL_TEXTS = "/usr/share/common-licenses"
 
 # Notices as licences themselves prescribe or commonly have them.
 TEMPLATES = {
@@ -45,11 +47,10 @@ TEMPLATES = {
 
 
 @dataclass(frozen=True)
-class Class_:
-    """Templates of one size class; windows of twice `size` shingles start every `size`."""
+class SizeClass:
+    """Templates of over half of `size` shingles up to `size`; windows of twice `size` start every `size`."""
 
     size: int
-    names: tuple[str, ...]
     bands: int
 
 
@@ -73,70 +74,82 @@ def shingles(words: Column, width: int = SHINGLE) -> Column:
     return F.when(F.size(words) >= width, runs).when(F.size(words) > 0, short).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def minima(hashes: Column, bands: int) -> Column:
-    """The minimum of a set of hashes under each of `bands` hash functions."""
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+def full_texts(folder: str = FULL_TEXTS) -> dict[str, str]:
+    """The texts of the files in a folder by their names; none where there is no such folder."""
+    path = Path(folder)
+    return {f"{x.name}/full": x.read_text(errors="replace") for x in sorted(path.iterdir()) if x.is_file() and not x.is_symlink()} if path.is_dir() else {}
 
-    return F.array(*map(least, range(bands)))
 
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """(template, wanted): names and distinct shingles of templates; those without words are left out."""
+    rows = spark.createDataFrame(sorted(templates.items()), "template string, body string").select("template", words_of(F.col("body")).alias("w"))
+    return rows.select("template", F.array_distinct(shingles(F.col("w"))).alias("wanted")).where(F.size("wanted") > 0)
 
-def _size(text: str) -> int:
-    return max(1, len(re.findall(r"[^\W_]+", text)) - SHINGLE + 1)
 
+def classes_of(sizes: list[int], containment: float = CONTAINMENT) -> list[SizeClass]:
+    """The classes of templates of these numbers of shingles, with bands enough for the smallest one of each."""
+    least: dict[int, int] = {}
+    for n in sizes:
+        size = 1 << (n - 1).bit_length()
+        least[size] = min(n, least.get(size, n))
+    return [SizeClass(size, bands_for(containment * n / (2 * size + (1 - containment) * n))) for size, n in sorted(least.items())]
 
-def classes_of(templates: dict[str, str], containment: float = CONTAINMENT) -> list[Class_]:
-    found: dict[int, list[str]] = {}
-    for name, text in templates.items():
-        found.setdefault(1 << (_size(text) - 1).bit_length(), []).append(name)
-    out = []
-    for size, names in sorted(found.items()):
-        least = min(_size(templates[n]) for n in names)
-        share = containment * least / (2 * size + (1 - containment) * least)
-        out.append(Class_(size, tuple(names), bands_for(share)))
-    return out
 
+def _band(hashes: Column, band: Column) -> Column:
+    return F.transform(hashes, lambda h: F.xxhash64(h, band))
 
-def template_rows(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(template, hashes): at most `MOST_TEMPLATE_BYTES` of text."""
-    if sum(len(x.encode()) for x in templates.values()) > MOST_TEMPLATE_BYTES:
-        raise ValueError(f"templates have over {MOST_TEMPLATE_BYTES} bytes")
-    rows = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    return rows.select("template", words_of(F.col("body")).alias("w")).select("template", F.array_distinct(shingles(F.col("w"))).alias("wanted"))
 
+def _window_minima(hashes: Column, size: int) -> Column:
+    """(size, at, low) for windows of 2 `size` hashes that start every `size`."""
+    n = F.greatest(F.ceil(F.size(hashes) / size) - 1, F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lit(size).alias("size"), (k * size).alias("at"), F.array_min(F.slice(hashes, k * size + 1, 2 * size)).alias("low")))
 
-def _parts(hashes: Column, size: int) -> Column:
-    """Windows of 2 `size` hashes that start every `size`, as structs (at, part)."""
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(hashes) / size) - 2, F.lit(0)).cast("int"))
-    return F.transform(starts, lambda k: F.struct((k * size).alias("at"), F.slice(hashes, k * size + 1, 2 * size).alias("part")))
 
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(id_col, template, n_windows, containment, first_word): the templates found in each text.
 
-    containment is the largest share of a template's shingles in one window, first_word the place of the first such
-    window that reaches the limit. Null and empty texts hold no template; rows that repeat an id and text are counted
-    together; an empty table gives no rows. Other columns are not read.
+    `templates` are texts by name, or a table (template, wanted) of distinct shingle hashes; the notices above if None.
+    Every row is verified by itself. containment is the largest share of a template's shingles in one window, n_windows the
+    number of windows that reach the limit, first_word the place of the first such window. Rows that share an id, or have
+    none, are then counted together: the sum of their windows, the largest share, the first place; so the order of rows
+    does not matter. Null and empty texts hold no template; an empty table gives no rows. Other columns are not read.
     """
-    templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    known = template_rows(spark, templates)
-    every = [h for r in known.collect() for h in r.wanted]  # as many as the templates' words
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
-    # the row number keeps the filter above the shingles: below, it would cut the text anew for each shingle
-    rows = rows.select("id", shingles(F.col("w")).alias("h"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows.where(F.arrays_overlap("h", F.array(*(F.lit(h) for h in sorted(set(every))))) & (F.col("row") >= 0)).select("id", "h"), "license-candidates")
-    found = []
-    for group in classes_of(templates, containment):
-        spread = rows.select("id", F.explode(_parts(F.col("h"), group.size)).alias("p")).select("id", "p.at", "p.part")
-        spread = spread.withColumn("low", minima(F.col("part"), group.bands)).select("id", "at", "part", F.posexplode("low").alias("band", "low"))
-        wanted = known.where(F.col("template").isin(*group.names)).select("template", "wanted", F.posexplode(minima(F.col("wanted"), group.bands)).alias("band", "low"))
-        hits = spread.join(F.broadcast(wanted), ["band", "low"]).groupBy("id", "at", "template").agg(F.first("part").alias("part"), F.first("wanted").alias("wanted"))
-        found.append(hits.select("id", "at", "template", (F.size(F.array_intersect("part", "wanted")) / F.size("wanted")).alias("share")))
-    sure = functools.reduce(DataFrame.union, found).where(F.col("share") >= containment)
+    known = templates if isinstance(templates, DataFrame) else template_table(spark, TEMPLATES if templates is None else templates)
+    known = stored(known.select("template", "wanted", F.size("wanted").alias("n")), "license-templates")
+    sizes = known.groupBy("n").count().collect()  # at most one row for each length of a template
+    classes = classes_of([r.n for r in sizes], containment)
+    if not classes:
+        return docs.where("false").select(F.col(id_col), F.lit("").alias("template"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"))
+    few = sum(r.n * r["count"] for r in sizes) <= BROADCAST_SHINGLES
+    small = F.broadcast if few else lambda x: x
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    every = rows.select("th", words_of(F.col("text")).alias("w")).select("th", F.explode_outer(shingles(F.col("w"))).alias("h"))
+    hit = every.join(small(known.select(F.explode("wanted").alias("h")).distinct()), "h", "left_semi").select(F.col("th").alias("id")).distinct()
+    hit = stored(hit, "license-texts")
+    some = maybe_among(rows, "th", hit).where("_maybe").select("id", words_of(F.col("text")).alias("w"))
+    some = stored(some.select(F.monotonically_increasing_id().alias("row"), "id", shingles(F.col("w")).alias("h")), "license-candidates")
+
+    bands = max(c.bands for c in classes)
+    spread = some.where(F.size("h") > 0).select("row", "h", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    spread = spread.select("row", "band", _band(F.col("h"), F.col("band")).alias("x"))
+    minima = F.concat(*(F.when(F.col("band") < c.bands, _window_minima(F.col("x"), c.size)).otherwise(F.slice(_window_minima(F.col("x"), c.size), 1, 0)) for c in classes))
+    spread = spread.select("row", "band", F.explode(minima).alias("m")).select("row", "band", "m.size", "m.at", "m.low")
+    size, most = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for c in reversed(classes):
+        size, most = F.when(F.col("n") <= c.size, c.size).otherwise(size), F.when(F.col("n") <= c.size, c.bands).otherwise(most)
+    wanted = known.select("template", "wanted", size.alias("size"), F.explode(F.sequence(F.lit(0), most - 1)).alias("band"))
+    wanted = wanted.select("template", "size", "band", F.array_min(_band(F.col("wanted"), F.col("band"))).alias("low"))
+    found = spread.join(small(wanted), ["size", "band", "low"]).select("row", "size", "at", "template").distinct()
+
+    part = F.slice(F.col("h"), F.col("at") + 1, 2 * F.col("size"))
+    sure = found.join(some, "row").join(small(known.select("template", "wanted")), "template").select("row", "id", "at", "template", (F.size(F.array_intersect(part, F.col("wanted"))) / F.size("wanted")).alias("share"))
+    sure = sure.where(F.col("share") >= containment)
     return sure.groupBy("id", "template").agg(F.count("*").alias("n_windows"), F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word")).withColumnRenamed("id", id_col)
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, template, n_windows, containment, first_word) over every whole document."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """(doc_id, template, n_windows, containment, first_word) over every whole document, by notices and full texts."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES | full_texts())

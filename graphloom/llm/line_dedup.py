@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import maybe_among, stored
 
 WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
-#: Bits that tell texts without repeats from others before texts are shuffled, for each text with repeats, and their limits.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
 #: A word ends a line if the code points of its last two letters add up to `RESIDUE` modulo 8; `LETTERS` has Latin small
 #: letters by their code points modulo 8. Any rule would do that depends on the word alone and picks one word in eight or so.
 RESIDUE = 2
@@ -96,23 +94,6 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def maybe_among(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """`docs` with a column `_dedup_maybe`: false only where `id_col` is none of `ids.id`, as a broadcast bitmap of their hashes tells.
-
-    The bitmap has `BITS_EACH` bits for each id and 16 MB at most; beyond that it only lets more rows pass.
-    """
-    bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH << max(0, ids.count() - 1).bit_length()))
-
-    def place(x: Column) -> Column:
-        return F.pmod(F.xxhash64(x), F.lit(bits))
-
-    marked = ids.select(place(F.col("id")).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_dedup_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_dedup_map"))
-    at = F.bitmap_bit_position(place(F.col(id_col)))
-    byte = F.conv(F.hex(F.substring(F.col("_dedup_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = docs.withColumn("_dedup_bucket", F.bitmap_bucket_number(place(F.col(id_col)))).join(F.broadcast(marked), "_dedup_bucket", "left")
-    return joined.withColumn("_dedup_maybe", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("_dedup_bucket", "_dedup_map")
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """`docs` with `text_col` less the lines of later occurrences, and (n_lines, n_removed), which replace columns of these names.
 
@@ -127,8 +108,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = maybe_among(docs, id_col, found.select(F.col("_dedup_id").alias("id"))).withColumn("_dedup_th", text_hash(F.col(id_col), text, unique))
     same = F.col(id_col).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_th") == F.col("_dedup_found"))
-    some = keyed.where("_dedup_maybe").join(found, same, "left").drop("_dedup_id", "_dedup_found")
-    rest = keyed.where("not _dedup_maybe").withColumn("_dedup_places", F.lit(None).cast("array<int>"))
+    some = keyed.where("_maybe").join(found, same, "left").drop("_dedup_id", "_dedup_found")
+    rest = keyed.where("not _maybe").withColumn("_dedup_places", F.lit(None).cast("array<int>"))
     joined = some.unionByName(rest).withColumn("_dedup_lines", full_lines(text, line_words))
     places, full = F.col("_dedup_places"), F.col("_dedup_lines")
 
@@ -140,7 +121,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]
     changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
     counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), F.size(full) - F.size(left)).otherwise(0).cast("long")}
-    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_dedup_maybe")
+    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_maybe")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -118,5 +118,5 @@ def test_real_lines_and_least_words(spark):
 def test_bitmap_lets_no_id_through(spark):
     ids = spark.range(0, 5000, 7)
     rows = L.maybe_among(spark.range(6000).withColumnRenamed("id", "doc_id"), "doc_id", ids)
-    got = {r.doc_id: r._dedup_maybe for r in rows.collect()}
+    got = {r.doc_id: r._maybe for r in rows.collect()}
     assert len(got) == 6000 and all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 1200
