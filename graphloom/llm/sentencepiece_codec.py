@@ -2,13 +2,16 @@
 
 The texts of a batch are cut at word marks, which no piece of the vocabulary crosses, and the distinct chunks are laid end
 to end. A suffix array over that text gives by binary search the range of suffixes that begin with each piece, which are
-all its occurrences. These are the edges of a lattice; sorted by position they are relaxed in one pass, for all chunks
-together, and the path with the largest sum of scores is read back. A character that no piece covers becomes byte pieces.
-A worker remembers the ids of chunks of earlier batches, up to a fixed number, and indexes the new ones only.
+all its occurrences. These are the edges of a lattice, sorted by position. The scores of a unigram vocabulary relax them in
+one pass, for all chunks together, and the path with the largest sum is read back. The scores of a merge vocabulary are
+ranks: there an edge joins two neighbours of a path of single characters, the edge of the best score first, until no edge
+is left that does; the library encodes by the same order and gives the same ids. A character that no piece covers becomes
+byte pieces. A worker remembers the ids of chunks of earlier batches, up to a fixed number, and indexes the new ones only.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import zlib
@@ -26,6 +29,8 @@ from graphloom.llm.vocabulary import Vocabulary
 
 #: Bytes of text that are encoded together, of distinct chunks in one suffix array, and chunks that an encoder remembers.
 BATCH_BYTES, INDEX_BYTES, REMEMBERED = 2_000_000, 128_000, 400_000
+#: Characters of a chunk up to which chunks are merged side by side; a longer one is merged by itself, through a queue.
+SHORT = 48
 #: Ids that are decoded together.
 DECODED = 20_000
 #: What an unknown character costs below the lowest score of a piece, as in SentencePiece.
@@ -111,6 +116,74 @@ class Encoder:
         size = self.lens[piece]
         inside = place + size <= (starts + sizes)[chunk_of[place]]
         place, piece, size = place[inside], piece[inside], size[inside]
+        best = self._merged if self.vocab.merges else self._heaviest
+        place, size, token, owner = best(data, starts, sizes, chunk_of, place, piece, size)
+        width = np.where(token < 0, size, 1)
+        ids = np.repeat(token, width)
+        at = np.repeat(place - (np.cumsum(width) - width), width) + np.arange(len(ids))
+        ids = np.where(ids < 0, self.vocab.byte_ids[data[np.minimum(at, len(data) - 1)]], ids)
+        return ids, np.bincount(owner, width, minlength=len(chunks)).astype(np.int64)
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk_of: np.ndarray, place: np.ndarray, piece: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, bytes, piece or -1, chunk) of the symbols left when edges have joined neighbours, best scores first, leftmost among equals."""
+        wide = int(self.lens.max()) + 1
+        order = np.argsort(place * wide + size)
+        keys, pieces = (place * wide + size)[order], piece[order]
+
+        def among(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """Pieces over the given bytes, as indexes into `ids`, -1 for none."""
+            long = end - start
+            want = start * wide + np.minimum(long, wide - 1)
+            at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+            return np.where((long < wide) & (keys[at] == want), pieces[at], -1) if len(keys) else np.full(len(start), -1)
+
+        def score(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            found = among(start, end)
+            return np.where(found >= 0, self.scores[found], -np.inf)
+
+        begins = (data & 0xC0) != 0x80
+        begins[starts] = True
+        start = np.flatnonzero(begins)
+        end, of = np.append(start[1:], len(data)), chunk_of[start]
+        counts = np.bincount(of, minlength=len(starts))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.flatnonzero(counts > SHORT).tolist():
+            mine = slice(*np.searchsorted(of, [k, k + 1]).tolist())
+            done.append(_queued(start[mine], end[mine], score))
+        short = counts[of] <= SHORT
+        start, end, of = start[short], end[short], of[short]
+        ahead = np.append(end[1:], 0)
+        pair = np.where(np.append(of[1:] == of[:-1], False), score(start, np.where(ahead > start, ahead, end)), -np.inf) if len(of) else np.zeros(0)
+        while len(start):
+            heads = np.flatnonzero(np.diff(of, prepend=-1))
+            top = np.repeat(np.maximum.reduceat(pair, heads), np.diff(np.append(heads, len(of))))
+            alive = np.isfinite(top)
+            if not alive.all():
+                done.append((start[~alive], end[~alive]))
+                start, end, of, pair, top = start[alive], end[alive], of[alive], pair[alive], top[alive]
+                if not len(start):
+                    break
+            hit = np.flatnonzero(pair == top)
+            hit = hit[np.diff(of[hit], prepend=-1) != 0]
+            end[hit] = end[hit + 1]
+            keep = np.ones(len(start), bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # where the joined symbols are now
+            start, end, of, pair = start[keep], end[keep], of[keep], pair[keep]
+            for left in (at, at[at > 0] - 1):
+                inside = np.flatnonzero(of[left] == of[np.minimum(left + 1, len(of) - 1)])
+                pair[left] = -np.inf
+                inside = inside[left[inside] + 1 < len(of)]
+                pair[left[inside]] = score(start[left[inside]], end[left[inside] + 1])
+        start, end = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (start, end)
+        order = np.argsort(start)
+        start, end = start[order], end[order]
+        found = among(start, end)
+        return start, end - start, np.where(found >= 0, self.ids[found], -1), chunk_of[start]
+
+    def _heaviest(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk_of: np.ndarray, place: np.ndarray, piece: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place, bytes, piece or -1, chunk) along the path of each chunk with the largest sum of scores."""
+        chunks = len(starts)
         # characters without a piece of their own get an edge of their own
         lead = np.select([data < 0x80, data >= 0xF0, data >= 0xE0, data >= 0xC0], [1, 4, 3, 2], 0)
         alone = np.zeros(len(data), bool)
@@ -124,8 +197,8 @@ class Encoder:
         order = np.argsort(step)
         place, size, score, token, step = place[order], size[order], score[order], token[order], step[order]
         source = place + chunk_of[place]  # one node more than bytes in each chunk
-        best = np.full(len(data) + len(chunks), -np.inf)
-        best[starts + np.arange(len(chunks))] = 0
+        best = np.full(len(data) + chunks, -np.inf)
+        best[starts + np.arange(chunks)] = 0
         back = np.full(len(best), -1)
         cuts = np.flatnonzero(np.diff(step)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(step)], strict=True):
@@ -133,8 +206,8 @@ class Encoder:
             better = np.flatnonzero(sums > best[target])
             best[target[better]] = sums[better]
             back[target[better]] = a + better
-        at, goal = starts + sizes + np.arange(len(chunks)), starts + np.arange(len(chunks))
-        active, taken, owners = np.arange(len(chunks)), [], []
+        at, goal = starts + sizes + np.arange(chunks), starts + np.arange(chunks)
+        active, taken, owners = np.arange(chunks), [], []
         while len(active):
             edge = back[at[active]]
             taken.append(edge)
@@ -144,11 +217,8 @@ class Encoder:
         edges, owner = np.concatenate(taken), np.concatenate(owners)
         order = np.argsort(source[edges])
         edges, owner = edges[order], owner[order]
-        width = np.where(token[edges] < 0, size[edges], 1)
-        ids = np.repeat(token[edges], width)
-        at = np.repeat(place[edges] - (np.cumsum(width) - width), width) + np.arange(len(ids))
-        ids = np.where(ids < 0, self.vocab.byte_ids[data[np.minimum(at, len(data) - 1)]], ids)
-        return ids, np.bincount(owner, width, minlength=len(chunks)).astype(np.int64)
+        return place[edges], size[edges], token[edges], owner
+
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """Chunks without the first blank that each has."""
@@ -189,6 +259,29 @@ class Encoder:
         self.known_ids, self.known_counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
+def _queued(start: np.ndarray, end: np.ndarray, score) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one long chunk after the same merges, by a queue of pairs: time grows with the chunk's length only."""
+    n = len(start)
+    first, last = start.tolist(), end.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(-s, i, last[i + 1]) for i, s in enumerate(score(start[:-1], end[1:]).tolist()) if s != -np.inf]
+    heapq.heapify(queue)
+    while queue:
+        _, i, upto = heapq.heappop(queue)
+        j = after[i]
+        if first[i] < 0 or j >= n or last[j] != upto:  # one of the two has been joined since
+            continue
+        last[i], first[j], after[i] = upto, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        ends = [(a, b) for a, b in ((before[i], i), (i, after[i])) if a >= 0 and b < n]
+        for (a, b), s in zip(ends, score(np.array([first[a] for a, _ in ends]), np.array([last[b] for _, b in ends])).tolist() if ends else (), strict=True):
+            if s != -np.inf:
+                heapq.heappush(queue, (-s, a, last[b]))
+    left = [k for k in range(n) if first[k] >= 0]
+    return np.array([first[k] for k in left]), np.array([last[k] for k in left])
+
+
 #: Encoders of this worker by the vocabulary's fingerprint, so that later tasks find what earlier ones remembered.
 _ENCODERS: dict[int, Encoder] = {}
 

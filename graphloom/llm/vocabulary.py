@@ -15,7 +15,10 @@ MOST_BYTES = 16_000_000
 
 @dataclass
 class Vocabulary:
-    """`surfaces` have a blank for the word mark; `normal` are ids of pieces to match; `byte_ids` has the id of each byte piece."""
+    """`surfaces` have a blank for the word mark; `normal` are ids of pieces to match; `byte_ids` has the id of each byte piece.
+
+    `merges`: the scores are ranks of merges (whole numbers, none above 0) and no log-probabilities.
+    """
 
     surfaces: list[bytes]
     scores: np.ndarray
@@ -23,8 +26,11 @@ class Vocabulary:
     byte_ids: np.ndarray
     unknown: int
     within_words: bool = field(init=False)
+    merges: bool = field(init=False)
 
     def __post_init__(self) -> None:
+        own = self.scores[self.normal]
+        self.merges = bool((own <= 0).all() and (own == np.round(own)).all())
         self.within_words = not any(b" " in self.surfaces[i].lstrip(b" ") for i in self.normal.tolist())
 
 

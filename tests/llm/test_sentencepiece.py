@@ -1,5 +1,6 @@
 """SentencePiece encoding against a plain best-path search and the library."""
 
+import dataclasses
 import itertools
 
 import sentencepiece
@@ -12,7 +13,10 @@ from graphloom.llm import vocabulary
 
 VOCAB = vocabulary.load()
 ENCODER = S.Encoder(VOCAB)
-NORMAL = {VOCAB.surfaces[i]: (VOCAB.scores[i], i) for i in VOCAB.normal.tolist()}
+#: The same pieces with scores that are no ranks, as a unigram vocabulary has them.
+SUMS = S.Encoder(dataclasses.replace(VOCAB, scores=VOCAB.scores - 0.5))
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=vocabulary.DEFAULT_MODEL)
+NORMAL = {VOCAB.surfaces[i]: (VOCAB.scores[i] - 0.5, i) for i in VOCAB.normal.tolist()}
 
 
 def plain(text):
@@ -38,28 +42,39 @@ def plain(text):
     return out
 
 
-def encoded(texts):
-    ids, ends = ENCODER.encode([t.encode() for t in texts])
+def encoded(texts, encoder=ENCODER):
+    ids, ends = encoder.encode([t.encode() for t in texts])
     return [ids[a:b].tolist() for a, b in itertools.pairwise([0, *ends.tolist()])]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" ab\n\té漢🎉the"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=5))
 def test_best_path(texts):
-    assert encoded(texts) == [plain(t) for t in texts]
+    assert encoded(texts, SUMS) == [plain(t) for t in texts]
 
 
 def test_remembered_chunks_do_not_matter():
     texts = ["the same words", "the other words same", "the same words"]
     first = encoded(texts)
     ENCODER.forget()
-    assert encoded(texts) == first == [plain(t) for t in texts]
+    assert encoded(texts) == first == LIBRARY.encode(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" ab\n\té漢🎉thein"), st.characters(exclude_categories=["Cs"], exclude_characters="▁")), max_size=120), max_size=5))
+def test_ids_of_the_library(texts):
+    assert encoded(texts) == LIBRARY.encode(texts)
+
+
+def test_ids_of_the_library_on_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["ab" * 3000, "漢字かな交じり文。" * 300, "the" * 500 + " " + "in" * 40, "  lead", "trail   ", "<s> <unk> <0x0A>"]
+    assert encoded(texts) == LIBRARY.encode(texts)
 
 
 def test_the_library_reads_the_ids():
-    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary.DEFAULT_MODEL)
     texts = ["Hello  world\nthe é 漢字 ", "plain words", " lead"]
-    assert [model.decode(ids) for ids in encoded(texts)] == texts
+    assert [LIBRARY.decode(ids) for ids in encoded(texts)] == texts
 
 
 def test_round_trip_of_odd_rows(spark, odd_docs, no_docs):
