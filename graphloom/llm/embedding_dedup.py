@@ -1,15 +1,18 @@
 """Embedding near-dedup over hierarchical navigable small-world graphs.
 
 Distinct vectors of a label are dealt to shards of bounded size. Each shard has a graph of its own: layers of fewer and
-fewer nodes, whose neighbours are chosen to lie in different directions, built by inserting growing blocks of nodes. Every
-shard is queried with every vector of its label: a walk down the layers, then a beam. A beam that ends within the links'
-range is widened, and so are all beams of a shard until audits pass: probes made at the limit of similarity must find the
-vectors they were made from, and a share of the vectors must find what brute force finds. Links are verified in double
-precision, joined to local components in their task, and over shards by a distributed search of connected components.
+fewer nodes, whose neighbours are chosen to lie in different directions, built by inserting growing blocks of nodes. When
+it is built its beams are widened until audits pass: probes made at the limit of similarity must find the vectors they were
+made from, as vectors of other shards must, and a share of the vectors must find what brute force finds. A shard that never
+passes is compared in full, and so is a vector with more neighbours in range than a beam holds. Blocks of query vectors
+travel to the graph of each shard of their label and stream past it; of two shards one queries the other. Links are
+verified in double precision, counted and joined to local components as they are found, and components of shards are joined
+by a distributed search.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -20,10 +23,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Forest, connected_components, stored
 
-SHARD_ROWS, NEIGHBOURS, LAYER_SHARE, BEAM = 6000, 16, 16, 48
+SHARD_ROWS, NEIGHBOURS, LAYER_SHARE, BEAM = 20_000, 16, 16, 48
 #: Share of probes and of brute-force links that a beam must find, probes of a shard, ids of which one in so many is audited.
 RECALL, PROBES, AUDITED = 0.995, 256, 50
-BLOCK = 512
+#: Queries that walk together, beams over which a query with all its beam in range is compared in full, queries of other shards in a task.
+BLOCK, WIDEST, QUERY_ROWS = 512, 192, 100_000
+#: Similarities in single precision may be so far below the true ones; pairs that are verified together.
+MARGIN, AT_ONCE = 1e-5, 100_000
 
 
 class Layer:
@@ -175,21 +181,28 @@ class Graph:
         return beam(self.x, lowest, queries, entries, size)
 
 
-def in_range(graph: Graph, queries: np.ndarray, limit: float, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) with similarity of `limit` or more; beams that end within the range are widened until they do not."""
+def in_range(graph: Graph, queries: np.ndarray, limit: float, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(query, node, in full) with similarity of `limit` or more.
+
+    Beams that end within the range are widened, and beyond `WIDEST` the query is compared with all nodes; a size of 0
+    does so at once. `in full` says which.
+    """
     start = _top(graph)
     todo = np.arange(len(queries))
-    while len(todo):
+    while size and len(todo) and size <= WIDEST:
         again = []
-        block = max(16, min(BLOCK, BLOCK * 128 // size))
-        for k in range(0, len(todo), block):
-            part = todo[k : k + block]
+        for k in range(0, len(todo), BLOCK):
+            part = todo[k : k + BLOCK]
             nodes, sims = graph.search(queries[part], size, start)
-            full = (sims.min(axis=1) >= limit) & (nodes.shape[1] < len(graph.x))
+            full = sims.min(axis=1) >= limit
             again.append(part[full])
             row, col = np.nonzero((sims >= limit) & ~full[:, None] & (nodes >= 0))
-            yield part[row], nodes[row, col]
+            yield part[row], nodes[row, col], False
         todo, size = np.concatenate(again), size * 4
+    for k in range(0, len(todo), BLOCK):
+        part = todo[k : k + BLOCK]
+        row, node = np.nonzero(queries[part] @ graph.x.T >= limit)
+        yield part[row], node.astype(np.int32), True
 
 
 def _top(graph: Graph) -> np.ndarray:
@@ -197,11 +210,13 @@ def _top(graph: Graph) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def audited_beam(graph: Graph, ids: np.ndarray, limit: float) -> int:
-    """The first beam width, doubling from `BEAM`, whose recall passes; at the shard's size a beam sees every node that can be reached."""
+def audited_beam(graph: Graph, ids: np.ndarray, limit: float) -> tuple[int, float]:
+    """(the first beam width, doubling from `BEAM`, whose recall passes, and that recall); (0, 1.0), all in full, if none does."""
     x, random, n = graph.x, np.random.default_rng(7), len(graph.x)
     source = random.choice(n, min(n, PROBES), replace=False)
     noise = random.normal(size=(len(source), x.shape[1]))
@@ -209,98 +224,187 @@ def audited_beam(graph: Graph, ids: np.ndarray, limit: float) -> int:
     norm = np.sqrt((noise * noise).sum(axis=1, keepdims=True))
     aim = min(1.0, limit + 1e-4)
     probes = (aim * x[source] + np.sqrt(1 - aim**2) * noise / np.where(norm > 0, norm, 1)).astype(np.float32)
-    sample = np.flatnonzero(ids % AUDITED == 0)[: 4 * PROBES]
-    truth = x[sample] @ x.T >= limit
+    sample = np.flatnonzero(ids % AUDITED == 0)
     size = BEAM
-    while size < n:
-        nodes, _ = graph.search(probes, size, _top(graph))
-        hit = (nodes == source[:, None]).any(axis=1)
-        # a probe may have its source crowded out by nearer vectors; then the beam widens in the search itself
-        crowded = ((probes @ x.T) > aim - 1e-6).sum(axis=1) > size
-        found = np.zeros_like(truth)
-        for q, node in in_range(graph, x[sample], limit, size):
-            found[q, node] = True
-        if (hit | crowded).mean() >= RECALL and (not truth.any() or (found & truth).sum() >= RECALL * truth.sum()):
-            break
+    while size <= WIDEST and size < n:
+        found = total = 0
+        for q in range(0, len(sample), BLOCK):
+            truth = x[sample[q : q + BLOCK]] @ x.T >= limit
+            total += int(truth.sum())
+            found += sum(int(truth[a, b].sum()) for a, b, _ in in_range(graph, x[sample[q : q + BLOCK]], limit, size))
+        hit = np.zeros(len(source), bool)
+        for q, node, _ in in_range(graph, probes, limit, size):
+            hit[q[node == source[q]]] = True
+        recall = min(float(hit.mean()), found / total if total else 1.0)
+        if recall >= RECALL:
+            return size, recall
         size *= 2
-    return min(size, n)
+    return 0, 1.0
 
 
-def build(table: pa.Table) -> pa.Table:
-    """One row with a shard's graph, from rows (label, dim, shard, node, copies, x)."""
+def build(limit: float, table: pa.Table) -> pa.Table:
+    """One row with a shard's graph and its audit, from rows (lid, lh, dim, shard, node, copies, x)."""
     node = table.column("node").to_numpy()
     order = np.argsort(node)
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order]
     graph = Graph(unit(x).astype(np.float32))
+    width, recall = audited_beam(graph, node[order], limit - MARGIN)
     blob = pickle.dumps((node[order], table.column("copies").to_numpy()[order], x, graph.layers), 5)
-    return pa.table({"label": table.column("label")[:1], "dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "graph": pa.array([blob], pa.large_binary() if len(blob) > 1 << 30 else pa.binary())})
-
-
-def _loaded(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
-    node, copies, x, layers = pickle.loads(blob)
-    graph = Graph.__new__(Graph)
-    graph.x, graph.layers = unit(x).astype(np.float32), layers
-    return node, copies, unit(x), graph
-
-
-def links_of_pair(limit: float, table: pa.Table) -> pa.Table:
-    """(node, n_links, root) for the nodes of one shard, or of two that are compared with each other."""
-    shards = [_loaded(b) for b in table.column("graph").to_pylist()]
-    (ids, copies, x, graph), other = shards[-1], shards[0]
-    size = audited_beam(graph, ids, limit)
-    linked = np.zeros((len(other[0]), len(ids)), bool)
-    for q, node in in_range(graph, other[3].x, limit - 1e-5, size):
-        for k in range(0, len(q), 100_000):
-            a, b = q[k : k + 100_000], node[k : k + 100_000]
-            linked[a, b] = np.einsum("ij,ij->i", other[2][a], x[b]) >= limit
-    alone = len(shards) == 1
-    if alone:
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-    offset = 0 if alone else len(other[0])
-    forest = Forest(offset + len(ids))
-    for k in range(0, len(linked), 256):
-        a, b = np.nonzero(linked[k : k + 256])
-        forest.link(a + k, b + offset)
-    every = ids if alone else np.concatenate((other[0], ids))
-    n = linked @ copies + copies - 1 if alone else np.concatenate((linked @ copies, other[1] @ linked))
-    # the smallest id of a local component stands for it
-    roots = forest.roots(np.arange(len(every)))
-    least = np.full(len(every), np.iinfo(np.int64).max)
-    np.minimum.at(least, roots, every)
-    return pa.table({"node": pa.array(every, pa.int64()), "n": pa.array(n.astype(np.int64)), "root": pa.array(least[roots], pa.int64())})
-
-
-def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(id_col, n_links, component_id, kept), a row for each row of `vectors`.
+    keys = {name: table.column(name)[:1] for name in ("lid", "lh", "dim", "shard")}
+    return pa.table(keys | {"graph": pa.array([blob], pa.large_binary() if len(blob) > 1 << 30 else pa.binary()), "width": pa.array([width], pa.int32()), "recall": pa.array([recall])})
+
+
+class Target:
+    """A shard's graph while queries stream past it: links are counted and joined to components of its own nodes."""
+
+    def __init__(self, limit: float, blob: bytes, width: int, recall: float) -> None:
+        self.limit, self.width, self.recall = limit, width, recall
+        self.ids, self.copies, x, layers = pickle.loads(blob)
+        self.x = unit(x)
+        self.graph = Graph.__new__(Graph)
+        self.graph.x, self.graph.layers = self.x.astype(np.float32), layers
+        self.n = np.zeros(len(self.ids), np.int64)
+        self.forest = Forest(len(self.ids))
+        self.own = False  # whether the queries are the shard's own nodes
+
+    def _links(self, queries: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Verified (query, node, in full); nodes come with the position of their own query, if any, to be left out."""
+        for q, node, full in in_range(self.graph, queries.astype(np.float32), self.limit - MARGIN, self.width):
+            for k in range(0, len(q), AT_ONCE):
+                a, b = q[k : k + AT_ONCE], node[k : k + AT_ONCE]
+                keep = np.einsum("ij,ij->i", queries[a], self.x[b]) >= self.limit
+                if only is not None:
+                    keep &= only[a] != b
+                yield a[keep], b[keep], full
+
+    def link_own(self) -> None:
+        """Links among the shard's nodes: what a beam finds from either side counts once; a query in full has all its links."""
+        size, full, pairs = len(self.ids), np.zeros(len(self.ids), bool), [np.zeros(0, np.int64)]
+        some = []
+        for a, b, whole in self._links(self.x, np.arange(size)):
+            if whole:
+                full[a] = True
+                np.add.at(self.n, a, self.copies[b])
+                some.append((a, b))
+                if sum(len(p) for p, _ in some) > 10 * AT_ONCE:
+                    self._join(some)
+            else:
+                pairs.append(np.unique(np.minimum(a, b).astype(np.int64) * size + np.maximum(a, b)))
+        self._join(some)
+        for key in np.array_split(np.unique(np.concatenate(pairs)), max(1, sum(map(len, pairs)) // AT_ONCE)):
+            a, b = key // size, key % size
+            np.add.at(self.n, a[~full[a]], self.copies[b[~full[a]]])
+            np.add.at(self.n, b[~full[b]], self.copies[a[~full[b]]])
+            self.forest.link(a, b)
+        # a full query's links with nodes whose beams were not in full count for these too, unless their beams found them
+        self._other_sides(full, np.unique(np.concatenate(pairs)))
+
+    def _join(self, some: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for a, b in some:
+            self.forest.link(a, b)
+        some.clear()
+
+    def _other_sides(self, full: np.ndarray, known: np.ndarray) -> None:
+        size, whole = len(self.ids), np.flatnonzero(full)
+        for k in range(0, len(whole), BLOCK):
+            part = whole[k : k + BLOCK]
+            row, node = np.nonzero(self.graph.x[part] @ self.graph.x[~full].T >= self.limit - MARGIN)
+            a, b = part[row], np.flatnonzero(~full)[node]
+            sure = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.limit
+            a, b = a[sure], b[sure]
+            key = np.minimum(a, b).astype(np.int64) * size + np.maximum(a, b)
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            fresh = known[at] != key if len(known) else np.ones(len(key), bool)
+            np.add.at(self.n, b[fresh], self.copies[a[fresh]])
+
+    def link_others(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        """(node, n, root, recall) of those queries of another shard that have links here."""
+        n, first = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+        for a, b, _ in self._links(unit(x)):
+            np.add.at(n, a, self.copies[b])
+            np.add.at(self.n, b, copies[a])
+            new = first[a] < 0
+            first[a[new]] = b[new]
+            self.forest.link(first[a], b)
+        some = np.flatnonzero(n)
+        return _rows(ids[some], n[some], self.ids[first[some]], None)
+
+    def end(self) -> pa.RecordBatch:
+        """The same of the shard's nodes: those with links, or all with the recall of its beams where its own are counted."""
+        n = self.n + self.copies - 1 if self.own else self.n
+        root = self.ids[self.forest.roots(np.arange(len(self.ids)))]
+        some = np.arange(len(self.ids)) if self.own else np.flatnonzero(n)
+        return _rows(self.ids[some], n[some], root[some], self.recall if self.own else None)
+
+
+def _rows(node: np.ndarray, n: np.ndarray, root: np.ndarray, recall: float | None) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(node, pa.int64()), pa.array(n.astype(np.int64)), pa.array(root, pa.int64()), pa.array([recall] * len(node), pa.float64())], ["node", "n", "root", "recall"])
+
+
+def _search(limit: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Graphs, each before its queries, in rows (own, node, copies, x, graph, width, recall)."""
+    target: Target | None = None
+    for batch in batches:
+        graphs = batch.column("graph")
+        heads = [k for k in range(batch.num_rows) if graphs[k].is_valid]
+        for a, b in itertools.pairwise(sorted({0, *heads, batch.num_rows})):
+            if a in heads:
+                if target:
+                    yield target.end()
+                target = Target(limit, graphs[a].as_py(), batch.column("width")[a].as_py(), batch.column("recall")[a].as_py())
+                if batch.column("own")[a].as_py():
+                    target.own = True
+                    target.link_own()
+                a += 1
+            if b > a:
+                part = batch.slice(a, b - a)
+                x = part.column("x").flatten().to_numpy().reshape(b - a, -1)
+                yield target.link_others(part.column("node").to_numpy(), part.column("copies").to_numpy(), x)
+    if target:
+        yield target.end()
+
+
+def near_duplicates(vectors: DataFrame, limit: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(id_col, n_links, component_id, kept, recall), a row for each row of `vectors`.
 
     Vectors of equal labels and lengths with a cosine of `limit` or more in double precision link. Vectors that are null,
     empty, zero or hold null or non-finite components, those without a label, and those without an id link with nothing:
     n_links is 0 and component_id their id. Equal vectors count as one node with so many copies, each of which is another
-    vector to the rest; rows that repeat an id are links of each other too. An empty table gives an empty one. Other
-    columns are not read.
+    vector to the rest; rows that repeat an id are links of each other too. recall is that of the audit of the vector's
+    shard, 1 where it is compared in full; null for vectors that link with nothing by themselves. An empty table gives an
+    empty one. Other columns are not read.
     """
+    spark = vectors.sparkSession
     x = F.col("x")
-    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
-    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & (norm > 0) & (norm < float("inf"))
+    most = F.array_max(F.transform("x", F.abs))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)) & (most > 0) & (most < float("inf"))
     rows = rows.withColumn("dim", F.size("x")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     nodes = rows.where("usable").groupBy("label", "dim", "x").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     nodes = stored(nodes, "vectors")
-    sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    kind = vectors.schema[label_col].dataType.simpleString()
-    graphs = stored(dealt.select("label", "dim", "shard", "node", "copies", "x").groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, graph binary"), "graphs")
-    numbers = graphs.select("label", "dim", "shard")
-    meets = numbers.join(numbers.withColumnRenamed("shard", "other"), ["label", "dim"]).withColumns({"low": F.least("shard", "other"), "high": F.greatest("shard", "other")}).select("label", "dim", "shard", "low", "high").distinct()
-    pairs = graphs.join(meets, ["label", "dim", "shard"]).groupBy("label", "dim", "low", "high").applyInArrow(lambda t: links_of_pair(limit, t), "node long, n long, root long")
-    found = stored(pairs, "vector-links")
-    groups = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    sums = found.groupBy("node").agg(F.sum("n").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-    named = nodes.select("label", "dim", "x", "node").join(sums, "node").select("label", "dim", "x", "n", "component")
-    out = rows.where("usable").join(named, ["label", "dim", "x"]).select("id", "n", "component")
-    out = out.union(rows.where("not usable").select("id", F.lit(0).cast("long"), "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    sizes = nodes.groupBy("label", "dim").agg(F.min("node").alias("lid"), F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.ceil(F.count("*") / (2 * query_rows)).cast("int").alias("blocks"))
+    dealt = nodes.join(sizes, ["label", "dim"]).select("lid", F.xxhash64("label").alias("lh"), "dim", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "shards", "blocks", "node", "copies", "x")
+    dealt = stored(dealt, "dealt-vectors")
+    keys = ["lid", "lh", "dim"]
+    graphs = stored(dealt.select(*keys, "shard", "node", "copies", "x").groupBy(*keys, "shard").applyInArrow(lambda t: build(limit, t), "lid long, lh long, dim int, shard int, graph binary, width int, recall double"), "graphs")
+
+    counts = sizes.select("lid", F.xxhash64("label").alias("lh"), "dim", "shards", "blocks")
+    # a shard has one task for its own links, and others for the queries of other shards, where there are any
+    tasks = graphs.join(counts, keys).withColumn("task", F.explode(F.sequence(F.lit(0), F.when(F.col("shards") > 1, F.col("blocks")).otherwise(0))))
+    tasks = tasks.select(*keys, F.col("shard").alias("target"), "task", (F.col("task") == 0).alias("own"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("array<double>").alias("x"), "graph", "width", "recall")
+    # of two shards the lower one queries the other if the sum of their numbers is even, else the higher one
+    to = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda t: (t != F.col("shard")) & (((t + F.col("shard")) % 2 == 0) == (F.col("shard") < t)))
+    queries = dealt.where("shards > 1").select(*keys, F.explode(to).alias("target"), (F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")) + 1).cast("int").alias("task"), F.lit(False).alias("own"), "node", "copies", "x", F.lit(None).cast("binary").alias("graph"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("double").alias("recall"))
+    groups = [*keys, "target", "task"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks.count(), 10_000))
+    placed = tasks.union(queries).repartition(n, *groups).sortWithinPartitions(*groups, F.col("graph").isNull(), "node").select("own", "node", "copies", "x", "graph", "width", "recall")
+    found = stored(placed.mapInArrow(lambda batches: _search(limit, batches), "node long, n long, root long, recall double"), "vector-links")
+    components = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    sums = found.groupBy("node").agg(F.sum("n").alias("n"), F.min("recall").alias("recall")).join(components, "node", "left").select("node", "n", "recall", F.coalesce("component", "node").alias("component"))
+    named = nodes.select("label", "dim", "x", "node").join(sums, "node").select("label", "dim", "x", "n", "component", "recall")
+    out = rows.where("usable").join(named, ["label", "dim", "x"]).select("id", "n", "component", "recall")
+    out = out.union(rows.where("not usable").select("id", F.lit(0).cast("long"), "id", F.lit(None).cast("double")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"), "recall")
 
 
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
