@@ -24,6 +24,8 @@ from graphloom.llm.common import pieces_of, stored, texts_as_bytes
 
 #: Text of a segment, bytes of test windows in a block, candidates that are held at once.
 SEGMENT_BYTES, BLOCK_BYTES, AT_ONCE = 4_000_000, 16_000_000, 1_000_000
+#: Words that a near match's words may lie from their places, in the query.
+SLOP = 1
 
 #: A-Z become lower case; what is not a word's byte becomes a blank. Bytes from 0x80 on belong to words.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -101,8 +103,12 @@ class Segment:
         near = self.keys[found]
         return (near >= want - slop) & (near <= want + slop) & (near // self.span == term)
 
-    def matches(self, block: TestBlock, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, start) of all occurrences whose words lie in order, or within `slop` of their places."""
+    def matches(self, block: TestBlock, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, start, position of one of its words) of all occurrences whose words lie in order, or within `slop` of their places.
+
+        A start fits if each word of the window has a position within `slop` of its own place from there, so it does not
+        matter which word the search begins with.
+        """
         local = np.array([self.terms.get(w, -1) for w in block.vocabulary] + [-2], np.int64)
         term = local[block.words]  # -1: not in this segment, -2: past a short window's end
         alive = np.flatnonzero((term != -1).all(axis=1)) if len(self.at) else np.zeros(0, np.int64)
@@ -112,18 +118,21 @@ class Segment:
         counts = np.where(term >= 0, self.counts[term], np.iinfo(np.int64).max)
         order = np.argsort(counts, axis=1, kind="stable")
         term, counts = np.take_along_axis(term, order, 1), np.take_along_axis(counts, order, 1)
-        groups = np.cumsum(counts[:, 0]) // AT_ONCE
+        shifts = np.arange(-slop, slop + 1)
+        groups = np.cumsum(counts[:, 0] * len(shifts)) // AT_ONCE
         for rows in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(groups)) + 1):
             n = counts[rows, 0]
             row = np.repeat(rows, n)
-            start = self.at[np.repeat(self.heads[term[rows, 0]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - order[row, 0]
+            found = self.at[np.repeat(self.heads[term[rows, 0]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            row, found = np.repeat(row, len(shifts)), np.repeat(found, len(shifts))
+            start = found - order[row, 0] + np.tile(shifts, n.sum())
             for k in range(1, term.shape[1]):
                 there = term[row, k]
                 keep = there < 0
                 some = np.flatnonzero(~keep)
                 keep[some] = self.holds(there[some], start[some] + order[row[some], k], slop)
-                row, start = row[keep], start[keep]
-            yield alive[row], start
+                row, start, found = row[keep], start[keep], found[keep]
+            yield alive[row], start, found
 
 
 class TestBlock:
@@ -171,8 +180,8 @@ def _found(block: TestBlock | None, gap: int, slop: int, schema: pa.Schema, batc
             exact: list[set[str]] = [set() for _ in range(n)]
             near: list[set[str]] = [set() for _ in range(n)]
             for most, into in ((0, exact), (slop, near))[: 2 if slop else 1]:
-                for window, start in segment.matches(block, most) if block else ():
-                    doc = np.searchsorted(segment.starts, start, "right") - 1
+                for window, start, found in segment.matches(block, most) if block else ():
+                    doc = np.searchsorted(segment.starts, found, "right") - 1
                     if into is exact:
                         np.add.at(edge, start, 1)
                         np.add.at(edge, start + block.sizes[window], -1)
@@ -192,8 +201,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
     """One row for each row of `docs`: (id_col, n_words, n_hit, items, spans, near_items).
 
     A window is `width` consecutive words of an item, or all of a shorter item's. n_hit counts the document's words inside
-    any occurrence; spans are their [start, end) in words; items have an exact occurrence; near_items have one only if
-    each word may lie up to `slop` words from its place. Null and empty texts have no words; an item without words has no
+    any occurrence; spans are their [start, end) in words; items have an exact occurrence; near_items have none, but a
+    place where each word of a window lies up to `slop` words from where it should. Null and empty texts have no words; an item without words has no
     windows; an item without an id counts as "". Repeated rows give repeated results, repeated items count once; an empty
     table of documents gives no rows and one of items gives rows without hits. Other columns are not read.
     """
@@ -225,9 +234,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    """The contract's rows over the whole `documents` and `benchmark` tables."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The contract's rows over the whole `documents` and `benchmark` tables, and the items that only occur within `SLOP` words."""
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=SLOP)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -245,8 +254,15 @@ dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s
        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) as sizes where len(w) >= n)),
 h as (select doc_id, i, dw.n, item_id from dw join bw on dw.n = bw.n and dw.s = bw.s),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
-it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id),
+dp as (select doc_id, w, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+df as (select word, count(*) as n from dp group by word),
+nw as (select distinct item_id, v, k, v[k] as word from (select item_id, v, unnest(range(1, len(v) + 1)) as k from (select item_id, string_split(s, ' ') as v from bw))),
+anchor as (select item_id, v, arg_min(k, coalesce(n, 0)) as k, arg_min(word, coalesce(n, 0)) as word, min(coalesce(n, 0)) as n from nw left join df using (word) group by item_id, v having min(coalesce(n, 0)) > 0),
+near as (select distinct doc_id, cast(item_id as varchar) as item from (select doc_id, w, v, item_id, p - k + shift as s from dp join anchor using (word), (values (-1), (0), (1)) as t(shift))
+         where len(list_filter(range(1, len(v) + 1), lambda i: list_contains(w[greatest(s + i - 1, 1):s + i + 1], v[i]))) = len(v)),
+ni as (select doc_id, count(*) as n_near, string_agg(item, ',' order by item) as items from near where (doc_id, item) not in (select doc_id, cast(item_id as varchar) from h) group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hit using (doc_id) left join it using (doc_id)
+       sha256(coalesce(it.items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, cast(coalesce(n_near, 0) as bigint) as n_near, sha256(coalesce(ni.items, '')) as near_sha256
+from d left join hit using (doc_id) left join it using (doc_id) left join ni using (doc_id)
 """

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from random import Random
 
 from graphloom.llm import decontaminate as D
 
@@ -54,6 +55,26 @@ def test_near_matches(spark):
     assert got == {1: ([], ["7"]), 2: ([], []), 3: (["7"], [])}
 
 
+def test_near_matches_by_trying_every_start(spark):
+    random = Random(4)
+    letters = "a b c d e".split()
+    docs = [(i, " ".join(random.choices(letters, k=random.randint(0, 14)))) for i in range(300)]
+    items = [(k, " ".join(random.choices(letters, k=random.randint(1, 6)))) for k in range(12)]
+    got = {r.doc_id: (set(r["items"]), set(r.near_items)) for r in D.contamination(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), width=4, slop=1).collect()}
+    for doc, text in docs:
+        w = text.split()
+        exact, near = set(), set()
+        for item, body in items:
+            v = body.split()
+            for part in ([v] if len(v) < 4 else [v[k : k + 4] for k in range(len(v) - 3)]):
+                for s in range(-1, len(w) + 1):
+                    if all(x in w[max(0, s + k - 1) : s + k + 2] for k, x in enumerate(part)):
+                        near.add(str(item))
+                    if s >= 0 and w[s : s + len(part)] == part:
+                        exact.add(str(item))
+        assert got[doc] == (exact, near - exact)
+
+
 def test_empty_tables_and_filter(spark, odd_docs, no_docs):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     assert D.contamination(no_docs, items).count() == 0
