@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints, with built-in column functions only.
 
-A record's nested field paths are written as one string and hashed. The hash selects a declarative mapping, which says
-where the turns of that layout lie; records of different layouts thus become one canonical list of turns. A template marks
+A record's nested field paths are hashed, for each declarative mapping those of them that the mapping knows; the mapping
+whose own fingerprint that is says where the turns of that layout lie, whatever else the record holds. Records of different
+layouts thus become one canonical list of turns, and layouts that no mapping knows can be listed. A template marks
 the turns, and spans of the loss mask point at the assistant's texts in the formatted string. Control strings inside a
 text are escaped in a way that can be undone, so the formatted string can be read back.
 """
@@ -20,34 +21,45 @@ TURNS = "array<struct<role: string, text: string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """One layout: its field paths as `schema_paths` writes them, and where its turns are.
+    """One layout: the field paths that make it, as `field_paths` writes them, and where its turns are.
 
     turns: path of an array of turns, with the names of its role and text; or `fixed` pairs (role, path), of which empty
     texts of optional paths give no turn. A layout with role names of its own has them replaced by `ROLES`.
     """
 
     name: str
-    paths: str
+    paths: tuple[str, ...]
     turns: str = ""
     role: str = "role"
     text: str = "content"
     fixed: tuple[tuple[str, str], ...] = ()
 
 
+def _listed(name: str, field: str, role: str, text: str) -> Mapping:
+    return Mapping(name, (f"{field}[{role}]", f"{field}[{text}]"), field, role, text)
+
+
+def _fixed(name: str, *pairs: tuple[str, str]) -> Mapping:
+    return Mapping(name, tuple(path for _, path in pairs), fixed=pairs)
+
+
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
+#: In order: a record that several mappings fit has the first, so those of more fields come before those of fewer.
 MAPPINGS = (
-    Mapping("turn_rows", "rows[role,text,turn]", "rows", "role", "text"),
-    Mapping("messages", "messages[content,role]", "messages"),
-    Mapping("conversations", "conversations[from,value]", "conversations", "from", "value"),
-    Mapping("dialogue", "dialogue[speaker,text]", "dialogue", "speaker", "text"),
-    Mapping("instruction", "instruction,output", fixed=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction_input", "input,instruction,output", fixed=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("instruction_system", "instruction,output,system", fixed=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
-    Mapping("prompt_completion", "completion,prompt", fixed=(("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt_response", "prompt,response", fixed=(("user", "prompt"), ("assistant", "response"))),
-    Mapping("question_answer", "answer,question", fixed=(("user", "question"), ("assistant", "answer"))),
-    Mapping("system_question", "question,response,system_prompt", fixed=(("system", "system_prompt"), ("user", "question"), ("assistant", "response"))),
+    _listed("turn_rows", "rows", "role", "text"),
+    _listed("messages", "messages", "role", "content"),
+    _listed("conversations", "conversations", "from", "value"),
+    _listed("conversation_messages", "conversations", "role", "content"),
+    _listed("dialogue", "dialogue", "speaker", "text"),
+    _fixed("instruction_input_system", ("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")),
+    _fixed("instruction_input", ("user", "instruction"), ("user", "input"), ("assistant", "output")),
+    _fixed("instruction_system", ("system", "system"), ("user", "instruction"), ("assistant", "output")),
+    _fixed("instruction", ("user", "instruction"), ("assistant", "output")),
+    _fixed("prompt_completion", ("user", "prompt"), ("assistant", "completion")),
+    _fixed("prompt_response", ("user", "prompt"), ("assistant", "response")),
+    _fixed("system_question", ("system", "system_prompt"), ("user", "question"), ("assistant", "response")),
+    _fixed("question_answer", ("user", "question"), ("assistant", "answer")),
 )
 
 
@@ -59,8 +71,23 @@ def schema_paths(record: Column) -> Column:
     return schema
 
 
+def field_paths(paths: Column) -> Column:
+    """The single paths in what `schema_paths` writes, such as `id` and `messages[role]`, two levels deep, as an array."""
+    for _ in range(6):  # what lies deeper goes, one level at a time
+        paths = F.regexp_replace(paths, r"([\[{][^\[\]{}]*)(?:\[[^\[\]{}]*\]|\{[^\[\]{}]*\})", "$1")
+    fields = F.regexp_extract_all(paths, F.lit(r"[^,\[\]{}]+(?:[\[{][^\[\]{}]*[\]}])?"), F.lit(0))
+
+    def single(field: Column) -> Column:
+        name = F.regexp_extract(field, r"^[^\[{]+", 0)
+        inner = F.regexp_extract(field, r"^[^\[{]+\[(.*)\]$", 1)
+        return F.when(inner == "", F.array(name)).otherwise(F.transform(F.split(inner, ","), lambda x: F.concat(name, F.lit("["), x, F.lit("]"))))
+
+    return F.flatten(F.transform(fields, single))
+
+
 def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+    """Of an array of field paths, in whatever order."""
+    return F.xxhash64(F.array_join(F.array_sort(paths), ","))
 
 
 def _turn(role: Column, text: Column, rename: bool) -> Column:
@@ -128,18 +155,30 @@ def under_mask(text: Column, spans: Column) -> Column:
 def format_records(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """`records` with (layout, turns, formatted, loss_spans) for the variant in `record_col`.
 
-    Columns of these names are replaced, others stay. Null roles and texts become empty; a record without turns has an
-    empty string; a null record, or one of an unknown layout, has nulls. Rows are independent, so repeats repeat.
+    Columns of these names are replaced, others stay. Fields that a mapping does not know do not matter to it. Null roles
+    and texts become empty; a null record, one without turns, or one of an unknown layout, has nulls. Rows are
+    independent, so repeats repeat; an empty table gives an empty one.
     """
-    marked = records.withColumn("layout", fingerprint(schema_paths(F.col(record_col))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    marked = records.withColumn("layout", field_paths(schema_paths(F.col(record_col))))
+    layout = F.lit(None).cast("string")
+    for mapping in reversed(mappings):
+        own = F.array(*map(F.lit, mapping.paths))
+        layout = F.when(fingerprint(F.array_intersect("layout", own)) == fingerprint(own), mapping.name).otherwise(layout)
+    marked = marked.withColumn("layout", layout)
+    turns = F.lit(None).cast(TURNS)
     for mapping in mappings:
-        same = F.col("layout") == fingerprint(F.lit(mapping.paths))
-        layout, turns = F.when(same, mapping.name).otherwise(layout), F.when(same, turns_of(F.col(record_col), mapping)).otherwise(turns)
-    out = marked.withColumns({"layout": layout, "turns": turns}).withColumn("formatted", formatted(F.col("turns")))
+        turns = F.when(F.col("layout") == mapping.name, turns_of(F.col(record_col), mapping)).otherwise(turns)
+    out = marked.withColumn("turns", turns).withColumn("formatted", formatted(F.col("turns")))
     return out.withColumns({"formatted": F.col("formatted.text"), "loss_spans": F.col("formatted.loss")})
 
 
+def unknown_layouts(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(paths, fingerprint, n): the layouts of records that no mapping fits, with their numbers; null records have null paths."""
+    found = format_records(records.select(record_col), record_col, mappings).where("layout is null")
+    paths = schema_paths(F.col(record_col))
+    return found.groupBy(paths.alias("paths")).agg(F.count("*").alias("n")).select("paths", F.when(F.col("paths").isNotNull(), fingerprint(field_paths(F.col("paths")))).alias("fingerprint"), "n")
+
+
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """One record (id_col, record) for each conversation of a table of turns, in the order of `turn_col`, role and text.
 

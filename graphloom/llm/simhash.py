@@ -1,8 +1,9 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
 Texts become 64-bit fingerprints. Two fingerprints that differ in at most three of 64 bits agree on at least one of four
-16-bit blocks, so every fingerprint is dealt to the four buckets of its blocks; buckets with too many members are dealt
-further by sub-blocks of their other bits, which loses no pair either. A task sorts its fingerprints by bucket and Gray
+16-bit blocks, and so on the first bits of one, so every fingerprint is dealt to the four buckets of as many first bits of
+its blocks as leave some thousand members to a bucket; buckets with too many members are dealt further by sub-blocks of
+their other bits, which loses no pair either. A task sorts its fingerprints by bucket and Gray
 rank, factors the bits that neighbours share into masked patterns of upper nodes, and walks the tree from each bucket's
 root for all fingerprints at once: differences are added up level by level, and a whole group goes as soon as the sum is
 over the limit. Components are then joined over the distinct fingerprints only.
@@ -10,6 +11,7 @@ over the limit. Components are then joined over the distinct fingerprints only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,47 +24,64 @@ from graphloom.llm.common import Forest, connected_components, stored, texts_as_
 
 SEED = 42
 BITS = 64
-#: Members from which a bucket is dealt further, children of an index node, fingerprints whose walks go together.
-HOT_BUCKET, FANOUT, BLOCK = 20_000, 8, 2048
+#: Members that a bucket should have, and from which it is dealt further; children of an index node, fingerprints whose walks go together.
+BUCKET, HOT_BUCKET, FANOUT, BLOCK = 1_000, 20_000, 8, 1024
+#: Bytes of a text that are split into words at once, and shingles that are held.
+HELD_BYTES, HELD_SHINGLES = 1_000_000, 60_000
 
 
-def shingle_hashes(text: bytes, width: int) -> list[int]:
-    """XXH64 of each run of `width` words of the lower-cased text, or of all words if there are fewer."""
-    words = text.lower().split()
-    if not words:
-        return []
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return [h(joined, SEED)]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: -width]))
-    return [h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+_BLANK = re.compile(rb"[ \t\n\r\x0b\f]")
+
+
+def _word_runs(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in runs; a long text is cut at blanks to be read."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + HELD_BYTES) if len(text) - at > HELD_BYTES else None
+        upto = end.start() if end else len(text)
+        yield text[at:upto].split()
+        at = upto
+
+
+def shingle_hashes(text: bytes, width: int) -> Iterator[list[int]]:
+    """XXH64 of each run of `width` words of the lower-cased text, or of all words if there are fewer, in parts."""
+    h, held, some = xxhash.xxh64_intdigest, [], False
+    for run in _word_runs(text.lower()):
+        words = held + run
+        if len(words) >= width:
+            some = True
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            starts = np.concatenate(([0], ends[:-width]))
+            yield [h(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+        held = words[max(0, len(words) - width + 1) :]
+    if held and not some:
+        yield [h(b" ".join(held), SEED)]
 
 
 def fingerprints_of(texts: list[bytes], width: int = 3) -> np.ndarray:
     """int64 fingerprints; a bit is set if it is set in over half of a text's shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    held, lens, first = [], [], 0
+    ones, n = np.zeros((len(texts), BITS), np.int32), np.zeros(len(texts), np.int64)
+    held: list[int] = []
+    parts: list[tuple[int, int]] = []
 
-    def flush(upto: int) -> None:
+    def flush() -> None:
         if held:
             bits = np.unpackbits(np.array(held, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            n = np.array(lens)
-            some = np.flatnonzero(n)
-            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-            out[first + some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view("<u8").ravel()
+            of, lens = np.array(parts).T
+            np.add.at(ones, of, np.add.reduceat(bits, np.cumsum(lens) - lens, axis=0, dtype=np.int32))
+            np.add.at(n, of, lens)
         held.clear()
-        lens.clear()
+        parts.clear()
 
     for i, text in enumerate(texts):
-        found = shingle_hashes(text, width)
-        held += found
-        lens.append(len(found))
-        if len(held) > 60_000:
-            flush(i + 1)
-            first = i + 1
-    flush(len(texts))
-    return out.view(np.int64)
+        for found in shingle_hashes(text, width):
+            held += found
+            parts.append((i, len(found)))
+            if len(held) > HELD_SHINGLES:
+                flush()
+    flush()
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8").ravel().view(np.int64)
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:
@@ -154,25 +173,27 @@ def _link(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield stars(*kept)
 
 
-def _blocks(code: Column, parts: int, width: int, total: int) -> Column:
-    """Array of structs (part, value): the `total` low bits of `code` in `parts` runs of `width` bits, the last with the rest."""
+def _blocks(code: Column, parts: int, width: int, total: int, first: int = BITS) -> Column:
+    """Array of structs (part, value): the `total` low bits of `code` in `parts` runs of `width` bits, the last with the rest, or the `first` bits of each."""
     cut = []
     for k in range(parts):
         n = width if k < parts - 1 else total - k * width
-        cut.append(F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(code, k * width).bitwiseAND((1 << n) - 1).alias("value")))
+        cut.append(F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(code, k * width).bitwiseAND((1 << min(n, first)) - 1).alias("value")))
     return F.array(*cut)
 
 
-def links(codes: DataFrame, most: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+def links(codes: DataFrame, most: int = 3, hot: int = HOT_BUCKET, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect whatever distinct values of `codes.code` are chained by at most `most` differing bits.
 
-    A bucket holds the codes that agree on one of most+1 blocks. One of over `hot` codes is dealt again by most+1 runs of
+    A bucket holds the codes that agree on the first bits of one of most+1 blocks: as many as deal about `bucket` codes to
+    each bucket if they are spread evenly, or whole blocks. One of over `hot` codes is dealt again by most+1 runs of
     the bits outside its block: two codes within the limit agree on one of these runs as well, so no pair is lost.
     """
     parts = most + 1
     width = BITS // parts
     rest = BITS - width
-    dealt = codes.select("code", F.explode(_blocks(F.col("code"), parts, width, BITS)).alias("b"))
+    first = min(width, max(1, (codes.count() // bucket).bit_length()))
+    dealt = codes.select("code", F.explode(_blocks(F.col("code"), parts, width, BITS, first)).alias("b"))
     dealt = dealt.select("code", F.col("b.part").alias("part"), F.xxhash64("b.part", "b.value").alias("bucket"))
     full = dealt.groupBy("bucket").count().where(F.col("count") > hot).select("bucket").checkpoint()
     if not full.isEmpty():

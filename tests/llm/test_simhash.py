@@ -50,9 +50,9 @@ def test_links_by_any_dealing(spark):
     for c, g in slow_groups(codes).items():
         want.setdefault(g, set()).add(c)
     rows = spark.createDataFrame([(c - 2**64 if c >= 2**63 else c,) for c in codes], "code long")
-    for hot in (2, 20_000):
+    for hot, bucket in ((2, 1000), (20_000, 1000), (20_000, 1), (60, 64)):
         got = {}
-        for r in connected_components(simhash.links(rows, 3, hot)).collect():
+        for r in connected_components(simhash.links(rows, 3, hot, bucket)).collect():
             got.setdefault(r.component, set()).add(r.node % 2**64)
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
@@ -74,3 +74,11 @@ def test_components_of_stars_and_chains(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(300)} == {0} and {got[1000 + i] for i in range(91)} == {1000}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_long_texts_in_parts(monkeypatch):
+    texts = [" ".join(f"w{k * k % 83}" for k in range(n)) for n in (0, 1, 2, 3, 40, 3000)]
+    want = [slow_print(t) for t in texts]
+    monkeypatch.setattr(simhash, "HELD_BYTES", 50)
+    monkeypatch.setattr(simhash, "HELD_SHINGLES", 20)
+    assert [int(x) % 2**64 for x in simhash.fingerprints_of([t.encode() for t in texts])] == want
