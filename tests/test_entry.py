@@ -23,7 +23,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.split('.')[:2] == ['graphloom', 'llm'] or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name='corpus_pipeline' if name == 'corpus_pipeline' else 'graphloom.llm')
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert 'bm25_topk' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries()), sorted(e.queries())
