@@ -27,7 +27,7 @@ def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
     A line ends at a line end. With `line_words` it also ends after a word that ends a sentence and after one whose last
     two letters are `PICKED`: these places depend on the word alone, so equal passages are cut alike from the first of them
     on. What lies between two such places is cut every `line_words` words. Runs without blanks end after full-width marks.
-    A line keeps the blanks that follow it. 0: real lines only.
+    A line keeps the blanks that follow it; an empty one may stand at the end. 0: real lines only.
     """
     if not line_words:
         return _matches(text, r"(?s)[^\n]*+(?:\n|$)")
@@ -41,7 +41,7 @@ def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: x != "")
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def full_lines(text: Column, line_words: int = LINE_WORDS) -> Column:
