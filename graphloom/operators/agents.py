@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import ensure_checkpoints
 from graphloom.operators.traverse import undirected
 
 
@@ -15,9 +16,10 @@ def rollout(start: DataFrame, edges: DataFrame, score: Callable[[DataFrame], Dat
 
     start: (question, agent, index) that a search gave. In each step an agent looks at the neighbours of its last nodes and
     keeps the `width` best that are new; score adds a column `score` to (question, agent, index). The steps are few and
-    bounded, and each is a join of the agents' own nodes only.
+    bounded, and each is a join of the agents' own nodes only, whose result checkpoint() cuts off.
     """
-    both = undirected(edges).select("a", "b").distinct()
+    ensure_checkpoints(start.sparkSession)
+    both = undirected(edges).select("a", "b")
     seen = start.select("question", "agent", "index").distinct().withColumn("step", F.lit(0))
     front = seen
     own = Window.partitionBy("question", "agent").orderBy(F.desc("score"), "index")
@@ -25,7 +27,7 @@ def rollout(start: DataFrame, edges: DataFrame, score: Callable[[DataFrame], Dat
         near = front.join(both, front["index"] == both["a"]).select("question", "agent", F.col("b").alias("index")).distinct()
         fresh = near.join(seen.select("question", "agent", "index"), ["question", "agent", "index"], "left_anti")
         best = score(fresh).withColumn("n", F.row_number().over(own)).where(F.col("n") <= width)
-        front = best.select("question", "agent", "index", F.lit(step).alias("step"))
+        front = best.select("question", "agent", "index", F.lit(step).alias("step")).checkpoint()
         seen = seen.union(front)
     order = Window.partitionBy("question", "agent").orderBy("step", "index")
     return seen.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("question", "agent", "index", "pos")

@@ -67,7 +67,7 @@ def global_search(queries: DataFrame, communities: DataFrame, most: int = 10, le
     relevant = rows.where(F.col("score") > least)
     own = Window.partitionBy("query").orderBy(F.desc("importance"), "community")
     kept = relevant.withColumn("n", F.row_number().over(own)).where(F.col("n") <= most)
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "community", F.concat(F.lit("["), F.format_number("score", 1), F.lit("] "), F.substring("summary", 1, 40)).alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "community", F.concat(F.lit("["), F.format_number("score", 1), F.lit("] "), "summary").alias("t"))))
     return kept.groupBy("query").agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("answer"))
 
 

@@ -1,23 +1,38 @@
-"""Traversals of a directed typed graph (start_node_index, end_node_index, type), read without regard to direction."""
+"""Traversals of a typed graph, read without regard to direction.
+
+A graph is a table of edges (start_node_index, end_node_index, type) or, so that a step costs one scan, of links
+(a, b, type, forward), which have each edge from both of its ends.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import ensure_checkpoints
+
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b, type, forward): each edge from both of its ends."""
+    """(a, b, type, forward): each edge from both of its ends; a table of links stays as it is."""
+    if "a" in edges.columns:
+        return edges
     out = edges.select(F.col("start_node_index").alias("a"), F.col("end_node_index").alias("b"), "type", F.lit(True).alias("forward"))
     return out.union(edges.select("end_node_index", "start_node_index", "type", F.lit(False)))
 
 
+def directed(edges: DataFrame) -> DataFrame:
+    """(start_node_index, end_node_index, type): each edge once; a table of edges stays as it is."""
+    if "a" not in edges.columns:
+        return edges
+    return edges.where("forward").select(F.col("a").alias("start_node_index"), F.col("b").alias("end_node_index"), "type")
+
+
 def node_types(nodes: DataFrame) -> DataFrame:
     return nodes.select("type").distinct()
 
 
 def edge_types(edges: DataFrame) -> DataFrame:
-    return edges.select("type").distinct()
+    return directed(edges).select("type").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -34,27 +49,29 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def within_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(index, hops): nodes at most `k` edges from any seed, seeds included, with the fewest edges.
 
-    Each step joins the last step's new nodes only; the plan grows with k, which a caller keeps small.
+    Each step joins the last step's new nodes only, which checkpoint() cuts off, so the plan grows by one scan of the links
+    a step.
     """
+    ensure_checkpoints(edges.sparkSession)
     both = undirected(edges).select("a", "b")
     reached = seeds.select(F.col("index").cast("long").alias("index")).distinct().withColumn("hops", F.lit(0))
     front = reached
     for hop in range(1, k + 1):
         step = both.join(front.select(F.col("index").alias("a")), "a").select(F.col("b").alias("index")).distinct()
-        front = step.join(reached, "index", "left_anti").withColumn("hops", F.lit(hop))
+        front = step.join(reached.select("index"), "index", "left_anti").withColumn("hops", F.lit(hop))
+        front = front.checkpoint() if k > 1 else front
         reached = reached.union(front)
     return reached
 
 
 def subgraph_edges(edges: DataFrame, inside: DataFrame, boundary: bool = True) -> DataFrame:
-    """Edges with either end among `inside` (boundary), or with both."""
-    start = inside.select(F.col("index").alias("start_node_index")).distinct()
-    end = inside.select(F.col("index").alias("end_node_index")).distinct()
-    out = edges.join(start, "start_node_index", "left_semi")
+    """Distinct edges (start_node_index, end_node_index, type) with either end among `inside` (boundary), or with both."""
+    ends = inside.select("index").distinct()
+    found = undirected(edges).join(ends.withColumnRenamed("index", "a"), "a", "left_semi")
     if not boundary:
-        return out.join(end, "end_node_index", "left_semi")
-    rest = edges.join(start, "start_node_index", "left_anti").join(end, "end_node_index", "left_semi")
-    return out.select(edges.columns).union(rest.select(edges.columns))
+        found = found.where("forward").join(ends.withColumnRenamed("index", "b"), "b", "left_semi")
+    start, end = (F.when(F.col("forward"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    return found.select(start.alias("start_node_index"), end.alias("end_node_index"), "type").distinct()
 
 
 def short_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -63,13 +80,13 @@ def short_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     A direct edge has no middle and no second type. The walk starts from the pairs' own neighbourhoods, so a hub elsewhere
     costs nothing. A pair of one node has no path. Each path counts once whatever its edges' directions.
     """
-    both = undirected(edges).select("a", "b", "type").distinct()
+    both = undirected(edges).select("a", "b", "type")
     ends = pairs.where("src <> dst").select("src", "dst").distinct()
-    out = ends.join(both, F.col("a") == F.col("src")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("first"))
+    out = ends.join(both, F.col("a") == F.col("src")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("first")).distinct()
     direct = out.where("next = dst").select("src", "dst", F.lit(None).cast("long").alias("middle"), "first", F.lit(None).cast("string").alias("second"))
-    back = ends.join(both, F.col("a") == F.col("dst")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("second"))
+    back = ends.join(both, F.col("a") == F.col("dst")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("second")).distinct()
     mediated = out.join(back, ["src", "dst", "next"]).where("next <> src and next <> dst").select("src", "dst", F.col("next").alias("middle"), "first", "second")
-    return direct.union(mediated).distinct()
+    return direct.union(mediated)
 
 
 def one_per_triplet(triplets: DataFrame, order: list[Column]) -> DataFrame:

@@ -28,10 +28,10 @@ def page_marks(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.md5(X.without_page_marks(text)).alias("digest"))
 
 
-@query("reply_cleaning", r"""with t as (select conv_id, turn, '<think>' || role || '</think> ' || '{"a": "' || substring(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 20) || '"} tail' as r from conversations) select conv_id, turn, trim(regexp_replace(r, '<think>.*?</think>', '', 'gs')) as plain, regexp_extract(r, '(?s)(\{.*\})', 1) as object from t""")
+@query("reply_cleaning", r"""with t as (select conv_id, turn, '<think>' || role || '</think> ' || '{"a": "' || regexp_replace(text, '[^a-zA-Z ]', '', 'g') || '"} tail' as r from conversations) select conv_id, turn, trim(regexp_replace(r, '<think>.*?</think>', '', 'gs')) as plain, regexp_extract(r, '(?s)(\{.*\})', 1) as object from t""")
 def reply_cleaning(spark, d):
-    short = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 20)
-    r = F.concat(F.lit("<think>"), "role", F.lit("</think> "), F.lit('{"a": "'), short, F.lit('"} tail'))
+    plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    r = F.concat(F.lit("<think>"), "role", F.lit("</think> "), F.lit('{"a": "'), plain, F.lit('"} tail'))
     return table(spark, d, "conversations").select("conv_id", "turn", X.without_thinking(r).alias("plain"), X.first_object(r).alias("object"))
 
 
@@ -62,10 +62,10 @@ def sub_query_parser(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(J.sub_queries(reply, F.lit("whole")), "|").alias("parts"))
 
 
-@query("findings_round_trip", """select item_id, cast(to_json([substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10), lower('B')]) as varchar) as stored, substring(regexp_replace(text, '[^a-z]', '', 'g'), 1, 10) || '|b' as back, 'not json' as lenient from benchmark""")
+@query("findings_round_trip", """select item_id, cast(to_json([regexp_replace(text, '[^a-z]', '', 'g'), lower('B')]) as varchar) as stored, regexp_replace(text, '[^a-z]', '', 'g') || '|b' as back, 'not json' as lenient from benchmark""")
 def findings_round_trip(spark, d):
-    short = F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 10)
-    rows = table(spark, d, "benchmark").select("item_id", F.to_json(F.array(short, F.lit("b"))).alias("stored"))
+    letters = F.regexp_replace("text", "[^a-z]", "")
+    rows = table(spark, d, "benchmark").select("item_id", F.to_json(F.array(letters, F.lit("b"))).alias("stored"))
     return rows.select("item_id", "stored", F.array_join(J.findings(F.col("stored")), "|").alias("back"), F.array_join(J.findings(F.lit("not json")), "|").alias("lenient"))
 
 

@@ -77,12 +77,12 @@ def delete_by_file(spark, d):
     return table(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority")
 
 
-@query("gleaned", "with a as (select distinct upper(trim(p_brand)) as k from part where p_partkey <= 20), b as (select p_brand as brand, upper(p_brand) as k from part where p_partkey between 10 and 60), n as (select min(brand) as brand, k from b where k not in (select k from a) group by k) select brand from (select distinct p_brand as brand from part where p_partkey <= 20) union all select brand from n")
+@query("gleaned", "with a as (select distinct upper(trim(p_name)) as k from part where p_size % 2 = 0), b as (select lower(p_name) as name, upper(p_name) as k from part where p_size % 3 = 0), n as (select min(name) as name, k from b where k not in (select k from a) group by k) select name from (select distinct p_name as name from part where p_size % 2 = 0) union all select name from n")
 def gleaned(spark, d):
     parts = table(spark, d, "part")
-    first = parts.where("p_partkey <= 20").select(F.col("p_brand").alias("brand")).distinct()
-    rounds = [parts.where("p_partkey between 10 and 60").select(F.col("p_brand").alias("brand"))]
-    return M.glean(first, lambda k: rounds[k] if k < len(rounds) else None, ["brand"])
+    first = parts.where("p_size % 2 = 0").select(F.col("p_name").alias("name")).distinct()
+    rounds = [parts.where("p_size % 3 = 0").select(F.lower("p_name").alias("name"))]
+    return M.glean(first, lambda k: rounds[k] if k < len(rounds) else None, ["name"])
 
 
 @query("status_latest", "with c as (select user_id, event_type as status, ts, event_id, case when event_type = 'view' then 0 else cast(json_extract_string(props, '$.k') as bigint) end as n from events) select user_id, arg_max(status, (ts, event_id)) as status, coalesce(arg_max(n, (ts, event_id)) filter (n > 0), 0) as entity_count from c group by user_id")
@@ -91,9 +91,9 @@ def status_latest(spark, d):
     return M.latest_status(table(spark, d, "events").select("user_id", F.col("event_type").alias("status"), "ts", "event_id", n.alias("entity_count")), "user_id", ["ts", "event_id"])
 
 
-@query("catalog_newest", "select event_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as ts from events e order by e.ts desc, event_id desc limit 50")
+@query("catalog_newest", "select event_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S') as ts from events e")
 def catalog_newest(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @query("anti_join_pending", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")

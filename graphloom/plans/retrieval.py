@@ -28,12 +28,12 @@ l as (select query, count(*) as triplets, string_agg(source || ' -[' || type ||
 e as (select query, count(*) as entities, string_agg(name || ' (' || type || ')', chr(10) order by score desc, index) as names from hits join nodes using (index) group by query)
 select query, entities, coalesce(triplets, 0) as triplets, 'Matched Entities:' || chr(10) || names || chr(10) || 'Relationships:' || chr(10) || coalesce(lines, '') as context from e left join l using (query)""")
 def local_search(spark, d):
-    return R.local_search(_hits(spark), star.edges(spark, d), star.nodes(spark, d))
+    return R.local_search(_hits(spark), star.links(spark, d), star.stored_nodes(spark, d))
 
 
 @query("contains_search", f"with {NODES_SQL} select name as id, summary as description, cast(1 as double) as score from nodes where type = 'customer' and (contains(name, 'BUILD') or contains(summary, 'Build') or contains(summary, 'BUILD')) order by name limit 20")
 def contains_search(spark, d):
-    rows = star.nodes(spark, d).where("type = 'customer'").select(F.col("name").alias("id"), F.col("summary").alias("description"))
+    rows = star.stored_nodes(spark, d).where("type = 'customer'").select(F.col("name").alias("id"), F.col("summary").alias("description"))
     return R.contains_search(rows, "BUILD", 20)
 
 
@@ -50,7 +50,7 @@ g as (select query, community, importance, summary, round(100 * len(list_interse
 k as (select *, row_number() over (partition by query order by importance desc, community) as n from g where score > 0)"""
 
 
-@query("global_search", f"with {GLOBAL_SQL} select query, count(*) as n, string_agg('[' || printf('%.1f', score) || '] ' || substring(summary, 1, 40), chr(10) order by score desc, community) as answer from k where n <= 10 group by query")
+@query("global_search", f"with {GLOBAL_SQL} select query, count(*) as n, string_agg('[' || printf('%.1f', score) || '] ' || summary, chr(10) order by score desc, community) as answer from k where n <= 10 group by query")
 def global_search(spark, d):
     communities = table(spark, d, "part").groupBy(F.col("p_brand")).agg(F.count("*").cast("double").alias("importance"), F.array_join(F.array_sort(F.collect_set("p_type")), " ").alias("types"))
     communities = communities.select(F.col("p_brand").alias("community"), "importance", F.concat("p_brand", F.lit(" of "), "types").alias("summary"))
@@ -82,10 +82,13 @@ def rank_score(spark, d):
     return rows.select("lang", "doc_id", F.round(1 - (F.col("pos") - 1) / F.col("n"), 6).alias("score"))
 
 
-@query("grouped_context", "with g as (select source, lang, string_agg(substring(text, 1, 20), chr(10) order by doc_id) as part from documents group by source, lang), p as (select source, count(*) as n, string_agg('## ' || lang || chr(10) || part, chr(10) || chr(10) order by lang) as headed, min(part) as one from g group by source) select source, md5(case when n > 1 then headed else one end) as digest from p")
+@query("grouped_context", f"""with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)}, hx as (select query, doc from (select query, doc, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from sc where round(score, 6) > 0) where rank <= 10),
+gx as (select query, lang, string_agg(text, chr(10) order by doc_id) as part from hx join documents on doc = doc_id group by query, lang), px as (select query, count(*) as n, string_agg('## ' || lang || chr(10) || part, chr(10) || chr(10) order by lang) as headed, min(part) as one from gx group by query) select query, md5(case when n > 1 then headed else one end) as digest from px""")
 def grouped_context(spark, d):
-    rows = table(spark, d, "documents").select("source", "lang", "doc_id", F.substring("text", 1, 20).alias("t"))
-    return R.grouped_context(rows, "source", "lang", "t", "doc_id").select("source", F.md5("context").alias("digest"))
+    docs = table(spark, d, "documents")
+    hits = S.top_per_query(S.bm25(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text"), 10).select("query", F.col("doc").alias("doc_id"))
+    rows = docs.select("doc_id", "lang", "text").join(hits, "doc_id")
+    return R.grouped_context(rows, "query", "lang", "text", "doc_id").select("query", F.md5("context").alias("digest"))
 
 
 @query("adaptive_retrieval")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import chunk as K
 from graphloom.operators import search as S
+from graphloom.operators import traverse as G
 from graphloom.plans.base import query, table
 from graphloom.sources import star
 from graphloom.sources.star import EDGES_SQL, NODES_SQL
@@ -53,19 +54,19 @@ def fulltext_two_field(spark, d):
 GROUP_SQL = r"""list_filter(string_split_regex(lower(summary), '\s+'), lambda w: w <> '')"""
 
 
-@query("neighbour_bm25", f"""with {NODES_SQL}, {EDGES_SQL}, c as (select distinct e.end_node_index as seed, n.index as item, {GROUP_SQL} as w from edges e join nodes n on n.index = e.start_node_index where e.type = 'SUPPLIED_BY' and e.end_node_index < 4000000000000006),
+@query("neighbour_bm25", f"""with {NODES_SQL}, {EDGES_SQL}, c as (select distinct e.end_node_index as seed, n.index as item, {GROUP_SQL} as w from edges e join nodes n on n.index = e.start_node_index where e.type = 'SUPPLIED_BY'),
 sz as (select seed, cast(count(*) as double) as n, avg(len(w)) as avgdl from c group by seed), h as (select seed, item, cast(len(w) as double) as dl, term, cast(len(list_filter(w, lambda x: x = term)) as double) as tf from (select *, unnest(['small', 'brand#11', 'steel']) as term from c)),
 dfs as (select seed, term, cast(count(*) as double) as df from h where tf > 0 group by all)
 select seed, item, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from h join dfs using (seed, term) join sz using (seed) where tf > 0 group by seed, item""")
 def neighbour_bm25(spark, d):
-    near = star.edges(spark, d).where(F.col("type") == "SUPPLIED_BY").where(F.col("end_node_index") < 4 * star.SCALE + 6).select(F.col("end_node_index").alias("seed"), F.col("start_node_index").alias("index")).distinct()
-    rows = near.join(star.nodes(spark, d), "index").select("seed", F.col("index").alias("item"), "summary")
+    near = G.directed(star.links(spark, d)).where(F.col("type") == "SUPPLIED_BY").select(F.col("end_node_index").alias("seed"), F.col("start_node_index").alias("index")).distinct()
+    rows = near.join(star.stored_nodes(spark, d), "index").select("seed", F.col("index").alias("item"), "summary")
     return S.group_bm25(rows, "seed", "item", "summary", "small Brand#11 steel").withColumn("score", F.round("score", 6))
 
 
 @query("keyword_filter", f"""with {NODES_SQL} select index, name, case when position('brand#1' in lower(name)) > 0 then 0 else 1 end as bucket, cast((position('brand#1' in lower(summary)) > 0) as bigint) + 0 as relevance from nodes where type = 'part' and position('brand#1' in lower(summary)) > 0""")
 def keyword_filter(spark, d):
-    parts = star.nodes(spark, d).where("type = 'part'")
+    parts = star.stored_nodes(spark, d).where("type = 'part'")
     return S.keyword_filter(parts, "Brand#1", "name", "summary", "index", X.STOPWORDS)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import ensure_checkpoints
+from graphloom.operators.traverse import undirected
+
 #: First index of each node type; keys stay below it.
 OFFSETS = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5}
 SCALE = 10**15
@@ -53,6 +57,37 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+#: Folders of stored graphs, by session and source.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes a graph's nodes, and its edges from both of their ends in the order of these: filters on an end skip row groups."""
+    nodes(spark, sf_dir).write.parquet(f"{folder}/nodes")
+    undirected(edges(spark, sf_dir)).repartitionByRange("a").sortWithinPartitions("a", "type", "b").write.parquet(f"{folder}/links")
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """The stored graph of these tables; it is built when a session first asks for it, in the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        ensure_checkpoints(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+        store(spark, sf_dir, folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`nodes`, opened once for a session."""
+    return spark.read.schema(nodes(spark, sf_dir).schema).parquet(f"{_folder(spark, sf_dir)}/nodes")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, type, forward): `edges` from both of their ends, opened once for a session."""
+    return spark.read.schema("a long, b long, type string, forward boolean").parquet(f"{_folder(spark, sf_dir)}/links")
+
+
 #: The same two tables as common table expressions of DuckDB SQL.
 NODES_SQL = """nodes as (
   select cast(r_regionkey + 1000000000000000 as bigint) as index, r_name as name, 'region' as type, '- name: ' || r_name as summary from region
