@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import maybe_among, stored
 
 WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
-#: A word ends a line if the code points of its last two letters add up to `RESIDUE` modulo 8; `LETTERS` has Latin small
-#: letters by their code points modulo 8. Any rule would do that depends on the word alone and picks one word in eight or so.
-RESIDUE = 2
+#: Latin small letters by their code points modulo 8. A word ends a line if its last two letters are of these residues. Any
+#: rule would do that depends on the word alone; this one picks about one word in nine of English, French, German or Spanish.
 LETTERS = ["".join(c for c in map(chr, range(0x61, 0x100)) if c.isalpha() and ord(c) % 8 == k) for k in range(8)]
-PICKED = "|".join(f"[{LETTERS[k]}][{LETTERS[(RESIDUE - k) % 8]}]" for k in range(8))
+PICKED = f"[{LETTERS[0]}{LETTERS[1]}{LETTERS[5]}{LETTERS[7]}][{LETTERS[5]}{LETTERS[7]}]"
 
 
 def lines_of(text: Column, line_words: int = LINE_WORDS) -> Column:
