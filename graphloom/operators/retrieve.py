@@ -5,7 +5,7 @@ Steps that a model would do take a function that gives a column; the ones here a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +45,36 @@ def local_search(hits: DataFrame, edges: DataFrame, nodes: DataFrame, per_seed:
     return out.select("query", "entities", F.coalesce("triplets", F.lit(0)).alias("triplets"), F.concat(F.lit("Matched Entities:\n"), "names", F.lit("\nRelationships:\n"), F.coalesce("lines", F.lit(""))).alias("context"))
 
 
+def multi_query(queries: DataFrame, id_col: str, text_col: str, rewrites: Sequence[Callable[[Column], Column]], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(query, item, rank, variant): what a query and its rewritten variants find, each item once, with its best rank.
+
+    search: from (query, text), where the query is a number with one digit more for the variant, to (query, doc, rank).
+    Of equal ranks the earlier variant counts, the query itself before all; at most nine variants.
+    """
+    texts = F.array(F.col(text_col), *(rewrite(F.col(text_col)) for rewrite in rewrites))
+    asked = queries.select(F.col(id_col), F.posexplode(texts).alias("_v", "text")).select((F.col(id_col) * 10 + F.col("_v")).cast("long").alias("query"), "text")
+    found = search(asked).select(F.floor(F.col("query") / 10).alias("query"), F.col("doc").alias("item"), F.struct("rank", (F.col("query") % 10).alias("variant")).alias("at"))
+    return found.groupBy("query", "item").agg(F.min("at").alias("at")).select("query", "item", "at.rank", "at.variant")
+
+
+def search_locally(queries: DataFrame, nodes: DataFrame, edges: DataFrame, members: DataFrame, communities: DataFrame, k: int = 5, per_seed: int = 15, allowed: Column | None = None) -> DataFrame:
+    """(query, entities, triplets, communities, context) from (query, text): entities by BM25, their edges, their communities.
+
+    allowed: a condition on nodes that entities must meet; it is checked after the best `k` were found. Queries that find
+    no entity have no row.
+    """
+    from graphloom.operators.search import bm25, top_per_query
+
+    texts = nodes.select("index", F.col("summary").alias("text"))
+    hits = top_per_query(bm25(texts, queries, "index", "text", "query", "text"), k).select("query", F.col("doc").alias("index"), "score")
+    if allowed is not None:
+        hits = hits.join(nodes.where(allowed).select("index"), "index", "left_semi").select("query", "index", "score")
+    near = community_context(hits, members, communities).withColumn("line", F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("] "), F.col("community").cast("string")))
+    listed = near.groupBy("query").agg(F.count("*").alias("communities"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("named"))
+    out = local_search(hits, edges, nodes, per_seed).join(listed, "query", "left")
+    return out.select("query", "entities", "triplets", F.coalesce("communities", F.lit(0)).alias("communities"), F.concat("context", F.lit("\nCommunities:\n"), F.coalesce("named", F.lit(""))).alias("context"))
+
+
 def community_context(hits: DataFrame, members: DataFrame, communities: DataFrame, k: int = 3) -> DataFrame:
     """(query, community, importance, rank): the most important communities of each query's entities."""
     found = hits.select("query", "index").join(members, "index").select("query", "community").distinct().join(communities, "community")

@@ -135,3 +135,35 @@ def hash_ids(spark, d):
 @query("hash_sample", "select doc_id from documents order by md5(cast(doc_id as varchar)), doc_id limit 100")
 def hash_sample(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(100)
+
+
+@query("index_pipeline", r"""with a as (select doc_id, regexp_replace(text, '[\x{0000}\x{FEFF}\x{FFFE}\x{200B}\x{200C}\x{200D}\x{2060}]', '', 'g') as t from documents),
+b as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(t, chr(9), '    '), '[\t\x0B\f\r \x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' +\n', chr(10), 'g'), chr(10) || chr(13) || chr(9) || ' ') as t from a),
+n as (select (select count(*) from documents) as x, count(*) as c, cast(sum((length(t) + 799) // 800) as bigint) as k from b where t <> '')
+select unnest(['extract', 'clean', 'chunk', 'insert']) as stage, unnest([x, c, k, k]) as rows from n""")
+def index_pipeline(spark, d):
+    from graphloom.operators.indexing import index_documents
+
+    _, metrics = index_documents(table(spark, d, "documents"), lambda chunks: chunks.write.format("noop").mode("overwrite").save(), unicode=False)
+    return spark.createDataFrame([(m["stage"], m["rows"]) for m in metrics], "stage string, rows long")
+
+
+@query("reviews_cleaned", "select l_partkey, l_orderkey, l_linenumber, case when l_linenumber % 3 <> 0 then l_quantity end as rating from lineitem")
+def reviews_cleaned(spark, d):
+    from graphloom.operators.summaries import cleaned
+
+    rating = F.when(F.col("l_linenumber") % 3 == 0, float("nan")).otherwise(F.col("l_quantity").cast("double"))
+    lines = table(spark, d, "lineitem").select("l_partkey", F.struct("l_orderkey", "l_linenumber", rating.alias("rating")).alias("r"))
+    lists = lines.groupBy("l_partkey").agg(F.collect_list("r").alias("reviews"))
+    return cleaned(lists, "reviews").select("l_partkey", F.explode("reviews").alias("r")).select("l_partkey", "r.l_orderkey", "r.l_linenumber", "r.rating")
+
+
+@query("detail_summaries", """select p_partkey, '- name: ' || p_name || chr(10) || '- type: ' || case when p_size % 2 = 0 then 'gene/protein' else 'drug' end || chr(10) || '- source: made' || chr(10) || '- details:' || chr(10)
+|| case when p_size % 2 = 0 then '  - alias (other gene names): ' || p_brand || chr(10) || '  - interpro (protein family and classification information): ["' || p_brand || '"]' || chr(10) || '  - generif (PubMed text): a ' || p_size || '; b'
+ else '  - alias: ' || p_brand || chr(10) || '  - interpro: {"desc":"' || p_brand || '"}' || chr(10) || '  - generif: [{"text":"a ' || p_size || '"},{"text":"b"}]' end as summary from part""")
+def detail_summaries(spark, d):
+    from graphloom.operators.summaries import described_node
+
+    details = F.concat(F.lit('{"_id":"1","entrez_id":"2","empty":"","none":null,"alias":"'), "p_brand", F.lit('","interpro":{"desc":"'), "p_brand", F.lit('"},"generif":[{"text":"a '), F.col("p_size").cast("string"), F.lit('"},{"text":"b"}]}'))
+    kind = F.when(F.col("p_size") % 2 == 0, "gene/protein").otherwise("drug")
+    return table(spark, d, "part").select("p_partkey", described_node(F.col("p_name"), kind, F.lit("made"), details).alias("summary"))

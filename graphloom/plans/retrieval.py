@@ -20,15 +20,25 @@ def _hits(spark):
     return spark.createDataFrame([(1, 4 * SCALE + 1, 0.9), (1, 4 * SCALE + 2, 0.8), (2, 4 * SCALE + 7, 0.7)], "query int, index long, score double")
 
 
-@query("local_search", f"""with {NODES_SQL}, {EDGES_SQL}, {HITS_SQL}, both_ends as (select start_node_index as a, end_node_index as b, type, true as forward from edges union all select end_node_index, start_node_index, type, false from edges),
+ASKED = [(1, "Supplier of nation 3"), (2, "economy anodized brand Brand#11"), (3, "zzz")]
+ASKED_SQL = "select * from (values (1, 'Supplier of nation 3'), (2, 'economy anodized brand Brand#11'), (3, 'zzz')) as t(query, text)"
+
+
+@query("local_search", f"""with {MEMBERS_SQL}, hits as (select query, doc as index, s as score from (select query, doc, s, row_number() over (partition by query order by s desc, doc) as rank from (with {_bm25_sql('nodes', 'index', 'summary', 1.2, False, ASKED_SQL)} select query, doc, round(score, 6) as s from sc) where s > 0) where rank <= 5),
+both_ends as (select start_node_index as a, end_node_index as b, type, true as forward from edges union all select end_node_index, start_node_index, type, false from edges),
 x as (select a as seed, type, b as other, forward, row_number() over (partition by a order by type, b, forward desc) as rank from both_ends where a in (select index from hits)),
 t as (select distinct query, case when forward then seed else other end as source, type, case when forward then other else seed end as target from hits join x on index = seed where rank <= 15),
 u as (select *, row_number() over (partition by query, type, least(source, target), greatest(source, target) order by source, target) as n from t),
 l as (select query, count(*) as triplets, string_agg(source || ' -[' || type || ']-> ' || target, chr(10) order by source || ' -[' || type || ']-> ' || target) as lines from u where n = 1 group by query),
-e as (select query, count(*) as entities, string_agg(name || ' (' || type || ')', chr(10) order by score desc, index) as names from hits join nodes using (index) group by query)
-select query, entities, coalesce(triplets, 0) as triplets, 'Matched Entities:' || chr(10) || names || chr(10) || 'Relationships:' || chr(10) || coalesce(lines, '') as context from e left join l using (query)""")
+e as (select query, count(*) as entities, string_agg(name || ' (' || type || ')', chr(10) order by score desc, index) as names from hits join nodes using (index) group by query),
+c as (select community, cast(count(*) as double) as importance from members group by community), cx as (select distinct query, community, importance from hits join members using (index) join c using (community)),
+cl as (select query, count(*) as communities, string_agg('[C' || rank || '] ' || community, chr(10) order by rank) as named from (select *, row_number() over (partition by query order by importance desc, community) as rank from cx) where rank <= 3 group by query)
+select query, entities, coalesce(triplets, 0) as triplets, coalesce(communities, 0) as communities, 'Matched Entities:' || chr(10) || names || chr(10) || 'Relationships:' || chr(10) || coalesce(lines, '') || chr(10) || 'Communities:' || chr(10) || coalesce(named, '') as context from e left join l using (query) left join cl using (query)""")
 def local_search(spark, d):
-    return R.local_search(_hits(spark), star.links(spark, d), star.stored_nodes(spark, d))
+    members = _members(spark, d)[0]
+    sizes = members.groupBy("community").agg(F.count("*").cast("double").alias("importance"))
+    asked = spark.createDataFrame(ASKED, "query int, text string")
+    return R.search_locally(asked, star.stored_nodes(spark, d), star.links(spark, d), members, sizes)
 
 
 @query("contains_search", f"with {NODES_SQL} select name as id, summary as description, cast(1 as double) as score from nodes where type = 'customer' and (contains(name, 'BUILD') or contains(summary, 'Build') or contains(summary, 'BUILD')) order by name limit 20")
@@ -115,12 +125,12 @@ def query_category(spark, d):
 
 
 @query("citations", f"""with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)}, t as (select *, row_number() over (partition by query order by s desc, doc) as rank from (select query, doc, round(score, 6) as s from sc) where s > 0)
-select query, '[' || string_agg('{{"filename":"' || source || '","chunk_id":' || doc || ',"chunk_method":"standard","category":"' || lang || '","score":' || rank || '}}', ',' order by rank) || ']' as sources from t join documents on doc = doc_id where rank <= 3 group by query""")
+select query, '[' || string_agg('{{"filename":"' || source || '","chunk_id":' || doc || ',"chunk_method":"standard","category":"' || lang || '","score":' || s || '}}', ',' order by rank) || ']' as sources from t join documents on doc = doc_id where rank <= 3 group by query""")
 def citations(spark, d):
     docs = table(spark, d, "documents")
     top = S.top_per_query(S.bm25(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text"), 3)
     rows = top.join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("filename"), F.col("lang").alias("category")), "doc")
-    return R.citations(rows.select("query", "rank", "filename", F.col("doc").alias("chunk_id"), F.lit("standard").alias("chunk_method"), "category", F.col("rank").alias("score")))
+    return R.citations(rows.select("query", "rank", "filename", F.col("doc").alias("chunk_id"), F.lit("standard").alias("chunk_method"), "category", "score"))
 
 
 @query("early_stop", "with g as (select user_id, event_id, ts, sum(cast(event_type = 'click' as bigint)) over (partition by user_id order by ts, event_id) as seen, event_type from events) select user_id, event_id from g where event_type = 'click' and seen <= 2")

@@ -15,12 +15,12 @@ from graphloom.sources.star import EDGES_SQL, NODES_SQL
 TOKENS = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}_]+)', 1)"
 
 
-def _bm25_sql(docs: str, did: str, text: str, k1: float, okapi: bool) -> str:
+def _bm25_sql(docs: str, did: str, text: str, k1: float, okapi: bool, asked: str = "select item_id as query, text from benchmark") -> str:
     idf = "ln(n_docs - df + 0.5) - ln(df + 0.5)" if okapi else "ln(1 + (n_docs - df + 0.5) / (df + 0.5))"
     floor = "case when raw < 0 then 0.25 * (select avg(raw) from r) else raw end" if okapi else "raw"
     return rf"""tok as (select {did} as doc, unnest({TOKENS.format(text)}) as term from {docs}), p as (select doc, term, cast(count(*) as double) as tf from tok group by doc, term),
 dl as (select {did} as doc, cast(len({TOKENS.format(text)}) as double) as dl from {docs}), sz as (select cast(count(*) as double) as n_docs, avg(dl) as avgdl from dl),
-q as (select query, term, count(*) as qtf from (select item_id as query, unnest({TOKENS.format("text")}) as term from benchmark) group by query, term), dfs as (select term, cast(count(*) as double) as df from p group by term),
+q as (select query, term, count(*) as qtf from (select query, unnest({TOKENS.format("text")}) as term from ({asked})) group by query, term), dfs as (select term, cast(count(*) as double) as df from p group by term),
 r as (select term, {idf} as raw from dfs, sz), i as (select term, {floor} as idf from r),
 sc as (select query, doc, sum(qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - 0.75 + 0.75 * dl / avgdl))) as score, count(*) as matched from p join q using (term) join i using (term) join dl using (doc), sz group by query, doc)"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.records import norm
 from graphloom.operators import fusion as U
 from graphloom.operators import nearest as N
+from graphloom.operators import retrieve as R
 from graphloom.operators import search as S
 from graphloom.plans.base import query, table
 from graphloom.plans.text import _bm25_sql
@@ -58,17 +59,39 @@ def vector_bucketed(spark, d):
     return N.bucketed(*_tables(spark, d), 10)
 
 
+@query("community_vectors", f"""with m as (select label as community, 0 as level, min(vec_id) as vec_id from embeddings group by label union all select 100 + label % 3, 1, min(vec_id) from embeddings group by label % 3),
+c as (select m.community, level, list_transform(embedding, lambda x: cast(x as double)) as v from m join embeddings using (vec_id)), q as (select vec_id as query, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id % 50 = 0),
+s as (select query, cast(community as bigint) as community, level, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) as score from q, c)
+select query, community, score, rank from (select *, row_number() over (partition by query order by score desc, community) as rank from s) where rank <= 5 and level = 0""")
+def community_vectors(spark, d):
+    vectors, queries = _tables(spark, d)
+    first = lambda key, level: vectors.groupBy(key.cast("long").alias("community")).agg(F.min_by("embedding", "vec_id").alias("embedding")).select("community", F.lit(level).alias("level"), "embedding")
+    communities = first(F.col("label"), 0).union(first(100 + F.col("label") % 3, 1))
+    return N.nearest_communities(communities, queries, 5, level=0)
+
+
 def _lists(spark, d):
-    """Two ranked lists for each benchmark item: BM25 with k1 1.2 and the okapi form, ten documents each."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    sparse = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text", k1=1.5, okapi=True), 10)
-    dense = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text"), 10)
-    return sparse.select("query", F.col("doc").alias("item"), "rank"), dense.select("query", F.col("doc").alias("item"), "rank")
+    """Two ranked lists of ten documents for each benchmark item: by BM25 of its text, and by the vector of its id.
+
+    A document's vector is the embedding of its id; documents without one are found by their text only.
+    """
+    docs, items, vectors = table(spark, d, "documents"), table(spark, d, "benchmark"), table(spark, d, "embeddings")
+    sparse = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text"), 10)
+    own = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = N.nearest(own, asked, 10)
+    return sparse.select("query", F.col("doc").alias("item"), "rank"), dense.select("query", "item", "rank")
+
+
+def _top_sql(limit: int = 10) -> str:
+    return f"select query, doc as item, rank from (select query, doc, row_number() over (partition by query order by s desc, doc) as rank from (select query, doc, round(score, 6) as s from sc) where s > 0) where rank <= {limit}"
 
 
 def _lists_sql() -> str:
-    top = "select query, doc as item, rank from (select query, doc, row_number() over (partition by query order by s desc, doc) as rank from (select query, doc, round(score, 6) as s from sc) where s > 0) where rank <= 10"
-    return f"sparse as (with {_bm25_sql('documents', 'doc_id', 'text', 1.5, True)} {top}), dense as (with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)} {top})"
+    cosine = "round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6)"
+    return f"""sparse as (with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)} {_top_sql()}),
+ev as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null),
+dense as (select query, item, rank from (select query, item, row_number() over (partition by query order by score desc, item) as rank from (select q.vec_id as query, e.vec_id as item, {cosine} as score from ev q, ev e where q.vec_id in (select item_id from benchmark) and e.vec_id in (select doc_id from documents))) where rank <= 10)"""
 
 
 def _fused_sql(a: float, b: float) -> str:
@@ -88,10 +111,15 @@ def ensemble_rrf(spark, d):
     return U.weighted_ranks(sparse.union(dense).withColumn("weight", F.lit(0.5)))
 
 
-@query("multi_query_union", f"with {_lists_sql()}, u as (select query, item, min(rank) as rank from (select * from sparse union all select * from dense) group by query, item) select query, item, rank from u")
+VARIANTS_SQL = "select item_id * 10 + v as query, case v when 0 then text when 1 then array_to_string(string_split(text, ' ')[1:5], ' ') else array_to_string(string_split(text, ' ')[6:], ' ') end as text from benchmark, (values (0), (1), (2)) as t(v)"
+
+
+@query("multi_query_union", f"with l as (with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False, VARIANTS_SQL)} {_top_sql(5)}) select cast(query // 10 as bigint) as query, item, min(rank * 10 + query % 10) // 10 as rank, min(rank * 10 + query % 10) % 10 as variant from l group by query // 10, item")
 def multi_query_union(spark, d):
-    sparse, dense = _lists(spark, d)
-    return sparse.union(dense).groupBy("query", "item").agg(F.min("rank").alias("rank"))
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    words = F.split("text", " ")
+    parts = (lambda t: F.array_join(F.slice(words, 1, 5), " "), lambda t: F.array_join(F.slice(words, 6, 1 << 30), " "))
+    return R.multi_query(items, "item_id", "text", parts, lambda asked: S.top_per_query(S.bm25(docs, asked, "doc_id", "text", "query", "text"), 5))
 
 
 VOTES_SQL = """v as (select question, agent, node, row_number() over (partition by question, agent order by ts, event_id) as pos from (select *, strftime(ts, '%Y-%m-%d') as question, user_id % 3 as agent, cast(json_extract_string(props, '$.k') as bigint) as node from events)),
