@@ -5,8 +5,8 @@ class of size C is looked for in windows of 2C shingles that start every C, so w
 lies whole inside one window. Every window and template has one minimum per hash function, each of which is a band of one
 row; a template is retrieved where any band agrees, and exact shingle containment verifies it, for each row of texts by
 itself. As many bands are used as bring the chance to retrieve a template, of which 0.8 lies in a window, to 0.999 at
-least. A shingle is hashed once for each band; the minima of a class are those of blocks of C shingles, two blocks to a
-window. Texts that share no shingle with any template cannot contain 0.8 of one and have no windows made.
+least. A window that holds fewer shingles of templates than 0.8 of the smallest one of its class cannot contain any; only
+the others have minima made.
 """
 
 from __future__ import annotations
@@ -48,9 +48,10 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class SizeClass:
-    """Templates of over half of `size` shingles up to `size`; windows of twice `size` start every `size`."""
+    """Templates of `least` shingles or more, over half of `size` and up to `size`; windows of twice `size` start every `size`."""
 
     size: int
+    least: int
     bands: int
 
 
@@ -81,9 +82,9 @@ def full_texts(folder: str = FULL_TEXTS) -> dict[str, str]:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(template, wanted): names and distinct shingles of templates; those without words are left out."""
+    """(template, wanted): names and distinct shingles of templates."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, body string").select("template", words_of(F.col("body")).alias("w"))
-    return rows.select("template", F.array_distinct(shingles(F.col("w"))).alias("wanted")).where(F.size("wanted") > 0)
+    return rows.select("template", F.array_distinct(shingles(F.col("w"))).alias("wanted"))
 
 
 def classes_of(sizes: list[int], containment: float = CONTAINMENT) -> list[SizeClass]:
@@ -92,17 +93,31 @@ def classes_of(sizes: list[int], containment: float = CONTAINMENT) -> list[SizeC
     for n in sizes:
         size = 1 << (n - 1).bit_length()
         least[size] = min(n, least.get(size, n))
-    return [SizeClass(size, bands_for(containment * n / (2 * size + (1 - containment) * n))) for size, n in sorted(least.items())]
+    return [SizeClass(size, n, bands_for(containment * n / (2 * size + (1 - containment) * n))) for size, n in sorted(least.items())]
 
 
 def _band(hashes: Column, band: Column) -> Column:
     return F.transform(hashes, lambda h: F.xxhash64(h, band))
 
 
-def _window_minima(hashes: Column, size: int) -> Column:
-    """(size, at, low) for windows of 2 `size` hashes that start every `size`."""
-    n = F.greatest(F.ceil(F.size(hashes) / size) - 1, F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lit(size).alias("size"), (k * size).alias("at"), F.array_min(F.slice(hashes, k * size + 1, 2 * size)).alias("low")))
+def _by_class(classes: list[SizeClass], size: Column, value: str) -> Column:
+    out = F.lit(None).cast("int")
+    for c in classes:
+        out = F.when(size == c.size, getattr(c, value)).otherwise(out)
+    return out
+
+
+def windows_with_hits(rows: DataFrame, hashes: DataFrame, classes: list[SizeClass], containment: float) -> DataFrame:
+    """(th, size, k): windows of texts (th, w), by their number, that hold enough template shingles for a class's smallest template.
+
+    hashes: the distinct shingles (h) of all templates.
+    """
+    every = rows.select("th", shingles(F.col("w")).alias("hs")).select("th", F.size("hs").alias("n"), F.posexplode_outer("hs").alias("pos", "h"))
+    hits = every.join(hashes, "h")
+    both = F.array(*(F.struct(F.lit(c.size).alias("size"), (F.floor(F.col("pos") / c.size) - back).cast("int").alias("k")) for c in classes for back in (0, 1)))
+    windows = hits.select("th", "n", "h", F.explode(both).alias("w")).select("th", "h", "w.size", "w.k", "n")
+    windows = windows.where("k >= 0 and k < greatest(ceil(n / size) - 1, 1)").select("th", "size", "k", "h").distinct()
+    return windows.groupBy("th", "size", "k").agg(F.count("*").alias("c")).where(F.col("c") >= containment * _by_class(classes, F.col("size"), "least") - 1e-9).select("th", "size", "k")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -116,7 +131,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, i
     """
     spark = docs.sparkSession
     known = templates if isinstance(templates, DataFrame) else template_table(spark, TEMPLATES if templates is None else templates)
-    known = stored(known.select("template", "wanted", F.size("wanted").alias("n")), "license-templates")
+    # a filter before the table is stored would be worked out with all that is below it, anew for each shingle
+    known = stored(known.select("template", "wanted", F.size("wanted").alias("n")), "license-templates").where("n > 0")
     sizes = known.groupBy("n").count().collect()  # at most one row for each length of a template
     classes = classes_of([r.n for r in sizes], containment)
     if not classes:
@@ -126,26 +142,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, i
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    every = rows.select("th", words_of(F.col("text")).alias("w")).select("th", F.explode_outer(shingles(F.col("w"))).alias("h"))
-    hit = every.join(small(known.select(F.explode("wanted").alias("h")).distinct()), "h", "left_semi").select(F.col("th").alias("id")).distinct()
-    hit = stored(hit, "license-texts")
-    some = maybe_among(rows, "th", hit).where("_maybe").select("id", words_of(F.col("text")).alias("w"))
-    some = stored(some.select(F.monotonically_increasing_id().alias("row"), "id", shingles(F.col("w")).alias("h")), "license-candidates")
-
-    bands = max(c.bands for c in classes)
-    spread = some.where(F.size("h") > 0).select("row", "h", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    spread = spread.select("row", "band", _band(F.col("h"), F.col("band")).alias("x"))
-    minima = F.concat(*(F.when(F.col("band") < c.bands, _window_minima(F.col("x"), c.size)).otherwise(F.slice(_window_minima(F.col("x"), c.size), 1, 0)) for c in classes))
-    spread = spread.select("row", "band", F.explode(minima).alias("m")).select("row", "band", "m.size", "m.at", "m.low")
-    size, most = F.lit(None).cast("int"), F.lit(None).cast("int")
+    hashes = small(known.select(F.explode("wanted").alias("h")).distinct())
+    windows = stored(windows_with_hits(rows.select("th", words_of(F.col("text")).alias("w")), hashes, classes, containment), "license-windows")
+    some = maybe_among(rows, "th", windows.select(F.col("th").alias("id")).distinct()).where("_maybe").select("id", "th", words_of(F.col("text")).alias("w"))
+    some = stored(some.select(F.monotonically_increasing_id().alias("row"), "id", "th", shingles(F.col("w")).alias("h")), "license-candidates")
+
+    part = F.slice(F.col("h"), F.col("k") * F.col("size") + 1, 2 * F.col("size"))
+    parts = some.join(windows, "th").select("row", "id", "size", "k", part.alias("part"))
+    lows = F.transform(F.sequence(F.lit(0), _by_class(classes, F.col("size"), "bands") - 1), lambda b: F.array_min(_band(F.col("part"), b)))
+    # outer: else Spark asks first, with all expressions worked out twice, whether there is anything to explode
+    spread = parts.select("row", "size", "k", F.posexplode_outer(lows).alias("band", "low"))
+    size = F.lit(None).cast("int")
     for c in reversed(classes):
-        size, most = F.when(F.col("n") <= c.size, c.size).otherwise(size), F.when(F.col("n") <= c.size, c.bands).otherwise(most)
-    wanted = known.select("template", "wanted", size.alias("size"), F.explode(F.sequence(F.lit(0), most - 1)).alias("band"))
+        size = F.when(F.col("n") <= c.size, c.size).otherwise(size)
+    wanted = known.select("template", "wanted", size.alias("size")).select("template", "size", "wanted", F.explode(F.sequence(F.lit(0), _by_class(classes, F.col("size"), "bands") - 1)).alias("band"))
     wanted = wanted.select("template", "size", "band", F.array_min(_band(F.col("wanted"), F.col("band"))).alias("low"))
-    found = spread.join(small(wanted), ["size", "band", "low"]).select("row", "size", "at", "template").distinct()
+    found = spread.join(small(wanted), ["size", "band", "low"]).select("row", "size", "k", "template").distinct()
 
-    part = F.slice(F.col("h"), F.col("at") + 1, 2 * F.col("size"))
-    sure = found.join(some, "row").join(small(known.select("template", "wanted")), "template").select("row", "id", "at", "template", (F.size(F.array_intersect(part, F.col("wanted"))) / F.size("wanted")).alias("share"))
+    share = F.size(F.array_intersect("part", "wanted")) / F.size("wanted")
+    sure = parts.join(found, ["row", "size", "k"]).join(small(known.select("template", "wanted")), "template").select("id", (F.col("k") * F.col("size")).alias("at"), "template", share.alias("share"))
     sure = sure.where(F.col("share") >= containment)
     return sure.groupBy("id", "template").agg(F.count("*").alias("n_windows"), F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word")).withColumnRenamed("id", id_col)
 
