@@ -88,10 +88,66 @@ def chunkers() -> Registry:
     out.add(Operator("contextual", chunk.contextual, names + sizes, "pieces behind their context"))
     out.add(Operator("markdown", chunk.markdown, names, "parts under headings"))
     out.add(Operator("parent_child", chunk.parents_and_children, names, "small pieces of large ones"))
-    out.add(Operator("code", chunk.code, (*names, Parameter("family", str, "braces", lambda f: f in chunk.CODE_SEPARATORS)), "cut at definitions"))
+    out.add(Operator("code", chunk.code, (*names, Parameter("language", str, "python", lambda x: x in chunk.LANGUAGES)), "cut at definitions"))
     return out
 
 
+def rerankers() -> Registry:
+    """The rerankers, each from (hits) to hits with `new_score` and `rank`."""
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import fusion
+    from graphloom.operators.retrieve import overlap
+
+    def by_overlap(hits: DataFrame, query: str, text: str, group: str, order: str, k: int) -> DataFrame:
+        return fusion.reranked(hits, overlap(F.col(query), F.col(text)), group, text, order, k)
+
+    def by_length(hits: DataFrame, text: str, group: str, order: str, k: int) -> DataFrame:
+        return fusion.reranked(hits, -F.length(text), group, text, order, k)
+
+    names = (Parameter("text", str), Parameter("group", str), Parameter("order", str), Parameter("k", int, 5, lambda n: n > 0))
+    out = Registry()
+    out.add(Operator("overlap", by_overlap, (Parameter("query", str), *names), "by the share of the query's words"))
+    out.add(Operator("shortest", by_length, names, "shorter texts first"))
+    return out
+
+
+def retrievers() -> Registry:
+    """The retrievers, each from (documents, queries) to (query, doc or item, score, rank)."""
+    from graphloom.operators import nearest, search
+
+    def sparse(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, **more: Any) -> DataFrame:
+        return search.top_per_query(search.bm25(docs, queries, doc_id, doc_text, query_id, query_text, **more), k)
+
+    texts = (Parameter("doc_id", str), Parameter("doc_text", str), Parameter("query_id", str), Parameter("query_text", str), Parameter("k", int, 10, lambda n: n > 0))
+    out = Registry()
+    out.add(Operator("bm25", sparse, texts, "ranked by words"))
+    out.add(Operator("okapi", lambda *frames, **given: sparse(*frames, k1=1.5, okapi=True, **given), texts, "ranked by words, common ones for less"))
+    out.add(Operator("vectors", nearest.nearest, (Parameter("k", int, 10, lambda n: n > 0), Parameter("id_col", str, "vec_id"), Parameter("vector_col", str, "embedding")), "ranked by cosine"))
+    return out
+
+
+@dataclass(frozen=True)
+class Task:
+    """A step by name, from a context to what it adds to it; what it needs must be there."""
+
+    name: str
+    step: Callable[[dict[str, Any]], dict[str, Any]]
+    needs: tuple[str, ...] = ()
+
+    def run(self, context: dict[str, Any]) -> dict[str, Any]:
+        if lost := [n for n in self.needs if n not in context]:
+            raise BadArgument(f"{self.name} needs {', '.join(lost)}")
+        return context | self.step(context)
+
+
+def run_tasks(tasks: list[Task], context: dict[str, Any]) -> dict[str, Any]:
+    """The context after all tasks, one after the other."""
+    for task in tasks:
+        context = task.run(context)
+    return context
+
+
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: recursive_chunks(text, size, overlap) as a table function, and count_words(text)."""
     from pyspark.sql import functions as F

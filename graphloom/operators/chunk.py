@@ -17,14 +17,44 @@ ROUTES = {
     ".swift": "code", ".php": "code", ".lua": "code", ".scala": "code", ".ex": "code", ".exs": "code", ".tex": "code", ".rst": "code",
 }
 SEPARATORS = ("\n\n", "\n", " ", "")
-#: Where code is cut first, by family of language.
-CODE_SEPARATORS = {
-    "python": ("\nclass ", "\ndef ", "\n\tdef ", *SEPARATORS),
-    "braces": ("\nclass ", "\nfunction ", "\nfunc ", "\nfn ", "\npublic ", "\nprivate ", "\nif ", "\nfor ", "\nwhile ", *SEPARATORS),
-    "markup": ("\n# ", "\n## ", "\n### ", *SEPARATORS),
+#: Words that begin a definition or a block of a language; code is cut before them at the start of a line first.
+LANGUAGES = {
+    "c": ("struct", "enum", "void", "int", "float", "double", "if", "for", "while", "switch"),
+    "cobol": ("IDENTIFICATION DIVISION", "DATA DIVISION", "PROCEDURE DIVISION", "SECTION", "PERFORM", "IF"),
+    "cpp": ("class", "namespace", "struct", "template", "void", "int", "float", "double", "if", "for", "while", "switch"),
+    "csharp": ("namespace", "interface", "enum", "class", "public", "protected", "private", "static", "if", "for", "foreach", "while", "switch"),
+    "elixir": ("defmodule", "def", "defp", "defprotocol", "defmacro", "if", "unless", "case", "cond"),
+    "go": ("func", "type", "var", "const", "if", "for", "switch"),
+    "haskell": ("module", "import", "data", "newtype", "type", "class", "instance", "where", "let"),
+    "html": ("<body", "<div", "<section", "<h1", "<h2", "<h3", "<p", "<table", "<ul", "<li"),
+    "java": ("class", "interface", "enum", "public", "protected", "private", "static", "if", "for", "while", "switch"),
+    "js": ("function", "class", "const", "let", "var", "if", "for", "while", "switch"),
+    "kotlin": ("class", "object", "interface", "fun", "val", "var", "if", "for", "while", "when"),
+    "latex": ("\\chapter", "\\section", "\\subsection", "\\subsubsection", "\\begin"),
+    "lua": ("function", "local function", "local", "if", "for", "while", "repeat"),
+    "markdown": ("#", "##", "###", "####", "#####", "######", "```", "---"),
+    "perl": ("package", "sub", "use", "if", "foreach", "for", "while"),
+    "php": ("namespace", "class", "interface", "trait", "function", "if", "foreach", "while", "switch"),
+    "powershell": ("function", "param", "class", "if", "foreach", "for", "while", "switch"),
+    "proto": ("message", "service", "enum", "option", "import", "syntax"),
+    "python": ("class", "def", "async def", "\tdef", "    def"),
+    "r": ("function", "setClass", "setMethod", "library", "if", "for", "while"),
+    "rst": ("===", "---", "***", ".."),
+    "ruby": ("module", "class", "def", "if", "unless", "while", "for", "begin"),
+    "rust": ("mod", "pub", "fn", "struct", "enum", "trait", "impl", "const", "let", "if", "for", "while", "match"),
+    "scala": ("object", "class", "trait", "def", "val", "var", "if", "for", "while", "match"),
+    "sol": ("pragma", "contract", "interface", "library", "function", "event", "modifier", "struct", "enum", "if", "for"),
+    "swift": ("struct", "class", "enum", "extension", "func", "if", "for", "while", "switch"),
+    "ts": ("namespace", "enum", "interface", "type", "class", "function", "const", "let", "var", "if", "for", "while", "switch"),
+    "visualbasic6": ("Public Sub", "Private Sub", "Public Function", "Private Function", "Type", "Property", "If", "For", "Do While", "Select Case"),
 }
 
 
+def code_separators(language: str) -> tuple[str, ...]:
+    """Where code of a language is cut: before the words above at the start of a line, then as any text."""
+    return (*(f"\n{word} " for word in LANGUAGES[language]), *SEPARATORS)
+
+
 def strides(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """(id_col, chunk_id, chunk): pieces of `size` characters that start every size - overlap."""
     step = size - overlap
@@ -101,13 +131,14 @@ def recursive(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, ove
     return pieces.withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-def code(docs: DataFrame, id_col: str, text_col: str, family: str, size: int = 1500, overlap: int = 200) -> DataFrame:
-    return recursive(docs, id_col, text_col, size, overlap, CODE_SEPARATORS[family])
+def code(docs: DataFrame, id_col: str, text_col: str, language: str, size: int = 1500, overlap: int = 200) -> DataFrame:
+    """As `recursive`, cut at the definitions of a language of `LANGUAGES` first."""
+    return recursive(docs, id_col, text_col, size, overlap, code_separators(language))
 
 
 def contextual(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Stride chunks behind their context."""
-    return strides(docs, id_col, text_col, size, overlap).withColumn("chunk", with_context(F.col("chunk")))
+    """Recursive chunks behind their context."""
+    return recursive(docs, id_col, text_col, size, overlap).withColumn("chunk", with_context(F.col("chunk")))
 
 
 def markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

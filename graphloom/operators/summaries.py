@@ -73,5 +73,5 @@ def described_paper(title: Column, abstract: Column, date: Column, *venues: tupl
     """The summary of a paper: title, abstract, date, and the first venue that is known; -1 stands for what is not."""
     known = lambda c: c.isNotNull() & (c != "-1")
     where = F.coalesce(*(F.when(known(c), F.concat(F.lit(f" - {label}: "), c)) for label, c in venues))
-    body = F.rtrim(F.replace(F.coalesce(abstract, F.lit("")), F.lit("\r"), F.lit("")))
+    body = F.regexp_replace(F.replace(F.coalesce(abstract, F.lit("")), F.lit("\r"), F.lit("")), r"\n+\z", "")
     return F.concat_ws("\n", F.concat(F.lit(" - paper title: "), title), F.concat(F.lit(" - abstract: "), body), F.when(known(date), F.concat(F.lit(" - publication date: "), date)), where)

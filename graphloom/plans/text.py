@@ -155,7 +155,8 @@ def chunk_code(spark, d):
 
 @query("chunk_contextual", f"with c as ({STRIDE_SQL}) select doc_id, cast(chunk_id as bigint) as chunk_id, md5('[Document Context: ' || trim(substring(chunk, 1, 200)) || ']' || chr(10) || chr(10) || chunk) as digest from c")
 def chunk_contextual(spark, d):
-    return K.contextual(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", F.md5("chunk").alias("digest"))
+    found = K.strides(table(spark, d, "documents"), "doc_id", "text")
+    return found.select("doc_id", "chunk_id", F.md5(X.with_context(F.col("chunk"))).alias("digest"))
 
 
 @query("chunk_markdown", """select p_partkey, 0 as section, p_brand as breadcrumb, 'intro ' || p_name as body from part union all select p_partkey, 1, p_brand || ' > ' || p_type, 'size ' || p_size from part union all select p_partkey, 3, p_type, 'end' from part""")

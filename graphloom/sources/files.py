@@ -42,11 +42,11 @@ def upload_error(name: Column, size: Column) -> Column:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON log of a question, with `file` (its name without extension) and `modified`; corrupt ones are passed over."""
+    """One row for each JSON log of a question, with `file` (its name without extension) and `modified`, by time; corrupt ones are passed over."""
     schema = f"{trajectory_schema()}, _corrupt string"
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     rows = rows.withColumns({"file": F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), "modified": F.col("_metadata.file_modification_time")})
-    return rows.where("_corrupt is null").drop("_corrupt")
+    return rows.where("_corrupt is null").drop("_corrupt").orderBy("modified", "file")
 
 
 def write_logs(logs: DataFrame, path: str, key: str = "file") -> None:
@@ -117,7 +117,11 @@ def compacted(spark: SparkSession, source: str, target: str, parts: int, key: st
 
 
 class Collections:
-    """Vector collections as Parquet folders, one for each name; made when first written."""
+    """Vector collections as Parquet folders, one for each name; made when first written.
+
+    A collection is a folder of versions. The current one is the last whose writing has ended, as Spark's own mark says, so
+    a reader never sees half a deletion and a run that breaks off leaves the version before it. `vacuum` removes older ones.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.held = spark, root.rstrip("/"), {}
@@ -127,28 +131,53 @@ class Collections:
             raise ValueError(f"no name of a collection: {name!r}")
         return f"{self.root}/{name}"
 
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self, name: str) -> list[int]:
+        """Numbers of the versions that are complete, in order."""
+        folder, fs = self._fs(self.path(name))
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        found = [int(x[1:]) for x in names if x.startswith("v") and x[1:].isdigit()]
+        return sorted(n for n in found if fs.exists(self._fs(f"{self.path(name)}/v{n}/_SUCCESS")[0]))
+
+    def _current(self, name: str) -> str:
+        return f"{self.path(name)}/v{(self.versions(name) or [0])[-1]}"
+
     def add(self, name: str, chunks: DataFrame) -> DataFrame:
         """Appends chunks (page_content and metadata columns) with an id from their content."""
         keyed = chunks.withColumn("chunk_key", F.sha2(F.concat_ws("\u0001", *(F.col(c).cast("string") for c in sorted(chunks.columns))), 256))
-        keyed.write.mode("append").parquet(self.path(name))
+        keyed.write.mode("append").parquet(self._current(name))
         self.held.pop(name, None)
         return keyed
 
     def read(self, name: str) -> DataFrame:
         if name not in self.held:
-            self.held[name] = self.spark.read.parquet(self.path(name))
+            self.held[name] = self.spark.read.parquet(self._current(name))
         return self.held[name]
 
+    def search(self, name: str, queries: DataFrame, k: int, where: Column | None = None, vector_col: str = "embedding", **names) -> DataFrame:
+        """(query, item, score, rank): the `k` chunks of a collection nearest to each query vector; items are numbers in `id_col`."""
+        from graphloom.operators.nearest import nearest
+
+        rows = self.read(name)
+        return nearest(rows if where is None else rows.where(where), queries, k, vector_col=vector_col, **names)
+
     def delete(self, name: str, condition: Column) -> int:
-        """Removes rows for which the condition is true; returns their number."""
+        """Writes a version without the rows for which the condition is true; returns their number."""
         rows = self.read(name)
         gone = rows.where(condition).count()
         if gone:
-            other = f"{self.path(name)}.new"
-            rows.where(~F.coalesce(condition, F.lit(False))).write.mode("overwrite").parquet(other)
-            self.spark.read.parquet(other).write.mode("overwrite").parquet(self.path(name))
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(other)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            number = self.versions(name)[-1] + 1
+            rows.where(~F.coalesce(condition, F.lit(False))).write.mode("overwrite").parquet(f"{self.path(name)}/v{number}")
             self.held.pop(name, None)
         return gone
 
+    def vacuum(self, name: str) -> int:
+        """Removes all versions but the current one; returns their number. No reader may still use them."""
+        old = self.versions(name)[:-1]
+        for number in old:
+            folder, fs = self._fs(f"{self.path(name)}/v{number}")
+            fs.delete(folder, True)
+        return len(old)
