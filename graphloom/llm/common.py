@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: Bits of a bitmap of ids, for each of them, and the limits of their number.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,21 +91,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def maybe_among(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """`docs` with a column `_maybe`: false only where `id_col` is none of `ids.id`, as a broadcast bitmap of their hashes tells.
+def maybe_among(rows: DataFrame, key_col: str, ids: DataFrame) -> DataFrame:
+    """`rows` with a column `_maybe`: false only where `key_col` is none of `ids.id`, as a broadcast bitmap of their hashes tells.
 
-    The bitmap has `BITS_EACH` bits for each id and 16 MB at most; beyond that it only lets more rows pass.
+    The bitmap has `BITS_EACH` bits for each id and 4 MB at most, in words of 64 bits; beyond that it only lets more rows pass.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH << max(0, ids.count() - 1).bit_length()))
 
     def place(x: Column) -> Column:
-        return F.pmod(F.xxhash64(x), F.lit(bits))
-
-    marked = ids.select(place(F.col("id")).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_maybe_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_maybe_map"))
-    at = F.bitmap_bit_position(place(F.col(id_col)))
-    byte = F.conv(F.hex(F.substring(F.col("_maybe_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = docs.withColumn("_maybe_bucket", F.bitmap_bucket_number(place(F.col(id_col)))).join(F.broadcast(marked), "_maybe_bucket", "left")
-    return joined.withColumn("_maybe", F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("_maybe_bucket", "_maybe_map")
+        return F.pmod(F.xxhash64(x), F.lit(bits).cast("long"))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("at"), F.lit(64)).cast("int"))
+    words = ids.select(place(F.col("id")).alias("at")).groupBy(F.shiftright("at", 6).alias("_maybe_word")).agg(F.bit_or(bit).alias("_maybe_bits"))
+    at = place(F.col(key_col))
+    joined = rows.withColumn("_maybe_word", F.shiftright(at, 6)).join(F.broadcast(words), "_maybe_word", "left")
+    found = F.getbit("_maybe_bits", F.pmod(at, F.lit(64)).cast("int")) == 1
+    return joined.withColumn("_maybe", F.coalesce(found, F.lit(False))).drop("_maybe_word", "_maybe_bits")
 
 
 class Forest:

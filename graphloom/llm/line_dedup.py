@@ -80,17 +80,22 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """(id, th, places): for each text with later occurrences the numbers of the non-blank lines that they cover, merged."""
     found = stored(windows(docs, id_col, text_col, window, least_words, line_words, unique), "line-windows")
     first = found.groupBy("hash").agg(F.min("id").alias("first_id"), *([] if unique else [F.min(F.when(F.col("id").isNull(), F.col("th"))).alias("first_th")]), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = (found.drop("th") if unique else found).join(first, "hash")
+    first = stored(first, "line-repeats")
+    # most windows occur once, and a bitmap keeps nearly all of these from the join
+    some = maybe_among(found.drop("th") if unique else found, "hash", first.select(F.col("hash").alias("id"))).where("_maybe").drop("_maybe")
+    hits = some.join(first, "hash")
+    keys = ["id"] if unique else ["id", "th"]
     if unique:
         hits = hits.withColumns({"th": F.lit(0).cast("long"), "first_th": F.lit(None).cast("long")})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = Window.partitionBy("id", "th", "hash")
-    hits = hits.repartition(n, "id", "th").withColumn("own", F.min("place").over(own))
+    own = Window.partitionBy(*keys, "hash")
+    hits = hits.repartition(n, *keys).withColumn("own", F.min("place").over(own))
     elsewhere = F.when(F.col("first_id").isNull(), F.col("th") > F.col("first_th")).otherwise(F.col("id").isNull() | (F.col("id") > F.col("first_id")))
     # a later occurrence that overlaps the first one in the same text leaves the first one's lines
     start = F.when(elsewhere, F.col("place")).otherwise(F.greatest(F.col("place"), F.col("own") + window))
-    later = hits.where(elsewhere | (F.col("place") > F.col("own"))).select("id", "th", F.sequence(start, F.col("place") + window - 1).alias("places"))
-    return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    later = hits.where(elsewhere | (F.col("place") > F.col("own"))).select(*keys, F.sequence(start, F.col("place") + window - 1).alias("places"))
+    merged = later.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    return merged.select("id", (F.lit(0).cast("long") if unique else F.col("th")).alias("th"), "places")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
