@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import extension, parent_id, sentences, with_context
@@ -55,13 +55,16 @@ def code_separators(language: str) -> tuple[str, ...]:
     return (*(f"\n{word} " for word in LANGUAGES[language]), *SEPARATORS)
 
 
+def _strides(text: Column, size: int, overlap: int) -> Column:
+    """The pieces of `size` characters that start every size - overlap, as an array; null for no text."""
+    starts = F.sequence(F.lit(1), F.length(text), F.lit(size - overlap))
+    return F.when(F.length(text) > 0, F.transform(starts, lambda s: text.substr(s, F.lit(size))))
+
+
 def strides(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(id_col, chunk_id, chunk): pieces of `size` characters that start every size - overlap."""
-    step = size - overlap
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(step))
-    rows = docs.select(F.col(id_col), text.alias("_t"), F.posexplode(starts).alias("chunk_id", "_s")).where(F.length("_t") > 0)
-    return rows.select(id_col, F.col("chunk_id").cast("long").alias("chunk_id"), F.expr(f"substring(_t, _s, {size})").alias("chunk"))
+    """(id_col, chunk_id, chunk): pieces of `size` characters that start every size - overlap. Only the pieces leave a text's row."""
+    rows = docs.select(F.col(id_col), F.posexplode_outer(_strides(F.col(text_col), size, overlap)).alias("chunk_id", "chunk"))
+    return rows.where("chunk is not null").withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 def described(chunks: DataFrame, method: str, size: int) -> DataFrame:
@@ -72,11 +75,11 @@ def described(chunks: DataFrame, method: str, size: int) -> DataFrame:
 
 def parents_and_children(docs: DataFrame, id_col: str, text_col: str, parent: tuple[int, int] = (2000, 200), child: tuple[int, int] = (500, 50)) -> DataFrame:
     """(id_col, parent_index, parent_id, child_index, siblings, chunk): children of each parent chunk."""
-    outer = strides(docs, id_col, text_col, *parent).select(F.concat(F.col(id_col).cast("string"), F.lit("/"), "chunk_id").alias("_k"), id_col, F.col("chunk_id").alias("parent_index"), F.col("chunk").alias("_parent"))
-    inner = strides(outer, "_k", "_parent", *child).withColumnsRenamed({"chunk_id": "child_index"})
+    outer = strides(docs, id_col, text_col, *parent)
     step = child[0] - child[1]
-    parents = outer.select("_k", id_col, "parent_index", parent_id(F.col("_parent"), F.col("parent_index")).alias("parent_id"), F.ceil(F.length("_parent") / step).cast("long").alias("siblings"))
-    return inner.join(parents, "_k").select(id_col, "parent_index", "parent_id", "child_index", "siblings", "chunk")
+    parents = outer.select(id_col, F.col("chunk_id").alias("parent_index"), parent_id(F.col("chunk"), F.col("chunk_id")).alias("parent_id"), F.ceil(F.length("chunk") / step).cast("long").alias("siblings"), _strides(F.col("chunk"), *child).alias("_c"))
+    inner = parents.select(id_col, "parent_index", "parent_id", "siblings", F.posexplode_outer("_c").alias("child_index", "chunk")).where("chunk is not null")
+    return inner.select(id_col, "parent_index", "parent_id", F.col("child_index").cast("long").alias("child_index"), "siblings", "chunk")
 
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def rebuilt(log: DataFrame, merge: Callable[[DataFrame], DataFrame], target: str) -> None:
-    merge(log).write.mode("overwrite").parquet(target)
+def ingest(spark: SparkSession, source: str, schema: str, log: str, target: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "id", buckets: int = 64) -> StreamingQuery:
+    """Reads new files of arrivals, appends each batch to a log by its number, and renews the parts of the merged table that it touches.
 
-
-def ingest(spark: SparkSession, source: str, schema: str, log: str, target: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Reads new files of arrivals, appends each batch to a log by its number, and writes the merged table anew.
-
-    A batch that is run again overwrites its own part of the log, so the merged table is the same after any restart.
+    Log and table are kept by buckets of `key`, by which `merge` groups; a batch reads and writes its own buckets only. A
+    batch that is run again overwrites its own part of the log, so the merged table is the same after any restart.
     """
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        rebuilt(spark.read.schema(batch.schema).parquet(f"{log}/batch=*"), merge, target)
+        if batch.isEmpty():
+            return
+        dealt(batch).write.mode("overwrite").partitionBy("_bucket").parquet(f"{log}/batch={number}")
+        every = spark.read.schema(dealt(batch).schema).option("basePath", log).parquet(f"{log}/batch=*")
+        touched = [r[0] for r in every.where(F.col("batch") == number).select("_bucket").distinct().collect()]  # at most `buckets`
+        merged = merge(every.where(F.col("_bucket").isin(touched)).select(batch.columns))
+        dealt(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,3 +142,22 @@ def test_both_lists_of_the_hybrid_search_differ(spark):
 
 def test_flags(spark):
     assert one(spark, J.is_true(F.lit(" Yes "))) and not one(spark, J.is_true(F.lit("no")))
+
+
+def test_broadcasts_are_checked_by_bytes(spark):
+    from graphloom.operators.sizes import fits
+
+    rows = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert fits(rows) and not fits(rows, 99) and not fits(rows, most_bytes=50_000) and fits(rows.where("false"))
+
+
+def test_later_batches_renew_their_own_buckets(spark, tmp_path):
+    from graphloom.operators import merge
+
+    schema = "id long, type string, description string, source_document string, seq long"
+    args = (spark, f"{tmp_path}/in", schema, f"{tmp_path}/log", f"{tmp_path}/out", merge.merge_entities, f"{tmp_path}/cp")
+    for part in ([(i, "T", f"d{i}", "a", i) for i in range(20)], [(3, "U", "late", "b", 99), (50, "T", "new", "b", 100)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.ingest(*args).awaitTermination()
+    got = {r.id: (r.type, r.description, list(r.source_documents), r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 21 and got[3] == ("T", "d3", ["a", "b"], 2) and got[50] == ("T", "new", ["b"], 1) and got[4] == ("T", "d4", ["a"], 1)
