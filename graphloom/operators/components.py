@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark) -> None:
-    """Uses the folder in spark.checkpoint.dir, and a temporary one only where that is unset."""
+    """Uses the folder in spark.checkpoint.dir; a temporary one only where that is unset and all of Spark is one process."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 100) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import records as J
 from graphloom.functions import text as X
 from graphloom.operators import merge as M
+from graphloom.operators.components import ensure_checkpoints
 from graphloom.plans.base import query, table
 from graphloom.plans.lifecycle import ARRIVALS_SQL, _arrivals
 from graphloom.sources import files
@@ -138,9 +138,9 @@ def arrays(spark, d):
 
 
 def _folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+    """A new folder below the session's checkpoints."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_ingest_merge", f"with {ARRIVALS_SQL} select id, type, description, n from ents")
