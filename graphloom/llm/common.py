@@ -20,9 +20,11 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all of Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
