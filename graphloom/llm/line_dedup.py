@@ -16,6 +16,8 @@ from graphloom.llm.common import maybe_among, stored
 WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
 #: Latin small letters by their code points modulo 8. A word ends a line if its last two letters are of these residues. Any
 #: rule would do that depends on the word alone; this one picks about one word in nine of English, French, German or Spanish.
+#: What ends a line of the text itself.
+LINE_END = r"""(\n|[.!?。！？…]["')\]}»”’」』）]*[ \t\r]*)$"""
 LETTERS = ["".join(c for c in map(chr, range(0x61, 0x100)) if c.isalpha() and ord(c) % 8 == k) for k in range(8)]
 PICKED = f"[{LETTERS[0]}{LETTERS[1]}{LETTERS[5]}{LETTERS[7]}][{LETTERS[5]}{LETTERS[7]}]"
 
@@ -98,12 +100,38 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return merged.select("id", (F.lit(0).cast("long") if unique else F.col("th")).alias("th"), "places")
 
 
+def full_runs(lines: Column, places: Column, window: int, line_words: int) -> Column:
+    """Those of the covered `places` whose runs are `window` lines long in the text itself, as an array.
+
+    Pieces of a cut line are lines only by the way they are compared. A run stays covered if it has `window` ends of lines
+    or sentences or of the text, or as many words as that many cut lines, or is all of the text; a stock phrase is none.
+    """
+    nothing = F.expr("cast(array() as array<struct<a: int, b: int>>)")
+    last = F.size(lines) - 1
+
+    def closed(run: Column) -> Column:
+        enough = (run["ends"] >= window) | (F.lit(line_words > 0) & (run["words"] >= window * max(line_words, 1))) | ((run["a"] == 0) & (run["b"] == last))
+        return F.when((run["b"] >= run["a"]) & enough, F.concat(run["runs"], F.array(F.struct(run["a"].alias("a"), run["b"].alias("b"))))).otherwise(run["runs"])
+
+    def add(run: Column, place: Column) -> Column:
+        line = F.get(lines, place)
+        ends = F.when((place == last) | line.rlike(LINE_END), 1).otherwise(0)
+        words = F.regexp_count(line, F.lit(r"\S+"))
+        on = place == run["b"] + 1
+        longer = F.struct(run["runs"].alias("runs"), run["a"].alias("a"), place.alias("b"), (run["words"] + words).alias("words"), (run["ends"] + ends).alias("ends"))
+        return F.when(on, longer).otherwise(F.struct(closed(run).alias("runs"), place.alias("a"), place.alias("b"), words.alias("words"), ends.alias("ends")))
+
+    start = F.struct(nothing.alias("runs"), F.lit(0).alias("a"), F.lit(-2).alias("b"), F.lit(0).alias("words"), F.lit(0).alias("ends"))
+    runs = F.aggregate(F.array_sort(F.filter(places, lambda x: x <= last)), start, add, closed)
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"])))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """`docs` with `text_col` less the lines of later occurrences, and (n_lines, n_removed), which replace columns of these names.
 
     A window occurs first in the text with the smallest id; texts without an id come last, those in the order of their
     hashes. Rows that share an id do not count as repeats of each other, and rows that repeat id and text lose the same
-    lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Every window counts, however
+    lines. Within a text the first place counts. Covered runs that are shorter than three lines of the text itself stay. Null texts stay null and have no lines, like empty ones. Every window counts, however
     short its lines; a higher `least_words` leaves windows of fewer words alone. An empty table gives an empty one.
     Only texts that may have repeats are shuffled, once.
     """
@@ -119,11 +147,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def kept(b: Column) -> Column:
         numbers = F.when(F.size(b["lines"]) > 0, F.sequence(F.lit(0), F.size(b["lines"]) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(F.array_except(numbers, b["places"]), lambda k: F.get(b["lines"], k))
+        return F.transform(F.array_except(numbers, full_runs(b["lines"], b["places"], window, line_words)), lambda k: F.get(b["lines"], k))
 
     # b is a variable: a filter that Spark moves below would otherwise cut the text anew for each line
     left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]
-    changed = F.when(places.isNull(), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
+    changed = F.when(places.isNull() | (F.size(left) == F.size(full)), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
     counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), F.size(full) - F.size(left)).otherwise(0).cast("long")}
     return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_maybe")
 

@@ -48,6 +48,16 @@ def slow(rows, window=3, least=1):
                 gone[d] |= set(range(k, k + window))
             elif k > own:
                 gone[d] |= set(range(max(k, own + window), k + window))
+    for d, ls in enumerate(full):
+        kept, run = set(), []
+        for k in [*sorted(x for x in gone[d] if x < len(ls)), -9]:
+            if run and k != run[-1] + 1:
+                ends = sum(x == len(ls) - 1 or bool(re.search(L.LINE_END, ls[x])) for x in run)
+                if ends >= window or sum(len(ls[x].split()) for x in run) >= 10 * window or len(run) == len(ls):
+                    kept |= set(run)
+                run = []
+            run.append(k)
+        gone[d] = kept
     return {i: (len(ls), len(g & set(range(len(ls))))) for (i, _), ls, g in zip(rows, full, gone, strict=True)}
 
 
@@ -120,3 +130,10 @@ def test_bitmap_lets_no_id_through(spark):
     rows = L.maybe_among(spark.range(6000).withColumnRenamed("id", "doc_id"), "doc_id", ids)
     got = {r.doc_id: r._maybe for r in rows.collect()}
     assert len(got) == 6000 and all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 1200
+
+
+def test_stock_phrases_stay(spark):
+    phrase = "to the reader of the page a note on the use of the text"
+    texts = {i: f"Own{i} begin{i} word{i}. {phrase} own{i}b, and more{i}b." for i in range(4)} | {9: "Home\nAbout us\nContact\nnine is here.", 10: "Home\nAbout us\nContact\nten was here!"}
+    got = {r.doc_id: r.text for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    assert got == texts | {10: "ten was here!"}
