@@ -151,9 +151,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # b is a variable: a filter that Spark moves below would otherwise cut the text anew for each line
     left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]
+    joined = joined.withColumn("_dedup_left", F.when(places.isNotNull(), left))  # a column, so it is worked out once
+    left = F.col("_dedup_left")
     changed = F.when(places.isNull() | (F.size(left) == F.size(full)), F.col(text_col)).otherwise(F.rtrim(F.array_join(left, "")))
     counts = {"n_lines": F.size(full).cast("long"), "n_removed": F.when(places.isNotNull(), F.size(full) - F.size(left)).otherwise(0).cast("long")}
-    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_maybe")
+    return joined.withColumns(counts | {text_col: changed}).drop("_dedup_places", "_dedup_th", "_dedup_lines", "_dedup_left", "_maybe")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
