@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontaminate, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash, spelling
+from graphloom.llm import chat, collocations, decontaminate, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash, spelling
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_sentencepiece_codec": sentencepiece_codec.op9_sentencepiece_codec,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_phrase_collocations": collocations.OP12_SQL,
 }
