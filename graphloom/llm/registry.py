@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, collocations, decontaminate, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash, spelling
+from graphloom.llm import chat, collocations, decontaminate, embedding_dedup, html_text, lattice_lm, license_scan, line_dedup, quality, sentencepiece_codec, simhash, spelling, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 SQL: dict[str, str] = {
