@@ -25,9 +25,9 @@ from graphloom.llm.common import pieces_of, small_batches, stored, texts_as_byte
 #: Bounds of what the fit reads: labelled documents of each class, and bytes of text of all of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 64 << 20
 #: Examples of a block; share of the examples that hold a term of the index, and their least number.
-BLOCK, LEAST_SHARE, LEAST_DOCS = 64, 0.005, 2
+BLOCK, LEAST_SHARE, LEAST_DOCS = 64, 0.01, 2
 #: Nearest examples that vote: one in so many of the examples, within limits; and those that are named as evidence.
-ONE_IN, FEWEST, MOST, EVIDENCE = 40, 15, 95, 5
+ONE_IN, FEWEST, MOST, EVIDENCE = 30, 15, 95, 5
 THRESHOLD = 0.5
 #: Bytes of text that are split at once.
 HELD_BYTES = 1_000_000
@@ -219,7 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     given = stored(given, "given-labels")
     counts = {r.y: r.n for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    chosen = given.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample).union(given.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample))
+    # neither label has over twice as many examples as the other
+    most = {y: min(sample, max(20, 2 * counts.get(1 - y, 0))) for y in (0, 1)}
+    first, second = (given.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most[y]) for y in (0, 1))
+    chosen = first.union(second)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("id", "y", F.coalesce("text", F.lit("")).alias("text"))
     rows, size = [], 0
