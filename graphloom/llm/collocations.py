@@ -4,12 +4,15 @@ Texts are cut into segments of a bounded number of words, each stored as an inve
 ascending list of its positions. A frequent phrase is extended by merging its list, one step on, with the lists of the words
 that stand beside it there; of these only the places are kept where the word ends another frequent phrase of the same
 length, since no other extension can be frequent. The length of a list is the phrase's exact frequency in the segment, and
-these lengths are summed over all segments by an exchange that has one row for each phrase and segment. Phrases are known by
-their first place in the corpus, so no hash can take one for another, and no table of words or phrases is ever sent to all.
+these lengths are summed over all segments by an exchange that has one row for each phrase and segment. Before it, lengths are
+summed by a hash of the phrase, and phrases whose sum is too small are let go with their lists; the hash lets some more pass,
+but none is lost. Phrases are known by their first place in the corpus, so no hash can take one for another, and no table of
+words or phrases is ever sent to all.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -29,6 +32,8 @@ SEGMENT_WORDS, SEGMENT_DISTINCT = 4_000_000, 600_000
 TASK_BITS, SHIFT = 12, 31
 #: Bytes of text that are split at once.
 HELD_BYTES = 1_000_000
+#: Words for each sum by hash, the least and the most such sums, and the sums of a block.
+WORDS_EACH, LEAST_SUMS, MOST_SUMS, BLOCK = 16, 1 << 16, 1 << 28, 1 << 16
 
 #: A-Z in lower case, a tab as a blank, and each end of a piece as a line end.
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -38,14 +43,18 @@ _WORD, _BLANK = re.compile(rb"[^ \n]+|\n+"), re.compile(rb"[ \n]")
 #: own besides, with its code, what it extends and by what (a word: its language and text), its length and first position.
 _FIRST = "seg long, lists binary, counts binary, code int, lang string, word string, n int, first int"
 _NEXT = "seg long, lists binary, counts binary, code int, left long, right long, n int, first int"
+#: Rows of the lists that go on: those of a segment in one row, with the ids of their phrases and of the words that end these;
+#: besides, for a block of sums, what the extended phrases of the segment add to it.
+_KEPT = "seg long, lists binary, counts binary, ids binary, endings binary, block int, at binary, n binary"
 
 
 def _packed(positions: np.ndarray) -> bytes:
-    return np.diff(positions, prepend=np.int32(0)).astype(np.int32).tobytes()
+    """Steps between positions, all of their low bytes first, which compresses well."""
+    return np.diff(positions, prepend=np.int32(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpacked(lists: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(lists, np.int32), dtype=np.int32)
+    return np.cumsum(np.frombuffer(lists, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel(), dtype=np.int32)
 
 
 class _Codes(dict):
@@ -136,35 +145,84 @@ def _level(seg: int, positions: np.ndarray, counts: np.ndarray, firsts: np.ndarr
         yield whole.slice(a, 50_000)
 
 
-def _extended(last: bool):
-    """A function of a segment's lists and the codes of those that are frequent in all segments: the lists of phrases one word longer."""
-    none = _arrow(_NEXT)
+def _pairs(places: np.ndarray, counts: np.ndarray, ids: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(left, right, n, first, positions) of the phrases one word longer: what they extend, by which word, and their lists."""
+    # lists merged by position: a phrase and what stands one step on are neighbours then
+    order = np.argsort(places, kind="stable")
+    places, own = places[order], np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+    at = np.flatnonzero(np.diff(places) == 1)
+    distinct, ending = np.unique(endings, return_inverse=True)
+    pair = own[at].astype(np.int64) * max(1, len(distinct)) + ending[own[at + 1]]
+    order = np.argsort(pair, kind="stable")
+    pair, places = pair[order], places[at][order]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    left, right = np.divmod(pair[starts], max(1, len(distinct)))
+    return ids[left], distinct[right], np.diff(starts, append=len(pair)), places[starts], places
+
+
+def _bucket(left: np.ndarray, right: np.ndarray, sums: int) -> np.ndarray:
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - (sums.bit_length() - 1))).astype(np.int64)
+
+
+def _kept(sums: int, least_n: int):
+    """A function of a segment's lists and the codes of those that are frequent in all segments: the lists that go on, and sums."""
+    none, size = _arrow(_KEPT), np.uint8 if least_n < 256 else np.uint32
 
     def run(key: tuple, lists: pa.Table, frequent: pa.Table) -> pa.Table:
         if not lists.num_rows or not frequent.num_rows:
             return none
         codes, ids, endings = (frequent.column(x).to_numpy() for x in ("code", "id", "ending"))
+        order = np.argsort(codes)
+        codes, ids, endings = codes[order], ids[order], endings[order]
         counts = np.frombuffer(lists.column("counts")[0].as_py(), np.int32)
-        slot = np.full(len(counts), -1, np.int32)
-        slot[codes] = np.arange(len(codes), dtype=np.int32)
-        # lists of frequent phrases only, merged by position: a phrase and what stands one step on are neighbours then
-        own = np.repeat(slot, counts)
-        kept = own >= 0
-        places, own = _unpacked(lists.column("lists")[0].as_py())[kept], own[kept]
-        order = np.argsort(places, kind="stable")
-        places, own = places[order], own[order]
-        at = np.flatnonzero(np.diff(places) == 1)
-        if not len(at):
-            return none
-        distinct, ending = np.unique(endings, return_inverse=True)
-        pair = own[at].astype(np.int64) * len(distinct) + ending[own[at + 1]]
-        order = np.argsort(pair, kind="stable")
-        pair, places = pair[order], places[at][order]
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(pair)) + 1))
-        n = np.diff(starts, append=len(pair))
-        left, right = np.divmod(pair[starts], len(distinct))
-        keys = {"left": pa.array(ids[left]), "right": pa.array(distinct[right])}
-        return pa.Table.from_batches(_level(key[0].as_py(), places[:0] if last else places, n, places[starts], keys, ("left", "right")))
+        some = np.zeros(len(counts), bool)
+        some[codes] = True
+        places, counts = _unpacked(lists.column("lists")[0].as_py())[np.repeat(some, counts)], counts[codes]
+        out = [{"seg": key[0].as_py(), "lists": _packed(places), "counts": counts.tobytes(), "ids": ids.tobytes(), "endings": endings.tobytes()}]
+        left, right, n, _, _ = _pairs(places, counts, ids, endings)
+        bucket = _bucket(left, right, sums)
+        order = np.argsort(bucket, kind="stable")
+        bucket, n = bucket[order], n[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        bucket, n = bucket[starts], np.minimum(np.add.reduceat(n, starts) if len(starts) else n, least_n).astype(size)
+        cuts = np.flatnonzero(np.diff(bucket // BLOCK, prepend=-1))
+        for a, b in itertools.pairwise([*cuts, len(bucket)]):
+            out.append({"block": int(bucket[a] // BLOCK), "at": (bucket[a:b] % BLOCK).astype(np.uint16).tobytes(), "n": n[a:b].tobytes()})
+        return pa.Table.from_pylist(out, none.schema)
+
+    return run
+
+
+def _enough(least_n: int):
+    """A function of what all segments add to a block of sums: the block's bits, set where the sum is `least_n` or more."""
+    size = np.uint8 if least_n < 256 else np.uint32
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for at, n in zip(batch.column(batch.schema.get_field_index("at")), batch.column(batch.schema.get_field_index("n")), strict=True):
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), size)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(total >= least_n, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def _extended(sums: int, enough, last: bool):
+    """A function of lists that go on: those of the phrases one word longer whose sum by hash is large enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = enough.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, endings = (np.frombuffer(row[x], np.int64) for x in ("ids", "endings"))
+                left, right, n, first, places = _pairs(_unpacked(row["lists"]), np.frombuffer(row["counts"], np.int32), ids, endings)
+                bucket = _bucket(left, right, sums)
+                some = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+                if some.any():
+                    places = places[:0] if last else places[np.repeat(some, n)]
+                    keys = {"left": pa.array(left[some]), "right": pa.array(right[some])}
+                    yield from _level(row["seg"], places, n[some], first[some], keys, ("left", "right"))
 
     return run
 
@@ -188,10 +246,13 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
 
     Counts are exact, over all texts; overlapping occurrences count. No phrase crosses the end of a piece or of a text.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     level = stored(texts.mapInArrow(Segments(segment_words, SEGMENT_DISTINCT), _FIRST), "word-lists")
     totals = level.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    sums = min(MOST_SUMS, max(LEAST_SUMS, 1 << (n_words // WORDS_EACH).bit_length()))
     found, out, names = _frequent(level, ("lang", "word"), least_n), [], None
     for k in range(1, longest + 1):
         found = stored(found, f"phrases-{k}")
@@ -210,7 +271,13 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
         if k == longest:
             break
         parts = level.where("code is null").select("seg", "lists", "counts").groupBy("seg").cogroup(found.select("seg", "code", "id", ending.alias("ending")).groupBy("seg"))
-        level = stored(parts.applyInArrow(_extended(k + 1 == longest), _NEXT), f"phrase-lists-{k + 1}")
+        kept = stored(parts.applyInArrow(_kept(sums, least_n), _KEPT), f"phrase-kept-{k}")
+        bits = np.zeros(sums // 8, np.uint8)
+        added = kept.where("block is not null").select("block", "at", "n").groupBy("block")
+        for row in added.applyInArrow(_enough(least_n), "block int, bits binary").toLocalIterator():  # `sums` bits
+            bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
+        longer = kept.where("block is null").select("seg", "lists", "counts", "ids", "endings")
+        level = stored(longer.mapInArrow(_extended(sums, spark.sparkContext.broadcast(bits), k + 1 == longest), _NEXT), f"phrase-lists-{k + 1}")
         found = _frequent(level, ("left", "right"), least_n)
     return reduce(DataFrame.union, [x.select("lang", "words", "f") for x in out]), totals
 

@@ -82,8 +82,8 @@ def test_scores_and_evidence(spark, odd_docs):
     other = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {r.doc_id: r.score for r in T.with_toxicity(docs, other).collect()}
     assert all(abs(again[i] - r.score) < 1e-12 for i, r in got.items())
-    odd = T.with_toxicity(docs.select("doc_id", "text").union(odd_docs.select("doc_id", "text")), labels).where("text is null or text like '%same words%' or trim(text) = ''").collect()
-    assert len(odd) >= 4 and all(0 < r.score < 1 for r in odd) and len({r.score for r in odd}) == 1
+    odd = T.with_toxicity(docs.select("doc_id", "text").union(odd_docs.select("doc_id", "text")), labels).where("text is null or trim(text) = ''").collect()
+    assert len(odd) >= 3 and all(0 < r.score < 1 for r in odd) and len({r.score for r in odd}) == 1
 
 
 def test_few_or_no_labels(spark, no_docs, odd_docs):
