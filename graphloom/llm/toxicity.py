@@ -26,6 +26,8 @@ from graphloom.llm.common import pieces_of, small_batches, stored, texts_as_byte
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 64 << 20
 #: Examples of a block; share of the examples that hold a term of the index, and their least number.
 BLOCK, LEAST_SHARE, LEAST_DOCS = 64, 0.01, 2
+#: A term that one in so many examples hold is read without lists.
+OFTEN = 8
 #: Nearest examples that vote: one in so many of the examples, within limits; and those that are named as evidence.
 ONE_IN, FEWEST, MOST, EVIDENCE = 30, 15, 95, 5
 THRESHOLD = 0.5
@@ -88,14 +90,30 @@ class BlockMaxIndex:
         self.maxima = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.maxima, cell, self.weights)
         self.maxima = self.maxima.reshape(n_terms, self.blocks)
+        # a term that many examples hold has its weights spelled out for all of them, which reads faster than a long list
+        held = np.bincount(terms, minlength=n_terms)
+        self.row = np.full(n_terms, -1)
+        often = np.flatnonzero(held * OFTEN > self.n)
+        self.row[often] = np.arange(len(often))
+        self.spelled = np.zeros((len(often), self.blocks * block))
+        own = self.row[terms] >= 0
+        self.spelled[self.row[terms[own]], self.docs[own]] = self.weights[own]
+        self.spelled = self.spelled.reshape(len(often), self.blocks, block)
         self.read = self.asked = 0
 
     def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of all examples of some blocks."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        a, n = self.starts[cells], self.starts[cells + 1] - self.starts[cells]
+        row = self.row[terms]
+        often = row >= 0
+        cosines = np.zeros((self.blocks, self.block))
+        cosines[blocks] = np.tensordot(weights[often], self.spelled[row[often][:, None], blocks], 1)
+        terms, weights = terms[~often], weights[~often]
+        cells = terms[:, None] * self.blocks + blocks
+        n = self.starts[cells + 1] - self.starts[cells]
+        of, which = np.nonzero(n)
+        n, a = n[of, which], self.starts[cells[of, which]]
         at = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-        cosines = np.bincount(self.docs[at], np.repeat(np.repeat(weights, len(blocks)), n) * self.weights[at], self.n)
+        cosines = cosines.ravel() + np.bincount(self.docs[at], np.repeat(weights[of], n) * self.weights[at], cosines.size)
         places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
         places = places[places < self.n]
         return places, cosines[places]
@@ -115,6 +133,9 @@ class BlockMaxIndex:
             more = self._scores(terms, weights, rest)
             places, cosines = np.concatenate((places, more[0])), np.concatenate((cosines, more[1]))
         self.asked, self.read = self.asked + self.blocks, self.read + min(first, self.blocks) + len(rest)
+        if len(cosines) > k:  # the rest need no order
+            some = np.flatnonzero(cosines >= np.partition(cosines, len(cosines) - k)[len(cosines) - k])
+            places, cosines = places[some], cosines[some]
         examples = self.order[places]
         best = np.lexsort((examples, -cosines))[:k]
         best = best[cosines[best] > 0]
