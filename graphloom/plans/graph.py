@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import agents as A
 from graphloom.operators import components as C
 from graphloom.operators import fusion as U
+from graphloom.operators import modularity as M
 from graphloom.operators import traverse as G
 from graphloom.plans.base import query, table
 from graphloom.sources import star
@@ -65,7 +68,7 @@ def neighbours_1hop(spark, d):
 
 KHOP_SQL = f"""{BOTH_SQL.replace('edges as (', 'edges as materialized (')},
 h1 as materialized (select cast({SUPPLIER} as bigint) as index union select distinct b from both_ends where a = {SUPPLIER})"""
-KHOP2_SQL = f"""{KHOP_SQL}, h2 as materialized (select index from h1 union select b from both_ends where a in (select index from h1))"""
+KHOP2_SQL = f"""{KHOP_SQL.replace('both_ends as (', 'both_ends as materialized (')}, h2 as materialized (select index from h1 union select b from both_ends semi join h1 on a = h1.index)"""
 
 
 @query("khop2_nodes", f"with {KHOP2_SQL} select index, cast(case when index = {SUPPLIER} then 0 when index in (select index from h1) then 1 else 2 end as bigint) as hops from h2")
@@ -88,7 +91,7 @@ def khop_edges_induced(spark, d):
     return _around(spark, d, 1, False)
 
 
-@query("khop2_edges_induced", f"with {KHOP2_SQL} select * from edges where start_node_index in (select index from h2) and end_node_index in (select index from h2)")
+@query("khop2_edges_induced", f"with {KHOP2_SQL} select * from edges semi join h2 x on start_node_index = x.index semi join h2 y on end_node_index = y.index")
 def khop2_edges_induced(spark, d):
     return _around(spark, d, 2, False)
 
@@ -224,6 +227,50 @@ def community_report(spark, d):
     return C.reports(_members(spark, d)[0], star.stored_nodes(spark, d), star.links(spark, d))
 
 
+#: Folders of the communities of stored graphs, by session and source.
+_COMMUNITIES: dict[tuple[str, str], str] = {}
+
+
+def _whole(spark, d):
+    """All nodes of the graph, and each of its edges once."""
+    return star.stored_nodes(spark, d).select("index"), G.directed(star.links(spark, d)).select(F.col("start_node_index").alias("a"), F.col("end_node_index").alias("b"))
+
+
+def found_communities(spark, d):
+    """(level, index, community) of the whole graph by modularity, at two levels, found once for a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COMMUNITIES:
+        C.ensure_checkpoints(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/communities-{uuid.uuid4().hex}"
+        M.levels(*_whole(spark, d)).write.parquet(folder)
+        _COMMUNITIES[key] = folder
+    return spark.read.schema("level int, index long, community long").parquet(_COMMUNITIES[key])
+
+
+@query("communities_found")
+def communities_found(spark, d):
+    return found_communities(spark, d)
+
+
+@query("communities_modularity")
+def communities_modularity(spark, d):
+    nodes, links = _whole(spark, d)
+    ways = {"modularity": found_communities(spark, d).where("level = 0"), "label propagation": C.label_propagation(nodes, links)}
+    parts = [C.modularity(members.select("index", "community"), links).select(F.lit(name).alias("method"), F.round("modularity", 6).alias("modularity"), "communities") for name, members in ways.items()]
+    return parts[0].union(parts[1])
+
+
+@query("communities_listed")
+def communities_listed(spark, d):
+    return C.materialised(found_communities(spark, d))
+
+
+@query("communities_report")
+def communities_report(spark, d):
+    members = found_communities(spark, d).where("level = 0").select("index", "community")
+    return C.reports(members, star.stored_nodes(spark, d), star.links(spark, d))
+
+
 ANSWERS_SQL = f"{BOTH_SQL}, {NODES_SQL}, ans as (select index from nodes where type = 'customer' and index % 100 = 7)"
 
 
