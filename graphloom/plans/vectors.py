@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions.records import norm
+from graphloom.operators import components as C
 from graphloom.operators import fusion as U
 from graphloom.operators import nearest as N
 from graphloom.operators import retrieve as R
@@ -54,6 +57,17 @@ def vector_overfetch(spark, d):
     return N.nearest(*_tables(spark, d), max(3 * 5, 15)).where("rank <= 5")
 
 
+@query("vector_cells")
+def vector_cells(spark, d):
+    """How many vectors beside itself an index of cells finds for each query, and how many of them are among the exact best ten."""
+    vectors, queries = _tables(spark, d)
+    C.ensure_checkpoints(spark)
+    index = N.CellIndex.build(vectors, f"{spark.sparkContext.getCheckpointDir()}/cells-{uuid.uuid4().hex}")
+    found = index.search(queries, 11).where("query <> item")
+    exact = N.nearest(vectors, queries, 11).where("query <> item").select("query", "item", F.lit(1).alias("hit"))
+    return found.join(exact, ["query", "item"], "left").groupBy("query").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+
+
 @query("vector_bucketed")
 def vector_bucketed(spark, d):
     return N.bucketed(*_tables(spark, d), 10)
