@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from graphloom.operators.components import ensure_checkpoints
 
 
+#: Seeds up to which they are named in a filter on the links.
+NAMED_SEEDS = 1000
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, type, forward): each edge from both of its ends; a table of links stays as it is."""
     if "a" in edges.columns:
@@ -40,10 +44,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy(F.col("a").alias("index")).agg(F.count("*").alias("degree"), F.count_distinct("b").alias("neighbours"))
 
 
+def links_of(edges: DataFrame, seeds: DataFrame, name: str = "index") -> DataFrame:
+    """The links that may start at a seed: with few seeds, those that do, by a filter that the scan itself applies.
+
+    Links stored in the order of their ends are read in the row groups that hold the seeds. With over `NAMED_SEEDS` seeds
+    all links come back, and the join that follows narrows them.
+    """
+    few = [r[0] for r in seeds.select(name).where(F.col(name).isNotNull()).distinct().limit(NAMED_SEEDS + 1).collect()]
+    both = undirected(edges)
+    return both if len(few) > NAMED_SEEDS else both.where(F.col("a").isin(sorted(few)))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, index) of the distinct nodes one edge away from each seed (column index)."""
     wanted = seeds.select(F.col("index").alias("seed")).distinct()
-    return undirected(edges).join(wanted, F.col("a") == F.col("seed"), "inner").select("seed", F.col("b").alias("index")).distinct()
+    return links_of(edges, wanted, "seed").join(wanted, F.col("a") == F.col("seed"), "inner").select("seed", F.col("b").alias("index")).distinct()
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -53,11 +68,10 @@ def within_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     a step.
     """
     ensure_checkpoints(edges.sparkSession)
-    both = undirected(edges).select("a", "b")
     reached = seeds.select(F.col("index").cast("long").alias("index")).distinct().withColumn("hops", F.lit(0))
     front = reached
     for hop in range(1, k + 1):
-        step = both.join(front.select(F.col("index").alias("a")), "a").select(F.col("b").alias("index")).distinct()
+        step = links_of(edges, front).select("a", "b").join(front.select(F.col("index").alias("a")), "a").select(F.col("b").alias("index")).distinct()
         front = step.join(reached.select("index"), "index", "left_anti").withColumn("hops", F.lit(hop))
         front = front.checkpoint() if k > 1 else front
         reached = reached.union(front)
@@ -80,8 +94,8 @@ def short_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     A direct edge has no middle and no second type. The walk starts from the pairs' own neighbourhoods, so a hub elsewhere
     costs nothing. A pair of one node has no path. Each path counts once whatever its edges' directions.
     """
-    both = undirected(edges).select("a", "b", "type")
     ends = pairs.where("src <> dst").select("src", "dst").distinct()
+    both = links_of(edges, ends.select(F.explode(F.array("src", "dst")).alias("index"))).select("a", "b", "type")
     out = ends.join(both, F.col("a") == F.col("src")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("first")).distinct()
     direct = out.where("next = dst").select("src", "dst", F.lit(None).cast("long").alias("middle"), "first", F.lit(None).cast("string").alias("second"))
     back = ends.join(both, F.col("a") == F.col("dst")).select("src", "dst", F.col("b").alias("next"), F.col("type").alias("second")).distinct()
@@ -98,7 +112,7 @@ def one_per_triplet(triplets: DataFrame, order: list[Column]) -> DataFrame:
 def expand(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """(seed, type, other, forward, rank): up to `limit` edges of each seed, by type, other end and direction."""
     wanted = seeds.select(F.col("index").alias("seed")).distinct()
-    found = undirected(edges).join(wanted, F.col("a") == F.col("seed")).select("seed", "type", F.col("b").alias("other"), "forward")
+    found = links_of(edges, wanted, "seed").join(wanted, F.col("a") == F.col("seed")).select("seed", "type", F.col("b").alias("other"), "forward")
     own = Window.partitionBy("seed").orderBy("type", "other", F.desc("forward"))
     return found.withColumn("rank", F.row_number().over(own).cast("long")).where(F.col("rank") <= limit)
 

@@ -62,9 +62,9 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def store(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Writes a graph's nodes, and its edges from both of their ends in the order of these: filters on an end skip row groups."""
+    """Writes a graph's nodes, and its edges from both of their ends in the order of these: filters on an end skip row groups, and a hub's edges lie in as many files as they need."""
     nodes(spark, sf_dir).write.parquet(f"{folder}/nodes")
-    undirected(edges(spark, sf_dir)).repartitionByRange("a").sortWithinPartitions("a", "type", "b").write.parquet(f"{folder}/links")
+    undirected(edges(spark, sf_dir)).repartitionByRange("a", "type", "b").sortWithinPartitions("a", "type", "b").write.parquet(f"{folder}/links")
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
