@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import chunk as K
 from graphloom.operators import search as S
 from graphloom.operators import traverse as G
+from graphloom.operators.components import ensure_checkpoints
+from graphloom.operators.text_index import TextIndex
 from graphloom.plans.base import query, table
 from graphloom.sources import star
 from graphloom.sources.star import EDGES_SQL, NODES_SQL
@@ -44,6 +48,32 @@ def fulltext_and(spark, d):
     return found.select("query", "doc", F.round("score", 6).alias("score"))
 
 
+#: Folders of text indexes, by session and source.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, d):
+    """The index of `documents`, built in two segments when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        ensure_checkpoints(spark)
+        index = TextIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/text-{uuid.uuid4().hex}")
+        for even in (True, False):
+            index.add(table(spark, d, "documents").where((F.col("doc_id") % 2 == 0) == even), "doc_id", "text")
+        _INDEXES[key] = index.folder
+    return TextIndex(spark, _INDEXES[key])
+
+
+@query("index_bm25_topk", f"with {_bm25_sql('documents', 'doc_id', 'text', 1.2, False)} {TOP.format(5)}")
+def index_bm25_topk(spark, d):
+    return text_index(spark, d).search(table(spark, d, "benchmark"), 5, "item_id", "text")
+
+
+@query("index_okapi_topk", f"with {_bm25_sql('documents', 'doc_id', 'text', 1.5, True)} {TOP.format(5)}")
+def index_okapi_topk(spark, d):
+    return text_index(spark, d).search(table(spark, d, "benchmark"), 5, "item_id", "text", k1=1.5, okapi=True)
+
+
 @query("fulltext_two_field", f"with n as (select p_partkey, p_name, p_brand || ' ' || p_type as about from part), qs(item, words) as (values (1, 'brand#11 steel'), (2, 'part 7')), f as (select p_partkey as doc, 'a' as field, p_name as body from n union all select p_partkey, 'b', about from n), tok as (select field, doc, unnest({TOKENS.format('body')}) as term from f), p as (select field, doc, term, cast(count(*) as double) as tf from tok group by all), dl as (select field, doc, cast(len({TOKENS.format('body')}) as double) as dl from f), sz as (select field, cast(count(*) as double) as n_docs, avg(dl) as avgdl from dl group by field), q as (select query, term, count(*) as qtf from (select item as query, unnest({TOKENS.format('words')}) as term from qs) group by all), dfs as (select field, term, cast(count(*) as double) as df from p group by all), sc as (select cast(query as bigint) as query, doc, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from p join q using (term) join dfs using (field, term) join dl using (field, doc) join sz using (field) group by query, doc) {TOP.format(10)}")
 def fulltext_two_field(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_brand", "p_type").alias("about"))
