@@ -242,7 +242,7 @@ def found_communities(spark, d):
     if key not in _COMMUNITIES:
         C.ensure_checkpoints(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/communities-{uuid.uuid4().hex}"
-        M.levels(*_whole(spark, d)).write.parquet(folder)
+        M.levels(*_whole(spark, d), rounds=6, most_passes=2).write.parquet(folder)
         _COMMUNITIES[key] = folder
     return spark.read.schema("level int, index long, community long").parquet(_COMMUNITIES[key])
 
