@@ -234,10 +234,17 @@ def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is the smallest of its near-duplicates; same columns. Rows that repeat a doc_id leave one.
+    """Rows of `docs` whose doc_id is the smallest of its near-duplicates; same columns.
 
-    Rows without a doc_id are kept: nothing names a survivor for them.
+    Rows that repeat a doc_id and a fingerprint leave one; other texts of the same doc_id stay if it is the smallest of
+    their own near-duplicates as well. Rows without a doc_id are kept: nothing names a survivor for them.
     """
-    found = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    found = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("fingerprint").alias("_kept_code")).distinct()
+    kept = docs.join(found.select("_kept_id").distinct(), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    if found.groupBy("_kept_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    else:
+        own = kept.withColumn("_own_code", fingerprint(F.col("text"), 3))
+        same = (F.col("doc_id") == F.col("_kept_id")) & (F.col("_own_code") == F.col("_kept_code"))
+        kept = own.join(found, same, "left_semi").dropDuplicates(["doc_id", "_own_code"]).select(docs.columns)
     return kept.union(docs.where("doc_id is null")).select(docs.columns)

@@ -65,8 +65,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert simhash.simhash_components(no_docs).count() == 0
     kept = simhash.keep_one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids
+    rows = [(r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None]
+    ids = {i for i, _ in rows}
+    assert len(rows) == len(set(rows)) and 0 in ids and 1 not in ids
+
+
+def test_different_texts_of_one_id_both_stay(spark):
+    texts = [(1, "alpha beta gamma"), (1, "a quite different text here"), (1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "a third one of its own")]
+    for rows in (texts, texts[::-1]):
+        kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({texts[0], texts[1], texts[4]})
 
 
 def test_components_of_stars_and_chains(spark):
