@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import maybe_among, stored
 
 WINDOW, LINE_WORDS, LEAST_WORDS = 3, 10, 1
-#: Latin small letters by their code points modulo 8. A word ends a line if its last two letters are of these residues. Any
-#: rule would do that depends on the word alone; this one picks about one word in nine of English, French, German or Spanish.
 #: What ends a line of the text itself.
 LINE_END = r"""(\n|[.!?。！？…]["')\]}»”’」』）]*[ \t\r]*)$"""
+#: Latin small letters by their code points modulo 8. A word ends a line if its last two letters are of these residues. Any
+#: rule would do that depends on the word alone; this one picks about one word in nine of English, French, German or Spanish.
 LETTERS = ["".join(c for c in map(chr, range(0x61, 0x100)) if c.isalpha() and ord(c) % 8 == k) for k in range(8)]
 PICKED = f"[{LETTERS[0]}{LETTERS[1]}{LETTERS[5]}{LETTERS[7]}][{LETTERS[5]}{LETTERS[7]}]"
 
@@ -126,14 +126,16 @@ def full_runs(lines: Column, places: Column, window: int, line_words: int) -> Co
     return F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"])))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS, line_words: int = LINE_WORDS, full_runs_only: bool = False) -> DataFrame:
     """`docs` with `text_col` less the lines of later occurrences, and (n_lines, n_removed), which replace columns of these names.
 
     A window occurs first in the text with the smallest id; texts without an id come last, those in the order of their
     hashes. Rows that share an id do not count as repeats of each other, and rows that repeat id and text lose the same
-    lines. Within a text the first place counts. Covered runs that are shorter than three lines of the text itself stay. Null texts stay null and have no lines, like empty ones. Every window counts, however
-    short its lines; a higher `least_words` leaves windows of fewer words alone. An empty table gives an empty one.
-    Only texts that may have repeats are shuffled, once.
+    lines. Within a text the first place counts. Null texts stay null and have no lines, like empty ones. Every window counts,
+    however short its lines; a higher `least_words` leaves windows of fewer words alone, and `full_runs_only` leaves covered
+    runs that are shorter than `window` lines of the text itself. An empty table gives an empty one. A text of any length is
+    cut within its own row; the lines of one text must fit into a task's memory. Only texts that may have repeats are
+    shuffled, once.
     """
     unique = ids_are_unique(docs, id_col)
     found = stored(covered(docs, id_col, text_col, window, least_words, line_words, unique), "line-places").toDF("_dedup_id", "_dedup_found", "_dedup_places")
@@ -147,7 +149,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def kept(b: Column) -> Column:
         numbers = F.when(F.size(b["lines"]) > 0, F.sequence(F.lit(0), F.size(b["lines"]) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(F.array_except(numbers, full_runs(b["lines"], b["places"], window, line_words)), lambda k: F.get(b["lines"], k))
+        gone = full_runs(b["lines"], b["places"], window, line_words) if full_runs_only else b["places"]
+        return F.transform(F.array_except(numbers, gone), lambda k: F.get(b["lines"], k))
 
     # b is a variable: a filter that Spark moves below would otherwise cut the text anew for each line
     left = F.transform(F.array(F.struct(full.alias("lines"), places.alias("places"))), kept)[0]

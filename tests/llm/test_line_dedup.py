@@ -30,7 +30,7 @@ def lines(text, n=10):
     return [x for x in [*out, line] if x]
 
 
-def slow(rows, window=3, least=1):
+def slow(rows, window=3, least=1, full_runs_only=False):
     full = [[x for x in lines(t or "") if x.strip(" \t\r\n")] for _, t in rows]
     found = {}
     for d, ls in enumerate(full):
@@ -48,7 +48,7 @@ def slow(rows, window=3, least=1):
                 gone[d] |= set(range(k, k + window))
             elif k > own:
                 gone[d] |= set(range(max(k, own + window), k + window))
-    for d, ls in enumerate(full):
+    for d, ls in enumerate(full if full_runs_only else []):
         kept, run = set(), []
         for k in [*sorted(x for x in gone[d] if x < len(ls)), -9]:
             if run and k != run[-1] + 1:
@@ -65,6 +65,8 @@ def test_like_a_scan(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in L.op6_line_dedup(spark, SF).collect()}
     assert got == slow(rows)
+    full = L.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"), full_runs_only=True)
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in full.collect()} == slow(rows, full_runs_only=True) != got
 
 
 def test_lines_join_to_the_text(spark, odd_docs):
@@ -132,8 +134,19 @@ def test_bitmap_lets_no_id_through(spark):
     assert len(got) == 6000 and all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 1200
 
 
-def test_stock_phrases_stay(spark):
+def test_short_passages_and_menus_go(spark):
+    passage = "to the reader of the page a note on the use of the text and of all the rest that he may find in it"
+    menu = "Home. News. Shop. About. Help. Jobs. Blog. Shipping. Terms. Contact."
+    texts = {1: f"One begins here. {passage} one ends.", 2: f"Two begins here. {passage} two ends.", 3: f"{menu}\nThird text.", 4: f"{menu}\nFourth text."}
+    got = {r.doc_id: r.text for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    assert got[1] == texts[1] and got[3] == texts[3]
+    assert got[2].startswith("Two begins here.") and len(got[2].split()) <= 12 and got[4] == "Fourth text."
+
+
+def test_stock_phrases_stay_where_asked(spark):
     phrase = "to the reader of the page a note on the use of the text"
     texts = {i: f"Own{i} begin{i} word{i}. {phrase} own{i}b, and more{i}b." for i in range(4)} | {9: "Home\nAbout us\nContact\nnine is here.", 10: "Home\nAbout us\nContact\nten was here!"}
-    got = {r.doc_id: r.text for r in L.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in L.without_repeats(rows, full_runs_only=True).collect()}
     assert got == texts | {10: "ten was here!"}
+    assert {r.doc_id: r.text for r in L.without_repeats(rows).collect()} != got
