@@ -12,12 +12,79 @@ from graphloom.functions.text import extension, parent_id, sentences, with_conte
 
 #: Chunkers by file extension; others are chunked by meaning.
 ROUTES = {
-    ".md": "markdown", ".mdx": "markdown", ".html": "markdown", ".htm": "markdown", ".txt": "standard", ".csv": "standard", ".log": "standard", ".pdf": "semantic", ".docx": "semantic", ".doc": "semantic", ".pptx": "semantic",
-    ".py": "code", ".js": "code", ".jsx": "code", ".ts": "code", ".tsx": "code", ".java": "code", ".go": "code", ".rs": "code", ".rb": "code", ".c": "code", ".h": "code", ".cpp": "code", ".hpp": "code", ".cs": "code", ".kt": "code",
-    ".swift": "code", ".php": "code", ".lua": "code", ".scala": "code", ".ex": "code", ".exs": "code", ".tex": "code", ".rst": "code",
-}
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".html": "markdown",
+    ".htm": "markdown",
+    ".txt": "standard",
+    ".csv": "standard",
+    ".log": "standard",
+    ".pdf": "semantic",
+    ".docx": "semantic",
+    ".doc": "semantic",
+    ".pptx": "semantic",
+    ".py": "code",
+    ".js": "code",
+    ".jsx": "code",
+    ".ts": "code",
+    ".tsx": "code",
+    ".java": "code",
+    ".go": "code",
+    ".rs": "code",
+    ".rb": "code",
+    ".c": "code",
+    ".h": "code",
+    ".cpp": "code",
+    ".hpp": "code",
+    ".cs": "code",
+    ".kt": "code",
+    ".swift": "code",
+    ".php": "code",
+    ".lua": "code",
+    ".scala": "code",
+    ".ex": "code",
+    ".exs": "code",
+    ".tex": "code",
+    ".rst": "code",
+}
+#: Languages of code by file extension.
+EXTENSIONS = {
+    ".py": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".hpp": "cpp",
+    ".cc": "cpp",
+    ".cs": "csharp",
+    ".scala": "scala",
+    ".swift": "swift",
+    ".tex": "latex",
+    ".html": "html",
+    ".htm": "html",
+    ".sol": "sol",
+    ".php": "php",
+    ".hs": "haskell",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".kt": "kotlin",
+    ".lua": "lua",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".ps1": "powershell",
+    ".proto": "proto",
+    ".rst": "rst",
+    ".cob": "cobol",
+}
 SEPARATORS = ("\n\n", "\n", " ", "")
-#: Words that begin a definition or a block of a language; code is cut before them at the start of a line first.
+#: What begins a definition or a block of a language; code is cut before it first, at the start of a line but for tags.
 LANGUAGES = {
     "c": ("struct", "enum", "void", "int", "float", "double", "if", "for", "while", "switch"),
     "cobol": ("IDENTIFICATION DIVISION", "DATA DIVISION", "PROCEDURE DIVISION", "SECTION", "PERFORM", "IF"),
@@ -38,7 +105,6 @@ LANGUAGES = {
     "powershell": ("function", "param", "class", "if", "foreach", "for", "while", "switch"),
     "proto": ("message", "service", "enum", "option", "import", "syntax"),
     "python": ("class", "def", "async def", "\tdef", "    def"),
-    "r": ("function", "setClass", "setMethod", "library", "if", "for", "while"),
     "rst": ("===", "---", "***", ".."),
     "ruby": ("module", "class", "def", "if", "unless", "while", "for", "begin"),
     "rust": ("mod", "pub", "fn", "struct", "enum", "trait", "impl", "const", "let", "if", "for", "while", "match"),
@@ -46,13 +112,29 @@ LANGUAGES = {
     "sol": ("pragma", "contract", "interface", "library", "function", "event", "modifier", "struct", "enum", "if", "for"),
     "swift": ("struct", "class", "enum", "extension", "func", "if", "for", "while", "switch"),
     "ts": ("namespace", "enum", "interface", "type", "class", "function", "const", "let", "var", "if", "for", "while", "switch"),
-    "visualbasic6": ("Public Sub", "Private Sub", "Public Function", "Private Function", "Type", "Property", "If", "For", "Do While", "Select Case"),
 }
+LANGUAGES |= {"javascript": LANGUAGES["js"], "typescript": LANGUAGES["ts"]}
 
 
 def code_separators(language: str) -> tuple[str, ...]:
-    """Where code of a language is cut: before the words above at the start of a line, then as any text."""
-    return (*(f"\n{word} " for word in LANGUAGES[language]), *SEPARATORS)
+    """Where code of a language is cut: before the marks above, then as any text; other languages are cut as any text.
+
+    Words stand at the start of a line with a blank behind them, and so do headings of `#`. Other marks, such as commands
+    and rules of lines, need none, and tags may stand anywhere.
+    """
+
+    def separator(mark: str) -> str:
+        if mark.startswith("<"):
+            return mark
+        return f"\n{mark} " if mark.strip()[0].isalpha() or mark.startswith("#") else f"\n{mark}"
+
+    return (*map(separator, LANGUAGES.get(language.lower(), ())), *SEPARATORS)
+
+
+def language_of(name: Column, default: str = "python") -> Column:
+    """The language of a file of code by its extension."""
+    known = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, extension(name)), F.lit(default))
 
 
 def _strides(text: Column, size: int, overlap: int) -> Column:
@@ -139,6 +221,20 @@ def code(docs: DataFrame, id_col: str, text_col: str, language: str, size: int =
     return recursive(docs, id_col, text_col, size, overlap, code_separators(language))
 
 
+def code_files(docs: DataFrame, id_col: str, text_col: str, name_col: str, size: int = 1500, overlap: int = 200, default: str = "python") -> DataFrame:
+    """(id_col, language, chunk_id, chunk): files of several languages in one pass, each cut as the extension of its name says."""
+    separators = {language: code_separators(language) for language in {*EXTENSIONS.values(), default}}
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), languages.to_pylist(), strict=True)
+        return pa.array([list(_split(x or "", separators[language], size, overlap)) for x, language in rows], pa.list_(pa.string()))
+
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), language_of(F.col(name_col), default).alias("language"))
+    pieces = rows.select(id_col, "language", F.posexplode(cut(F.col("_text"), F.col("language"))).alias("chunk_id", "chunk"))
+    return pieces.withColumn("chunk_id", F.col("chunk_id").cast("long"))
+
+
 def contextual(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Recursive chunks behind their context."""
     return recursive(docs, id_col, text_col, size, overlap).withColumn("chunk", with_context(F.col("chunk")))
@@ -147,25 +243,21 @@ def contextual(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, ov
 def markdown(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, section, breadcrumb, body): texts cut at # to #### headings, with the headings above each part.
 
-    Headings are worked out within each text's own array of lines, so no text is split over rows and gathered again.
+    A text is cut before its headings at once, within its own row; only the titles are folded from section to section.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,4}) +\S", 1))
-    start = F.struct(F.expr("cast(array('', '', '', '') as array<string>)").alias("path"), F.expr("cast(array() as array<struct<path: array<string>, lines: array<string>>>)").alias("parts"))
-
-    def add(done, x):
-        depth = level(x)
-        title = F.trim(F.regexp_replace(x, r"^#+ +", ""))
-        path = F.when(depth > 0, F.transform(done["path"], lambda p, i: F.when(i + 1 < depth, p).when(i + 1 == depth, title).otherwise(""))).otherwise(done["path"])
-        last = F.try_element_at(done["parts"], F.lit(-1))
-        fresh = F.concat(done["parts"], F.array(F.struct(path.alias("path"), F.when(depth > 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(x)).alias("lines"))))
-        longer = F.concat(F.slice(done["parts"], 1, F.greatest(F.size(done["parts"]) - 1, F.lit(0))), F.array(F.struct(last["path"].alias("path"), F.concat(last["lines"], F.array(x)).alias("lines"))))
-        return F.struct(path.alias("path"), F.when((depth > 0) | (F.size(done["parts"]) == 0), fresh).otherwise(longer).alias("parts"))
-
-    parts = docs.select(F.col(id_col), F.posexplode(F.aggregate(lines, start, add)["parts"]).alias("section", "p"))
-    body = F.btrim(F.array_join("p.lines", "\n"), F.lit(" \n"))
-    out = parts.select(id_col, F.col("section").cast("long").alias("section"), F.array_join(F.filter("p.path", lambda x: x != ""), " > ").alias("breadcrumb"), body.alias("body"))
-    return out.where("body <> ''")
+    sections = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?md)(?=^#{1,4} +\S)", -1)
+    depth = lambda x: F.length(F.regexp_extract(x, r"^(#{1,4}) +\S", 1))
+    title = lambda x: F.trim(F.regexp_replace(F.substring_index(x, "\n", 1), r"^#+ +", ""))
+    heads = F.transform(sections, lambda x: F.struct(depth(x).alias("depth"), F.when(depth(x) > 0, title(x)).alias("title")))
+    start = F.struct(F.expr("cast(array('', '', '', '') as array<string>)").alias("path"), F.expr("cast(array() as array<string>)").alias("crumbs"))
+
+    def add(done, head):
+        path = F.transform(done["path"], lambda p, i: F.when((head["depth"] == 0) | (i + 1 < head["depth"]), p).when(i + 1 == head["depth"], head["title"]).otherwise(""))
+        return F.struct(path.alias("path"), F.array_append(done["crumbs"], F.array_join(F.filter(path, lambda p: p != ""), " > ")).alias("crumbs"))
+
+    parts = docs.select(F.col(id_col), F.posexplode(F.arrays_zip(sections.alias("text"), F.aggregate(heads, start, add, lambda x: x["crumbs"]).alias("breadcrumb"))).alias("section", "p"))
+    body = F.btrim(F.regexp_replace("p.text", r"\A#{1,4} +\S[^\n]*", ""), F.lit(" \n"))
+    return parts.select(id_col, F.col("section").cast("long").alias("section"), F.col("p.breadcrumb").alias("breadcrumb"), body.alias("body")).where("body <> ''")
 
 
 def route(name, fallback: str = "semantic"):

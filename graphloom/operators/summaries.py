@@ -17,8 +17,8 @@ GENE_KEYS = {
     "interpro": "protein family and classification information",
     "summary": "protein summary text",
 }
-#: Words of references that a summary holds.
-REFERENCE_WORDS = 50_000
+#: Words of references, and reviews or questions, that a summary holds.
+REFERENCE_WORDS, ENTRIES = 50_000, 27
 
 
 def without_nan(value: Column, kind: T.DataType) -> Column:
@@ -75,3 +75,49 @@ def described_paper(title: Column, abstract: Column, date: Column, *venues: tupl
     where = F.coalesce(*(F.when(known(c), F.concat(F.lit(f" - {label}: "), c)) for label, c in venues))
     body = F.regexp_replace(F.replace(F.coalesce(abstract, F.lit("")), F.lit("\r"), F.lit("")), r"\n+\z", "")
     return F.concat_ws("\n", F.concat(F.lit(" - paper title: "), title), F.concat(F.lit(" - abstract: "), body), F.when(known(date), F.concat(F.lit(" - publication date: "), date)), where)
+
+
+def counted(kind: Column, name: Column, papers: Column, citations: Column) -> Column:
+    """The summary of an author, a field of study or an institution: its name and its counts of papers and citations.
+
+    A count of -1 is not known and left out; -1 elsewhere, as in a name, reads Unknown.
+    """
+    heads = F.when(kind == "author", "- author name: ").when(kind == "field_of_study", " - field of study: ").when(kind == "institution", " - institution: ")
+    label = F.when(kind == "field_of_study", "field").otherwise(kind)
+    line = lambda what, n: F.when(n != -1, F.concat(F.lit("- "), label, F.lit(f" {what} count: "), n.cast("string")))
+    text = F.concat_ws("\n", F.concat(heads, F.coalesce(name, F.lit(""))), line("paper", papers), line("citation", citations))
+    return F.when(heads.isNotNull(), F.replace(text, F.lit("-1"), F.lit("Unknown")))
+
+
+def described_product(title: Column, brand: Column, dimensions: Column, description: Column, features: Column, reviews: Column, questions: Column) -> Column:
+    """The summary of a product: title, brand, size and weight, description, features, reviews and questions with answers.
+
+    dimensions: `size ; weight`; another form is left out. description and features: arrays of strings; features that name
+    an article number are left out and keep their places. reviews: array<struct<summary, reviewText, vote>>, those with most
+    votes first, of equal ones the earlier; a vote may have commas, none counts as zero. questions: array<struct<question,
+    answer>> in order. At most `ENTRIES` of either are shown, with their places. Null or empty parts leave no line.
+    """
+    some = lambda c: F.nullif(c, F.lit(""))
+    halves = F.split(dimensions, " ; ", -1)
+    size = F.when(F.size(halves) == 2, F.concat(F.lit("- dimensions: "), halves[0], F.lit("\n- weight: "), halves[1]))
+    whole = some(F.btrim(F.array_join(description, " "), F.lit(" ")))
+    numbered = lambda items, show: F.filter(F.transform(items, lambda x, i: F.concat(F.lit("#"), (i + 1).cast("string"), F.lit(":"), show(x))), lambda x: x.isNotNull())
+    block = lambda head, items: F.when(F.size(items) >= 0, F.concat_ws("\n", F.lit(head), items))
+    shown = numbered(features, lambda x: F.when((x != "") & ~F.lower(x).contains("asin"), F.concat(F.lit(" "), x)))
+    votes = F.transform(reviews, lambda x, i: F.struct((-F.coalesce(F.replace(x["vote"], F.lit(","), F.lit("")).cast("long"), F.lit(0))).alias("v"), i.alias("i"), x["summary"].alias("summary"), x["reviewText"].alias("text")))
+    texts = F.transform(
+        F.slice(F.array_sort(votes), 1, ENTRIES),
+        lambda x: F.concat(F.lit("#"), (x["i"] + 1).cast("string"), F.lit(":\nsummary: "), F.coalesce(x["summary"], F.lit("")), F.lit('\ntext: "'), F.coalesce(x["text"], F.lit("")), F.lit('"')),
+    )
+    answers = numbered(F.slice(questions, 1, ENTRIES), lambda x: F.concat(F.lit('\nquestion: "'), F.coalesce(x["question"], F.lit("")), F.lit('"\nanswer: "'), F.coalesce(x["answer"], F.lit("")), F.lit('"')))
+    filled = lambda items, made: F.when(F.size(items) > 0, made)
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("- product: "), title),
+        F.concat(F.lit("- brand: "), some(brand)),
+        size,
+        F.concat(F.lit("- description: "), whole),
+        filled(features, block("- features: ", shown)),
+        filled(reviews, block("- reviews: ", texts)),
+        filled(questions, block("- Q&A: ", answers)),
+    )

@@ -143,15 +143,18 @@ def _folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_ingest_merge", f"with {ARRIVALS_SQL} select id, type, description, n from ents")
+@query("stream_ingest_merge", f"with {ARRIVALS_SQL}, emb as (select l_partkey as id, cast(arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) as double) as embedding from lineitem group by 1) select id, type, description, array_to_string(docs, ',') as docs, embedding, n from ents join ed using (id) join emb using (id)")
 def stream_ingest_merge(spark, d):
-    """Arrivals as two files, which the stream reads in one or more batches; the merged table is what it leaves."""
+    """Arrivals as four files, which the stream merges into its state in two batches; the last embedding is kept."""
     root = _folder(spark)
-    rows = _arrivals(spark, d).select("id", "type", "description", "source_document", "seq")
-    rows.repartition(2).write.parquet(f"{root}/in")
-    schema = "id bigint, type string, description string, source_document string, seq bigint"
-    S.ingest(spark, f"{root}/in", schema, f"{root}/log", f"{root}/out", M.merge_entities, f"{root}/cp").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("id", "type", "description", "n")
+    rows = _arrivals(spark, d).select("id", "type", "description", "source_document", "seq", F.array(F.col("l_suppkey").cast("double")).alias("embedding"))
+    rows.repartition(4).write.parquet(f"{root}/in")
+    schema = "id bigint, type string, description string, source_document string, seq bigint, embedding array<double>"
+    parts = (["id"], ["type", "description"], ["embedding"])
+    merged = S.MergedStream(spark, f"{root}/merged", schema, lambda rows: M.partial_state(rows, *parts), lambda states: M.combined(states, *parts), buckets=8)
+    merged.start(f"{root}/in", 2).awaitTermination()
+    found = M.from_state(merged.read(), *parts)
+    return found.select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), F.col("embedding")[0].alias("embedding"), "n")
 
 
 @query("stream_metrics", "select event_type, count(*) as n, round(sum(value), 4) as total, round(max(value), 4) as most from events group by event_type")

@@ -349,6 +349,39 @@ def node_summaries(spark, d):
     return table(spark, d, "part").select("p_partkey", lines(("product", F.col("p_name")), ("brand", brand), ("size", F.when(F.col("p_size") > 25, F.col("p_size").cast("string")))).alias("summary"))
 
 
+@query("product_summaries", """with r as (select l_partkey as k, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) as i, l_returnflag as s, l_linestatus as t, case when l_linenumber = 1 then 0 else cast(l_quantity as bigint) * 100 end as v from lineitem),
+n as (select *, row_number() over (partition by k order by v desc, i) as m from r),
+t as (select k, string_agg('#' || i || ':' || chr(10) || 'summary: ' || s || chr(10) || 'text: "' || t || '"', chr(10) order by v desc, i) as reviews from n where m <= 27 group by k)
+select p_partkey, md5('- product: ' || p_name || case when p_size % 7 = 0 then '' else chr(10) || '- brand: ' || p_brand end || case when p_size % 2 = 0 then chr(10) || '- dimensions: ' || p_size || ' cm' || chr(10) || '- weight: ' || p_size || ' g' else '' end
+|| chr(10) || '- description: ' || p_type || ' ' || p_brand || chr(10) || '- features: ' || chr(10) || '#1: ' || p_type || chr(10) || '#3: ' || p_size || coalesce(chr(10) || '- reviews: ' || chr(10) || reviews, '')
+|| chr(10) || '- Q&A: ' || chr(10) || '#1:' || chr(10) || 'question: "size?"' || chr(10) || 'answer: "' || p_size || '"') as digest from part left join t on k = p_partkey""")
+def product_summaries(spark, d):
+    from graphloom.operators.summaries import described_product
+
+    number = F.col("l_linenumber")
+    place = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_returnflag").alias("summary"), F.col("l_linestatus").alias("reviewText"), F.when(number != 1, F.format_number(F.col("l_quantity").cast("long") * 100, 0)).alias("vote"))
+    reviews = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(place)).alias("reviews"))
+    size = F.col("p_size").cast("string")
+    dimensions = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit(" cm ; "), size, F.lit(" g"))).otherwise("unknown")
+    rows = table(spark, d, "part").join(reviews, "p_partkey", "left")
+    found = described_product(
+        F.col("p_name"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")), dimensions, F.array("p_type", "p_brand"), F.array(F.col("p_type"), F.lit("ASIN: B0"), size), F.col("reviews"), F.array(F.struct(F.lit("size?").alias("question"), size.alias("answer")))
+    )
+    return rows.select("p_partkey", F.md5(found).alias("digest"))
+
+
+@query("counted_summaries", """select s_suppkey, case s_suppkey % 3 when 0 then '- author name: ' || replace(s_name, '-1', 'Unknown') when 1 then ' - field of study: ' || replace(s_name, '-1', 'Unknown') else ' - institution: ' || replace(s_name, '-1', 'Unknown') end
+|| case when s_suppkey % 5 = 0 then '' else chr(10) || '- ' || case s_suppkey % 3 when 0 then 'author' when 1 then 'field' else 'institution' end || ' paper count: ' || s_suppkey end
+|| case when s_suppkey % 7 = 0 then '' else chr(10) || '- ' || case s_suppkey % 3 when 0 then 'author' when 1 then 'field' else 'institution' end || ' citation count: ' || s_nationkey end as summary from supplier""")
+def counted_summaries(spark, d):
+    from graphloom.operators.summaries import counted
+
+    key = F.col("s_suppkey")
+    kind = F.when(key % 3 == 0, "author").when(key % 3 == 1, "field_of_study").otherwise("institution")
+    found = counted(kind, F.col("s_name"), F.when(key % 5 == 0, -1).otherwise(key), F.when(key % 7 == 0, -1).otherwise(F.col("s_nationkey")))
+    return table(spark, d, "supplier").select("s_suppkey", found.alias("summary"))
+
+
 @query("column_pruned_scan", "select distinct l_partkey from lineitem where l_shipdate >= timestamp '1998-01-01 00:00:00'")
 def column_pruned_scan(spark, d):
     return table(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-01-01 00:00:00'").select("l_partkey").distinct()

@@ -189,6 +189,26 @@ def chunk_contextual(spark, d):
     return found.select("doc_id", "chunk_id", F.md5(X.with_context(F.col("chunk"))).alias("digest"))
 
 
+@query("chunk_contextual_recursive")
+def chunk_contextual_recursive(spark, d):
+    return K.contextual(table(spark, d, "documents"), "doc_id", "text")
+
+
+NAMES = (".py", ".HTML", ".ts", ".tex", ".unknown")
+
+
+@query("code_languages", "select page_id, case page_id % 5 when 0 then 'python' when 1 then 'html' when 2 then 'typescript' when 3 then 'latex' else 'python' end as language from pages")
+def code_languages(spark, d):
+    return table(spark, d, "pages").select("page_id", K.language_of(F.concat("url", F.lit("/a"), F.array(*map(F.lit, NAMES))[(F.col("page_id") % 5).cast("int")])).alias("language"))
+
+
+@query("chunk_code_files")
+def chunk_code_files(spark, d):
+    """Pages as files of five kinds, each cut as its extension says."""
+    name = F.concat(F.lit("f"), F.array(*map(F.lit, NAMES))[(F.col("page_id") % 5).cast("int")])
+    return K.code_files(table(spark, d, "pages").withColumn("name", name), "page_id", "html", "name")
+
+
 @query("chunk_markdown", """select p_partkey, 0 as section, p_brand as breadcrumb, 'intro ' || p_name as body from part union all select p_partkey, 1, p_brand || ' > ' || p_type, 'size ' || p_size from part union all select p_partkey, 3, p_type, 'end' from part""")
 def chunk_markdown(spark, d):
     text = F.concat(F.lit("# "), "p_brand", F.lit("\nintro "), "p_name", F.lit("\n## "), "p_type", F.lit("\nsize "), F.col("p_size").cast("string"), F.lit("\n# x\n# "), "p_type", F.lit("\nend\n"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,9 +116,58 @@ def embed_pending(nodes: DataFrame, index_path: str, embed, key: str = "index")
     nodes.select(key, embed.alias("embedding")).write.mode("append").parquet(index_path)
 
 
-def compacted(spark: SparkSession, source: str, target: str, parts: int, key: str = "index") -> None:
-    """Rewrites an index as `parts` files, one row for each key."""
-    spark.read.option("ignoreCorruptFiles", True).parquet(source).dropDuplicates([key]).repartition(parts, key).write.mode("overwrite").parquet(target)
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, error) of the Parquet files below a folder that cannot be read to their end.
+
+    Each file is opened by itself in a task and all its row groups are decoded, so neither a missing footer nor a damaged
+    page goes unseen. A file must fit into a task's memory, as the chunks of an index do, and have under 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    reader = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                    for k in range(reader.num_row_groups):
+                        reader.read_row_group(k)
+                except (pa.ArrowException, OSError) as error:
+                    found.append({"path": path, "error": str(error)})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(opened, "path string, error string")
+
+
+def quarantine(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Renames the unreadable files of a folder to `_<name>.bad.<time>.parquet`, which no reader of the folder takes up.
+
+    Returns the new names with what was wrong. Good files stay as they are, and nothing is deleted.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}  # one file at a time in memory
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = unreadable(spark, folder).collect()  # the bad ones only
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    moved = []
+    for path, error in found:
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        new = spark._jvm.org.apache.hadoop.fs.Path(old.getParent(), f"_{old.getName().removesuffix('.parquet')}.bad.{int(time.time())}.parquet")
+        if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
+            raise OSError(f"{path} cannot be renamed")
+        moved.append((new.toString(), error))
+    return moved
+
+
+def compacted(spark: SparkSession, source: str, target: str, parts: int, key: str = "index") -> list[tuple[str, str]]:
+    """Rewrites an index as `parts` files, one row for each key; files that cannot be read are moved away first and returned."""
+    moved = quarantine(spark, source)
+    spark.read.parquet(source).dropDuplicates([key]).repartition(parts, key).write.mode("overwrite").parquet(target)
+    return moved
 
 
 class Collections:

@@ -9,27 +9,83 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def ingest(spark: SparkSession, source: str, schema: str, log: str, target: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "id", buckets: int = 64) -> StreamingQuery:
-    """Reads new files of arrivals, appends each batch to a log by its number, and renews the parts of the merged table that it touches.
-
-    Log and table are kept by buckets of `key`, by which `merge` groups; a batch reads and writes its own buckets only. A
-    batch that is run again overwrites its own part of the log, so the merged table is the same after any restart.
+class MergedStream:
+    """A table merged from files of arrivals, kept as a state that each batch reads and renews for the keys it touches.
+
+    `partial` makes a state of arrivals and `combine` one of several, grouped by `key` and whatever else, such as
+    `merge.partial_state` and `merge.combined` do. Below `root` the state of each of `buckets` ranges of keys lies in the
+    folder of the batch that last wrote it. A batch reads the last states of its own buckets and never earlier arrivals, so
+    what it costs does not grow with their number. A batch that is run again starts from the states before it, which
+    stay until a later batch supersedes them, so no arrival is counted twice.
     """
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    def __init__(self, spark: SparkSession, root: str, schema: str, partial: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame], key: str = "id", buckets: int = 64) -> None:
+        self.spark, self.root, self.schema, self.partial, self.combine, self.key, self.buckets = spark, root.rstrip("/"), schema, partial, combine, key, buckets
+        self.kept = partial(spark.createDataFrame([], schema)).schema
+
+    def start(self, source: str, files_a_batch: int | None = None) -> StreamingQuery:
+        """Reads the files of `source` that are new since the last run."""
+        reader = self.spark.readStream.schema(self.schema)
+        reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+        return reader.parquet(source).writeStream.foreachBatch(self.put).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
+
+    def read(self) -> DataFrame:
+        """The state after the last whole batch."""
+        return self._states([versions[-1] for versions in self._versions().values()])
 
-    def put(batch: DataFrame, number: int) -> None:
+    def put(self, batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        dealt(batch).write.mode("overwrite").partitionBy("_bucket").parquet(f"{log}/batch={number}")
-        every = spark.read.schema(dealt(batch).schema).option("basePath", log).parquet(f"{log}/batch=*")
-        touched = [r[0] for r in every.where(F.col("batch") == number).select("_bucket").distinct().collect()]  # at most `buckets`
-        merged = merge(every.where(F.col("_bucket").isin(touched)).select(batch.columns))
-        dealt(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        arrived = f"{self.root}/arrived/batch={number}"
+        self._write(self.partial(batch), arrived)
+        touched = {bucket: [n for n in self._versions().get(bucket, []) if n[0] < number] for bucket in self._buckets_of(arrived)}
+        old = self._states([versions[-1] for versions in touched.values() if versions])
+        fresh = self._load([f"{arrived}/_bucket={bucket}" for bucket in touched])
+        self._write(self.combine(old.unionByName(fresh)), f"{self.root}/state/batch={number}")
+        self._remove(arrived)
+        for versions in touched.values():
+            for _, path in versions[:-1]:
+                self._remove(path)
+
+    def _write(self, state: DataFrame, path: str) -> None:
+        dealt = state.select(*self.kept.names, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int").alias("_bucket"))
+        dealt.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+    def _load(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.kept).parquet(*paths).select(self.kept.names) if paths else self.spark.createDataFrame([], self.kept)
+
+    def _states(self, versions: list[tuple[int, str]]) -> DataFrame:
+        return self._load([path for _, path in versions])
+
+    def _fs(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self, path: str, name: str) -> list[int]:
+        folder, fs = self._fs(path)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(x[len(name) + 1 :]) for x in names if x.startswith(f"{name}="))
+
+    def _buckets_of(self, path: str) -> list[int]:
+        return self._numbers(path, "_bucket")
+
+    def _versions(self) -> dict[int, list[tuple[int, str]]]:
+        """Numbers of whole batches and their folders, for each bucket, in order; two or so for each."""
+        found: dict[int, list[tuple[int, str]]] = {}
+        for number in self._numbers(f"{self.root}/state", "batch"):
+            folder = f"{self.root}/state/batch={number}"
+            marker, fs = self._fs(f"{folder}/_SUCCESS")
+            buckets = self._buckets_of(folder) if fs.exists(marker) else []
+            for bucket in buckets:
+                found.setdefault(bucket, []).append((number, f"{folder}/_bucket={bucket}"))
+        return found
+
+    def _remove(self, path: str) -> None:
+        folder, fs = self._fs(path)
+        fs.delete(folder, True)
+        above = folder.getParent()
+        if above.getName().startswith("batch=") and not self._buckets_of(above.toString()):
+            fs.delete(above, True)
 
 
 def embed(spark: SparkSession, source: str, schema: str, index: str, column, checkpoint: str, key: str = "index") -> StreamingQuery:

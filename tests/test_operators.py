@@ -148,11 +148,11 @@ def test_pending_embeddings_resume(spark, tmp_path):
 
 def test_stream_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "d1", 1), (1, "b", "d2", 2), (2, "c", "d1", 3)], "id int, description string, source_document string, seq int")
-    rows = rows.withColumn("type", F.lit("T"))
     root = f"file://{tmp_path}"
     rows.repartition(2).write.parquet(f"{root}/in")
-    args = (spark, f"{root}/in", rows.schema.simpleString()[7:-1].replace(":", " "), f"{root}/log", f"{root}/out", merge.merge_entities, f"{root}/cp")
-    ingest.ingest(*args).awaitTermination()
-    first = sorted(map(str, spark.read.parquet(f"{root}/out").collect()))
-    ingest.ingest(*args).awaitTermination()
-    assert sorted(map(str, spark.read.parquet(f"{root}/out").collect())) == first and len(first) == 2
+    parts = (["id"], ["description"])
+    merged = ingest.MergedStream(spark, f"{root}/merged", rows.schema.simpleString()[7:-1].replace(":", " "), lambda x: merge.partial_state(x, *parts), lambda x: merge.combined(x, *parts))
+    merged.start(f"{root}/in").awaitTermination()
+    first = sorted(map(str, merge.from_state(merged.read(), *parts).collect()))
+    merged.start(f"{root}/in").awaitTermination()
+    assert sorted(map(str, merge.from_state(merged.read(), *parts).collect())) == first and len(first) == 2
