@@ -1,6 +1,6 @@
 """Chat formatting by schema fingerprints, with built-in column functions only.
 
-A record's nested field paths are hashed, for each declarative mapping those of them that the mapping knows; the mapping
+All nested field paths of a record are hashed, for each declarative mapping those of them that the mapping knows; the mapping
 whose own fingerprint that is says where the turns of that layout lie, whatever else the record holds. Records of different
 layouts thus become one canonical list of turns, and layouts that no mapping knows can be listed. A template marks
 the turns, and spans of the loss mask point at the assistant's texts in the formatted string. Control strings inside a
@@ -23,8 +23,11 @@ TURNS = "array<struct<role: string, text: string>>"
 class Mapping:
     """One layout: the field paths that make it, as `field_paths` writes them, and where its turns are.
 
-    turns: path of an array of turns, with the names of its role and text; or `fixed` pairs (role, path), of which empty
-    texts of optional paths give no turn. A layout with role names of its own has them replaced by `ROLES`.
+    turns: path of an array of turns, with the names of its role and text; `parts` where texts may be lists of text parts,
+    which are joined by line ends. Or `fixed` pairs (role, path), of which empty texts of optional paths give no turn; an
+    array of pairs in `history` gives turns before those, behind the system's. A layout with role names of its own has
+    them replaced by `ROLES`. A record with a path that `refused` matches holds what the mapping would lose, so it is
+    none of the mapping's.
     """
 
     name: str
@@ -32,15 +35,28 @@ class Mapping:
     turns: str = ""
     role: str = "role"
     text: str = "content"
+    parts: bool = False
     fixed: tuple[tuple[str, str], ...] = ()
+    refused: str = ""
+
+
+#: What turns may hold beside their texts that no template here can show.
+CALLS = "(tool_calls|function_call|tool_call_id|function_calls)"
+#: Names whose texts are turns; in another shape than a text they would be lost.
+TEXTS = "(instruction|input|output|system|system_prompt|history|prompt|completion|response|question|answer|chosen|rejected)"
 
 
 def _listed(name: str, field: str, role: str, text: str) -> Mapping:
-    return Mapping(name, (f"{field}[{role}]", f"{field}[{text}]"), field, role, text)
+    return Mapping(name, (f"{field}[].{role}", f"{field}[].{text}"), field, role, text, refused=rf"^{re.escape(field)}\[\]\.{CALLS}\b")
+
+
+def _parted(name: str, field: str, role: str, text: str, *paths: str) -> Mapping:
+    listed = _listed(name, field, role, text)
+    return Mapping(name, (listed.paths[0], *(f"{field}[].{text}{path}" for path in paths)), field, role, text, parts=True, refused=listed.refused)
 
 
 def _fixed(name: str, *pairs: tuple[str, str]) -> Mapping:
-    return Mapping(name, tuple(path for _, path in pairs), fixed=pairs)
+    return Mapping(name, tuple(path for _, path in pairs), fixed=pairs, refused=rf"^(?!history\[\](\[\])?$){TEXTS}[.:\[]|^(chosen|rejected|history)$")
 
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -49,6 +65,11 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 MAPPINGS = (
     _listed("turn_rows", "rows", "role", "text"),
     _listed("messages", "messages", "role", "content"),
+    _parted("messages_parts", "messages", "role", "content", "[].text"),
+    _parted("messages_mixed", "messages", "role", "content", ":mixed"),
+    _listed("data_messages", "data.messages", "role", "content"),
+    _parted("data_messages_parts", "data.messages", "role", "content", "[].text"),
+    _parted("data_messages_mixed", "data.messages", "role", "content", ":mixed"),
     _listed("conversations", "conversations", "from", "value"),
     _listed("conversation_messages", "conversations", "role", "content"),
     _listed("dialogue", "dialogue", "speaker", "text"),
@@ -56,33 +77,35 @@ MAPPINGS = (
     _fixed("instruction_input", ("user", "instruction"), ("user", "input"), ("assistant", "output")),
     _fixed("instruction_system", ("system", "system"), ("user", "instruction"), ("assistant", "output")),
     _fixed("instruction", ("user", "instruction"), ("assistant", "output")),
+    _fixed("prompt_completion_system", ("system", "system"), ("user", "prompt"), ("assistant", "completion")),
     _fixed("prompt_completion", ("user", "prompt"), ("assistant", "completion")),
+    _fixed("prompt_response_system", ("system", "system"), ("user", "prompt"), ("assistant", "response")),
     _fixed("prompt_response", ("user", "prompt"), ("assistant", "response")),
     _fixed("system_question", ("system", "system_prompt"), ("user", "question"), ("assistant", "response")),
     _fixed("question_answer", ("user", "question"), ("assistant", "answer")),
 )
 
 
-def schema_paths(record: Column) -> Column:
-    """Nested field paths of a variant in alphabetical order, such as `id,messages[content,role]`; null for null."""
-    schema = F.schema_of_variant(record)
-    for pattern, by in ((r"(OBJECT<|, |^)(`?)([^:<>`,]+)\2: (?!OBJECT|ARRAY)[A-Z]+(\([\d, ]*\))?", "$1$3"), (r": ARRAY<[A-Z]+(\([\d, ]*\))?>", "[]"), *((r": ARRAY<OBJECT<([^<>]*)>>", "[$1]"), (r": OBJECT<([^<>]*)>", "{$1}")) * 4, (r"^OBJECT<(.*)>$", "$1"), (", ", ",")):
-        schema = F.regexp_replace(schema, pattern, by)
-    return schema
+def field_paths(record: Column) -> Column:
+    """All nested field paths of a variant in order, such as `id` and `messages[].content[].text`, as an array; null for null.
 
+    `[]` stands for the elements of an array. A path ends at a value that is neither object nor array; `:mixed` marks one
+    whose values in an array are of several kinds. Any depth counts.
+    """
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(r"(?:`(?:[^`]|``)*`|[^:<>`, ]+): |ARRAY<|OBJECT<|>|[A-Z]+(?:\([^)]*\))?"), F.lit(0))
+    text, texts = F.lit("").alias("path"), F.expr("cast(array() as array<string>)")
+    start = F.struct(text, texts.alias("stack"), texts.alias("found"))
 
-def field_paths(paths: Column) -> Column:
-    """The single paths in what `schema_paths` writes, such as `id` and `messages[role]`, two levels deep, as an array."""
-    for _ in range(6):  # what lies deeper goes, one level at a time
-        paths = F.regexp_replace(paths, r"([\[{][^\[\]{}]*)(?:\[[^\[\]{}]*\]|\{[^\[\]{}]*\})", "$1")
-    fields = F.regexp_extract_all(paths, F.lit(r"[^,\[\]{}]+(?:[\[{][^\[\]{}]*[\]}])?"), F.lit(0))
-
-    def single(field: Column) -> Column:
-        name = F.regexp_extract(field, r"^[^\[{]+", 0)
-        inner = F.regexp_extract(field, r"^[^\[{]+\[(.*)\]$", 1)
-        return F.when(inner == "", F.array(name)).otherwise(F.transform(F.split(inner, ","), lambda x: F.concat(name, F.lit("["), x, F.lit("]"))))
+    def read(done: Column, token: Column) -> Column:
+        top, name = F.element_at(done["stack"], -1), F.regexp_replace(token, r"^`|`?: $", "")
+        opens, closes, names = token.isin("ARRAY<", "OBJECT<"), token == ">", token.endswith(": ")
+        path = F.when(names, F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))).when(token == "ARRAY<", F.concat(done["path"], F.lit("[]"))).otherwise(done["path"])
+        stack = F.when(opens, F.array_append(done["stack"], done["path"])).when(closes, F.slice(done["stack"], 1, F.size(done["stack"]) - 1)).otherwise(done["stack"])
+        kind = F.when(token == "VARIANT", F.concat(done["path"], F.lit(":mixed"))).otherwise(done["path"])
+        found = F.when(opens | closes | names | (done["path"] == ""), done["found"]).otherwise(F.array_append(done["found"], kind))
+        return F.struct(path.alias("path"), stack.alias("stack"), found.alias("found"))
 
-    return F.flatten(F.transform(fields, single))
+    return F.aggregate(tokens, start, read, lambda done: done["found"])
 
 
 def fingerprint(paths: Column) -> Column:
@@ -97,14 +120,29 @@ def _turn(role: Column, text: Column, rename: bool) -> Column:
     return F.struct(F.coalesce(known, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _joined_parts(content: Column) -> Column:
+    """The text of a content that is a text or an array of text parts; null if it holds anything else."""
+    kind = F.schema_of_variant(content)
+    parts = F.try_variant_get(content, "$", "array<struct<type: string, text: string>>")
+    plain = F.forall(parts, lambda x: (F.coalesce(x["type"], F.lit("text")) == "text") & x["text"].isNotNull())
+    listed = F.when(F.coalesce(plain, F.lit(False)), F.array_join(F.transform(parts, lambda x: x["text"]), "\n"))
+    return F.when(content.isNull() | (kind == "VOID"), "").when(kind.startswith("ARRAY<OBJECT<"), listed).when(~kind.startswith("ARRAY<") & ~kind.startswith("OBJECT<"), F.try_variant_get(content, "$", "string"))
+
+
 def turns_of(record: Column, mapping: Mapping) -> Column:
+    if mapping.parts:
+        found = F.variant_get(record, f"$.{mapping.turns}", f"array<struct<`{mapping.role}`: string, `{mapping.text}`: variant>>")
+        texts = F.transform(found, lambda t: F.struct(t[mapping.role].alias("role"), _joined_parts(t[mapping.text]).alias("text")))
+        return F.when(F.forall(texts, lambda t: t["text"].isNotNull()), F.transform(texts, lambda t: _turn(t["role"], t["text"], mapping.role != "role")))
     if mapping.turns:
         found = F.variant_get(record, f"$.{mapping.turns}", f"array<struct<`{mapping.role}`: string, `{mapping.text}`: string>>")
         return F.transform(found, lambda t: _turn(t[mapping.role], t[mapping.text], mapping.role != "role"))
     parts = [F.struct(F.lit(role).alias("role"), F.coalesce(F.variant_get(record, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in mapping.fixed]
     last = len(parts) - 1
-    turns = F.array(*parts)
-    return F.filter(turns, lambda t, k: (t["text"] != "") | (k == last) | (t["role"] == "user") & (k == 0))
+    turns = F.filter(F.array(*parts), lambda t, k: (t["text"] != "") | (k == last) | (t["role"] == "user") & (k == 0))
+    pairs = F.transform(F.try_variant_get(record, "$.history", "array<array<string>>"), lambda p: F.transform(p, lambda x, k: F.struct(F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), F.coalesce(x, F.lit("")).alias("text"))))
+    earlier = F.coalesce(F.flatten(F.filter(pairs, lambda p: p.isNotNull())), F.lit(None).cast(TURNS), F.expr(f"cast(array() as {TURNS})"))
+    return F.concat(F.filter(turns, lambda t: t["role"] == "system"), earlier, F.filter(turns, lambda t: t["role"] != "system"))
 
 
 def escaped(text: Column) -> Column:
@@ -155,28 +193,34 @@ def under_mask(text: Column, spans: Column) -> Column:
 def format_records(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """`records` with (layout, turns, formatted, loss_spans) for the variant in `record_col`.
 
-    Columns of these names are replaced, others stay. Fields that a mapping does not know do not matter to it. Null roles
-    and texts become empty; a null record, one without turns, or one of an unknown layout, has nulls. Rows are
-    independent, so repeats repeat; an empty table gives an empty one.
+    Columns of these names are replaced, others stay. Fields that a mapping does not know do not matter to it, but for those
+    that would be turns or parts of them: calls of tools, images, a history that is none of pairs. Null roles and texts
+    become empty; a null record, one without turns, or one of an unknown layout, has nulls. No turn ever holds the JSON of
+    a nested value. Rows are independent, so repeats repeat; an empty table gives an empty one. A conversation, however
+    long, is one row.
     """
-    marked = records.withColumn("layout", field_paths(schema_paths(F.col(record_col))))
+    marked = records.withColumn("layout", field_paths(F.col(record_col)))
     layout = F.lit(None).cast("string")
     for mapping in reversed(mappings):
         own = F.array(*map(F.lit, mapping.paths))
-        layout = F.when(fingerprint(F.array_intersect("layout", own)) == fingerprint(own), mapping.name).otherwise(layout)
+        fits = fingerprint(F.array_intersect("layout", own)) == fingerprint(own)
+        if mapping.refused:
+            fits &= ~F.exists("layout", lambda path: path.rlike(mapping.refused))  # noqa: B023
+        layout = F.when(fits, mapping.name).otherwise(layout)
     marked = marked.withColumn("layout", layout)
     turns = F.lit(None).cast(TURNS)
     for mapping in mappings:
         turns = F.when(F.col("layout") == mapping.name, turns_of(F.col(record_col), mapping)).otherwise(turns)
-    out = marked.withColumn("turns", turns).withColumn("formatted", formatted(F.col("turns")))
+    out = marked.withColumn("turns", turns).withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout"))).withColumn("formatted", formatted(F.col("turns")))
     return out.withColumns({"formatted": F.col("formatted.text"), "loss_spans": F.col("formatted.loss")})
 
 
 def unknown_layouts(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(paths, fingerprint, n): the layouts of records that no mapping fits, with their numbers; null records have null paths."""
     found = format_records(records.select(record_col), record_col, mappings).where("layout is null")
-    paths = schema_paths(F.col(record_col))
-    return found.groupBy(paths.alias("paths")).agg(F.count("*").alias("n")).select("paths", F.when(F.col("paths").isNotNull(), fingerprint(field_paths(F.col("paths")))).alias("fingerprint"), "n")
+    found = found.select(field_paths(F.col(record_col)).alias("found"))
+    named = found.groupBy(F.array_join("found", ",").alias("paths"), F.when(F.col("found").isNotNull(), fingerprint(F.col("found"))).alias("fingerprint"))
+    return named.agg(F.count("*").alias("n")).select("paths", "fingerprint", "n")
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

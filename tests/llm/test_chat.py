@@ -22,9 +22,22 @@ RECORDS = [
     ({"messages": [{"role": "user", "content": "q", "name": "n", "calls": [{"f": {"x": [1], "y": {"role": 2}}}]}], "meta": {"messages": [{"role": 1}], "t": ["a"]}}, "messages", [("user", "q")]),
     ({"instruction": "i", "input": "x", "output": "o", "source": "s"}, "instruction_input", [("user", "i"), ("user", "x"), ("assistant", "o")]),
     ({"instruction": "i", "input": "x", "output": "o", "system": "s"}, "instruction_input_system", [("system", "s"), ("user", "i"), ("user", "x"), ("assistant", "o")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}, {"type": "text", "text": "there"}]}]}, "messages_parts", [("user", "hi\nthere")]),
+    ({"messages": [{"role": "user", "content": [{"text": "q", "type": "text"}]}, {"role": "assistant", "content": "a"}, {"role": "user", "content": None}]}, "messages_mixed", [("user", "q"), ("assistant", "a"), ("user", "")]),
+    ({"data": {"messages": [{"role": "user", "content": "q"}], "id": 3}}, "data_messages", [("user", "q")]),
+    ({"instruction": "i", "input": "", "output": "o", "history": [["q1", "a1"], ["q2", "a2"]], "system": "s"}, "instruction_input_system", [("system", "s"), ("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "a2"), ("user", "i"), ("assistant", "o")]),
+    ({"prompt": "p", "response": "r", "history": []}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ({"system": "s", "prompt": "p", "completion": "c"}, "prompt_completion_system", [("system", "s"), ("user", "p"), ("assistant", "c")]),
     ({"meta": {"prompt": "p", "completion": "c"}}, None, None),
     ({"messages": []}, None, None),
     ({"else": 1}, None, None),
+    ({"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "t"}]}]}, None, None),
+    ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"function": {"name": "f"}}]}]}, None, None),
+    ({"messages": [{"role": "user", "content": {"text": "t"}}]}, None, None),
+    ({"instruction": "i", "input": ["x"], "output": "o"}, None, None),
+    ({"prompt": "p", "response": "r", "history": [{"q": 1}]}, None, None),
+    ({"prompt": "p", "chosen": "c", "rejected": "r"}, None, None),
+    ({"a": {"b": {"c": {"d": {"e": [{"f": [[1]]}]}}}}}, None, None),
 ]
 
 
@@ -41,7 +54,11 @@ def test_layouts_and_way_back(spark):
             assert got[i].formatted.count("<|im_start|>") == len(turns)
     assert got[99].formatted is None
     unknown = chat.unknown_layouts(rows.withColumn("record", F.try_parse_json("j"))).collect()
-    assert sorted((str(r.paths), r.n) for r in unknown) == [("None", 1), ("else", 1), ("messages[]", 1), ("meta{completion,prompt}", 1)]
+    assert sorted((str(r.paths), r.n) for r in unknown) == sorted([
+        ("None", 1), ("else", 1), ("messages[]", 1), ("meta.completion,meta.prompt", 1), ("messages[].content[].image_url.url,messages[].content[].text,messages[].content[].type,messages[].role", 1),
+        ("messages[].content,messages[].role,messages[].tool_calls[].function.name", 1), ("messages[].content.text,messages[].role", 1), ("input[],instruction,output", 1), ("history[].q,prompt,response", 1), ("chosen,prompt,rejected", 1), ("a.b.c.d.e[].f[][]", 1),
+    ])
+    assert len({r.fingerprint for r in unknown}) == len(unknown)
 
 
 def test_contract_rows(spark):
