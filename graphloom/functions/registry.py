@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _MISSING = object()
@@ -149,15 +150,32 @@ def run_tasks(tasks: list[Task], context: dict[str, Any]) -> dict[str, Any]:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions: recursive_chunks(text, size, overlap) as a table function, and count_words(text)."""
+    """SQL functions, the first two with the rows of `chunk.recursive`:
+
+    chunk_table(table(select id, text ...), size, overlap) gives (id, chunk_id, chunk), ids as text, from Arrow batches; it
+    is the one for whole tables. recursive_chunks(text, size, overlap) gives (chunk_id, chunk) of one text, and after
+    `lateral` too, where Spark takes no table function of Arrow batches. count_words(text) is SQL.
+    """
     from pyspark.sql import functions as F
 
     from graphloom.operators.chunk import SEPARATORS, _split
 
+    @F.arrow_udtf(returnType="id string, chunk_id long, chunk string")
+    class ChunkTable:
+        def eval(self, rows: pa.RecordBatch, size: pa.Array, overlap: pa.Array) -> Iterator[pa.Table]:
+            if not rows.num_rows:
+                return
+            most, carried = size[0].as_py(), overlap[0].as_py()
+            names = rows.column(0).cast(pa.string())
+            for k, text in enumerate(rows.column(1).to_pylist()):  # a text's pieces leave before the next one is cut
+                pieces = list(_split(text or "", SEPARATORS, most, carried))
+                yield pa.table({"id": pa.array([names[k].as_py()] * len(pieces), pa.string()), "chunk_id": pa.array(range(len(pieces)), pa.int64()), "chunk": pa.array(pieces, pa.string())})
+
     @F.udtf(returnType="chunk_id int, chunk string")
     class RecursiveChunks:
         def eval(self, text: str, size: int, overlap: int):
             yield from enumerate(_split(text or "", SEPARATORS, size, overlap))
 
+    spark.udtf.register("chunk_table", ChunkTable)
     spark.udtf.register("recursive_chunks", RecursiveChunks)
     spark.sql("create or replace temporary function count_words(t string) returns int return size(filter(split(t, '\\\\s+'), w -> w <> ''))")

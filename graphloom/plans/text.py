@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.registry import register_functions
 from graphloom.operators import chunk as K
 from graphloom.operators import search as S
 from graphloom.operators import traverse as G
 from graphloom.operators.components import ensure_checkpoints
 from graphloom.operators.text_index import TextIndex
 from graphloom.plans.base import query, table
+from graphloom.sources import code as C
 from graphloom.sources import star
 from graphloom.sources.star import EDGES_SQL, NODES_SQL
 
@@ -209,6 +211,33 @@ def chunk_code_files(spark, d):
     return K.code_files(table(spark, d, "pages").withColumn("name", name), "page_id", "html", "name")
 
 
+@query("chunk_table_function")
+def chunk_table_function(spark, d):
+    """The recursive chunks of all documents by the table function, from SQL."""
+    register_functions(spark)
+    return spark.sql("select cast(id as bigint) as doc_id, chunk_id, chunk from chunk_table(table(select cast(doc_id as string), text from {docs}), 1000, 200)", docs=table(spark, d, "documents"))
+
+
+CODE_SQL = """with f as (select p_partkey, p_name as name, cast(p_size as varchar) as size, case p_partkey % 3 when 0 then 'python' when 1 then 'javascript' end as language from part)
+select p_partkey, language, case p_partkey % 3
+when 0 then '=== FUNCTIONS_CLASSES ===' || chr(10) || 'def size_of(x):' || chr(10) || '    # ' || name || chr(10) || chr(10) || '    return ' || size || chr(10) || chr(10) || '=== FUNCTIONS_CLASSES ===' || chr(10) || 'class Part:' || chr(10) || '    n = ' || size || chr(10) || chr(10) || '=== SIMPLIFIED_CODE ===' || chr(10) || 'import sys' || chr(10) || chr(10) || '# Code for: def size_of(x):' || chr(10) || chr(10) || '# ' || name || chr(10) || '# Code for: class Part:' || chr(10) || 'NAME = "' || name || '"'
+when 1 then '=== FUNCTIONS_CLASSES ===' || chr(10) || 'export async function sizeOf(x) {' || chr(10) || '  return ' || size || ';' || chr(10) || '}' || chr(10) || chr(10) || '=== SIMPLIFIED_CODE ===' || chr(10) || '// ' || name || chr(10) || '// Code for: export async function sizeOf(x) {' || chr(10) || 'const n = ' || size || ';'
+else name || chr(10) || 'def size_of(x):' || chr(10) || size end as code from f"""
+
+
+@query("code_sections", CODE_SQL)
+def code_sections(spark, d):
+    """Parts as files of Python, JavaScript and a kind that is not taken apart."""
+    parts, size = table(spark, d, "part"), F.col("p_size").cast("string")
+    python = F.concat(F.lit("import sys\n\ndef size_of(x):\n    # "), "p_name", F.lit("\n\n    return "), size, F.lit("\n\n# "), "p_name", F.lit("\nclass Part:\n    n = "), size, F.lit('\nNAME = "'), "p_name", F.lit('"\n'))
+    script = F.concat(F.lit("// "), "p_name", F.lit("\nexport async function sizeOf(x) {\n  return "), size, F.lit(";\n}\nconst n = "), size, F.lit(";\n"))
+    other = F.concat("p_name", F.lit("\ndef size_of(x):\n"), size)
+    kind = F.col("p_partkey") % 3
+    files = parts.select("p_partkey", F.when(kind == 0, python).when(kind == 1, script).otherwise(other).alias("text"), F.when(kind == 0, "a/b.py").when(kind == 1, "b.JSX").otherwise("notes").alias("name"))
+    files = files.withColumn("language", F.nullif(K.language_of(F.col("name"), ""), F.lit("")))
+    return files.select("p_partkey", "language", C.headed(C.code_sections(F.col("text"), F.col("language"))).alias("code"))
+
+
 @query("chunk_markdown", """select p_partkey, 0 as section, p_brand as breadcrumb, 'intro ' || p_name as body from part union all select p_partkey, 1, p_brand || ' > ' || p_type, 'size ' || p_size from part union all select p_partkey, 3, p_type, 'end' from part""")
 def chunk_markdown(spark, d):
     text = F.concat(F.lit("# "), "p_brand", F.lit("\nintro "), "p_name", F.lit("\n## "), "p_type", F.lit("\nsize "), F.col("p_size").cast("string"), F.lit("\n# x\n# "), "p_type", F.lit("\nend\n"))
