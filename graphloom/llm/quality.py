@@ -95,13 +95,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(some[k : k + 16].astype(np.int32)), pa.array([blocks[i].tobytes() for i in some[k : k + 16]], pa.binary())], ["block", "sums"])
 
 
+def rounded(vectors: np.ndarray) -> np.ndarray:
+    """Entries from -1 to 1 as multiples of 2**-20: sums of up to 2**33 of them are exact in double precision, in any order."""
+    return (np.rint(vectors * (1 << 20)) / (1 << 20)).astype(np.float32)
+
+
 def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The vectors of a block, at unit length, from the sums of all tasks."""
     total = np.zeros((ROWS, DIM), np.int64)
     for batch in batches:
         for x in batch.column(batch.schema.get_field_index("sums")):
             total += np.frombuffer(x.as_buffer(), np.int32).reshape(ROWS, DIM)
-    unit = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    unit = rounded(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6))
     yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([unit.tobytes()], pa.binary())], ["block", "vectors"])
 
 
@@ -115,7 +120,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 class Pooler:
-    """Mean token vectors of documents."""
+    """Mean token vectors of documents; a document's is the same to the last bit however rows are dealt to tasks and batches."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
@@ -134,7 +139,7 @@ class Pooler:
             for a in range(0, len(places), HELD_TOKENS):
                 part = of[a : a + HELD_TOKENS]
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
-                out[first + part[starts]] += np.add.reduceat(self.vectors[places[a : a + HELD_TOKENS]], starts, axis=0)
+                out[first + part[starts]] += np.add.reduceat(self.vectors[places[a : a + HELD_TOKENS]], starts, axis=0, dtype=np.float64)
             out[first : first + len(texts)] /= np.maximum(lens, 1)[:, None]
             first += len(texts)
         return out

@@ -63,3 +63,13 @@ def test_long_texts_are_cut_at_blanks(monkeypatch):
     whole = quality.Slots().of(text.encode())
     monkeypatch.setattr(quality, "HELD_BYTES", 1000)
     assert (quality.Slots().of(text.encode()) == whole).all()
+
+
+def test_vectors_do_not_depend_on_batches(spark, monkeypatch):
+    texts = pa.array([r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + [None, ""])
+    random = np.random.default_rng(1).normal(size=(quality.TABLE, quality.DIM))
+    pooler = quality.Pooler(quality.rounded(random / np.linalg.norm(random, axis=1, keepdims=True)))
+    whole = pooler.pool(texts)
+    monkeypatch.setattr(quality, "HELD_TOKENS", 700)  # long texts are summed in several steps
+    parts = [pooler.pool(texts[k : k + 7]) for k in range(0, len(texts), 7)]
+    assert (np.concatenate(parts) == whole).all()
