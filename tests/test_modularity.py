@@ -118,3 +118,16 @@ def test_nothing(spark):
 def test_beats_label_propagation_on_the_whole_graph(spark):
     rows = {r.method: r for r in catalog.queries()["communities_modularity"](spark, "/root/testdata/sf0.001").collect()}
     assert rows["modularity"].modularity > rows["label propagation"].modularity + 0.05
+
+
+def test_a_round_deals_links_once_by_the_end_that_sums_up(spark):
+    """The links lie by their end b; nodes come to them, and only one exchange in a round takes links to their end a."""
+    n, e = spark.createDataFrame([(i,) for i in range(4)], "index long"), spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
+    now, edges = M.graph(n, e)
+    assert edges.rows.count() == 6
+    step = M.moved(now, edges, 6, 1.0, 0, 2)
+    assert {r["index"] for r in step.collect()} == {0, 1, 2, 3}
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [a#") == 1
+    assert M.value(now, edges, 6, 1.0) == -(1 + 4 + 4 + 1)
+    edges.free()
