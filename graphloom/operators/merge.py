@@ -17,15 +17,20 @@ def merged_lists(docs: str, order: str) -> Column:
     return F.array_distinct(F.filter(F.transform(pairs, lambda x: x["d"]), lambda x: x.isNotNull()))
 
 
-def partial_state(rows: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], order: str = "seq", docs: str = "source_document") -> DataFrame:  # noqa: B006
+def partial_state(rows: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], order: str = "seq", docs: str = "source_document", tie: str | None = None) -> DataFrame:  # noqa: B006
     """What arrivals amount to, one row for each key and document, in a form that later arrivals can be merged into.
 
     Columns in `first` hold the earliest value that is not null, those in `last` the latest, each with its place in the
-    order; `at` is the first place and `n` the number of arrivals. Of equal places the smallest, or largest, value counts.
+    order; `at` is the first place and `n` the number of arrivals. Of equal places the arrival with the smallest `tie`, a number,
+    counts in both; without one the smallest, or largest, value.
     A key with very many arrivals is summed up in the tasks that read them, and by document after that.
     """
-    placed = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("value")))
-    return rows.groupBy(*keys, docs).agg(*(F.min(placed(c)).alias(c) for c in first), *(F.max(placed(c)).alias(c) for c in last), F.min(order).alias("at"), F.count("*").alias("n"))
+
+    def placed(c: str, sign: int) -> Column:
+        ties = [] if tie is None else [(sign * F.col(tie)).alias("tie")]
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), *ties, F.col(c).alias("value")))
+
+    return rows.groupBy(*keys, docs).agg(*(F.min(placed(c, 1)).alias(c) for c in first), *(F.max(placed(c, -1)).alias(c) for c in last), F.min(order).alias("at"), F.count("*").alias("n"))
 
 
 def combined(states: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], docs: str = "source_document") -> DataFrame:  # noqa: B006
@@ -39,14 +44,15 @@ def from_state(state: DataFrame, keys: list[str], first: list[str] = [], last: l
     return state.groupBy(*keys).agg(*values, merged_lists(docs, "at").alias("source_documents"), F.sum("n").alias("n"))
 
 
-def merge_entities(rows: DataFrame, order: str = "seq") -> DataFrame:
+def merge_entities(rows: DataFrame, order: str = "seq", tie: str | None = None) -> DataFrame:
     """(id, type, description, source_documents, n) of arrivals (id, type, description, source_document, seq).
 
     Type and description come from the first arrival that has one; an empty text counts as one, null does not. Where
     arrivals have an `embedding`, the last one that is not null is kept, as it belongs to the newest text.
+    Arrivals of the same place in the order count by `tie`, as `partial_state` says.
     """
     last = ["embedding"] if "embedding" in rows.columns else []
-    return from_state(partial_state(rows, ["id"], ["type", "description"], last, order), ["id"], ["type", "description"], last)
+    return from_state(partial_state(rows, ["id"], ["type", "description"], last, order, tie=tie), ["id"], ["type", "description"], last)
 
 
 def merge_relations(rows: DataFrame, entities: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:

@@ -147,11 +147,11 @@ def _folder(spark) -> str:
 def stream_ingest_merge(spark, d):
     """Arrivals as four files, which the stream merges into its state in two batches; the last embedding is kept."""
     root = _folder(spark)
-    rows = _arrivals(spark, d).select("id", "type", "description", "source_document", "seq", F.array(F.col("l_suppkey").cast("double")).alias("embedding"))
+    rows = _arrivals(spark, d).select("id", "type", "description", "source_document", "seq", F.array(F.col("l_suppkey").cast("double")).alias("embedding"), "place")
     rows.repartition(4).write.parquet(f"{root}/in")
-    schema = "id bigint, type string, description string, source_document string, seq bigint, embedding array<double>"
+    schema = "id bigint, type string, description string, source_document string, seq bigint, embedding array<double>, place bigint"
     parts = (["id"], ["type", "description"], ["embedding"])
-    merged = S.MergedStream(spark, f"{root}/merged", schema, lambda rows: M.partial_state(rows, *parts), lambda states: M.combined(states, *parts), buckets=8)
+    merged = S.MergedStream(spark, f"{root}/merged", schema, lambda rows: M.partial_state(rows, *parts, tie="place"), lambda states: M.combined(states, *parts), buckets=8)
     merged.start(f"{root}/in", 2).awaitTermination()
     found = M.from_state(merged.read(), *parts)
     return found.select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), F.col("embedding")[0].alias("embedding"), "n")

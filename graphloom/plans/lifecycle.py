@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import fusion as U
 from graphloom.operators import merge as M
-from graphloom.plans.base import query, table
+from graphloom.plans.base import placed, query, table
 
 ARRIVALS_SQL = """arr as (select l_partkey as id, o_orderpriority as source_document, l_orderkey * 10 + l_linenumber as seq, case when l_linenumber = 1 then null else l_returnflag end as type, case when l_linenumber = 2 then '' when l_linenumber = 3 then null else l_linestatus || l_linenumber end as description from lineitem join orders on l_orderkey = o_orderkey),
 ents as (select id, arg_min(type, seq) filter (type is not null) as type, arg_min(description, seq) filter (description is not null) as description, count(*) as n from arr group by id),
@@ -16,13 +16,13 @@ ed as (select id, list(source_document order by s) as docs from (select id, sour
 
 def _arrivals(spark, d):
     n = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("l_partkey").alias("id"), F.col("o_orderpriority").alias("source_document"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n != 1, F.col("l_returnflag")).alias("type"), F.when(n == 2, "").when(n != 3, F.concat("l_linestatus", n.cast("string"))).alias("description"), F.col("l_suppkey"), "l_orderkey", n.alias("line"))
+    rows = placed(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_partkey").alias("id"), F.col("o_orderpriority").alias("source_document"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n != 1, F.col("l_returnflag")).alias("type"), F.when(n == 2, "").when(n != 3, F.concat("l_linestatus", n.cast("string"))).alias("description"), F.col("l_suppkey"), "l_orderkey", n.alias("line"), "place")
 
 
 @query("entity_merge", f"with {ARRIVALS_SQL} select id, type, description, array_to_string(docs, ',') as docs, n from ents join ed using (id)")
 def entity_merge(spark, d):
-    return M.merge_entities(_arrivals(spark, d)).select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), "n")
+    return M.merge_entities(_arrivals(spark, d), tie="place").select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), "n")
 
 
 def _relations(spark, d):

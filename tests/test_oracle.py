@@ -50,3 +50,22 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["entity_merge", "stream_ingest_merge"])
+@pytest.mark.parametrize("files", [1, 3])
+def test_arrivals_of_the_same_place(spark, tmp_path, name, files):
+    """Of arrivals with the same order and line the one that lies first in the table counts."""
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    lines = "select i // 20 as l_orderkey, i // 20 as l_partkey, 90 - i * 7 % 50 as l_suppkey, cast(4 + i // 200 as int) as l_linenumber, 'R' || (i * 7 % 41) as l_returnflag, 'F' || (i * 7 % 13) as l_linestatus from range({}, {}) t(i)"
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(files):
+        con.execute(f"copy ({lines.format(600 * k // files, 600 * (k + 1) // files)}) to '{tmp_path}/lineitem.parquet/part-{k}.parquet' (format parquet)")
+    con.execute(f"copy (select i as o_orderkey, 'P' || i % 5 as o_orderpriority from range(30) t(i)) to '{tmp_path}/orders.parquet' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    cursor = con.execute(catalog.oracle_sql()[name])
+    assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
