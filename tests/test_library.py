@@ -324,3 +324,19 @@ def test_a_batch_reads_states_and_no_earlier_arrivals(spark, tmp_path):
         sizes.append(sum(f.stat().st_size for f in (tmp_path / "m").rglob("*.parquet")))
     assert merge.from_state(merged.read(), *parts).agg(F.sum("n"), F.count("*")).first()[:] == (10_000, 50)
     assert max(sizes[2:]) < 1.3 * sizes[1]  # what is kept does not grow with the arrivals
+
+
+def test_recursive_chunks_of_a_batch_are_cut_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphloom.operators import chunk
+
+    texts = pa.array([None, "", *(f"{k} " + "words of a text " * 600 for k in range(1000))])
+    tracemalloc.start()
+    got = chunk._cut(texts, chunk.SEPARATORS, 1000, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert got.to_pylist() == [list(chunk._split(x or "", chunk.SEPARATORS, 1000, 200)) for x in texts.to_pylist()]
