@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
@@ -70,16 +70,28 @@ def fields_search(docs: DataFrame, queries: DataFrame, doc_id: str, fields: list
     return out.groupBy("query", "doc").agg(F.sum("score").alias("score"))
 
 
-def group_bm25(candidates: DataFrame, group: str, item: str, text: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(group, item, score) for one query, with each group's own candidates as the corpus."""
+def group_bm25(candidates: DataFrame, group: str, item: str, text: str, query: str, k1: float = 1.5, b: float = 0.75, texts: DataFrame | None = None) -> DataFrame:
+    """(group, item, score) for one query, with each group's own candidates as the corpus.
+
+    texts: a table (item, text) with each item once, where candidates have no text of their own; its words are counted before
+    they meet the groups, so an item's text is split once and never moved. A group's counts are one row of numbers.
+    """
     wanted = F.array_distinct(F.filter(F.split(F.lower(F.lit(query)), r"\s+"), lambda w: w != ""))
-    rows = candidates.select(F.col(group).alias("g"), F.col(item).alias("i"), F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "").alias("w"))
-    sizes = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    hits = rows.select("g", "i", F.size("w").alias("dl"), F.explode(wanted).alias("term"), "w").withColumn("tf", F.size(F.filter("w", lambda x: x == F.col("term")))).where("tf > 0").drop("w")
-    df = hits.groupBy("g", "term").agg(F.count("*").cast("double").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.join(df, ["g", "term"]).join(sizes, "g").groupBy(F.col("g").alias(group), F.col("i").alias(item)).agg(F.sum(weight).alias("score"))
+    terms = candidates.sparkSession.range(1).select(wanted).first()[0]
+    split = (candidates if texts is None else texts).withColumn("w", F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
+    counts = {f"t{k}": F.size(F.filter("w", F.lit(t).eqNullSafe)) for k, t in enumerate(terms)}
+    counted = split.select(*([F.col(group).alias("g")] if texts is None else []), F.col(item).alias("i"), F.size("w").alias("dl"), *(v.alias(k) for k, v in counts.items()))
+    rows = counted if texts is None else candidates.select(F.col(group).alias("g"), F.col(item).alias("i")).join(counted, "i")
+    sizes = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(k) > 0).cast("double")).alias(f"df_{k}") for k in counts))
+
+    def weight(k: str) -> Column:
+        tf, df = F.col(k), F.col(f"df_{k}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    hits = rows.where(F.greatest(F.lit(0), F.lit(0), *counts) > 0)
+    score = sum(map(weight, counts), F.lit(0.0))
+    return hits.join(sizes, "g").groupBy(F.col("g").alias(group), F.col("i").alias(item)).agg(F.sum(score).alias("score"))
 
 
 def keyword_filter(rows: DataFrame, query: str, name: str, summary: str, key: str, stopwords: list[str]) -> DataFrame:
