@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import ensure_checkpoints
-from graphloom.operators.traverse import undirected
+from graphloom.operators.traverse import links_of
 
 
 def rollout(start: DataFrame, edges: DataFrame, score: Callable[[DataFrame], DataFrame], steps: int = 2, width: int = 3, k: int = 10) -> DataFrame:
@@ -19,11 +19,11 @@ def rollout(start: DataFrame, edges: DataFrame, score: Callable[[DataFrame], Dat
     bounded, and each is a join of the agents' own nodes only, whose result checkpoint() cuts off.
     """
     ensure_checkpoints(start.sparkSession)
-    both = undirected(edges).select("a", "b")
     seen = start.select("question", "agent", "index").distinct().withColumn("step", F.lit(0))
     front = seen
     own = Window.partitionBy("question", "agent").orderBy(F.desc("score"), "index")
     for step in range(1, steps + 1):
+        both = links_of(edges, front).select("a", "b")
         near = front.join(both, front["index"] == both["a"]).select("question", "agent", F.col("b").alias("index")).distinct()
         fresh = near.join(seen.select("question", "agent", "index"), ["question", "agent", "index"], "left_anti")
         best = score(fresh).withColumn("n", F.row_number().over(own)).where(F.col("n") <= width)

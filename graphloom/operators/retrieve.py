@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import ensure_checkpoints
+from graphloom.operators.sizes import fits, sent_if
 from graphloom.operators.traverse import expand, one_per_triplet
 
 Grader = Callable[[Column, Column], Column]
@@ -65,10 +67,12 @@ def search_locally(queries: DataFrame, nodes: DataFrame, edges: DataFrame, membe
     """
     from graphloom.operators.search import bm25, top_per_query
 
+    ensure_checkpoints(nodes.sparkSession)
     texts = nodes.select("index", F.col("summary").alias("text"))
-    hits = top_per_query(bm25(texts, queries, "index", "text", "query", "text"), k).select("query", F.col("doc").alias("index"), "score")
+    hits = top_per_query(bm25(texts, queries, "index", "text", "query", "text"), k).select("query", F.col("doc").alias("index"), "score").checkpoint()  # four joins start from it
+    hits = sent_if(fits(hits), hits)
     if allowed is not None:
-        hits = hits.join(nodes.where(allowed).select("index"), "index", "left_semi").select("query", "index", "score")
+        hits = nodes.where(allowed).select("index").distinct().join(hits, "index").select("query", "index", "score")
     near = community_context(hits, members, communities).withColumn("line", F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("] "), F.col("community").cast("string")))
     listed = near.groupBy("query").agg(F.count("*").alias("communities"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("named"))
     out = local_search(hits, edges, nodes, per_seed).join(listed, "query", "left")

@@ -38,12 +38,12 @@ def local_search(spark, d):
     members = _members(spark, d)[0]
     sizes = members.groupBy("community").agg(F.count("*").cast("double").alias("importance"))
     asked = spark.createDataFrame(ASKED, "query int, text string")
-    return R.search_locally(asked, star.stored_nodes(spark, d), star.links(spark, d), members, sizes)
+    return R.search_locally(asked, star.nodes(spark, d), star.OpenLinks(spark, d), members, sizes)
 
 
 @query("contains_search", f"with {NODES_SQL} select name as id, summary as description, cast(1 as double) as score from nodes where type = 'customer' and (contains(name, 'BUILD') or contains(summary, 'Build') or contains(summary, 'BUILD')) order by name limit 20")
 def contains_search(spark, d):
-    rows = star.stored_nodes(spark, d).where("type = 'customer'").select(F.col("name").alias("id"), F.col("summary").alias("description"))
+    rows = star.nodes(spark, d).where("type = 'customer'").select(F.col("name").alias("id"), F.col("summary").alias("description"))
     return R.contains_search(rows, "BUILD", 20)
 
 
