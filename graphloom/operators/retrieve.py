@@ -117,12 +117,15 @@ def adaptive(queries: DataFrame, search: Callable[[DataFrame], DataFrame], docs:
     """(query, doc, relevant, attempt): retrieval that is repeated with a rewritten query where too few results are relevant.
 
     search: from (query, text) to (query, doc, rank). Queries whose share of relevant results reaches `theta` are done. The
-    last attempt's relevant results are kept, or all of them if none is.
+    last attempt's relevant results are kept, or all of them if none is. Each attempt's search runs once: what it found, how that
+    was graded and the queries that wait are cut off by checkpoint(), and few results go to the documents.
     """
+    ensure_checkpoints(queries.sparkSession)
     waiting, done = queries.select("query", "text"), None
     for attempt in range(retries + 1):
-        hits = search(waiting).where(F.col("rank") <= k).join(docs, "doc").join(waiting, "query")
-        graded = hits.select("query", "doc", (grade(F.col("text"), F.col("body")) >= relevant_from).alias("relevant"), F.lit(attempt).alias("attempt"))
+        found = search(waiting).where(F.col("rank") <= k).select("query", "doc").checkpoint()
+        hits = docs.join(sent_if(fits(found), found), "doc").join(waiting, "query")
+        graded = hits.select("query", "doc", (grade(F.col("text"), F.col("body")) >= relevant_from).alias("relevant"), F.lit(attempt).alias("attempt")).checkpoint()
         shares = graded.groupBy("query").agg(F.avg(F.col("relevant").cast("double")).alias("share"))
         last = attempt == retries
         settled = shares.where(F.lit(True) if last else F.col("share") >= theta)
@@ -130,7 +133,7 @@ def adaptive(queries: DataFrame, search: Callable[[DataFrame], DataFrame], docs:
         done = kept if done is None else done.union(kept)
         if last:
             return done
-        waiting = waiting.join(settled, "query", "left_anti").select("query", rewrite(F.col("text")).alias("text"))
+        waiting = waiting.join(settled, "query", "left_anti").select("query", rewrite(F.col("text")).alias("text")).checkpoint()
     return done
 
 
