@@ -118,7 +118,7 @@ def retrievers() -> Registry:
     from graphloom.operators import nearest, search
 
     def sparse(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, **more: Any) -> DataFrame:
-        return search.top_per_query(search.bm25(docs, queries, doc_id, doc_text, query_id, query_text, **more), k)
+        return search.bm25_top(docs, queries, doc_id, doc_text, query_id, query_text, k, **more)
 
     texts = (Parameter("doc_id", str), Parameter("doc_text", str), Parameter("query_id", str), Parameter("query_text", str), Parameter("k", int, 10, lambda n: n > 0))
     out = Registry()

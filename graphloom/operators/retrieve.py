@@ -65,11 +65,11 @@ def search_locally(queries: DataFrame, nodes: DataFrame, edges: DataFrame, membe
     allowed: a condition on nodes that entities must meet; it is checked after the best `k` were found. Queries that find
     no entity have no row.
     """
-    from graphloom.operators.search import bm25, top_per_query
+    from graphloom.operators.search import bm25_top
 
     ensure_checkpoints(nodes.sparkSession)
     texts = nodes.select("index", F.col("summary").alias("text"))
-    hits = top_per_query(bm25(texts, queries, "index", "text", "query", "text"), k).select("query", F.col("doc").alias("index"), "score").checkpoint()  # four joins start from it
+    hits = bm25_top(texts, queries, "index", "text", "query", "text", k).select("query", F.col("doc").alias("index"), "score").checkpoint()  # four joins start from it
     hits = sent_if(fits(hits), hits)
     if allowed is not None:
         hits = nodes.where(allowed).select("index").distinct().join(hits, "index").select("query", "index", "score")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
+from graphloom.operators import term_scores as T
 from graphloom.operators.sizes import fits, sent_if
 
 
@@ -20,15 +22,34 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, okapi: bool = False, all_terms: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, okapi: bool = False, all_terms: bool = False, best: int | None = None, whole: bool = False) -> DataFrame:
     """(query, doc, score, matched) of all documents that share a term with a query.
 
     idf is ln(1 + (N - n + .5) / (n + .5)); with `okapi` it is ln((N - n + .5) / (n + .5)), and a negative one becomes a
-    quarter of the mean over all terms. all_terms keeps documents that hold every term. Only postings of the queries' own
-    terms are grouped and joined, with their document's length beside them.
+    quarter of the mean over all terms. all_terms keeps documents that hold every term. With `best`, rows may be missing that
+    `top_per_query` would not count among a query's best so many; with `whole` too, none is whose document holds every term.
+
+    Texts are split once; what they hold of the queries' terms is stored, and a task adds up the scores of its documents. Where
+    the queries are too many for that, or ids repeat, postings of their own terms are grouped and joined, with their
+    document's length beside them.
     """
     terms = query_terms(queries, query_id, query_text)
     small = fits(terms)  # the idf table has a row for each of their terms at most
+    if small:
+        asked = T.QueryTerms(terms)
+        words = tokens(F.coalesce(F.col(doc_text), F.lit("")))
+        held = T.held_terms(docs, asked, words, doc_id)
+        n_docs, ids, avgdl = held.agg(F.count("*"), F.count_distinct("doc"), F.avg("dl")).first()
+        if n_docs == ids:
+            df = np.zeros(len(asked.names))
+            for term, n in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+                df[term] = n
+            odds = (n_docs - df + 0.5) / (df + 0.5)
+            idf = np.log(odds if okapi else 1 + odds)
+            if okapi and (idf < 0).any():
+                every = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
+                idf = np.where(idf < 0, 0.25 * every.agg(F.avg(F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0], idf)
+            return T.scored(held, asked, idf, avgdl or 1.0, k1, b, all_terms, best, whole)
     own = sent_if(small, terms.select("term").distinct())
     split = docs.select(F.col(doc_id).alias("doc"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("w"))
     size = split.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
@@ -61,6 +82,11 @@ def top_per_query(scored: DataFrame, k: int, by: str = "query", item: str = "doc
     return rounded.withColumn("rank", F.row_number().over(own).cast("long")).where(F.col("rank") <= k)
 
 
+def bm25_top(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, **more) -> DataFrame:
+    """(query, doc, score, matched, rank): the best `k` documents of each query; tasks pass on little besides."""
+    return top_per_query(bm25(docs, queries, doc_id, doc_text, query_id, query_text, best=k, **more), k)
+
+
 def fields_search(docs: DataFrame, queries: DataFrame, doc_id: str, fields: list[str], query_id: str, query_text: str) -> DataFrame:
     """(query, doc, score): scores of several fields added, each field an index of its own."""
     out = None

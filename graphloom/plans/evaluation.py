@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import metrics as M
 from graphloom.operators import search as S
+from graphloom.operators.components import ensure_checkpoints
+from graphloom.operators.sizes import fits, sent_if
 from graphloom.plans.base import query, table
 from graphloom.plans.text import _bm25_sql
 
@@ -21,8 +23,12 @@ def _evaluated(spark, d):
     Only documents with all of an item's words, which the postings give, are compared as texts.
     """
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    top = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text"), 20)
-    both = S.bm25(docs, items, "doc_id", "text", "item_id", "text", all_terms=True).select("query", "doc")
+    ensure_checkpoints(spark)
+    found = S.bm25(docs, items, "doc_id", "text", "item_id", "text", best=20, whole=True).checkpoint()  # read twice
+    top = S.top_per_query(found, 20)
+    wanted = S.query_terms(items, "item_id", "text").groupBy("query").agg(F.count("*").alias("wanted"))
+    both = found.join(wanted, "query").where("matched = wanted").select("query", "doc")
+    both = sent_if(fits(both), both)  # few pairs go to the texts
     inside = both.join(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("d")), "doc").join(items.select(F.col("item_id").alias("query"), F.col("text").alias("t")), "query").where(F.contains("d", "t"))
     gold = inside.groupBy("query").agg(F.array_sort(F.collect_list("doc")).alias("gold"))
     none = F.expr("cast(array() as array<bigint>)")

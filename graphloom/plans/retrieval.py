@@ -96,7 +96,7 @@ def rank_score(spark, d):
 gx as (select query, lang, string_agg(text, chr(10) order by doc_id) as part from hx join documents on doc = doc_id group by query, lang), px as (select query, count(*) as n, string_agg('## ' || lang || chr(10) || part, chr(10) || chr(10) order by lang) as headed, min(part) as one from gx group by query) select query, md5(case when n > 1 then headed else one end) as digest from px""")
 def grouped_context(spark, d):
     docs = table(spark, d, "documents")
-    hits = S.top_per_query(S.bm25(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text"), 10).select("query", F.col("doc").alias("doc_id"))
+    hits = S.bm25_top(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", 10).select("query", F.col("doc").alias("doc_id"))
     rows = docs.select("doc_id", "lang", "text").join(hits, "doc_id")
     return R.grouped_context(rows, "query", "lang", "text", "doc_id").select("query", F.md5("context").alias("digest"))
 
@@ -106,7 +106,7 @@ def adaptive_retrieval(spark, d):
     docs = table(spark, d, "documents")
 
     def search(asked):
-        return S.top_per_query(S.bm25(docs, asked, "doc_id", "text", "query", "text"), 5).select("query", "doc", "rank")
+        return S.bm25_top(docs, asked, "doc_id", "text", "query", "text", 5).select("query", "doc", "rank")
 
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
     shorter = lambda t: F.array_join(F.slice(F.split(t, " "), 1, 5), " ")
@@ -128,7 +128,7 @@ def query_category(spark, d):
 select query, '[' || string_agg('{{"filename":"' || source || '","chunk_id":' || doc || ',"chunk_method":"standard","category":"' || lang || '","score":' || s || '}}', ',' order by rank) || ']' as sources from t join documents on doc = doc_id where rank <= 3 group by query""")
 def citations(spark, d):
     docs = table(spark, d, "documents")
-    top = S.top_per_query(S.bm25(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text"), 3)
+    top = S.bm25_top(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", 3)
     rows = top.join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("filename"), F.col("lang").alias("category")), "doc")
     return R.citations(rows.select("query", "rank", "filename", F.col("doc").alias("chunk_id"), F.lit("standard").alias("chunk_method"), "category", "score"))
 
