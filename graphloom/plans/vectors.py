@@ -90,7 +90,7 @@ def _lists(spark, d):
     A document's vector is the embedding of its id; documents without one are found by their text only.
     """
     docs, items, vectors = table(spark, d, "documents"), table(spark, d, "benchmark"), table(spark, d, "embeddings")
-    sparse = S.top_per_query(S.bm25(docs, items, "doc_id", "text", "item_id", "text"), 10)
+    sparse = S.bm25_top(docs, items, "doc_id", "text", "item_id", "text", 10)
     own = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     asked = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     dense = N.nearest(own, asked, 10)
@@ -133,7 +133,7 @@ def multi_query_union(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     words = F.split("text", " ")
     parts = (lambda t: F.array_join(F.slice(words, 1, 5), " "), lambda t: F.array_join(F.slice(words, 6, 1 << 30), " "))
-    return R.multi_query(items, "item_id", "text", parts, lambda asked: S.top_per_query(S.bm25(docs, asked, "doc_id", "text", "query", "text"), 5))
+    return R.multi_query(items, "item_id", "text", parts, lambda asked: S.bm25_top(docs, asked, "doc_id", "text", "query", "text", 5))
 
 
 VOTES_SQL = """v as (select question, agent, node, row_number() over (partition by question, agent order by ts, event_id) as pos from (select *, strftime(ts, '%Y-%m-%d') as question, user_id % 3 as agent, cast(json_extract_string(props, '$.k') as bigint) as node from events)),
