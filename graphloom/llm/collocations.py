@@ -4,9 +4,11 @@ Texts are cut into segments of a bounded number of words, each stored as an inve
 ascending list of its positions. A frequent phrase is extended by merging its list, one step on, with the lists of the words
 that stand beside it there; of these only the places are kept where the word ends another frequent phrase of the same
 length, since no other extension can be frequent. The length of a list is the phrase's exact frequency in the segment, and
-these lengths are summed over all segments by an exchange that has one row for each phrase and segment. Before it, lengths are
+these lengths are summed over all segments by an exchange: of words, a row for each word and segment; of longer phrases, a row
+for each segment and part of the phrases, with arrays of what the segment has of them. Before it, lengths are
 summed by a hash of the phrase, and phrases whose sum is too small are let go with their lists; the hash lets some more pass,
-but none is lost. Phrases are known by their first place in the corpus, so no hash can take one for another, and no table of
+but none is lost. A segment reports each frequent phrase it has, so there are at most as many such reports as words for each
+length, and more of them in each segment the more text there is, until all its phrases are frequent. Phrases are known by their first place in the corpus, so no hash can take one for another, and no table of
 words or phrases is ever sent to all.
 """
 
@@ -34,15 +36,21 @@ TASK_BITS, SHIFT = 12, 31
 HELD_BYTES = 1_000_000
 #: Words for each sum by hash, the least and the most such sums, and the sums of a block.
 WORDS_EACH, LEAST_SUMS, MOST_SUMS, BLOCK = 16, 1 << 16, 1 << 28, 1 << 16
+#: Sums whose phrases are summed exactly in one group.
+PART = 1 << 18
 
 #: A-Z in lower case, a tab as a blank, and each end of a piece as a line end.
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _WORD, _BLANK = re.compile(rb"[^ \n]+|\n+"), re.compile(rb"[ \n]")
 
-#: Rows of a level: `lists` holds all lists of a segment, in the order of their codes, in one row; each list has a row of its
-#: own besides, with its code, what it extends and by what (a word: its language and text), its length and first position.
+#: Rows of a level: `lists` holds all lists of a segment, in the order of their codes, in one row. Besides, each word's list has
+#: a row of its own, with its code, language, text, length and first position; those of longer phrases have a row for each part,
+#: with an array each of codes, what they extend and by what, lengths and first positions.
 _FIRST = "seg long, lists binary, counts binary, code int, lang string, word string, n int, first int"
-_NEXT = "seg long, lists binary, counts binary, code int, left long, right long, n int, first int"
+_NEXT = "seg long, lists binary, counts binary, part int, codes binary, left binary, right binary, n binary, first binary"
+#: Rows of the phrases that are frequent in all segments: one for each of them; besides, for each segment, the codes it has for
+#: those of a part, their ids and the words that end them.
+_FOUND = "id long, left long, right long, total long, seg long, codes binary, ids binary, endings binary"
 #: Rows of the lists that go on: those of a segment in one row, with the ids of their phrases and of the words that end these;
 #: besides, for a block of sums, what the extended phrases of the segment add to it.
 _KEPT = "seg long, lists binary, counts binary, ids binary, endings binary, block int, at binary, n binary"
@@ -130,19 +138,25 @@ def _first_level(seg: int, names: list, held: list[np.ndarray]) -> Iterator[pa.R
     order = np.argsort(own, kind="stable")
     counts = np.bincount(own, minlength=len(names))
     firsts = places[order][np.cumsum(counts) - counts]
-    yield from _level(seg, places[order], counts, firsts, {"lang": pa.array([x for x, _ in names], pa.string()), "word": pa.array([x for _, x in names], pa.binary()).cast(pa.string())}, ("lang", "word"))
+    keys = {"lang": pa.array([x for x, _ in names], pa.string()), "word": pa.array([x for _, x in names], pa.binary()).cast(pa.string())}
+    yield _rows(_FIRST, 1, seg=pa.array([seg]), **_all_lists(places[order], counts))
+    size = len(counts)
+    yield from _sliced(_rows(_FIRST, size, seg=pa.array(np.full(size, seg)), code=pa.array(np.arange(size, dtype=np.int32)), n=pa.array(counts.astype(np.int32)), first=pa.array(firsts), **keys))
 
 
-def _level(seg: int, positions: np.ndarray, counts: np.ndarray, firsts: np.ndarray, keys: dict[str, pa.Array], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    """A row with all lists, and a row for each of them."""
-    order = ["seg", "lists", "counts", "code", *names, "n", "first"]
-    some = {"seg": pa.array([seg], pa.int64()), "lists": pa.array([_packed(positions)], pa.binary()), "counts": pa.array([counts.astype(np.int32).tobytes()], pa.binary()), "code": pa.nulls(1, pa.int32()), "n": pa.nulls(1, pa.int32()), "first": pa.nulls(1, pa.int32())}
-    yield pa.record_batch([some.get(x) if x in some else pa.nulls(1, keys[x].type) for x in order], order)
-    size = len(counts)
-    each = {"seg": pa.array(np.full(size, seg)), "lists": pa.nulls(size, pa.binary()), "counts": pa.nulls(size, pa.binary()), "code": pa.array(np.arange(size, dtype=np.int32)), "n": pa.array(counts.astype(np.int32)), "first": pa.array(firsts.astype(np.int32))} | keys
-    whole = pa.record_batch([each[x] for x in order], order)
-    for a in range(0, size, 50_000):
-        yield whole.slice(a, 50_000)
+def _all_lists(positions: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
+    return {"lists": pa.array([_packed(positions)], pa.binary()), "counts": pa.array([counts.astype(np.int32).tobytes()], pa.binary())}
+
+
+def _rows(schema: str, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of a schema; columns that are not given are null."""
+    fields = _arrow(schema).schema
+    return pa.record_batch([columns[x.name] if x.name in columns else pa.nulls(size, x.type) for x in fields], fields)
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, 50_000):
+        yield batch.slice(a, 50_000)
 
 
 def _pairs(places: np.ndarray, counts: np.ndarray, ids: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -172,7 +186,10 @@ def _kept(sums: int, least_n: int):
     def run(key: tuple, lists: pa.Table, frequent: pa.Table) -> pa.Table:
         if not lists.num_rows or not frequent.num_rows:
             return none
-        codes, ids, endings = (frequent.column(x).to_numpy() for x in ("code", "id", "ending"))
+        if "codes" in frequent.column_names:
+            codes, ids, endings = (np.concatenate([np.frombuffer(y.as_buffer(), kind) for y in frequent.column(x)]) for x, kind in (("codes", np.int32), ("ids", np.int64), ("endings", np.int64)))
+        else:
+            codes, ids, endings = (frequent.column(x).to_numpy() for x in ("code", "id", "ending"))
         order = np.argsort(codes)
         codes, ids, endings = codes[order], ids[order], endings[order]
         counts = np.frombuffer(lists.column("counts")[0].as_py(), np.int32)
@@ -208,8 +225,9 @@ def _enough(least_n: int):
     return run
 
 
-def _extended(sums: int, enough, last: bool):
+def _extended(sums: int, enough, last: bool, part: int):
     """A function of lists that go on: those of the phrases one word longer whose sum by hash is large enough."""
+    kinds = {"codes": np.int32, "left": np.int64, "right": np.int64, "n": np.int32, "first": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = enough.value
@@ -221,8 +239,45 @@ def _extended(sums: int, enough, last: bool):
                 some = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
                 if some.any():
                     places = places[:0] if last else places[np.repeat(some, n)]
-                    keys = {"left": pa.array(left[some]), "right": pa.array(right[some])}
-                    yield from _level(row["seg"], places, n[some], first[some], keys, ("left", "right"))
+                    seg = pa.array([row["seg"]])
+                    yield _rows(_NEXT, 1, seg=seg, **_all_lists(places, n[some]))
+                    parts = bucket[some] // part
+                    order = np.argsort(parts, kind="stable")
+                    parts = parts[order]
+                    each = {"codes": order, "left": left[some][order], "right": right[some][order], "n": n[some][order], "first": first[some][order]}
+                    for a, b in itertools.pairwise([*np.flatnonzero(np.diff(parts, prepend=-1)), len(parts)]):
+                        yield _rows(_NEXT, 1, seg=seg, part=pa.array([parts[a]], pa.int32()), **{x: pa.array([each[x][a:b].astype(kind).tobytes()], pa.binary()) for x, kind in kinds.items()})
+
+    return run
+
+
+def _summed(least_n: int, last: bool):
+    """A function of what all segments have of a part's phrases: those that are frequent, and for each segment its codes of them."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, held = {"codes": np.int32, "left": np.int64, "right": np.int64, "n": np.int32, "first": np.int32}, []
+        for batch in batches:
+            for row in batch.select(["seg", *kinds]).to_pylist():
+                own = [np.frombuffer(row[x], kind) for x, kind in kinds.items()]
+                held.append((np.full(len(own[0]), row["seg"], np.int64), *own))
+        seg, codes, left, right, n, first = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        starts = np.flatnonzero(np.r_[True, (np.diff(left) != 0) | (np.diff(right) != 0)])
+        total = np.add.reduceat(n[order].astype(np.int64), starts)
+        ids = np.minimum.reduceat((seg[order] << SHIFT) + first[order], starts)
+        some = total >= least_n
+        if not some.any():
+            return
+        yield from _sliced(_rows(_FOUND, int(some.sum()), id=pa.array(ids[some]), left=pa.array(left[starts][some]), right=pa.array(right[starts][some]), total=pa.array(total[some])))
+        if last:
+            return
+        size = np.diff(starts, append=len(left))
+        own = np.flatnonzero(np.repeat(some, size))
+        own = own[np.argsort(seg[order][own], kind="stable")]
+        seg, codes, ids, endings = seg[order][own], codes[order][own], np.repeat(ids, size)[own], right[own]
+        for a, b in itertools.pairwise([*np.flatnonzero(np.diff(seg, prepend=-1)), len(seg)]):
+            yield _rows(_FOUND, 1, seg=pa.array(seg[a : a + 1]), **{x: pa.array([y[a:b].tobytes()], pa.binary()) for x, y in (("codes", codes), ("ids", ids), ("endings", endings))})
 
     return run
 
@@ -233,11 +288,11 @@ def _arrow(schema: str) -> pa.Table:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]).empty_table()
 
 
-def _frequent(level: DataFrame, keys: tuple[str, str], least_n: int) -> DataFrame:
-    """(seg, code, n, first, id, total, *keys) of the lists of phrases that occur `least_n` times or more in all segments."""
-    same = Window.partitionBy(*keys)
+def _frequent(level: DataFrame, least_n: int) -> DataFrame:
+    """(seg, code, n, first, id, total, lang, word) of the lists of words that occur `least_n` times or more in all segments."""
+    same = Window.partitionBy("lang", "word")
     place = F.shiftleft("seg", SHIFT) + F.col("first")
-    rows = level.where("code is not null").select("seg", "code", "first", "n", *keys)
+    rows = level.where("code is not null").select("seg", "code", "first", "n", "lang", "word")
     return rows.withColumns({"total": F.sum("n").over(same), "id": F.min(place).over(same)}).where(F.col("total") >= least_n)
 
 
@@ -253,32 +308,33 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     totals = level.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     sums = min(MOST_SUMS, max(LEAST_SUMS, 1 << (n_words // WORDS_EACH).bit_length()))
-    found, out, names = _frequent(level, ("lang", "word"), least_n), [], None
+    found, out, names = _frequent(level, least_n), [], None
     for k in range(1, longest + 1):
         found = stored(found, f"phrases-{k}")
-        # the row that the id tells of: one for each phrase
-        each = found.where(F.col("id") == F.shiftleft("seg", SHIFT) + F.col("first"))
         if k == 1:
+            # the row that the id tells of: one for each word
+            each = found.where(F.col("id") == F.shiftleft("seg", SHIFT) + F.col("first"))
             names = each.select("id", "lang", F.array("word").alias("words"), F.col("total").alias("f"))
-            ending = F.col("id")
+            own = found.select("seg", "code", "id", F.col("id").alias("ending"))
             words = names
         else:
+            each = found.where("id is not null").select("id", "left", "right", "total")
             longer = each.join(out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("before")), "left")
             longer = longer.join(names.select(F.col("id").alias("right"), F.col("words").alias("added")), "right")
             words = stored(longer.select("id", "lang", F.concat("before", "added").alias("words"), F.col("total").alias("f")), f"phrase-words-{k}")
-            ending = F.col("right")
+            own = found.where("codes is not null").select("seg", "codes", "ids", "endings")
         out.append(words)
         if k == longest:
             break
-        parts = level.where("code is null").select("seg", "lists", "counts").groupBy("seg").cogroup(found.select("seg", "code", "id", ending.alias("ending")).groupBy("seg"))
+        parts = level.where("lists is not null").select("seg", "lists", "counts").groupBy("seg").cogroup(own.groupBy("seg"))
         kept = stored(parts.applyInArrow(_kept(sums, least_n), _KEPT), f"phrase-kept-{k}")
         bits = np.zeros(sums // 8, np.uint8)
         added = kept.where("block is not null").select("block", "at", "n").groupBy("block")
         for row in added.applyInArrow(_enough(least_n), "block int, bits binary").toLocalIterator():  # `sums` bits
             bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
         longer = kept.where("block is null").select("seg", "lists", "counts", "ids", "endings")
-        level = stored(longer.mapInArrow(_extended(sums, spark.sparkContext.broadcast(bits), k + 1 == longest), _NEXT), f"phrase-lists-{k + 1}")
-        found = _frequent(level, ("left", "right"), least_n)
+        level = stored(longer.mapInArrow(_extended(sums, spark.sparkContext.broadcast(bits), k + 1 == longest, PART), _NEXT), f"phrase-lists-{k + 1}")
+        found = level.where("part is not null").groupBy("part").applyInArrow(_summed(least_n, k + 1 == longest), _FOUND)
     return reduce(DataFrame.union, [x.select("lang", "words", "f") for x in out]), totals
 
 

@@ -62,6 +62,27 @@ def test_like_a_plain_count(spark, made, odd_docs, segment_words):
         assert got == want and len(want) > 20
 
 
+def test_phrases_are_summed_in_parts(spark, made, monkeypatch):
+    monkeypatch.setattr(C, "PART", 1 << 12)
+    df = spark.createDataFrame(made, "lang string, text string").repartition(3)
+    assert sorted(map(tuple, C.collocations(df, least_n=3, segment_words=40).collect())) == slow(made, 3)
+
+
+def test_a_segment_has_a_row_for_each_part_and_not_for_each_phrase():
+    """1,000 phrases of two words leave a task in one row for each of two parts, beside that of their lists."""
+    words = C.np.random.default_rng(1).permutation(C.np.arange(1000).repeat(3))
+    places = [C.np.flatnonzero(words == k).astype(C.np.int32) for k in range(1000)]
+    row = {"seg": [5], "lists": [C._packed(C.np.concatenate(places))], "counts": [C.np.full(1000, 3, C.np.int32).tobytes()], "ids": [C.np.arange(1000).tobytes()], "endings": [C.np.arange(1000).tobytes()]}
+    enough = type("B", (), {"value": C.np.full(C.LEAST_SUMS // 8, 255, C.np.uint8)})
+    rows = [r for b in C._extended(C.LEAST_SUMS, enough, False, C.LEAST_SUMS // 2)([C.pa.record_batch(row)]) for r in b.to_pylist()]
+    assert [r["part"] for r in rows] == [None, 0, 1]
+    n = Counter(zip(words.tolist(), words[1:].tolist()))
+    got = {}
+    for r in rows[1:]:
+        got |= {(a, b): c for a, b, c in zip(*(C.np.frombuffer(r[x], kind).tolist() for x, kind in (("left", "i8"), ("right", "i8"), ("n", "i4"))), strict=True)}
+    assert got == n and len(got) > 1000
+
+
 def test_a_long_text_is_cut_after_pieces_only(spark, monkeypatch):
     monkeypatch.setattr(C, "HELD_BYTES", 50)
     text = "one two three four, five one two three four five. " * 40 + "one two three four five " * 30
