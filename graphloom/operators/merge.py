@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 
 
 def merged_lists(docs: str, order: str) -> Column:
-    """Documents in order of arrival, each once."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(docs).alias("d"))))
+    """Documents in order of arrival, each once; those without a place come last."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("open"), F.col(order).alias("o"), F.col(docs).alias("d"))))
     return F.array_distinct(F.filter(F.transform(pairs, lambda x: x["d"]), lambda x: x.isNotNull()))
 
 
-def partial_state(rows: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], order: str = "seq", docs: str = "source_document", tie: str | None = None) -> DataFrame:  # noqa: B006
+def partial_state(rows: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], order: str = "seq", docs: str = "source_document", tie: str | None = None, counted: str | None = None) -> DataFrame:  # noqa: B006
     """What arrivals amount to, one row for each key and document, in a form that later arrivals can be merged into.
 
     Columns in `first` hold the earliest value that is not null, those in `last` the latest, each with its place in the
-    order; `at` is the first place and `n` the number of arrivals. Of equal places the arrival with the smallest `tie`, a number,
-    counts in both; without one the smallest, or largest, value.
+    order; `at` is the first place and `n` the number of arrivals, with `counted` only of those where that column holds. A value
+    without a place is passed over. Of equal places the arrival with the smallest `tie`, a number, counts in both; without one
+    the smallest, or largest, value.
     A key with very many arrivals is summed up in the tasks that read them, and by document after that.
     """
 
     def placed(c: str, sign: int) -> Column:
         ties = [] if tie is None else [(sign * F.col(tie)).alias("tie")]
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), *ties, F.col(c).alias("value")))
+        return F.when(F.col(c).isNotNull() & F.col(order).isNotNull(), F.struct(F.col(order).alias("at"), *ties, F.col(c).alias("value")))
 
-    return rows.groupBy(*keys, docs).agg(*(F.min(placed(c, 1)).alias(c) for c in first), *(F.max(placed(c, -1)).alias(c) for c in last), F.min(order).alias("at"), F.count("*").alias("n"))
+    n = F.count("*") if counted is None else F.count_if(counted)
+    return rows.groupBy(*keys, docs).agg(*(F.min(placed(c, 1)).alias(c) for c in first), *(F.max(placed(c, -1)).alias(c) for c in last), F.min(order).alias("at"), n.alias("n"))
 
 
 def combined(states: DataFrame, keys: list[str], first: list[str] = [], last: list[str] = [], docs: str = "source_document") -> DataFrame:  # noqa: B006

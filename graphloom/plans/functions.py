@@ -145,15 +145,20 @@ def _folder(spark) -> str:
 
 @query("stream_ingest_merge", f"with {ARRIVALS_SQL}, emb as (select l_partkey as id, cast(arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) as double) as embedding from lineitem group by 1) select id, type, description, array_to_string(docs, ',') as docs, embedding, n from ents join ed using (id) join emb using (id)")
 def stream_ingest_merge(spark, d):
-    """Arrivals as four files, which the stream merges into its state in two batches; the last embedding is kept."""
+    """Arrivals as four files, which the stream merges into its state in two batches; the last embedding is kept.
+
+    Lines without an order are no arrivals, but their embeddings count.
+    """
     root = _folder(spark)
-    rows = _arrivals(spark, d).select("id", "type", "description", "source_document", "seq", F.array(F.col("l_suppkey").cast("double")).alias("embedding"), "place")
+    known = lambda c: F.when(F.col("known"), F.col(c)).alias(c)
+    embedding = F.when(F.col("l_suppkey").isNotNull(), F.array(F.col("l_suppkey").cast("double")))
+    rows = _arrivals(spark, d, "left").where("id is not null").select("id", known("type"), known("description"), "source_document", "seq", embedding.alias("embedding"), "place", "known")
     rows.repartition(4).write.parquet(f"{root}/in")
-    schema = "id bigint, type string, description string, source_document string, seq bigint, embedding array<double>, place bigint"
+    schema = "id bigint, type string, description string, source_document string, seq bigint, embedding array<double>, place bigint, known boolean"
     parts = (["id"], ["type", "description"], ["embedding"])
-    merged = S.MergedStream(spark, f"{root}/merged", schema, lambda rows: M.partial_state(rows, *parts, tie="place"), lambda states: M.combined(states, *parts), buckets=8)
+    merged = S.MergedStream(spark, f"{root}/merged", schema, lambda rows: M.partial_state(rows, *parts, tie="place", counted="known"), lambda states: M.combined(states, *parts), buckets=8)
     merged.start(f"{root}/in", 2).awaitTermination()
-    found = M.from_state(merged.read(), *parts)
+    found = M.from_state(merged.read(), *parts).where("n > 0")
     return found.select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), F.col("embedding")[0].alias("embedding"), "n")
 
 

@@ -14,15 +14,15 @@ ents as (select id, arg_min(type, seq) filter (type is not null) as type, arg_mi
 ed as (select id, list(source_document order by s) as docs from (select id, source_document, min(seq) as s from arr group by all) group by id)"""
 
 
-def _arrivals(spark, d):
+def _arrivals(spark, d, how="inner"):
     n = F.col("l_linenumber")
-    rows = placed(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("l_partkey").alias("id"), F.col("o_orderpriority").alias("source_document"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n != 1, F.col("l_returnflag")).alias("type"), F.when(n == 2, "").when(n != 3, F.concat("l_linestatus", n.cast("string"))).alias("description"), F.col("l_suppkey"), "l_orderkey", n.alias("line"), "place")
+    rows = placed(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), how)
+    return rows.select(F.col("l_partkey").alias("id"), F.col("o_orderpriority").alias("source_document"), (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(n != 1, F.col("l_returnflag")).alias("type"), F.when(n == 2, "").when(n != 3, F.concat("l_linestatus", n.cast("string"))).alias("description"), F.col("l_suppkey"), "l_orderkey", n.alias("line"), "place", F.col("o_orderkey").isNotNull().alias("known"))
 
 
 @query("entity_merge", f"with {ARRIVALS_SQL} select id, type, description, array_to_string(docs, ',') as docs, n from ents join ed using (id)")
 def entity_merge(spark, d):
-    return M.merge_entities(_arrivals(spark, d), tie="place").select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), "n")
+    return M.merge_entities(_arrivals(spark, d).where("id is not null"), tie="place").select("id", "type", "description", F.array_join("source_documents", ",").alias("docs"), "n")
 
 
 def _relations(spark, d):

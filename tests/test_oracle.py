@@ -69,3 +69,21 @@ def test_arrivals_of_the_same_place(spark, tmp_path, name, files):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(catalog.oracle_sql()[name])
     assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["entity_merge", "stream_ingest_merge", "delete_document"])
+@pytest.mark.parametrize("odd", ["part", "line", "supplier", "no order"])
+def test_arrivals_with_nulls(spark, tmp_path, name, odd):
+    """Arrivals without a part are no entity, those without a line have no place, and lines without an order only give embeddings."""
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    null = lambda kind, value: f"case when hash(i * 31) % 9 = 0 then null else {value} end" if kind == odd else value
+    lines = f"hash(i) % 80 as l_orderkey, {null('part', 'hash(i) % 80 % 13')} as l_partkey, {null('supplier', 'hash(i + 77) % 50')} as l_suppkey, {null('line', '1 + hash(i + 99) % 7')} as l_linenumber, 'R' || hash(i + 5) % 50 as l_returnflag, 'S' || hash(i + 6) % 50 as l_linestatus"
+    con.execute(f"copy (select * replace (l_orderkey::bigint as l_orderkey, l_partkey::bigint as l_partkey, l_suppkey::bigint as l_suppkey, l_linenumber::int as l_linenumber) from (select {lines} from range(400) t(i))) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    con.execute(f"copy (select i as o_orderkey, 'P' || i % 5 as o_orderpriority from range({60 if odd == 'no order' else 80}) t(i)) to '{tmp_path}/orders.parquet' (format parquet)")
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    cursor = con.execute(catalog.oracle_sql()[name])
+    assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
