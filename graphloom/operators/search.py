@@ -22,12 +22,13 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, okapi: bool = False, all_terms: bool = False, best: int | None = None, whole: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, okapi: bool = False, all_terms: bool = False, best: int | None = None, whole: bool = False, beside: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, matched) of all documents that share a term with a query.
 
     idf is ln(1 + (N - n + .5) / (n + .5)); with `okapi` it is ln((N - n + .5) / (n + .5)), and a negative one becomes a
     quarter of the mean over all terms. all_terms keeps documents that hold every term. With `best`, rows may be missing that
     `top_per_query` would not count among a query's best so many; with `whole` too, none is whose document holds every term.
+    `beside`, a table (doc, ...), keeps its documents only and adds its columns; it meets documents, so that pairs need no join.
 
     Texts are split once; what they hold of the queries' terms is stored, and a task adds up the scores of its documents. Where
     the queries are too many for that, or ids repeat, postings of their own terms are grouped and joined, with their
@@ -49,6 +50,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_
             if okapi and (idf < 0).any():
                 every = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"))
                 idf = np.where(idf < 0, 0.25 * every.agg(F.avg(F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0], idf)
+            if beside is not None:
+                held = held.join(beside, "doc")
             return T.scored(held, asked, idf, avgdl or 1.0, k1, b, all_terms, best, whole)
     own = sent_if(small, terms.select("term").distinct())
     split = docs.select(F.col(doc_id).alias("doc"), tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("w"))
@@ -72,6 +75,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_
     if all_terms:
         wanted = terms.groupBy("query").agg(F.count("*").alias("wanted"))
         out = out.join(wanted, "query").where("matched = wanted").drop("wanted")
+    if beside is not None:  # pairs are never the side that is broadcast
+        out = out.join(F.broadcast(beside), "doc") if fits(beside) else out.hint("merge").join(beside, "doc")
+        out = out.select("query", "doc", "score", "matched", *(c for c in beside.columns if c != "doc"))
     return out
 
 

@@ -79,10 +79,12 @@ def _best(scores: np.ndarray, matched: np.ndarray, docs: pa.Array, k: int, margi
 
 
 def scored(held: DataFrame, asked: QueryTerms, idf: np.ndarray, avgdl: float, k1: float, b: float, all_terms: bool, best: int | None, whole: bool, margin: float = 2e-6) -> DataFrame:
-    """(query, doc, score, matched) of rows that hold a term of a query; see `search.bm25`."""
+    """(query, doc, score, matched) of rows that hold a term of a query, and further columns of `held`; see `search.bm25`."""
+    extra = [f for f in held.schema.fields if f.name not in ("doc", "dl", "terms", "tfs")]
+    names = ["query", "doc", "score", "matched", *(f.name for f in extra)]
     sent = held.sparkSession.sparkContext.broadcast((asked.ids, asked.starts, asked.of, asked.qtf * np.repeat(idf, np.diff(asked.starts)), asked.wanted))
 
-    def block(docs: pa.Array, dl: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    def block(docs: pa.Array, beside: list[pa.Array], dl: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
         ids, starts, of, weights, wanted = sent.value
         n = np.diff(starts)[term]
         at = np.repeat(starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -97,7 +99,7 @@ def scored(held: DataFrame, asked: QueryTerms, idf: np.ndarray, avgdl: float, k1
             some = _best(scores, np.where(keep, matched, 0), docs, best, margin)
             keep = some | full if whole else some
         query, doc = np.nonzero(keep)
-        return pa.record_batch([ids.take(pa.array(query)), docs.take(pa.array(doc)), pa.array(scores[query, doc]), pa.array(matched[query, doc].astype(np.int64))], ["query", "doc", "score", "matched"])
+        return pa.record_batch([ids.take(pa.array(query)), docs.take(pa.array(doc)), pa.array(scores[query, doc]), pa.array(matched[query, doc].astype(np.int64)), *(x.take(pa.array(doc)) for x in beside)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, *_ = sent.value
@@ -112,8 +114,10 @@ def scored(held: DataFrame, asked: QueryTerms, idf: np.ndarray, avgdl: float, k1
                 z = max(a + 1, min(a + each, int(np.searchsorted(parts, parts[a] + MOST_PARTS, "right")) - 1))
                 some = slice(ends[a], ends[z])
                 if ends[z] > ends[a]:
-                    yield block(batch.column("doc").slice(a, z - a), dl[a:z], np.repeat(np.arange(z - a), size[a:z]), term[some], tf[some])
+                    yield block(batch.column("doc").slice(a, z - a), [batch.column(f.name).slice(a, z - a) for f in extra], dl[a:z], np.repeat(np.arange(z - a), size[a:z]), term[some], tf[some])
                 a = z
 
     schema = StructType().add("query", asked.type).add("doc", held.schema["doc"].dataType).add("score", DoubleType()).add("matched", LongType())
+    for field in extra:
+        schema = schema.add(field.name, field.dataType)
     return held.mapInArrow(run, schema)

@@ -72,9 +72,10 @@ def global_search(spark, d):
 n as (select query, doc, round(score * (case when matches then 1.5 else 0.7 * 1.5 end) * (case when semantic then 1 + 0.3 * similarity else 1.0 end) * (1 + 0.2 * confidence), 6) as new_score from h)
 select query, doc, cast(new_score as double) as new_score, rank from (select *, row_number() over (partition by query order by new_score desc, doc) as rank from n where new_score > 0) where rank <= 5""")
 def category_rescore(spark, d):
-    scored = S.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text").select("query", "doc", F.round("score", 6).alias("score"))
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("doc"), (F.col("lang") == "en").alias("matches"), (F.col("quality") == 1).alias("semantic"), (F.col("n_chars") % 10 / 10).alias("similarity"), (F.col("toxic") / 2).alias("confidence"))
-    return S.top_per_query(U.rescored(scored.join(docs, "doc")), 5, score="new_score").select("query", "doc", "new_score", "rank")
+    docs = table(spark, d, "documents")
+    known = docs.join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("doc"), (F.col("lang") == "en").alias("matches"), (F.col("quality") == 1).alias("semantic"), (F.col("n_chars") % 10 / 10).alias("similarity"), (F.col("toxic") / 2).alias("confidence"))
+    scored = S.bm25(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", beside=known).withColumn("score", F.round("score", 6))
+    return S.top_per_query(U.rescored(scored), 5, score="new_score").select("query", "doc", "new_score", "rank")
 
 
 @query("rerank_dedup", """with r as (select lang, doc_id, text, n_chars, row_number() over (partition by lang, trim(text) order by doc_id) as n from documents) select lang, doc_id, new_score, rank from (select lang, doc_id, round(1 - n_chars / 40000.0, 6) as new_score, row_number() over (partition by lang order by round(1 - n_chars / 40000.0, 6) desc, doc_id) as rank from r where n = 1) where rank <= 10""")

@@ -55,3 +55,25 @@ def test_ids_that_repeat_and_nothing(spark, tables, monkeypatch):
     assert rows(S.bm25(twice, asked, "id", "text", "q", "text")) == rows(joined(monkeypatch, twice, asked))
     assert S.bm25_top(docs.where("false"), asked, "id", "text", "q", "text", 3).collect() == []
     assert S.bm25_top(docs, asked.where("false"), "id", "text", "q", "text", 3).collect() == []
+
+
+def test_columns_beside_documents(spark, tables, monkeypatch):
+    """Columns meet documents before pairs are made: scores are as if joined afterwards, and no join reads the pairs."""
+    docs, asked = tables
+    beside = docs.where("id % 3 = 0").selectExpr("id as doc", "id * 2 as twice", "if(id % 2 = 0, null, text) as note")
+    beside = beside.union(beside.where("doc < 30"))
+    found = S.bm25(*tables, "id", "text", "q", "text", beside=beside)
+    want = S.bm25(*tables, "id", "text", "q", "text").join(beside, "doc").select("query", "doc", "score", "matched", "twice", "note")
+    both = lambda df: sorted((str(r.query), r.doc, round(r.score, 9), r.matched, r.twice, str(r.note)) for r in df.collect())
+    assert found.columns == want.columns and both(found) == both(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    joined_ = joined(monkeypatch, *tables, beside=beside)
+    assert joined_.columns == want.columns and both(joined_) == both(want)
+
+
+def test_category_rescore_joins_no_pairs(spark):
+    from graphloom.plans import catalog
+
+    plan = catalog.queries()["category_rescore"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
